@@ -11,9 +11,11 @@ shingles inside both wide prefixes, so counts over wide prefixes bound exactly a
 1. one scan makes each set's signature and wide prefix; per bucket of tokens, tokens of a single set go;
 2. sets with fewer shared tokens than any partner needs have no link and go;
 3. each remaining set joins the group of the set that most of its tokens name first; a large group is
-   split by hash, so that none has more than GROUP_SETS sets;
-4. (token, set) x (token, group) rows, counted, bound the overlap of sets with other groups;
-5. each group is opened once with its own sets and the sets that qualified, and compared exactly;
+   split by hash, so that none exceeds GROUP_SETS sets and GROUP_SHINGLES shingles;
+4. (token, set) rows meet (token, group) rows, each set and group with its rarest tokens only: if two sets
+   share l of their tokens, they share one of all but the l - 1 commonest; so frequent passages make no pairs;
+5. each group comes once with its sets, its token union, and the sets that met it: whose overlap with the union
+   cannot reach the threshold is turned away, for the others the group is opened and compared exactly;
 6. links become components; equal sets are one node from the start.
 """
 
@@ -32,9 +34,11 @@ from strandgraph.llm.store import id_of, keyed_text, written
 from strandgraph.llm.text import U64, WHITE, Words, arrow_limits, gram_starts, grams, keys, mix, text_chunks
 
 #: Sets in a group at most; a larger family of similar sets is several groups.
-GROUP_SETS = 256
+GROUP_SETS = 1024
+#: Shingles of a group's sets together at most, but for a longer single set.
+GROUP_SHINGLES = 1 << 21
 #: Queries that one task compares with a group at most; further ones get a copy of the group.
-GROUP_QUERIES = 512
+GROUP_QUERIES = 2048
 #: Text bytes that a task gathers before it sends blobs out.
 FLUSH_BYTES = 16 << 20
 #: Tokens travel as so many bits; a collision only loosens a bound.
@@ -249,8 +253,13 @@ def _opened(num: int, den: int):
             for i in np.flatnonzero(local != np.arange(len(sets))):
                 a.append(ids[i])
                 b.append(ids[local[i]])
+            least = int(sizes.min())
             for q, raw in zip(queries.column("q").to_pylist(), queries.column("set").to_pylist()):
                 u = np.frombuffer(raw, "<u8")
+                # With o tokens in the union, no set of the group is closer than o / (|q| + least - o).
+                o = int(np.count_nonzero(token[np.minimum(np.searchsorted(token, u), len(token) - 1)] == u))
+                if den * o < num * (len(u) + least - o):
+                    continue
                 for r in np.unique(local[linked(u, len(u), token, begin, member, sizes)]):
                     a.append(q)
                     b.append(ids[r])
@@ -284,25 +293,21 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     shared = met.filter("tok is not null").select("tok", "sig", "n")
     enough = shared.groupBy("sig", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need_column("n", num, den)).select("sig", "n")
     sets = written(classes.join(enough, ["sig", "n"]).select("sig", "n", F.col("rep").alias("q")), "sets")
-    posts = written(shared.join(sets, ["sig", "n"]).select("tok", "q", "n"), "posts")
+    lists = written(shared.join(sets, ["sig", "n"]).groupBy("q", "n").agg(F.collect_set("tok").alias("toks")), "lists")
     # Groups: each set joins the one that most of its tokens name first.
-    named = posts.groupBy("tok").agg(F.min("q").alias("pivot"), F.max("q").alias("other")).filter("pivot <> other").select("tok", "pivot")
-    votes = posts.join(named, "tok").groupBy("q", "n", "pivot").agg(F.count("*").alias("c"))
-    chosen = votes.groupBy("q", "n").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
-    parts = chosen.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP_SETS).alias("parts"))
-    grouped = written(chosen.join(parts, "pivot").select("q", "n", "pivot", F.expr("pmod(xxhash64(q), parts)").alias("part")), "groups")
-    # The token-group matrix, and the bound on every set's overlap with other groups.
-    held = written(posts.join(grouped.select("q", "pivot", "part"), "q"), "held")
-    matrix = held.groupBy("tok", F.col("pivot").alias("g"), F.col("part").alias("p")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    flat = lists.select("q", "n", F.explode("toks").alias("tok"))
+    named = flat.groupBy("tok").agg(F.count("*").alias("df"), F.min("q").alias("pivot")).filter("df > 1")
+    ranked = flat.join(named, "tok").groupBy("q", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("toks"), F.mode("pivot", True).alias("pivot"))
+    need = need_column("n", num, den)
+    ranked = written(ranked.filter(F.size("toks") >= need).select("q", "n", "pivot", F.slice("toks.tok", F.lit(1), (F.size("toks") - need + 1).cast("int")).alias("head")), "ranked")
+    parts = ranked.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
+    grouped = written(ranked.join(parts, "pivot").select("q", "n", "pivot", F.expr("pmod(xxhash64(q), parts)").alias("part"), "head"), "groups")
+    # The token-group matrix, and the groups that each set meets in it.
+    heads = grouped.select("q", "n", "pivot", "part", F.explode("head").alias("tok"))
+    matrix = heads.groupBy("tok", F.col("pivot").alias("g"), F.col("part").alias("p")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num)
-    bound = (
-        held.join(matrix, "tok")
-        .filter(~((F.col("g") == F.col("pivot")) & (F.col("p") == F.col("part"))))
-        .groupBy("q", "n", "g", "p")
-        .agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-        .filter((F.col("c") >= need_column("n", num, den)) & fits)
-    )
-    bound = written(bound.select("q", F.col("g").alias("pivot"), F.col("p").alias("part")), "bound")
+    met_groups = heads.join(matrix, "tok").filter(((F.col("g") != F.col("pivot")) | (F.col("p") != F.col("part"))) & fits)
+    bound = written(met_groups.select("q", F.col("g").alias("pivot"), F.col("p").alias("part")).distinct(), "bound")
     # Opening.
     full = written(text.join(grouped.select(F.col("q").alias("k")), "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_full_sets(size), "q long, set binary"), "full")
     salts = bound.groupBy("pivot", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
