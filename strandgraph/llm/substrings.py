@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,36 +224,51 @@ def repeat_spans(docs: DataFrame, window: int = 20, id_column: str = "doc_id", t
     return marks.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def _strip(ends_word: np.ndarray):
-    """Takes the words in spans out; what is kept is joined by one space."""
+def _stripped(part: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, column: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Number of words, number of words in the column's spans, and the other words joined by one space, by text."""
+    words = Words(data, bounds, WHITE)
+    spans = part.column(part.schema.get_field_index(column))
+    n = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = spans.flatten()
+    begin, stop = np.repeat(words.first[:-1], n), np.repeat(words.first[1:], n)
+    a, z = (np.minimum(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) + begin, stop) for i in (0, 1))
+    gone = covered(len(words), a, z)
+    kept = np.flatnonzero(~gone)
+    text = np.searchsorted(words.first, kept, side="right") - 1
+    size = words.ends[kept] - words.starts[kept]
+    last = np.concatenate([text[1:] != text[:-1], [True]]) if len(text) else np.zeros(0, bool)
+    room = size + ~last
+    out = np.full(int(room.sum()), 0x20, np.uint8)
+    within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(np.cumsum(room) - room, size) + within] = data[np.repeat(words.starts[kept], size) + within]
+    lens = np.bincount(text, weights=room, minlength=part.num_rows).astype(np.int64)
+    removed = np.concatenate([[0], np.cumsum(gone)])
+    made = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(np.append(0, np.cumsum(lens)).astype(np.int64)), pa.py_buffer(out)])
+    return words.counts.astype(np.int64), (removed[words.first[1:]] - removed[words.first[:-1]]).astype(np.int64), made.cast(pa.string())
+
+
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, bounds in text_chunks(batch):
+            n_words, n_removed, text = _stripped(part, data, bounds, "spans")
+            yield pa.RecordBatch.from_arrays([pa.array(keys(part)), pa.array(n_words), pa.array(n_removed), text], names=["k", "n_words", "n_removed", "kept_text"])
+
+
+def _strip_rows(spans: str):
+    """Whole rows: text and n_chars change where there are spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, bounds in text_chunks(batch):
-                words = Words(data, bounds, ends_word)
-                spans = part.column(part.schema.get_field_index("spans"))
-                n = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = spans.flatten()
-                begin = np.repeat(words.first[:-1], n)
-                stop = np.repeat(words.first[1:], n)
-                a, z = (np.minimum(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) + begin, stop) for i in (0, 1))
-                gone = covered(len(words), a, z)
-                kept = np.flatnonzero(~gone)
-                text = np.searchsorted(words.first, kept, side="right") - 1
-                size = words.ends[kept] - words.starts[kept]
-                last = np.concatenate([text[1:] != text[:-1], [True]]) if len(text) else np.zeros(0, bool)
-                room = size + ~last
-                at = np.cumsum(room) - room
-                out = np.full(int(room.sum()), 0x20, np.uint8)
-                within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
-                out[np.repeat(at, size) + within] = data[np.repeat(words.starts[kept], size) + within]
-                lens = np.bincount(text, weights=room, minlength=part.num_rows).astype(np.int64)
-                removed = np.concatenate([[0], np.cumsum(gone)])
-                made = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(np.append(0, np.cumsum(lens)).astype(np.int64)), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys(part)), pa.array(words.counts.astype(np.int64)), pa.array((removed[words.first[1:]] - removed[words.first[:-1]]).astype(np.int64)), made.cast(pa.string())],
-                    names=["k", "n_words", "n_removed", "kept_text"],
-                )
+                columns = dict(zip(part.schema.names, part.columns))
+                hit = columns[spans].is_valid()
+                _, _, text = _stripped(part, data, bounds, spans)
+                columns["text"] = pc.if_else(hit, text, columns["text"].cast(pa.string()))
+                if "n_chars" in columns:
+                    n = columns["n_chars"]
+                    columns["n_chars"] = pc.if_else(hit, pc.utf8_length(text).cast(n.type), n)
+                del columns[spans]
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -268,22 +284,18 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     """
     spans = repeat_spans(docs, window, id_column, text_column)
     joined = keyed_text(docs, id_column, text_column).join(spans, "k", "left")
-    return joined.mapInArrow(_strip(WHITE), "k long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(_strip, "k long, n_words long, n_removed long, kept_text string")
 
 
 def strip_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """The documents table with texts replaced by what remove_repeats keeps, and n_chars by its length.
-
-    A document that loses no word keeps its text as it is, white space included.
-    """
-    spans = repeat_spans(docs, window).withColumnRenamed("k", "span_k")
-    hit = docs.withColumn("span_k", key_of("doc_id")).join(spans, "span_k", "left")
-    clean = hit.filter("spans is null").select(*docs.columns)
-    rest = hit.filter("spans is not null")
-    stripped = rest.select(F.col("span_k").alias("k"), "text", "spans").mapInArrow(_strip(WHITE), "k long, n_words long, n_removed long, kept_text string")
-    changed = rest.drop("text", "spans", "n_chars").join(stripped.dropDuplicates(["k"]), F.col("span_k") == F.col("k"))
-    changed = changed.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
-    return clean.unionByName(changed.select(*docs.columns))
+    """The table docs (doc_id, text and whatever else) with the words that remove_repeats removes taken out of text, and
+    with n_chars, if there, counted anew. A document that loses no word keeps its row as it is."""
+    spans = "spans"
+    while spans in docs.columns:
+        spans += "_"
+    found = repeat_spans(docs, window).toDF("span_key_of_row", spans)
+    joined = docs.join(found, key_of("doc_id") == F.col("span_key_of_row"), "left").drop("span_key_of_row")
+    return joined.mapInArrow(_strip_rows(spans), docs.schema)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
