@@ -1,0 +1,210 @@
+"""Literal expectations, and layers against numpy."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandgraph.functions import sequence as seqf
+from strandgraph.functions import vectors as vec
+from strandgraph.operators import attention as att
+from strandgraph.operators import embed, graph, hierarchy, scoring
+from strandgraph.operators import sketch as sk
+from strandgraph.plans.queries import attention, model
+from strandgraph.sources import fasta
+from strandgraph.streaming import incremental
+
+
+def test_ancestors(spark):
+    rows = [(562, 561, "Escherichia coli", "species"), (561, 543, "Escherichia", " Genus "), (543, 1224, "Enterobacteriaceae", "family"), (1, None, "root", "no rank"), (7, 8, "a", "x"), (8, 7, "b", "x"), (562, 561, "Escherichia coli", "species")]
+    tree = fasta.taxonomy(spark.createDataFrame(rows, "taxid long, parent long, name string, rank string"))
+    starts = spark.createDataFrame([(562,), (-1,), (999999,), (561,), (543,), (1,), (7,)], "taxid long")
+    want = {562: "Escherichia", -1: "NA", 999999: "NA", 561: "Escherichia", 543: "NA", 1: "NA", 7: "NA"}
+    assert {r.taxid: r.name for r in hierarchy.ancestors(tree, starts, "genus", 8).collect()} == want
+    tree.createOrReplaceTempView("tree")
+    starts.createOrReplaceTempView("starts")
+    assert {r.taxid: r.name for r in spark.sql(hierarchy.ancestors_recursive("tree", "starts", "genus")).collect()} == want
+
+
+def test_similarity_edges(spark):
+    rows = [("BB_query", "AA_old", 0.91), ("BB_query", "CC_old", 0.95), ("BB_query", "DD_old", 0.79), ("BB_query", "EE_old", 0.8), ("BB_query", "FF_old", 0.7999996)]
+    pairs = spark.createDataFrame(rows, "query_id string, ref_id string, score double")
+    got = {tuple(r) for r in sk.similarity_edges(pairs, 0.8, "phage-phage").collect()}
+    assert got == {("AA_old", "BB_query", "phage-phage", 0.91), ("BB_query", "CC_old", "phage-phage", 0.95), ("BB_query", "EE_old", "phage-phage", 0.8)}
+    zero = spark.createDataFrame([("a", "b", 0.0)], "query_id string, ref_id string, score double")
+    assert sk.similarity_edges(zero, 0.0, "x").count() == 0
+    assert sk.similarity_edges(pairs, 0.8, "x", both_ways=True).count() == 6
+
+
+def test_attach(spark):
+    nodes = spark.createDataFrame([("phage", 0, "old_a", [0.0] * 3), ("phage", 1, "old_b", [0.0] * 3), *[("protein", i, f"p{i}", [0.0] * 4) for i in range(3)]], "ntype string, idx long, id string, x array<double>")
+    new = spark.createDataFrame([("phage", "new_query", [1.0, 2.0, 3.0]), ("protein", "new_p2", [2.0] * 4), ("protein", "new_p1", [1.0] * 4)], "ntype string, id string, x array<double>")
+    out = graph.attach_nodes(nodes, new)
+    assert {(r.ntype, r.id): r.idx for r in out.collect() if r.id.startswith("new")} == {("phage", "new_query"): 2, ("protein", "new_p1"): 3, ("protein", "new_p2"): 4}
+    edges = spark.createDataFrame([("phage", "interacts", "phage", "old_b", "new_query"), ("phage", "interacts", "phage", "nobody", "new_query")], "src_type string, rel string, dst_type string, src_id string, dst_id string")
+    assert [(r.src, r.dst) for r in graph.resolved(edges, out).collect()] == [(1, 2)]
+    encodes = spark.createDataFrame([("phage", "encodes", "protein", 2, 3), ("phage", "encodes", "protein", 2, 4)], "src_type string, rel string, dst_type string, src long, dst long")
+    assert {(r.rel, r.src, r.dst) for r in graph.both_directions(encodes, "encoded_by").collect()} == {("encodes", 2, 3), ("encodes", 2, 4), ("encoded_by", 3, 2), ("encoded_by", 4, 2)}
+    assert graph.conflicts(nodes, new.withColumn("id", F.lit("old_a"))).count() == 1
+    fresh, reused = graph.new_and_reused(nodes, spark.createDataFrame([("phage", "old_a"), ("phage", "x")], "ntype string, id string"))
+    assert [r.id for r in fresh.collect()] == ["x"] and [r.idx for r in reused.collect()] == [0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_ids(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = ["a", "a_1", "a_2", "b", "b_1", "a_1_1"]
+    asked = [names[i] for i in rng.integers(0, len(names), 14)]
+    existing = {"a", "b_1"} if seed else set()
+    taken, want = set(existing), []
+    for base in asked:
+        name, i = base, 0
+        while name in taken:
+            i += 1
+            name = f"{base}_{i}"
+        taken.add(name)
+        want.append(name)
+    got = graph.unique_ids(spark.createDataFrame(list(zip(asked, range(len(asked)))), "id string, position long"), spark.createDataFrame([(x,) for x in existing], "id string"))
+    assert [r.assigned_id for r in got.orderBy("position").collect()] == want
+
+
+def test_sequence_functions(spark):
+    df = spark.createDataFrame([("acgun\nac ",), ("",), ("ACGTNacgtnXy",)], "s string")
+    assert [r[0] for r in df.select(seqf.normalize(F.col("s"))).collect()] == ["ACGTNAC", "", "ACGTNACGTNXY"]
+    assert [r[0] for r in df.select(seqf.reverse_complement(F.col("s"))).collect()][2] == "yXnacgtNACGT"
+    p = spark.createDataFrame([("MKv*#",), ("B*Z+",)], "s string")
+    assert [r[0] for r in p.select(seqf.clean_protein(F.col("s"))).collect()] == ["MKX", "BXZ"]
+    got = seqf.kmers(spark.createDataFrame([(1, "A" * 450 + "C"), (2, "AC"), (3, ""), (4, None)], "id int, s string"), "s", 4).groupBy("id", "kmer").count().collect()
+    assert {(r.id, r.kmer): r["count"] for r in got} == {(1, "AAAA"): 447, (1, "AAAC"): 1, (2, "AC"): 1, (3, ""): 1}
+
+
+def test_windows(spark):
+    def plain(n, w, s):
+        if n <= w:
+            return [0]
+        out, i = [], 0
+        while i + w <= n:
+            out.append(i)
+            i += s
+        return out + ([n - w] if i < n else [])
+
+    cases = [(n, w, s) for n in (1, 5, 6, 7, 20, 23) for w in (3, 5, 6) for s in (1, 2, 3, 6, 7)]
+    for w, s in {c[1:] for c in cases}:
+        ns = [n for n, a, b in cases if (a, b) == (w, s)]
+        got = spark.createDataFrame([(n,) for n in ns], "n int").select("n", seqf.window_starts(F.col("n"), w, s).alias("x"), seqf.evenly(seqf.window_starts(F.col("n"), w, s), 3).alias("y")).collect()
+        for r in got:
+            want = plain(r.n, w, s)
+            assert r.x == want
+            assert r.y == (want if len(want) <= 3 else sorted({want[min(len(want) - 1, int(i * len(want) / 3))] for i in range(3)}))
+
+
+def test_fasta(spark, tmp_path):
+    (tmp_path / "a.FA").write_text("junk before\n>one first\nAC\r\nGT\n>two\n>three x\nA A\n")
+    (tmp_path / "b.fasta").write_text(">four\nAC")
+    (tmp_path / "c.txt").write_text(">no\nAC")
+    got = fasta.read_fasta(spark, str(tmp_path))
+    assert sorted((r.seq_id, r.seq, r.source_file) for r in got.collect()) == [("four", "AC", "b.fasta"), ("one", "ACGT", "a.FA"), ("three", "AA", "a.FA"), ("two", "", "a.FA")]
+    assert {r.source_file: r.seq_id for r in fasta.first_ids(got).collect()} == {"a.FA": "one", "b.fasta": "four"}
+    (tmp_path / "m.json").write_text('{"phage_map": {"a": 0, "b": 1},\n "host_map": {"h": 0}}')
+    assert {tuple(r) for r in fasta.read_node_maps(spark, str(tmp_path / "m.json")).collect()} == {("phage", "a", 0), ("phage", "b", 1), ("host", "h", 0)}
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0], [1.0])], "a array<double>, z array<double>, e array<double>")
+    r = df.select(vec.l2_normalize(F.col("a")).alias("n"), vec.l2_normalize(F.col("z")).alias("z"), vec.cosine(F.col("a"), F.col("a")).alias("c"), vec.coerced(F.col("e"), 3).alias("w"), vec.coerced(F.lit(None), 2).alias("o"), vec.layer_norm(F.col("a")).alias("l")).first()
+    assert r.n == pytest.approx([0.6, 0.8]) and r.z == [0.0, 0.0] and r.c == pytest.approx(1) and r.w == [1, 1, 1] and r.o == [1, 1]
+    assert r.l == pytest.approx([-1, 1], abs=1e-4)
+
+
+def numpy_attended(edges, xs, xd, p, attr=None):
+    heads, dim = p.attend.shape
+    out = np.zeros((len(xd), dim))
+    hl, hr = xs @ p.left.T, xd @ p.right.T
+    for i in range(len(xd)):
+        mine = [n for n, (s, t) in enumerate(edges) if t == i]
+        for h in range(heads):
+            part = slice(h * dim, (h + 1) * dim)
+            if mine:
+                z = np.array([hl[edges[n][0], part] + hr[i, part] + (p.edge @ attr[n])[part] if p.edge is not None else hl[edges[n][0], part] + hr[i, part] for n in mine])
+                logit = np.where(z > 0, z, 0.2 * z) @ p.attend[h]
+                w = np.exp(logit - logit.max())
+                out[i] += (w / w.sum()) @ hl[[edges[n][0] for n in mine], part] / heads
+    return out + p.bias
+
+
+def test_attention_with_loops_and_attributes(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6, 8))
+    p = att.Attention(rng.normal(size=(6, 8)), rng.normal(size=(6, 8)), rng.normal(size=(2, 3)), rng.normal(size=3), rng.normal(size=(6, 2)))
+    edges = [(0, 1), (2, 1), (1, 1), (3, 0), (4, 5)]
+    attr = rng.normal(size=(5, 2))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, x array<double>")
+    table = spark.createDataFrame([(*e, a.tolist()) for e, a in zip(edges, attr)], "src long, dst long, attr array<double>")
+    plain = np.array([r.out for r in att.attended(table, nodes, nodes, p).orderBy("idx").collect()])
+    assert np.allclose(plain, numpy_attended(edges, x, x, p, attr))
+    kept = [(e, a) for e, a in zip(edges, attr) if e[0] != e[1]]
+    for i in range(6):
+        into = [a for e, a in kept if e[1] == i and e[0] != i]
+        kept.append(((i, i), np.mean(into, axis=0) if into else np.zeros(2)))
+    looped = np.array([r.out for r in att.attended(table, nodes, nodes, p, loops=True).orderBy("idx").collect()])
+    assert np.allclose(looped, numpy_attended([e for e, _ in kept], x, x, p, [a for _, a in kept]))
+
+
+def test_model(spark):
+    """Two relations into part, one of them empty; parts without edges; a type that no relation reaches."""
+    rng = np.random.default_rng(2)
+    inputs, layers, final = model()
+    x = {k: rng.normal(size=(n, 8)) for k, n in (("customer", 4), ("part", 5), ("supplier", 3))}
+    e = {("customer", "buys", "part"): [(0, 1), (1, 1), (3, 2)], ("part", "bought_by", "customer"): [(1, 0), (1, 1), (2, 3)]}
+    nodes = spark.createDataFrame([(k, i, v.tolist()) for k, m in x.items() for i, v in enumerate(m)], "ntype string, idx long, x array<double>")
+    edges = spark.createDataFrame([(*r, *p) for r, ps in e.items() for p in ps], "src_type string, rel string, dst_type string, src long, dst long")
+    state = {k: np.maximum(x[k] @ w.T + b, 0) for k, (w, b) in inputs.items()}
+    for p in layers:
+        new = {}
+        for k, own in state.items():
+            outs = [numpy_attended(e[r], state[r[0]], own, a) for r, a in p.relations.items() if r[2] == k and r in e]
+            total = np.zeros_like(own)
+            if outs:
+                gate = np.stack([np.tanh(o @ p.gate_in.T + p.gate_bias) @ p.gate_out for o in outs])
+                w = np.exp(gate - gate.max(0))
+                total = sum((w / w.sum(0))[i][:, None] * o for i, o in enumerate(outs))
+            y = own + total
+            new[k] = np.maximum((y - y.mean(1, keepdims=True)) / np.sqrt(y.var(1, keepdims=True) + 1e-5), 0)
+        state = new
+    got = att.embedded(nodes, edges, inputs, layers, final)
+    for k, v in state.items():
+        z = v @ final[0].T + final[1]
+        want = z / np.linalg.norm(z, axis=1, keepdims=True)
+        assert np.allclose(np.array([r.x for r in got[k].orderBy("idx").collect()]), want, atol=1e-8)
+    assert attention(0).attend.shape == (2, 4)
+
+
+def test_top_candidates_with_ties(spark):
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "query_id string, x array<double>")
+    c = spark.createDataFrame([(2, [1.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (9000, [1.0, 0.0])], "idx long, x array<double>")
+    got = {(r.query_id, r["rank"]): r.idx for r in scoring.top_candidates(q, c, 1.0, 2).collect()}
+    assert got == {("a", 1): 1, ("a", 2): 2, ("b", 1): 0, ("b", 2): 2}
+
+
+def test_failed_texts_are_rows(spark):
+    def hook():
+        def embed_texts(texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            return np.ones((len(texts), 2))
+
+        return embed_texts
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bad", "c"])], "i int, text string").coalesce(1)
+    got = {r.i: (r.embedding, r.status, r.error) for r in embed.embed_batches(rows, hook, ["i"]).collect()}
+    assert got == {0: ([1.0, 1.0], "ok", None), 1: (None, "error", "ValueError: no"), 2: ([1.0, 1.0], "ok", None)}
+
+
+def test_rerun_of_ingest_finds_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fa").write_text(">x\nAC\n>y\nGT\n")
+    run = lambda: incremental.ingest(incremental.new_records(spark, str(tmp_path / "in")), lambda b: b, str(tmp_path / "out"), str(tmp_path / "marks"))
+    assert run() == 2
+    assert run() == 0
+    (tmp_path / "in" / "b.fa").write_text(">z\nA")
+    assert run() == 1
+    assert sorted(r.seq_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y", "z"]
