@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at a time inside a task; a longer single text is handled alone.
 CHUNK_BYTES = 2 << 20
+#: Words whose bytes are laid out at a time while they are hashed.
+HASHED_WORDS = 1 << 15
 #: Stands for a null id inside operators; ids are 64-bit.
 NULL_KEY = -(1 << 63)
 
@@ -103,13 +105,14 @@ class Words:
             return np.zeros(0, U64)
         table = (_BYTE_LOWER if lower else _BYTE)[which]
         length = self.ends - self.starts
-        begin = np.cumsum(length) - length
-        place = np.arange(int(length.sum()), dtype=np.int64)
-        at = place + np.repeat(self.starts - begin, length)
-        within = place - np.repeat(begin, length)
         factor = mix(np.arange(1, int(length.max()) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15 + 2 * which)) | U64(1)
-        total = np.add.reduceat(table[self.data[at]] * factor[within], begin)
-        return mix(total + length.astype(U64) * U64(0xD6E8FEB86659FD93))
+        out = np.empty(n, U64)
+        for a in range(0, n, HASHED_WORDS):
+            size, start = length[a : a + HASHED_WORDS], self.starts[a : a + HASHED_WORDS]
+            begin = np.cumsum(size) - size
+            within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(begin, size)
+            out[a : a + HASHED_WORDS] = np.add.reduceat(table[self.data[within + np.repeat(start, size)]] * factor[within], begin)
+        return mix(out + length.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def grams(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
