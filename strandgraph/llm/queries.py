@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from strandgraph.llm import licences
 from strandgraph.llm.bpe import op8_byte_bpe
 from strandgraph.llm.idfiles import op10_token_ids
 from strandgraph.llm.jaccard import op4_ngram_jaccard_join
 from strandgraph.llm.leaks import op9_benchmark_decontamination
 from strandgraph.llm.licences import op7_license_scans
+from strandgraph.llm.oracles import ORACLE
 from strandgraph.llm.quality import op2_quality_rules
 from strandgraph.llm.shards import op3_sharding
 from strandgraph.llm.substrings import op5_substring_dedup
@@ -27,6 +27,4 @@ QUERIES = {
     "op10_token_ids": op10_token_ids,
 }
 
-ORACLE: dict[str, str] = {
-    "op7_license_scans": licences.ORACLE_SQL,
-}
+__all__ = ["ORACLE", "QUERIES"]
