@@ -8,7 +8,6 @@ block is one more scan, whatever the size of the benchmark.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.store import id_of, key_of, keyed_text, written
+from strandgraph.llm.store import id_of, keyed_text, written
 from strandgraph.llm.text import NOT_ALNUM, U64, Words, arrow_limits, covered, keys, spans_of, text_chunks
 
 #: UTF-8 bytes of benchmark text in one block, which is what a task holds of the benchmark.
@@ -115,6 +114,17 @@ def _shard(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, words.first[:-1] + np.arange(len(words.counts))
 
 
+def _hits(words: Words, sought: np.ndarray, lens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows occur in a shard: place, window's number, document; and each document's first place."""
+    h, first = _shard(words)
+    order = suffix_array(h, window)
+    low, high = search(h, order, sought, lens)
+    found = np.flatnonzero(low < high)
+    n = (high - low)[found]
+    at = order[np.repeat(low[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    return at, np.repeat(found, n), np.searchsorted(first, at, side="right") - 1, first
+
+
 def _scan(block, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wins = block.value
@@ -123,16 +133,8 @@ def _scan(block, window: int):
         for batch in batches:
             for part, data, bounds in text_chunks(batch, limit=SHARD_BYTES):
                 words = Words(data, bounds, NOT_ALNUM)
-                h, first = _shard(words)
-                order = suffix_array(h, window)
-                low, high = search(h, order, sought, lens)
-                found = np.flatnonzero(low < high)
-                n = (high - low)[found]
-                at = order[np.repeat(low[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-                which = np.repeat(found, n)
-                doc = np.searchsorted(first, at, side="right") - 1
-                hit = covered(len(h), at, at + lens[which])
-                a, z = spans_of(hit)
+                at, which, doc, first = _hits(words, sought, lens, window)
+                a, z = spans_of(covered(len(words) + part.num_rows, at, at + lens[which]))
                 span_doc = np.searchsorted(first, a, side="right") - 1
                 spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for d, x, y in zip(span_doc.tolist(), a.tolist(), z.tolist()):
@@ -154,6 +156,21 @@ def _scan(block, window: int):
     return run
 
 
+def _clean_rows(block, window: int):
+    """The rows without any window of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought, lens = _padded(block.value.windows, window)
+        for batch in batches:
+            for part, data, bounds in text_chunks(batch, limit=SHARD_BYTES):
+                _, _, doc, _ = _hits(Words(data, bounds, NOT_ALNUM), sought, lens, window)
+                clean = np.ones(part.num_rows, bool)
+                clean[doc] = False
+                yield part.filter(pa.array(clean))
+
+    return run
+
+
 _ROW = "k long, n_words long, spans array<struct<start: long, stop: long>>, items array<string>"
 
 
@@ -242,10 +259,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc
     return best.select("item", "m.*")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents that hold no window of a benchmark item, with all their columns."""
-    hit = benchmark_hits(docs, benchmark, window).filter("size(items) > 0").select(F.col("k").alias("leak_k")).distinct()
-    return docs.withColumn("leak_key", key_of("doc_id")).join(hit, F.col("leak_key") == F.col("leak_k"), "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs (with a column text, and whatever else) that hold no window of a benchmark item. Nothing is
+    shuffled: each block of the benchmark filters what the one before left."""
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    for block in _blocks(benchmark, "item_id", "text", block_bytes):
+        docs = docs.mapInArrow(_clean_rows(spark.sparkContext.broadcast(Suffixes(block, window)), window), docs.schema)
+    return docs
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

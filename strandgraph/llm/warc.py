@@ -12,13 +12,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.files import Appender, Reader
-from strandgraph.llm.store import id_of, key_of, shared_folder, written
+from strandgraph.llm.store import key_of, shared_folder, written
 from strandgraph.llm.text import NULL_KEY, arrow_limits
 
 #: Equal payloads below this size are stored each time.
