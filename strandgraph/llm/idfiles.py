@@ -28,8 +28,8 @@ MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
 #: Ids in a file at most, but for a longer single document.
 FILE_IDS = 1 << 26
-#: Words in a worker's cache of encoded words; when full it starts anew.
-CACHED_WORDS = 200_000
+#: Words in one generation of a worker's cache of encoded words (about 200 bytes each).
+CACHED_WORDS = 500_000
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -138,31 +138,43 @@ class IdReader:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-_WORDS: dict[str, dict[str, bytes]] = {}
+#: By tokenizer: the words of this generation and of the last one.
+_WORDS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _TOKENIZERS: dict[str, object] = {}
 
 
-def encode_words(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Each text's ids. White space ends tokens of this kind of tokenizer, so each different word is encoded once
-    and its ids are looked up from then on."""
+def _encode_new(path: str, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """Each word with its ids."""
     from tokenizers import Tokenizer
 
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Tokenizer.from_file(path)
+        # The strings of special tokens are ordinary text in a text.
         _TOKENIZERS[path].encode_special_tokens = True
-    cache = _WORDS.setdefault(path, {})
+    for a in range(0, len(words), 4096):
+        part = words[a : a + 4096]
+        for w, e in zip(part, _TOKENIZERS[path].encode_batch_fast(part, add_special_tokens=False)):
+            yield w, np.array(e.ids, dtype=np.uint32).tobytes()
+
+
+def encode_words(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Each text's ids. White space ends tokens of this kind of tokenizer, so each different word is encoded once and its
+    ids are looked up from then on; a worker keeps two generations of CACHED_WORDS words."""
+    now, last = _WORDS.setdefault(path, ({}, {}))
     split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
-    new = {w for words in split for w in words if w not in cache}
-    if len(cache) + len(new) > CACHED_WORDS:
-        cache.clear()
-        new = {w for words in split for w in words}
-    if new:
-        ordered = list(new)
-        for a in range(0, len(ordered), 4096):
-            part = ordered[a : a + 4096]
-            for w, e in zip(part, _TOKENIZERS[path].encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, dtype=np.uint32).tobytes()
-    return [np.frombuffer(b"".join([cache[w] for w in words]), np.uint32) for words in split]
+    missing = {w for words in split for w in words if w not in now}
+    if len(now) + len(missing) > CACHED_WORDS:
+        now, last = {}, now
+        _WORDS[path] = now, last
+        missing = {w for words in split for w in words}
+    new = []
+    for w in missing:
+        if (ids := last.get(w)) is not None:
+            now[w] = ids
+        else:
+            new.append(w)
+    now.update(_encode_new(path, new))
+    return [np.frombuffer(b"".join([now[w] for w in words]), np.uint32) for words in split]
 
 
 def _write(folder: str, path: str, end_id: int, bits: bool):
