@@ -14,7 +14,7 @@ from strandgraph.llm.bpe import decoded, encoded
 from strandgraph.llm.jaccard import similar_components
 from strandgraph.llm.leaks import without_leaks
 from strandgraph.llm.quality import keep_good
-from strandgraph.llm.store import id_of, key_of, written
+from strandgraph.llm.store import discard, id_of, key_of, written
 from strandgraph.llm.substrings import strip_repeats
 
 
@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

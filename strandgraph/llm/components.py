@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.store import written
+from strandgraph.llm.store import discard, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
-        now = written(_star(_star(now, True), False), "edges")
+        before, now = now, written(_star(_star(now, True), False), "edges")
+        discard(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -5,7 +5,7 @@ a query's overlap with a group is bounded by counting those rows, and only group
 are opened and compared set by set.
 
 Let t be the threshold. Shingles are ordered by hash. A set's *wide prefix* has its first
-n - ceil(t n) + l shingles, l = max(1, floor((1 - t) n)). Two linked sets share at least the smaller l of
+n - ceil(t n) + l shingles, l = max(1, floor(0.15 n)). Two linked sets share at least the smaller l of
 shingles inside both wide prefixes, so counts over wide prefixes bound exactly and nothing is lost:
 
 1. one scan makes each set's signature and wide prefix; per bucket of tokens, tokens of a single set go;
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.components import components
-from strandgraph.llm.store import id_of, keyed_text, written
+from strandgraph.llm.store import discard, id_of, keyed_text, written
 from strandgraph.llm.text import U64, WHITE, Words, arrow_limits, gram_starts, grams, keys, mix, text_chunks
 
 #: Sets in a group at most; a larger family of similar sets is several groups.
@@ -41,6 +41,8 @@ GROUP_SHINGLES = 1 << 21
 GROUP_QUERIES = 2048
 #: Text bytes that a task gathers before it sends blobs out.
 FLUSH_BYTES = 16 << 20
+#: Shared shingles, in percent of a set, that wide prefixes are made for: more of them make bounds sharper and prefixes longer.
+SHARED_PERCENT = 15
 #: Tokens travel as so many bits; a collision only loosens a bound.
 TOKEN_BITS = 40
 
@@ -65,17 +67,13 @@ def shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBa
         yield part, out
 
 
-def _need(n: int, num: int, den: int) -> int:
-    return max(1, (den - num) * (-(-num * n // den)) // den)
-
-
 def _wide(n: int, num: int, den: int) -> int:
-    return min(n, n - -(-num * n // den) + max(1, (den - num) * n // den))
+    return min(n, n - -(-num * n // den) + max(1, SHARED_PERCENT * n // 100))
 
 
 def need_column(n: str, num: int, den: int) -> Column:
-    """Shared wide tokens that a set of n shingles has with any set it links with, at least."""
-    return F.expr(f"greatest(1, {den - num} * (({num} * cast({n} as bigint) + {den - 1}) div {den}) div {den})")
+    """Shared wide tokens that a set of n shingles has with any set it links with, at least: such a set has ceil(t n) or more."""
+    return F.expr(f"greatest(1, {SHARED_PERCENT} * (({num} * cast({n} as bigint) + {den - 1}) div {den}) div 100)")
 
 
 def _pack(docs: np.ndarray, sets: np.ndarray, entries: np.ndarray, sent: np.ndarray) -> bytes:
@@ -278,8 +276,8 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     smallest id. Rows that repeat an id and its text are listed as often as they come. An empty table gives
     no rows. Other columns of docs aren't read.
     """
-    if not 0 < num <= den:
-        raise ValueError("the threshold must be in (0, 1]")
+    if not SHARED_PERCENT * den <= 100 * num <= 100 * den:
+        raise ValueError(f"the threshold must be from {SHARED_PERCENT / 100} to 1")
     spark = docs.sparkSession
     arrow_limits(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -288,20 +286,23 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         text.mapInArrow(_signatures(size, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet, "tok long, sig long, n long, k long, sig2 long"),
         "met",
     )
-    rows = met.filter("tok is null").select("k", "n", "sig", "sig2")
+    rows = written(met.filter("tok is null").select("k", "n", "sig", "sig2"), "rows")
     classes = rows.filter("n > 0").groupBy("sig", "sig2", "n").agg(F.min("k").alias("rep"))
     shared = met.filter("tok is not null").select("tok", "sig", "n")
     enough = shared.groupBy("sig", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need_column("n", num, den)).select("sig", "n")
     sets = written(classes.join(enough, ["sig", "n"]).select("sig", "n", F.col("rep").alias("q")), "sets")
     lists = written(shared.join(sets, ["sig", "n"]).groupBy("q", "n").agg(F.collect_set("tok").alias("toks")), "lists")
+    discard(met, sets)
     # Groups: each set joins the one that most of its tokens name first.
     flat = lists.select("q", "n", F.explode("toks").alias("tok"))
     named = flat.groupBy("tok").agg(F.count("*").alias("df"), F.min("q").alias("pivot")).filter("df > 1")
     ranked = flat.join(named, "tok").groupBy("q", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("toks"), F.mode("pivot", True).alias("pivot"))
     need = need_column("n", num, den)
     ranked = written(ranked.filter(F.size("toks") >= need).select("q", "n", "pivot", F.slice("toks.tok", F.lit(1), (F.size("toks") - need + 1).cast("int")).alias("head")), "ranked")
+    discard(lists)
     parts = ranked.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
     grouped = written(ranked.join(parts, "pivot").select("q", "n", "pivot", F.expr("pmod(xxhash64(q), parts)").alias("part"), "head"), "groups")
+    discard(ranked)
     # The token-group matrix, and the groups that each set meets in it.
     heads = grouped.select("q", "n", "pivot", "part", F.explode("head").alias("tok"))
     matrix = heads.groupBy("tok", F.col("pivot").alias("g"), F.col("part").alias("p")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -317,6 +318,7 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     side = lambda df: df.select("q", *by).join(full, "q").toDF("q", *by, "set").groupBy(*by)
     edges = side(members).cogroup(side(asking)).applyInArrow(_opened(num, den), "a long, b long")
     labels = components(edges)
+    discard(grouped, bound, full)
     ids = rows.join(classes, ["sig", "sig2", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return ids.select("k", F.col("n").alias("n_shingles"), F.coalesce("rep", "k").alias("class_id"), F.coalesce("component", "rep", "k").alias("component_id"))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it: lost executors cost no recomputing."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out, lambda _, key=id(out): _PATHS.pop(key, None)), path)
+    return out
+
+
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of tables from written() that nothing will read again."""
+    for df in frames:
+        _, path = _PATHS.pop(id(df))
+        system, folder = fs.FileSystem.from_uri(path)
+        system.delete_dir(folder)
 
 
 def key_of(name: str) -> Column:

@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.store import id_of, key_of, keyed_text, written
-from strandgraph.llm.text import U64, WHITE, Words, arrow_limits, covered, gram_starts, grams, keys, mix, spans_of, text_chunks
+from strandgraph.llm.store import discard, id_of, key_of, keyed_text, written
+from strandgraph.llm.text import U64, WHITE, Words, arrow_limits, covered, gram_starts, grams, keys, mix, text_chunks
 
 #: Words in the runs that minimisers are chosen from.
 MINIMISER_WORDS = 4
@@ -123,7 +123,7 @@ def _send(window: int, buckets: int, frequent: np.ndarray):
         bucket = (mix(g) % U64(buckets)).astype(np.int64)
         sent, repeat = sent[np.argsort(bucket[sent], kind="stable")], repeat[np.argsort(bucket[repeat], kind="stable")]
         cuts, spans = np.searchsorted(bucket[sent], np.arange(buckets + 1)), np.searchsorted(bucket[repeat], np.arange(buckets + 1))
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=4)
         out_bucket, out_blob = [], []
         for b in range(buckets):
             mine, gone = sent[cuts[b] : cuts[b + 1]], repeat[spans[b] : spans[b + 1]]
@@ -217,6 +217,7 @@ def repeat_spans(docs: DataFrame, window: int = 20, id_column: str = "doc_id", t
     total = counts.filter("g is null").select("c").first()
     # Fewer than 1 / FREQUENT_SHARE can have that share.
     often = [r.g for r in counts.filter((F.col("g").isNotNull()) & (F.col("c") > FREQUENT_SHARE * total.c)).select("g").collect()] if total else []
+    discard(counts)
     frequent = np.sort(np.array(often, dtype=np.int64).astype(U64))
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = text.mapInArrow(_send(window, buckets, frequent), "bucket int, blob binary")

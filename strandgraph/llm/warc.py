@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.files import Appender, Reader
-from strandgraph.llm.store import key_of, shared_folder, written
+from strandgraph.llm.store import discard, key_of, shared_folder, written
 from strandgraph.llm.text import NULL_KEY, arrow_limits
 
 #: Equal payloads below this size are stored each time.
@@ -110,6 +110,7 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url_column: str
     copies = pages.join(roles, ["k", "digest"], "left")
     folder = shared_folder(spark, "warc")
     index = written(copies.mapInArrow(_writer(folder), INDEX), "warc-index")
+    discard(sums)
     return folder, index
 
 
