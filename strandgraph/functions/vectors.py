@@ -81,3 +81,17 @@ def mean_vector(v: Column, weight: Column | None = None) -> Column:
 def sum_vector(v: Column) -> Column:
     """Aggregate: the sum."""
     return vector_to_array(Summarizer.sum(array_to_vector(v.cast("array<double>"))))
+
+
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """The mean of an array of vectors with weights 0 and 1; the divisor is 1e-9 at least."""
+    weighted = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+    zero = F.transform(F.element_at(vectors, 1), lambda _: F.lit(0.0))
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, m: a + m), F.lit(1e-9))
+    return F.transform(F.aggregate(weighted, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y)), lambda x: x / n)
+
+
+def residue_mean(vectors: Column, length: Column) -> Column:
+    """The mean of vectors 1 to length, without the first (0) and what follows; null for no residue."""
+    inner = F.slice(vectors, F.lit(2), length)
+    return F.when(length > 0, masked_mean(inner, F.transform(inner, lambda _: F.lit(1.0))))

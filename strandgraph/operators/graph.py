@@ -104,3 +104,21 @@ def attach_counts(queries: DataFrame, proteins: DataFrame, proposed: DataFrame,
         out = out.join(n(df, name), "query_id", "left")
     filled = out.fillna(0)
     return filled.withColumn("encodes_edges", F.col("protein_nodes")).withColumn("encoded_by_edges", F.col("protein_nodes"))
+
+
+def attach_queries(nodes: DataFrame, edges: DataFrame, queries: DataFrame, proteins: DataFrame, similarities: DataFrame, kinds: tuple[str, str] = ("phage", "protein"), rels: tuple[str, str, str] = ("interacts", "encodes", "encoded_by")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph with all queries attached at once, and the counts of each query.
+
+    queries: query_id, x; proteins: query_id, protein_id, x; similarities: query_id, src_id, dst_id (ids of the first kind).
+    A query or protein whose id is taken is an error. Similarity edges with an unknown end are proposed, not attached.
+    """
+    kind, part = kinds
+    new = queries.select(F.lit(kind).alias("ntype"), F.col("query_id").alias("id"), "x").unionByName(proteins.select(F.lit(part).alias("ntype"), F.col("protein_id").alias("id"), "x"))
+    taken = conflicts(nodes, new).select("id").limit(5).collect()
+    if taken:
+        raise ValueError(f"ids are taken: {[r.id for r in taken]}")
+    grown = cut(attach_nodes(nodes, new), "nodes")
+    label = lambda df, r, a, b: df.withColumns({"src_type": F.lit(a), "rel": F.lit(r), "dst_type": F.lit(b)})
+    encodes = resolved(label(proteins.select(F.col("query_id").alias("src_id"), F.col("protein_id").alias("dst_id")), rels[1], kind, part), grown)
+    near = resolved(label(similarities.select("query_id", "src_id", "dst_id"), rels[0], kind, kind), grown)
+    return grown, attach_edges(edges, both_directions(encodes, rels[2]), near), attach_counts(queries, proteins, similarities, near)

@@ -50,6 +50,18 @@ def decoded_pairs(pairs: DataFrame, src: DataFrame, dst: DataFrame, logit_scale:
     return both.select("src", "dst", (cosine(F.col("xs"), F.col("xd")) * F.exp(F.lit(float(logit_scale)))).alias("logit"))
 
 
+def decoded_by_network(pairs: DataFrame, src: DataFrame, dst: DataFrame, hidden: np.ndarray, bias: np.ndarray, out: np.ndarray, out_bias: float = 0.0) -> DataFrame:
+    """pairs(src, dst) with logit: two linear maps with ReLU between, over both ends' vectors one after the other."""
+    w, b, o = (np.asarray(v, dtype=float) for v in (hidden, bias, out))
+
+    @F.pandas_udf("double")
+    def apply(x: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.stack(x.to_numpy()) @ w.T + b, 0.0) @ o + out_bias) if len(x) else pd.Series([], dtype=float)
+
+    both = pairs.join(src.select(F.col("idx").alias("src"), F.col("x").alias("xs")), "src").join(dst.select(F.col("idx").alias("dst"), F.col("x").alias("xd")), "dst")
+    return both.select("src", "dst", F.concat("xs", "xd").alias("x")).select("src", "dst", apply("x").alias("logit"))
+
+
 def scored_pairs(pairs: DataFrame, logit_scale: float = 1.0) -> DataFrame:
     """pairs with columns a and b: their score."""
     return pairs.withColumn("score", sigmoid(dot(F.col("a"), F.col("b")) * F.exp(F.lit(float(logit_scale)))))

@@ -16,7 +16,7 @@ from strandgraph.operators import sketch as sk
 from strandgraph.plans import standins as st
 from strandgraph.plans.lineage import cut, shared_folder
 from strandgraph.plans.standins import table
-from strandgraph.sources import fasta, sinks
+from strandgraph.sources import fasta, sinks, tables
 from strandgraph.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -343,6 +343,40 @@ def attach_counts(spark, d):
     return graph.attach_counts(table(spark, d, "customer").select(F.col("c_custkey").alias("query_id")), orders, lines, lines.filter("l_suppkey % 2 = 0"))
 
 
+@query(
+    f"""{_NODES}, {_BUYS} SELECT 'customer' AS src_type, 'buys' AS rel, 'part' AS dst_type, x.idx AS src, y.idx AS dst, x.id AS src_id, y.id AS dst_id FROM b JOIN o x ON x.ntype = 'customer' AND x.id = s JOIN o y ON y.ntype = 'part' AND y.id = t"""
+)
+def graph_store(spark, d):
+    """The graph written by type and relation, read again, and its edges named by their ends."""
+    nodes = cut(_nodes(spark, d), "nodes")
+    path = shared_folder(spark, "graph")
+    tables.write_graph(nodes, graph.resolved(_id_edges(spark, d), nodes).select(*graph.RELATION, "src", "dst"), path)
+    again, edges = tables.read_graph(spark, path)
+    names = again.select("ntype", "idx", "id")
+    return edges.join(names.toDF("src_type", "src", "src_id"), ["src_type", "src"]).join(names.toDF("dst_type", "dst", "dst_id"), ["dst_type", "dst"]).select(*graph.RELATION, "src", "dst", "src_id", "dst_id")
+
+
+@query(
+    """WITH q AS (SELECT c_custkey, row_number() OVER (ORDER BY lpad(c_custkey::VARCHAR, 12, '0')) + (SELECT count(*) FROM supplier) - 1 AS idx FROM customer WHERE c_custkey % 10 = 0),
+    p AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY lpad(o_orderkey::VARCHAR, 12, '0')) - 1 AS idx FROM orders WHERE o_custkey % 10 = 0),
+    s AS (SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY lpad(s_suppkey::VARCHAR, 12, '0')) - 1 AS idx FROM supplier)
+    SELECT 'interacts' AS rel, s.idx AS src, q.idx AS dst FROM q JOIN customer c ON c.c_custkey = q.c_custkey JOIN s ON s_nationkey = c_nationkey
+    UNION ALL SELECT 'encodes', q.idx, p.idx FROM p JOIN q ON c_custkey = o_custkey UNION ALL SELECT 'encoded_by', p.idx, q.idx FROM p JOIN q ON c_custkey = o_custkey"""
+)
+def attach_batch(spark, d):
+    """All of a batch's queries attached in one plan: customers as queries, orders as their proteins, suppliers as the graph."""
+    pad = lambda c, p="": F.concat(F.lit(p), F.lpad(F.col(c).cast("string"), 12, "0"))
+    empty = F.array().cast("array<double>")
+    old = cut(graph.dense_index(table(spark, d, "supplier").select(F.lit("phage").alias("ntype"), pad("s_suppkey", "s").alias("id"), empty.alias("x")), "ntype", "id").select("ntype", "idx", "id", "x"), "nodes")
+    customers = table(spark, d, "customer").filter("c_custkey % 10 = 0")
+    queries = customers.select(pad("c_custkey", "t").alias("query_id"), empty.alias("x"))
+    proteins = table(spark, d, "orders").filter("o_custkey % 10 = 0").select(pad("o_custkey", "t").alias("query_id"), pad("o_orderkey").alias("protein_id"), empty.alias("x"))
+    near = customers.join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("c_nationkey")).select(pad("c_custkey", "t").alias("query_id"), pad("s_suppkey", "s").alias("src_id"), pad("c_custkey", "t").alias("dst_id"))
+    none = near.limit(0).select(F.lit("").alias("src_type"), F.lit("").alias("rel"), F.lit("").alias("dst_type"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"))
+    _, edges, _ = graph.attach_queries(old, none, queries, proteins, near)
+    return edges.select("rel", "src", "dst")
+
+
 @query("SELECT 'customer' AS ntype, count(*) AS n, 8 AS width FROM customer UNION ALL SELECT 'part', count(*), 8 FROM part")
 def feature_widths(spark, d):
     of = lambda name, key: st.features(spark, d, table(spark, d, name).select(F.col(key).alias("idx"))).withColumn("ntype", F.lit(name))
