@@ -33,7 +33,7 @@ RULES = (
     Rule("short_words", "10 * word_chars < 25 * n_words"),
     Rule("long_words", "word_chars > 14 * n_words"),
     Rule("symbols", "100 * n_symbols > 10 * n_words"),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule("capitals", "100 * n_upper > 50 * word_chars"),
     Rule("few_letters", "100 * n_letters < 60 * word_chars"),
     Rule("exclamations", "100 * n_exclaims > 30 * n_words"),
