@@ -5,15 +5,15 @@ a query's overlap with a group is bounded by counting those rows, and only group
 are opened and compared set by set.
 
 Let t be the threshold. Shingles are ordered by hash. A set's *wide prefix* has its first
-n - ceil(t n) + l shingles, l = max(1, floor(0.15 n)). Two linked sets share at least the smaller l of
+n - ceil(t n) + l shingles, l = max(1, floor(n / 4)). Two linked sets share at least the smaller l of
 shingles inside both wide prefixes, so counts over wide prefixes bound exactly and nothing is lost:
 
 1. one scan makes each set's signature and wide prefix; per bucket of tokens, tokens of a single set go;
 2. sets with fewer shared tokens than any partner needs have no link and go;
 3. each remaining set joins the group of the set that most of its tokens name first; a large group is
    split by hash, so that none exceeds GROUP_SETS sets and GROUP_SHINGLES shingles;
-4. (token, set) rows meet (token, group) rows, each set and group with its rarest tokens only: if two sets
-   share l of their tokens, they share one of all but the l - 1 commonest; so frequent passages make no pairs;
+4. (token, set) rows meet (token, family of groups) rows, each with its rarest tokens only: if two sets share l of
+   their tokens, they share one of all but the l - 1 commonest; so frequent passages make no pairs;
 5. each group comes once with its sets, its token union, and the sets that met it: whose overlap with the union
    cannot reach the threshold is turned away, for the others the group is opened and compared exactly;
 6. links become components; equal sets are one node from the start.
@@ -42,7 +42,7 @@ GROUP_QUERIES = 2048
 #: Text bytes that a task gathers before it sends blobs out.
 FLUSH_BYTES = 16 << 20
 #: Shared shingles, in percent of a set, that wide prefixes are made for: more of them make bounds sharper and prefixes longer.
-SHARED_PERCENT = 15
+SHARED_PERCENT = 25
 #: Tokens travel as so many bits; a collision only loosens a bound.
 TOKEN_BITS = 40
 
@@ -303,12 +303,16 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     parts = ranked.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
     grouped = written(ranked.join(parts, "pivot").select("q", "n", "pivot", F.expr("pmod(xxhash64(q), parts)").alias("part"), "head"), "groups")
     discard(ranked)
-    # The token-group matrix, and the groups that each set meets in it.
+    # The token-group matrix by family, all groups of one pivot: the families that each set meets in it, then their groups.
+    own = grouped.select("q", "n", "pivot", "part")
     heads = grouped.select("q", "n", "pivot", "part", F.explode("head").alias("tok"))
-    matrix = heads.groupBy("tok", F.col("pivot").alias("g"), F.col("part").alias("p")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num)
-    met_groups = heads.join(matrix, "tok").filter(((F.col("g") != F.col("pivot")) | (F.col("p") != F.col("part"))) & fits)
-    bound = written(met_groups.select("q", F.col("g").alias("pivot"), F.col("p").alias("part")).distinct(), "bound")
+    sizes = (F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = heads.groupBy("tok", F.col("pivot").alias("g")).agg(*sizes)
+    families = heads.join(matrix, "tok").filter((F.col("g") != F.col("pivot")) & fits).select(*own.columns, "g").distinct()
+    groups = grouped.groupBy(F.col("pivot").alias("g"), F.col("part").alias("p")).agg(*sizes)
+    asked = families.unionByName(own.withColumn("g", F.col("pivot"))).join(groups, "g").filter(((F.col("g") != F.col("pivot")) | (F.col("p") != F.col("part"))) & fits)
+    bound = written(asked.select("q", F.col("g").alias("pivot"), F.col("p").alias("part")), "bound")
     # Opening.
     full = written(text.join(grouped.select(F.col("q").alias("k")), "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_full_sets(size), "q long, set binary"), "full")
     salts = bound.groupBy("pivot", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
