@@ -29,7 +29,7 @@ BLOCK_IDS = 1 << 16
 #: Ids in a file at most, but for a longer single document.
 FILE_IDS = 1 << 26
 #: Words in one generation of a worker's cache of encoded words (about 200 bytes each).
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -162,11 +162,11 @@ def encode_words(path: str, texts: list[str]) -> list[np.ndarray]:
     ids are looked up from then on; a worker keeps two generations of CACHED_WORDS words."""
     now, last = _WORDS.setdefault(path, ({}, {}))
     split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
-    missing = {w for words in split for w in words if w not in now}
+    found = [list(map(now.get, words)) for words in split]
+    missing = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
     if len(now) + len(missing) > CACHED_WORDS:
         now, last = {}, now
         _WORDS[path] = now, last
-        missing = {w for words in split for w in words}
     new = []
     for w in missing:
         if (ids := last.get(w)) is not None:
@@ -174,7 +174,7 @@ def encode_words(path: str, texts: list[str]) -> list[np.ndarray]:
         else:
             new.append(w)
     now.update(_encode_new(path, new))
-    return [np.frombuffer(b"".join([now[w] for w in words]), np.uint32) for words in split]
+    return [np.frombuffer(b"".join([now[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids), np.uint32) for words, ids in zip(split, found)]
 
 
 def _write(folder: str, path: str, end_id: int, bits: bool):
