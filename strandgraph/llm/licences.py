@@ -1,6 +1,6 @@
 """Licence scan by canonical digest: whole texts, normalised, are hash-joined to known licences' digests.
 
-Texts are equal to a licence if they differ in case, punctuation, white space, copyright lines or equivalent
+Texts are equal to a licence if they differ in case, punctuation, white space, copyright lines, a title or equivalent
 spellings only. The digest is a chain of SQL functions; texts never leave the JVM.
 """
 
@@ -55,16 +55,23 @@ KNOWN = (
 
 #: A line that names a copyright, perhaps after comment marks.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/;%-]*(copyright[ \t]|copyright$|\(c\)[ \t]|©|all rights reserved)[^\n]*"
+#: Words that go on with a sentence: a wrapped line of a licence's body may start with "copyright notice" or "(c) you must".
+BODY_WORDS = "act|also|and|as|claims?|contributors?|disclaimers?|each|for|from|grants?|has|holders?|if|in|infringement|interests?|is|it|law|laws|licen[cs]es?|licensors?|management|materials?|may|means|must|notices?|of|on|or|owners?|ownership|permissions?|protected|protection|rights?|shall|statements?|status|terms?|that|this|to|treat(?:y|ies)|under|which|will|with|works?|you|your"
+#: A line that is a copyright notice: what COPYRIGHT_LINE takes, but for lines of the body. Java's syntax; the SQL has the wider one.
+NOTICE_LINE = rf"(^|\n)[ \t#*/;%-]*(?:(?:copyright[ \t]+|\(c\)[ \t]+(?!the\b))(?!(?:{BODY_WORDS})\b)[^\n]*|©[^\n]*|all rights reserved[^\n]*)"
+#: Titles on lines of their own before anything else of a text.
+TITLE_LINES = r"^(?:[ \t\r\n#*/;%=-]*(?:the[ \t]+)?(?:mit|expat|isc|x11)[ \t]+licen[cs]e(?:[ \t]*\((?:mit|expat|isc|x11)\))?[ \t:.#*/;%=-]*\r?(?:\n|$))+"
 #: What stands between the words of a canonical text.
 BETWEEN = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, copyright lines out, words of letters and digits joined by one space, one spelling each."""
+    """Lower case, copyright lines and titles out, words of letters and digits joined by one space, one spelling each."""
     s = F.lower(F.coalesce(text.cast("string"), F.lit("")))
     # Twice, as neighbouring lines share their line break.
     for _ in range(2):
-        s = F.regexp_replace(s, COPYRIGHT_LINE, "\n")
+        s = F.regexp_replace(s, NOTICE_LINE, "\n")
+    s = F.regexp_replace(s, TITLE_LINES, "")
     hyphened = [(a, b) for a, b in SPELLINGS if "-" in a]
     for a, b in hyphened:
         s = F.replace(s, F.lit(a), F.lit(b))

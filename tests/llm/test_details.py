@@ -212,6 +212,21 @@ def test_licences(spark):
     assert licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_licences(spark), small=0).filter("license is not null").count() == 4
 
 
+def test_licence_files(spark):
+    """Titles, and lines of the body that start like a copyright line."""
+    isc, mit = licences.KNOWN[4][1], licences.KNOWN[5][1]
+    wrap = lambda t, *at: [t := t.replace(f" {x}", f"\n{x}", 1) for x in at][-1]
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{mit}"),
+        (2, f"The MIT License (MIT)\n{wrap(mit, 'copyright notice', 'COPYRIGHT HOLDERS')}"),
+        (3, f"# ISC License:\r\n# Copyright Somebody Inc.\r\n{wrap(isc, 'copyright notice')}"),
+        (4, f"MIT License\n{mit.replace('copyright notice and this', '')}"),
+        (5, mit.replace("The above copyright notice", "The above\ncopyright holder")),
+    ]
+    got = {r.doc_id: r.license for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_licences(spark)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "ISC", 4: None, 5: None}
+
+
 def test_ablations(spark):
     rows = [(1, "fine words " + " ".join(f"plainword{i}" for i in range(80))), (2, "too short"), (3, " ".join(f"ab{i}*" for i in range(90))), (4, "LOUD " + " ".join(f"WORD{i}!" for i in range(99))), (5, None)]
     book = quality.ledger(spark.createDataFrame(rows, "doc_id long, text string"))
