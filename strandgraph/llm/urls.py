@@ -36,10 +36,10 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: Labelled URLs that the trees are trained on at most; those of smallest hash, so any run takes the same.
+#: Labelled URLs that the trees are trained on at most; distinct ones of smallest hash, so any run takes the same.
 TRAINING_ROWS = 20_000
-#: Host suffixes (last two labels) with statistics at most; the commonest of the training rows.
-SUFFIXES = 10_000
+#: Statistics of host suffixes (last two labels) are broadcast up to so many of them and shuffled beyond.
+BROADCAST_SUFFIXES = 100_000
 TREES, DEPTH = 20, 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,6 +73,10 @@ def _entropy(s: Column) -> Column:
     return F.when(n > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a + F.when(p > 0, -p * F.log2(p)).otherwise(0.0))).otherwise(0.0)
 
 
+def _suffix() -> Column:
+    return F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)
+
+
 def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
     """located(pages) with suffix, the host's last two labels, and the features that need no statistics."""
     out = located(pages, url)
@@ -80,7 +84,7 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
     gone = lambda c, p: F.length(c) - F.length(F.regexp_replace(c, p, ""))
     query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
     columns = {
-        "suffix": F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0),
+        "suffix": _suffix(),
         "url_length": F.length(text),
         "host_length": F.length("host"),
         "path_length": F.length("path"),
@@ -98,26 +102,35 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumns({k: v if k == "suffix" else v.cast("double") for k, v in columns.items()})
 
 
+def statistics(pages: DataFrame, rules: tuple[Rule, ...], url: str) -> tuple[DataFrame, float]:
+    """suffix, suffix_count (all pages) and suffix_rate (the share of blocked ones of the labelled pages, drawn to that of
+    all labelled pages), and the latter."""
+    seen = located(pages.select(url), url).select(_suffix().alias("suffix"), rule_column(rules, lambda r: r.verdict).alias("verdict"))
+    counts = seen.groupBy("suffix").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
+    counts = written(counts, "suffixes")
+    labelled, blocked = counts.agg(F.sum("labelled"), F.sum("blocked")).first()
+    prior = blocked / labelled if labelled else 0.0
+    return counts.select("suffix", F.col("n").cast("double").alias("suffix_count"), ((F.col("blocked") + 5 * F.lit(prior)) / (F.col("labelled") + 5)).alias("suffix_rate")), prior
+
+
 def train(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", rows: int = TRAINING_ROWS) -> tuple[GBTClassificationModel | None, DataFrame, float]:
-    """Trees on the URLs that a rule labels, the statistics (suffix, suffix_rate, suffix_count) of the training rows,
-    and the share of blocked ones. Without labels of both kinds there are no trees: None."""
-    labelled = located(pages.select(url), url).withColumn("verdict", rule_column(rules, lambda r: r.verdict)).filter("verdict is not null").select(url, "verdict")
-    sample = labelled.withColumn("h", F.xxhash64(url)).orderBy("h", url, "verdict").limit(rows)
-    sample = written(lexical(sample, url).withColumn("label", (F.col("verdict") == "block").cast("double")), "urls")
-    total, blocked = sample.agg(F.count("*"), F.sum("label")).first()
-    prior = blocked / total if total else 0.0
-    suffixes = sample.groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_count"), ((F.sum("label") + 5 * F.lit(prior)) / (F.count("*") + 5)).alias("suffix_rate")).orderBy(F.desc("suffix_count"), "suffix").limit(SUFFIXES)
-    suffixes = written(suffixes, "suffixes")
+    """Trees on distinct URLs that a rule labels, the statistics (suffix, suffix_rate, suffix_count) of all pages, and the
+    share of blocked ones of those that a rule labels. Without labels of both kinds there are no trees: None."""
+    suffixes, prior = statistics(pages, rules, url)
     if not 0 < prior < 1:
         return None, suffixes, prior
+    labelled = located(pages.select(url), url).withColumn("verdict", rule_column(rules, lambda r: r.verdict)).filter("verdict is not null").select(url, "verdict").distinct()
+    sample = labelled.withColumn("h", F.xxhash64(url)).orderBy("h", url, "verdict").limit(rows)
+    sample = written(lexical(sample, url).withColumn("label", (F.col("verdict") == "block").cast("double")), "urls")
     learner = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, maxMemoryInMB=64)
     table = _vectors(sample, suffixes, prior).select("features", "label").coalesce(1)
     return learner.fit(table), suffixes, prior
 
 
 def _vectors(pages: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    # At most SUFFIXES rows: broadcast whatever the input's size.
-    joined = pages.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_rate": prior, "suffix_count": 0.0})
+    if suffixes.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES:
+        suffixes = F.broadcast(suffixes)
+    joined = pages.join(suffixes, "suffix", "left").fillna({"suffix_rate": prior, "suffix_count": 0.0})
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
 
 

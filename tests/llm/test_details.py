@@ -204,6 +204,20 @@ def test_url_trees(spark):
     assert right / n > 0.85
 
 
+def test_url_statistics(spark, monkeypatch):
+    """Counts over all pages, rates over all labelled ones, and a training sample that one hot URL can't fill."""
+    hot = "http://hot.example.com/en/1"
+    urls_ = [hot] * 60 + [f"http://a{i}.s{i}.net/{lang}/{i}" for i in range(30) for lang in ("de", "fr", "fr")] + [f"http://x{i}.org/es/{i}" for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", 7)
+    model, suffixes, prior = urls.train(df, rows=20)
+    got = {r.suffix: (r.suffix_count, r.suffix_rate) for r in suffixes.collect()}
+    assert model is not None and prior == 0.7 and len(got) == 41
+    assert got["example.com"] == (60, pytest.approx(63.5 / 65)) and got["s3.net"] == (3, pytest.approx(3.5 / 6)) and got["x2.org"] == (1, pytest.approx(4.5 / 6))
+    judged = urls.judged(df).collect()
+    assert len(judged) == len(urls_) and {r.verdict for r in judged if r.path.startswith("/de/")} == {"allow"}
+
+
 def test_licences(spark):
     mit = licences.KNOWN[1][1]
     rows = [(1, f"  # Copyright (c) 2020 Somebody\n{mit.upper()}"), (2, "released under the mit LICENCE"), (3, f"{mit} And more."), (4, "© Me\n© You\nReleased under the MIT License!"), (None, mit)]
