@@ -14,7 +14,7 @@ from strandgraph.llm.bpe import decoded, encoded
 from strandgraph.llm.jaccard import similar_components
 from strandgraph.llm.leaks import without_leaks
 from strandgraph.llm.quality import keep_good
-from strandgraph.llm.store import discard, id_of, key_of, written
+from strandgraph.llm.store import discard, id_of, identified, written
 from strandgraph.llm.substrings import strip_repeats
 
 
@@ -24,11 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near copies; documents without words have no copies."""
+    """The document of smallest identity (id, then text; see store.identified) of each component of near copies; documents
+    without words have no copies. Rows that repeat it in all, id and text, are one."""
+    names = ("kept_key_of_row", "kept_half_of_row", "kept_other_half_of_row")
     found = similar_components(docs, size=5, num=80, den=100)
-    kept = found.filter("k = component_id").select(F.col("k").alias("kept_key_of_row")).distinct()
-    rows = docs.join(kept, key_of("doc_id") == F.col("kept_key_of_row"))
-    return rows.dropDuplicates(["kept_key_of_row", "text"]).select(*docs.columns)
+    kept = found.filter("first").select("k", "v1", "v2").toDF(*names).distinct()
+    rows, _ = identified(docs, names=names)
+    return rows.join(kept, list(names)).dropDuplicates([*names, "text"]).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

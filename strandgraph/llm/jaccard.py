@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.components import components
-from strandgraph.llm.store import discard, id_of, keyed_text, written
+from strandgraph.llm.store import IDENTITY, discard, id_of, identified_text, written
 from strandgraph.llm.text import U64, WHITE, Words, arrow_limits, gram_starts, grams, keys, mix, text_chunks
 
 #: Sets in a group at most; a larger family of similar sets is several groups.
@@ -269,19 +269,35 @@ def _opened(num: int, den: int):
 def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every document with the component of the relation den * |A & B| >= num * |A | B| between shingle sets.
 
-    Returns k (the id as a key, see store.key_of), n_shingles, class_id (smallest id with the very same set)
-    and component_id, one row for each row of docs. Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; a text
+    Returns k (the id as a key, see store.key_of), n_shingles, class_id (smallest id with the very same set),
+    component_id, v1 and v2 (with k the row's identity, see store.identified) and first (whether no row of the component
+    has a smaller identity), one row for each row of docs. Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; a text
     of fewer than `size` words is a single shingle. Texts that are null or have no word get the empty set,
     which is linked with nothing: class and component are the document itself. A null id counts as the
-    smallest id. Rows that repeat an id and its text are listed as often as they come. An empty table gives
-    no rows. Other columns of docs aren't read.
+    smallest id. Rows that repeat an id and its text are listed as often as they come; rows of one id (or of none)
+    with different texts are documents each, linked by their own texts, and have a 64-bit hash of their identity in
+    the place of the id while links are made. An empty table gives no rows. Other columns of docs aren't read.
     """
     if not SHARED_PERCENT * den <= 100 * num <= 100 * den:
         raise ValueError(f"the threshold must be from {SHARED_PERCENT / 100} to 1")
-    spark = docs.sparkSession
+    text, several = identified_text(docs, id_column, text_column)
+    if not several:
+        found = _components(text.select("k", "text"), size, num, den)
+        return found.select("*", F.lit(0).cast("long").alias("v1"), F.lit(0).cast("long").alias("v2"), (F.col("k") == F.col("component_id")).alias("first"))
+    node = F.when((F.col("v1") == 0) & (F.col("v2") == 0), F.col("k")).otherwise(F.xxhash64(*IDENTITY))
+    found = written(_components(text.select(node.alias("k"), "text"), size, num, den).withColumnRenamed("k", "node"), "nodes")
+    rows = found.join(text.select(node.alias("node"), *IDENTITY).distinct(), "node")
+    of = F.struct(*IDENTITY)
+    classes, labels = (rows.groupBy(c).agg(F.min(of).alias(f"least_{c}")) for c in ("class_id", "component_id"))
+    named = rows.join(classes, "class_id").join(labels, "component_id")
+    return named.select("k", "n_shingles", F.col("least_class_id.k").alias("class_id"), F.col("least_component_id.k").alias("component_id"), "v1", "v2", (of == F.col("least_component_id")).alias("first"))
+
+
+def _components(text: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """similar_components of k and text, where no two texts have one k: k, n_shingles, class_id, component_id."""
+    spark = text.sparkSession
     arrow_limits(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = keyed_text(docs, id_column, text_column)
     met = written(
         text.mapInArrow(_signatures(size, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet, "tok long, sig long, n long, k long, sig2 long"),
         "met",

@@ -149,8 +149,9 @@ def _scan(block, window: int):
                         pa.array(words.counts.astype(np.int64)),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                         pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                        part.column(part.schema.get_field_index("digest")),
                     ],
-                    names=["k", "n_words", "spans", "items"],
+                    names=["k", "n_words", "spans", "items", "digest"],
                 )
 
     return run
@@ -171,7 +172,7 @@ def _clean_rows(block, window: int):
     return run
 
 
-_ROW = "k long, n_words long, spans array<struct<start: long, stop: long>>, items array<string>"
+_ROW = "k long, n_words long, spans array<struct<start: long, stop: long>>, items array<string>, digest string"
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int) -> Iterator[list[tuple]]:
@@ -191,17 +192,17 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
     and items (sorted as strings), one row for each row of docs. Words are
     `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null texts have no words; items without an
     id or a text are no items; equal items count each. A null document id counts as the smallest. Rows that
-    repeat an id each have their row. Empty tables give no rows, or no hits. Other columns aren't read.
+    repeat an id each have their row, with the hits of its own text. Empty tables give no rows, or no hits. Other columns aren't read.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    text = keyed_text(docs, id_column, text_column)
+    text = keyed_text(docs, id_column, text_column).withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
     found = [text.mapInArrow(_scan(spark.sparkContext.broadcast(Suffixes(block, window)), window), _ROW) for block in _blocks(benchmark, item_column, item_text, block_bytes)]
     if len(found) == 1:
-        return found[0]
-    # Rows of one id come once a block: they are merged, and repeated rows of an id fold into one first.
+        return found[0].drop("digest")
+    # Rows of one id and text come once a block: they are merged, and repeated rows of both fold into one first.
     rows = written(_union(found), "leaks")
-    merged = rows.groupBy("k", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(found)).cast("int").alias("copies"))
+    merged = rows.groupBy("k", "n_words", "digest").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(found)).cast("int").alias("copies"))
     join = """aggregate(spans, cast(array() as array<struct<start: bigint, stop: bigint>>), (acc, x) ->
         case when size(acc) > 0 and x.start <= element_at(acc, -1).stop
         then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).stop, x.stop) as stop)))

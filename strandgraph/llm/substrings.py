@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.store import discard, id_of, key_of, keyed_text, written
+from strandgraph.llm.store import IDENTITY, discard, id_of, identified, identified_text, written
 from strandgraph.llm.text import U64, WHITE, Words, arrow_limits, covered, gram_starts, grams, keys, mix, text_chunks
 
 #: Words in the runs that minimisers are chosen from.
@@ -106,19 +106,27 @@ def _count_minimisers(window: int):
 
 _SPAN = np.dtype([("k", "i8"), ("start", "i8"), ("stop", "i8")])
 _KMER = np.dtype([("k", "i8"), ("start", "i8"), ("bytes", "i4")])
+#: The rest of a row's identity, apart from the others as it is zero for most rows.
+_REST = np.dtype([("v1", "i8"), ("v2", "i8")])
+
+
+def _rest(v1: np.ndarray, v2: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(v1), _REST)
+    out["v1"], out["v2"] = v1, v2
+    return out
 
 
 def _send(window: int, buckets: int, frequent: np.ndarray):
     """Texts to packed super-k-mers: one blob for each bucket and flush."""
 
     def flush(parts: list[tuple], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        g, one, two, k, start, wins, size = (np.concatenate(x) for x in zip(*parts))
+        g, one, two, k, v1, v2, start, wins, size = (np.concatenate(x) for x in zip(*parts))
         data = np.concatenate(texts)
         at = np.cumsum(size) - size
-        order = np.lexsort((start, k, two, one))
+        order = np.lexsort((start, v2, v1, k, two, one))
         new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
         first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        late = ~new & ((k[order] != k[first]) | (start[order] != start[first]))
+        late = ~new & ((k[order] != k[first]) | (v1[order] != v1[first]) | (v2[order] != v2[first]) | (start[order] != start[first]))
         sent, repeat = order[new], order[late]
         bucket = (mix(g) % U64(buckets)).astype(np.int64)
         sent, repeat = sent[np.argsort(bucket[sent], kind="stable")], repeat[np.argsort(bucket[repeat], kind="stable")]
@@ -134,7 +142,7 @@ def _send(window: int, buckets: int, frequent: np.ndarray):
             known["k"], known["start"], known["stop"] = k[gone], start[gone], start[gone] + wins[gone] - 1 + window
             text = _slices(data, at[mine], at[mine] + size[mine])
             out_bucket.append(b)
-            out_blob.append(squeeze.compress(b"".join(x.tobytes() for x in (np.array([len(kmers), len(known)]), kmers, known, text))))
+            out_blob.append(squeeze.compress(b"".join(x.tobytes() for x in (np.array([len(kmers), len(known)]), kmers, known, _rest(v1[mine], v2[mine]), _rest(v1[gone], v2[gone]), text))))
             if len(out_blob) >= 1024:
                 yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
                 out_bucket, out_blob = [], []
@@ -153,7 +161,7 @@ def _send(window: int, buckets: int, frequent: np.ndarray):
                 last = first + wins - 1 + window
                 text = np.searchsorted(words.first, first, side="right") - 1
                 a, z = words.starts[first], words.ends[last - 1]
-                parts.append((g, _sequence_hashes(h, first, last, 0), _sequence_hashes(h, first, last, 1), keys(part)[text], first - words.first[text], wins, z - a))
+                parts.append((g, _sequence_hashes(h, first, last, 0), _sequence_hashes(h, first, last, 1), *(keys(part, c)[text] for c in IDENTITY), first - words.first[text], wins, z - a))
                 texts.append(_slices(data, a, z))
                 gathered += len(texts[-1])
                 if gathered > FLUSH_BYTES:
@@ -169,14 +177,19 @@ def _meet(window: int):
     """One bucket: sorts its windows; all but the earliest start of a window are repeats."""
 
     def run(table: pa.Table) -> pa.Table:
-        kmers, known, texts = [], [], []
+        kmers, known, of_kmers, of_known, texts = [], [], [], [], []
         for blob in table.column("blob").to_pylist():
             raw = zstandard.ZstdDecompressor().decompress(blob)
             n, s = np.frombuffer(raw, np.int64, 2)
             kmers.append(np.frombuffer(raw, _KMER, n, 16))
-            known.append(np.frombuffer(raw, _SPAN, s, 16 + n * _KMER.itemsize))
-            texts.append(np.frombuffer(raw, np.uint8, -1, 16 + n * _KMER.itemsize + s * _SPAN.itemsize))
-        kmers, known = np.concatenate(kmers), np.concatenate(known)
+            at = 16 + n * _KMER.itemsize
+            known.append(np.frombuffer(raw, _SPAN, s, at))
+            at += s * _SPAN.itemsize
+            of_kmers.append(np.frombuffer(raw, _REST, n, at))
+            at += n * _REST.itemsize
+            of_known.append(np.frombuffer(raw, _REST, s, at))
+            texts.append(np.frombuffer(raw, np.uint8, -1, at + s * _REST.itemsize))
+        kmers, known, of_kmers, of_known = map(np.concatenate, (kmers, known, of_kmers, of_known))
         words = Words(np.concatenate(texts), np.append(0, np.cumsum(kmers["bytes"], dtype=np.int64)), WHITE)
         h = words.hashes()
         starts, here = gram_starts(words.counts, window)
@@ -184,34 +197,35 @@ def _meet(window: int):
         order = np.argsort(one)
         same = np.concatenate([[False], one[order][1:] == one[order][:-1], [False]]) if len(order) else np.zeros(1, bool)
         order = np.sort(order[same[1:] | same[:-1]])
-        k = start = np.zeros(0, np.int64)
+        k = v1 = v2 = start = np.zeros(0, np.int64)
         if len(order):
             two = grams(words.hashes(which=1), window, 1)[starts[order]]
             which = np.repeat(np.arange(len(kmers)), here)[order]
-            k, start = kmers["k"][which], kmers["start"][which] + starts[order] - words.first[which]
-            by = np.lexsort((start, k, two, one[order]))
-            k, start, two, one = k[by], start[by], two[by], one[order][by]
+            k, v1, v2, start = kmers["k"][which], of_kmers["v1"][which], of_kmers["v2"][which], kmers["start"][which] + starts[order] - words.first[which]
+            by = np.lexsort((start, v2, v1, k, two, one[order]))
+            k, v1, v2, start, two, one = k[by], v1[by], v2[by], start[by], two[by], one[order][by]
             first = np.maximum.accumulate(np.where(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]), np.arange(len(one)), 0))
-            late = (k != k[first]) | (start != start[first])
-            k, start = k[late], start[late]
-            by = np.lexsort((start, k))
-            k, start = k[by], start[by]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (start[1:] > start[:-1] + 1)]) if len(k) else np.zeros(0, bool)
+            late = (k != k[first]) | (v1 != v1[first]) | (v2 != v2[first]) | (start != start[first])
+            k, v1, v2, start = k[late], v1[late], v2[late], start[late]
+            by = np.lexsort((start, v2, v1, k))
+            k, v1, v2, start = k[by], v1[by], v2[by], start[by]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (v1[1:] != v1[:-1]) | (v2[1:] != v2[:-1]) | (start[1:] > start[:-1] + 1)]) if len(k) else np.zeros(0, bool)
         a = np.flatnonzero(new)
         z = np.append(a[1:], len(k)) - 1 if len(a) else a
-        return pa.table([pa.array(np.concatenate([known["k"], k[a]])), pa.array(np.concatenate([known["start"], start[a]])), pa.array(np.concatenate([known["stop"], start[z] + window]))], names=["k", "start", "stop"])
+        columns = ((known["k"], k[a]), (of_known["v1"], v1[a]), (of_known["v2"], v2[a]), (known["start"], start[a]), (known["stop"], start[z] + window))
+        return pa.table([pa.array(np.concatenate(c)) for c in columns], names=[*IDENTITY, "start", "stop"])
 
     return run
 
 
-def repeat_spans(docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The words [start, stop) of each document that repeat an earlier window: k, spans array<struct<start, stop>>.
+def repeat_spans(text: DataFrame, window: int = 20) -> DataFrame:
+    """The words [start, stop) of each document that repeat an earlier window: IDENTITY, spans array<struct<start, stop>>.
+    text: IDENTITY and text, see store.identified.
 
     Spans of a document may overlap. Documents without a repeat have no row. See remove_repeats for the rules.
     """
-    spark = docs.sparkSession
+    spark = text.sparkSession
     arrow_limits(spark)
-    text = keyed_text(docs, id_column, text_column)
     counts = text.mapInArrow(_count_minimisers(window), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
     counts = written(counts, "minimisers")
     total = counts.filter("g is null").select("c").first()
@@ -221,8 +235,8 @@ def repeat_spans(docs: DataFrame, window: int = 20, id_column: str = "doc_id", t
     frequent = np.sort(np.array(often, dtype=np.int64).astype(U64))
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = text.mapInArrow(_send(window, buckets, frequent), "bucket int, blob binary")
-    marks = sent.groupBy("bucket").applyInArrow(_meet(window), "k long, start long, stop long")
-    return marks.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    marks = sent.groupBy("bucket").applyInArrow(_meet(window), "k long, v1 long, v2 long, start long, stop long")
+    return marks.groupBy(*IDENTITY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _stripped(part: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, column: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -281,10 +295,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     Returns k (the id as a key, see store.key_of), n_words, n_removed and kept_text, one row for each row of
     docs. Words are `[^\\x20\\x09-\\x0D]+`, unchanged; a null text has none and keeps the empty text, and so does a
     text of nothing but white space. A null id counts as the smallest. Rows that repeat an id and its text count
-    as one document and lose the same words. An empty table gives no rows. Other columns of docs aren't read.
+    as one document and lose the same words; rows of one id (or of none) with different texts are documents each, in
+    the order of their texts' MD5 (as two signed halves). An empty table gives no rows. Other columns of docs aren't read.
     """
-    spans = repeat_spans(docs, window, id_column, text_column)
-    joined = keyed_text(docs, id_column, text_column).join(spans, "k", "left")
+    text, _ = identified_text(docs, id_column, text_column)
+    joined = text.join(repeat_spans(text, window), list(IDENTITY), "left").select("k", "text", "spans")
     return joined.mapInArrow(_strip, "k long, n_words long, n_removed long, kept_text string")
 
 
@@ -294,8 +309,11 @@ def strip_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     spans = "spans"
     while spans in docs.columns:
         spans += "_"
-    found = repeat_spans(docs, window).toDF("span_key_of_row", spans)
-    joined = docs.join(found, key_of("doc_id") == F.col("span_key_of_row"), "left").drop("span_key_of_row")
+    names = ("span_key_of_row", "span_half_of_row", "span_other_half_of_row")
+    rows, _ = identified(docs, names=names)
+    text = rows.select(*(F.col(a).alias(b) for a, b in zip(names, IDENTITY)), F.col("text").cast("string").alias("text"))
+    found = repeat_spans(text, window).toDF(*names, spans)
+    joined = rows.join(found, list(names), "left").select(*docs.columns, spans)
     return joined.mapInArrow(_strip_rows(spans), docs.schema)
 
 
