@@ -399,8 +399,8 @@ def attention(shift: int) -> att.Attention:
     return att.Attention(st.weights(n, st.WIDTH, shift), st.weights(n, st.WIDTH, shift + 1), st.weights(st.HEADS, st.DIM, shift + 2), st.weights(1, st.DIM, shift + 3)[0])
 
 
-def _side(spark, d, name, key):
-    return st.features(spark, d, table(spark, d, name).select(F.col(key).alias("idx")))
+def _side(spark, d, name, key, width=st.WIDTH):
+    return st.features(spark, d, table(spark, d, name).select(F.col(key).alias("idx")), width)
 
 
 def _out_rows(df):
@@ -467,13 +467,14 @@ def model(width: int = st.WIDTH) -> tuple[dict, list[att.Layer], tuple[np.ndarra
 
 
 def _embedded(spark, d):
+    """The model over whole vectors, as wide as they are."""
     nodes = None
     for name, key in (("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey")):
-        side = _side(spark, d, name, key).select(F.lit(name).alias("ntype"), "idx", "x")
+        side = _side(spark, d, name, key, None).select(F.lit(name).alias("ntype"), "idx", "x")
         nodes = side if nodes is None else nodes.unionByName(side)
     kind = lambda e, s, r, t: e.select(F.lit(s).alias("src_type"), F.lit(r).alias("rel"), F.lit(t).alias("dst_type"), "src", "dst")
     edges = graph.both_directions(kind(st.purchases(spark, d), "customer", "buys", "part"), "bought_by").unionByName(graph.both_directions(kind(st.supplies(spark, d), "supplier", "supplies", "part"), "supplied_by"))
-    inputs, layers, final = model()
+    inputs, layers, final = model(st.feature_width(spark, d))
     return att.embedded(cut(nodes, "nodes"), cut(edges, "edges"), inputs, layers, final)
 
 

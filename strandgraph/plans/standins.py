@@ -32,14 +32,21 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), dna(F.col("text")).alias("seq"))
 
 
-def features(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
-    """idx, x: the first WIDTH numbers of the vector of number idx % (number of vectors)."""
+def features(spark: SparkSession, sf_dir: str, keys: DataFrame, width: int | None = WIDTH) -> DataFrame:
+    """idx, x: the vector of number idx % (number of vectors); its first `width` numbers, or all of them (None)."""
     vectors = table(spark, sf_dir, "embeddings")
     n = vectors.count()
-    x = vectors.select("vec_id", F.slice("embedding", 1, WIDTH).cast("array<double>").alias("x"))
+    whole = F.col("embedding") if width is None else F.slice("embedding", 1, width)
+    x = vectors.select("vec_id", whole.cast("array<double>").alias("x"))
     return keys.withColumn("vec_id", F.pmod("idx", F.lit(n))).join(x, "vec_id").select("idx", "x")
 
 
+def feature_width(spark: SparkSession, sf_dir: str) -> int:
+    """Numbers in a vector of the table; WIDTH without any."""
+    first = table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("n")).first()
+    return first.n if first else WIDTH
+
+
 def weights(rows: int, columns: int, shift: int = 0) -> np.ndarray:
     """A closed form that SQL can make as well."""
     i, j = np.indices((rows, columns))
