@@ -149,8 +149,6 @@ def _encode_new(path: str, words: list[str]) -> Iterator[tuple[str, bytes]]:
 
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Tokenizer.from_file(path)
-        # The strings of special tokens are ordinary text in a text.
-        _TOKENIZERS[path].encode_special_tokens = True
     for a in range(0, len(words), 4096):
         part = words[a : a + 4096]
         for w, e in zip(part, _TOKENIZERS[path].encode_batch_fast(part, add_special_tokens=False)):
@@ -158,7 +156,8 @@ def _encode_new(path: str, words: list[str]) -> Iterator[tuple[str, bytes]]:
 
 
 def encode_words(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Each text's ids. White space ends tokens of this kind of tokenizer, so each different word is encoded once and its
+    """Each text's ids, as the library gives them without adding special tokens; strings of special tokens in a text become
+    those tokens. White space ends tokens of this kind of tokenizer, special ones included, so each different word is encoded once and its
     ids are looked up from then on; a worker keeps two generations of CACHED_WORDS words."""
     now, last = _WORDS.setdefault(path, ({}, {}))
     split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]

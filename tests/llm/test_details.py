@@ -136,6 +136,17 @@ def test_id_files(tmp_path, monkeypatch, bits):
     assert got == [(k, ids.tolist()) for k, ids in docs]
 
 
+def test_special_tokens_in_texts():
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    path = str(public.path("word_bpe_49k.json"))
+    texts = ["a <|startoftext|> b<|endoftext|>c\n<|endoftext|>", "<|startoftext|><|endoftext|>", "<|startoftext |> plain", " <|ENDOFTEXT|>\t<|endoftext|> x", "a.\u00a0<|endoftext|>\u2003b"]
+    got = [x.tolist() for x in idfiles.encode_words(path, texts)]
+    assert got == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert {49406, 49407} <= set(got[0]) and got[1] == [49406, 49407]
+
+
 def test_warc_ranges(spark, small):
     folder, _, _, pages = small
     where, index = warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"))
