@@ -1,8 +1,13 @@
+import pathlib
+import sys
 import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
+# Helpers beside the tests are imported by name.
+sys.path.insert(0, str(pathlib.Path(__file__).parent))
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -1,14 +1,9 @@
 """Every query of the base library against its DuckDB equivalent at the smallest scale."""
 
-import pathlib
-import sys
-
+import compare
 import pytest
 
-sys.path.insert(0, str(pathlib.Path(__file__).parent))
-import compare  # noqa: E402
-
-from strandgraph.plans.queries import ORACLE, QUERIES  # noqa: E402
+from strandgraph.plans.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 

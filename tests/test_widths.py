@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from test_operators import numpy_attended
+from plain_layers import numpy_attended
 
 from strandgraph.plans import queries
 
