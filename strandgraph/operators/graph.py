@@ -17,18 +17,21 @@ def sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("ntype").agg(F.count("*").alias("count"), F.max(F.size("x")).alias("width"), F.min(F.size("x")).alias("narrow"))
 
 
-def dense_index(rows: DataFrame, group: str, *order: str | Column, out: str = "idx", slices: int = 64) -> DataFrame:
-    """rows with `out`, 0, 1, 2, ... within each group in order. No group is gathered in one task: rows are ranked
-    within slices of equal ranges of the order, and slices begin where those before end."""
+def dense_index(rows: DataFrame, group: str, *order: str | Column, out: str = "idx") -> DataFrame:
+    """rows with `out`, 0, 1, 2, ... within each group in order. No group is gathered in one task: rows are sorted within
+    slices of the order, and a group begins in a slice where the slices before end. The sorted slices are written once, so
+    that ranks and the slices' counts come from the very same slices."""
     order_columns = [F.col(o) if isinstance(o, str) else o for o in order]
-    spread = rows.repartitionByRange(slices, F.col(group), *order_columns).withColumn("_slice", F.spark_partition_id())
-    within = Window.partitionBy("_slice", group).orderBy(*order_columns)
-    ranked = spread.withColumn("_rank", F.row_number().over(within))
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(slices, F.col(group), *order_columns).sortWithinPartitions(F.col(group), *order_columns)
+    # Row numbers of a sorted slice: groups are runs of them.
+    placed = cut(spread.withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "slices")
     # At most one row for each slice and group.
-    counts = ranked.groupBy(group, "_slice").agg(F.count("*").alias("_n"))
+    runs = placed.groupBy(group, "_slice").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return ranked.join(starts, [group, "_slice"]).withColumn(out, F.col("_start") + F.col("_rank") - 1).drop("_slice", "_rank", "_start")
+    starts = runs.select(F.col(group).alias("_group"), F.col("_slice").alias("_in"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    joined = placed.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_in")))
+    return joined.withColumn(out, F.col("_at") + F.col("_shift")).drop("_slice", "_at", "_group", "_in", "_shift")
 
 
 def attach_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -49,24 +52,39 @@ def new_and_reused(nodes: DataFrame, proposed: DataFrame) -> tuple[DataFrame, Da
     return proposed.join(taken, ["ntype", "id"], "left_anti"), nodes.join(proposed.select("ntype", "id").distinct(), ["ntype", "id"], "left_semi")
 
 
-def unique_ids(proposed: DataFrame, existing: DataFrame, order: str = "position", most_rounds: int = 50) -> DataFrame:
+def unique_ids(proposed: DataFrame, existing: DataFrame, order: str = "position") -> DataFrame:
     """proposed(id, position) with assigned_id: the id itself if it is free, else the first free of id_1, id_2, ...
 
-    Taken are existing ids and what rows before (by position) got. In each round every row asks for its next candidate;
-    of those who ask for a free one, the first by position holds it, perhaps only until an earlier row asks for it.
+    Taken are existing ids and what rows before (by position) got. Every row first asks for what it would get if other ids'
+    rows didn't matter: the n-th row of an id asks for its n-th free name. Of those who ask for one name the first by position
+    holds it, perhaps only until an earlier row asks for it; the others ask for their next name in another round. Rounds
+    are as many as ids of one kind stand in another's way ("a" and "a_1" as bases), and end, as names only move on.
     """
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("position")) - 1
     name = F.when(F.col("try") == 0, F.col("id")).otherwise(F.concat_ws("_", "id", F.col("try").cast("string")))
     taken = existing.select(F.col("id").alias("assigned_id"), F.lit(True).alias("taken")).distinct()
     first = F.row_number().over(Window.partitionBy("assigned_id").orderBy("position")) == 1
-    state = proposed.select("id", F.col(order).alias("position")).withColumn("try", nth)
-    for _ in range(most_rounds):
+    rows = proposed.select("id", F.col(order).alias("position"))
+    state = _first_tries(rows, existing)
+    while True:
         asked = state.withColumn("assigned_id", name).join(taken, "assigned_id", "left")
         judged = cut(asked.select("id", "position", "try", "assigned_id", (F.col("taken").isNull() & first).alias("holds")))
         if judged.filter("not holds").isEmpty():
             return judged.select("id", "position", "assigned_id")
         state = judged.select("id", "position", (F.col("try") + F.when(F.col("holds"), 0).otherwise(1)).alias("try"))
-    raise RuntimeError(f"ids aren't settled after {most_rounds} rounds")
+
+
+def _first_tries(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """rows with try: the number of the n-th free name, for the n-th row of an id."""
+    suffix = F.regexp_extract("id", "_([1-9][0-9]{0,17})$", 1)
+    own = existing.select("id", F.lit(0).cast("long").alias("number"))
+    numbered = existing.filter(suffix != "").select(F.regexp_replace("id", "_[1-9][0-9]*$", "").alias("id"), suffix.cast("long").alias("number"))
+    used = own.unionByName(numbered).distinct().join(rows.select("id").distinct(), "id", "left_semi")
+    # A used number has as many free ones before it as it is larger than its rank among the used ones. Rows rank among
+    # them: a row's rank in both is its number of rows before plus the used numbers that its own passes.
+    gaps = dense_index(used, "id", "number").select("id", (F.col("number") - F.col("idx")).alias("free"), F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["position"].dataType).alias("position"))
+    nth = dense_index(rows, "id", "position").select("id", F.col("idx").alias("free"), F.lit(1).alias("kind"), "position")
+    both = dense_index(gaps.unionByName(nth), "id", "free", "kind")
+    return both.filter("kind = 1").select("id", "position", F.col("idx").alias("try"))
 
 
 def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:

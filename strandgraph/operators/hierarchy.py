@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.plans.lineage import cut, discard
+
 
 def first_by(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """The first row of each key, with all columns. Partial aggregates go ahead of the shuffle."""
@@ -17,24 +19,27 @@ def last_by(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*other), order).alias("x")).select(key, "x.*")
 
 
-def ancestors(nodes: DataFrame, starts: DataFrame, rank: str, most_steps: int = 64, unknown: str = "NA") -> DataFrame:
+def ancestors(nodes: DataFrame, starts: DataFrame, rank: str, unknown: str = "NA") -> DataFrame:
     """taxid, name: for each different start the first node of the rank on the way up, itself included.
 
-    nodes: taxid, parent, name, rank. The way ends at a root, at a node that is missing, or on a cycle (which is no
-    longer than most_steps); then, and for negative or null starts, the name is `unknown`. Each step is one join of
-    those still on their way.
+    nodes: taxid, parent, name, rank. The way ends at a root, at a node that is missing, or on a cycle; then, and for
+    negative or null starts, the name is `unknown`. Ways are doubled in length in each round: every node learns what the
+    node at its way's end has found and where that one's way leads, so rounds grow with the logarithm of the depth.
     """
-    tree = nodes.select(F.col("taxid").alias("at"), "parent", "name", "rank")
-    todo = starts.select("taxid").distinct().withColumn("at", F.col("taxid"))
-    done = None
-    for _ in range(most_steps):
-        step = todo.join(tree, "at", "left")
-        found = step.filter(F.col("rank") == rank).select("taxid", "name")
-        done = found if done is None else done.unionByName(found)
-        todo = step.filter((F.col("rank") != rank) & (F.col("parent") != F.col("at"))).select("taxid", F.col("parent").alias("at"))
-        if todo.isEmpty():
+    there = F.col("rank").eqNullSafe(rank)
+    up = F.when(~there & (F.col("parent") != F.col("taxid")), F.col("parent"))
+    ways = cut(nodes.select("taxid", F.when(there, F.col("name")).alias("name"), up.alias("next")), "ways")
+    left = ways.filter("next is not null").count()
+    while left:
+        ahead = ways.select(F.col("taxid").alias("next"), F.col("name").alias("found"), F.col("next").alias("further"))
+        open_ways = ways.filter("next is not null").join(ahead, "next", "left").select("taxid", F.col("found").alias("name"), F.col("further").alias("next"))
+        longer = cut(ways.filter("next is null").unionByName(open_ways), "ways")
+        discard(ways)
+        ways, before, left = longer, left, longer.filter("next is not null").count()
+        # The nodes of a longer way include one that ends in this round; where none ended, the others are on cycles.
+        if left == before:
             break
-    return starts.select("taxid").distinct().join(done, "taxid", "left").select("taxid", F.coalesce("name", F.lit(unknown)).alias("name"))
+    return starts.select("taxid").distinct().join(ways.select("taxid", "name"), "taxid", "left").select("taxid", F.coalesce("name", F.lit(unknown)).alias("name"))
 
 
 def ancestors_recursive(nodes_view: str, starts_view: str, rank: str) -> str:

@@ -20,12 +20,47 @@ def test_ancestors(spark):
     tree = fasta.taxonomy(spark.createDataFrame(rows, "taxid long, parent long, name string, rank string"))
     starts = spark.createDataFrame([(562,), (-1,), (999999,), (561,), (543,), (1,), (7,)], "taxid long")
     want = {562: "Escherichia", -1: "NA", 999999: "NA", 561: "Escherichia", 543: "NA", 1: "NA", 7: "NA"}
-    assert {r.taxid: r.name for r in hierarchy.ancestors(tree, starts, "genus", 8).collect()} == want
+    assert {r.taxid: r.name for r in hierarchy.ancestors(tree, starts, "genus").collect()} == want
     tree.createOrReplaceTempView("tree")
     starts.createOrReplaceTempView("starts")
     assert {r.taxid: r.name for r in spark.sql(hierarchy.ancestors_recursive("tree", "starts", "genus")).collect()} == want
 
 
+def test_long_ways_and_cycles(spark):
+    """A chain of 300 nodes, a cycle of 90 with a tail, a null rank on the way."""
+    rows = [(i, i - 1, f"n{i}", None if i == 150 else "x") for i in range(1, 300)] + [(0, 0, "top", "genus")]
+    rows += [(1000 + i, 1000 + (i + 1) % 90, "c", "x") for i in range(90)] + [(2000, 1005, "tail", "x"), (3000, 4000, "lost", "x")]
+    tree = spark.createDataFrame(rows, "taxid long, parent long, name string, rank string")
+    got = {r.taxid: r.name for r in hierarchy.ancestors(tree, tree, "genus").collect()}
+    assert got == {r[0]: "top" if r[0] < 300 else "NA" for r in rows}
+
+
+def test_dense_index_of_wide_rows(spark):
+    """Half a million rows with a feature column: indices without gap or repetition, in order."""
+    n = 500_000
+    wide = spark.range(n).select(F.concat(F.lit("k"), F.col("id") % 2).alias("kind"), F.sha2(F.col("id").cast("string"), 256).alias("id"), F.array_repeat(F.col("id").cast("double"), 8).alias("x"))
+    got = graph.dense_index(wide, "kind", "id")
+    by_kind = got.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("idx").alias("d"), F.min("idx").alias("a"), F.max("idx").alias("z")).collect()
+    assert len(by_kind) == 2 and all((r.n, r.d, r.a, r.z) == (n // 2, n // 2, 0, n // 2 - 1) for r in by_kind)
+    steps = got.join(got.select("kind", (F.col("idx") - 1).alias("idx"), F.col("id").alias("after")), ["kind", "idx"])
+    assert steps.filter("after <= id").isEmpty() and steps.count() == n - 2
+    old = spark.createDataFrame([("k0", 7, "old", [0.0])], "ntype string, idx long, id string, x array<double>")
+    nodes = graph.attach_nodes(old, wide.withColumnRenamed("kind", "ntype"))
+    ends = {r.ntype: (r.n, r.a, r.z) for r in nodes.groupBy("ntype").agg(F.countDistinct("idx").alias("n"), F.min("idx").alias("a"), F.max("idx").alias("z")).collect()}
+    assert ends == {"k0": (n // 2 + 1, 7, n // 2 + 7), "k1": (n // 2, 0, n // 2 - 1)}
+    nulls = spark.createDataFrame([(None, 2), ("a", 1), (None, 1)], "kind string, id long")
+    assert {(r.kind, r.id): r.idx for r in graph.dense_index(nulls, "kind", "id").collect()} == {(None, 1): 0, (None, 2): 1, ("a", 1): 0}
+
+
+def test_unique_ids_with_many_taken(spark):
+    """Seventy numbers in a row and every second after them are taken."""
+    taken = ["s"] + [f"s_{i}" for i in range(1, 71)] + [f"s_{i}" for i in range(72, 120, 2)] + ["s_007", "s_x", "other_3"]
+    got = graph.unique_ids(spark.createDataFrame([("s", i) for i in range(40)], "id string, position long"), spark.createDataFrame([(x,) for x in taken], "id string"))
+    names = (f"s_{i}" for i in range(1, 999))
+    want = [x for x in names if x not in taken][:40]
+    assert [r.assigned_id for r in got.orderBy("position").collect()] == want
+
+
 def test_similarity_edges(spark):
     rows = [("BB_query", "AA_old", 0.91), ("BB_query", "CC_old", 0.95), ("BB_query", "DD_old", 0.79), ("BB_query", "EE_old", 0.8), ("BB_query", "FF_old", 0.7999996)]
     pairs = spark.createDataFrame(rows, "query_id string, ref_id string, score double")
