@@ -62,14 +62,16 @@ SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed
 _ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEAKS = f"""
 WITH d AS (SELECT doc_id, {_words(_lower("coalesce(text, '')"), _ALNUM_GAP)} AS words FROM documents),
-b AS (SELECT item_id, {_words(_lower("text"), _ALNUM_GAP)} AS words FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-bw AS (SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[i:i + 9], ' ') AS t FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) AS i FROM b WHERE len(words) > 0)),
+b AS (SELECT item_id, row_number() OVER () AS item, {_words(_lower("text"), _ALNUM_GAP)} AS words FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bw AS (SELECT item_id, item, i AS pos, least(len(words), 10) AS n, array_to_string(words[i:i + 9], ' ') AS t FROM (SELECT item_id, item, words, unnest(range(1, greatest(len(words) - 8, 2))) AS i FROM b WHERE len(words) > 0)),
 dw AS (SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS t FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(words) >= n)),
-h AS (SELECT doc_id, i, bw.n, item_id FROM dw JOIN bw ON bw.n = dw.n AND bw.t = dw.t),
+h AS (SELECT doc_id, i, bw.n, item_id, item, pos FROM dw JOIN bw ON bw.n = dw.n AND bw.t = dw.t),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
-SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1),
+run AS (SELECT doc_id, min(i) AS i, count(*) + any_value(n) - 1 AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, i - pos ORDER BY i) AS g FROM h) GROUP BY doc_id, item, i - pos, g),
+best AS (SELECT doc_id, len, i - 1 AS start FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, i) = 1)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(best.len, 0) AS longest_match, best.start AS longest_match_start
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id
 """
 
 ORACLE = {
