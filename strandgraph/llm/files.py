@@ -11,9 +11,14 @@ import uuid
 from pyarrow import fs
 
 
+#: Spark's names of object stores, and Arrow's for the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a folder's address."""
-    return fs.FileSystem.from_uri(folder)
+    """The file system and path of a folder's address: file, hdfs, s3 (s3a, s3n), gs or abfss. Others are an error."""
+    scheme, _, rest = folder.partition(":")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 class Appender:

@@ -1,47 +1,27 @@
-"""The shared folder, and cutting lineage with tables written there."""
+"""Tables in the shared folder, and the identity of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
-
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.text import NULL_KEY
+from strandgraph.plans.lineage import cut as written
+from strandgraph.plans.lineage import discard, shared_folder
 
+__all__ = ["discard", "shared_folder", "written"]
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it: lost executors cost no recomputing."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = (weakref.ref(out, lambda _, key=id(out): _PATHS.pop(key, None)), path)
-    return out
+#: Text bytes for a task that holds a bucket of them after a shuffle, so that tasks stay small however large the input is.
+TASK_BYTES = 64 << 20
 
 
-_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def discard(*frames: DataFrame) -> None:
-    """Deletes the files of tables from written() that nothing will read again."""
-    for df in frames:
-        _, path = _PATHS.pop(id(df))
-        system, folder = fs.FileSystem.from_uri(path)
-        system.delete_dir(folder)
+def task_count(spark, n_bytes: int) -> int:
+    """Tasks for so many bytes: those that the session sets, or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
 
 
 def key_of(name: str) -> Column:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.store import IDENTITY, discard, id_of, identified, identified_text, written
+from strandgraph.llm.store import IDENTITY, discard, id_of, identified, identified_text, task_count, written
 from strandgraph.llm.text import U64, WHITE, Words, arrow_limits, covered, gram_starts, grams, keys, mix, text_chunks
 
 #: Words in the runs that minimisers are chosen from.
@@ -31,8 +31,8 @@ MINIMISER_WORDS = 4
 FREQUENT_SHARE = 1 / 4096
 #: Packed bytes that a task gathers before it sends them.
 FLUSH_BYTES = 24 << 20
-#: Buckets for each shuffle partition: a bucket is sorted in memory by itself.
-BUCKETS_PER_PARTITION = 8
+#: Buckets for each task: a bucket is sorted in memory by itself.
+BUCKETS_PER_TASK = 8
 
 _TOP = U64(1 << 63)
 _BASE = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
@@ -81,13 +81,14 @@ def _slices(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 def _count_minimisers(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing, gathered, n = np.zeros(0, U64), [], 0
+        nothing, gathered, n, size = np.zeros(0, U64), [], 0, 0
 
         def flush():
             value, count = np.unique(np.concatenate(gathered), return_counts=True)
             # What is frequent over all is so in some flush.
             often = count > FREQUENT_SHARE * n
-            return pa.RecordBatch.from_arrays([pa.array([None, *value[often].astype(np.int64).tolist()], pa.int64()), pa.array([n, *count[often].tolist()], pa.int64())], names=["g", "c"])
+            g, c = [None, *value[often].astype(np.int64).tolist()], [n, *count[often].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array([size] + [0] * (len(g) - 1), pa.int64())], names=["g", "c", "bytes"])
 
         for batch in batches:
             for _, data, bounds in text_chunks(batch):
@@ -95,9 +96,10 @@ def _count_minimisers(window: int):
                 g, _, _ = _super_kmers(words, words.hashes(), window, nothing)
                 gathered.append(g)
                 n += len(g)
+                size += len(data)
             if n > 1 << 20:
                 yield flush()
-                gathered, n = [], 0
+                gathered, n, size = [], 0, 0
         if n:
             yield flush()
 
@@ -226,16 +228,16 @@ def repeat_spans(text: DataFrame, window: int = 20) -> DataFrame:
     """
     spark = text.sparkSession
     arrow_limits(spark)
-    counts = text.mapInArrow(_count_minimisers(window), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    counts = text.mapInArrow(_count_minimisers(window), "g long, c long, bytes long").groupBy("g").agg(F.sum("c").alias("c"), F.sum("bytes").alias("bytes"))
     counts = written(counts, "minimisers")
-    total = counts.filter("g is null").select("c").first()
+    total = counts.filter("g is null").select("c", "bytes").first()
     # Fewer than 1 / FREQUENT_SHARE can have that share.
     often = [r.g for r in counts.filter((F.col("g").isNotNull()) & (F.col("c") > FREQUENT_SHARE * total.c)).select("g").collect()] if total else []
     discard(counts)
     frequent = np.sort(np.array(often, dtype=np.int64).astype(U64))
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = text.mapInArrow(_send(window, buckets, frequent), "bucket int, blob binary")
-    marks = sent.groupBy("bucket").applyInArrow(_meet(window), "k long, v1 long, v2 long, start long, stop long")
+    tasks = task_count(spark, total.bytes if total else 0)
+    sent = text.mapInArrow(_send(window, BUCKETS_PER_TASK * tasks, frequent), "bucket int, blob binary")
+    marks = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_meet(window), "k long, v1 long, v2 long, start long, stop long")
     return marks.groupBy(*IDENTITY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
