@@ -11,6 +11,7 @@ the sizes of its planes); the footer's length in 8 bytes; magic.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandgraph.llm.files import Appender, Reader
 from strandgraph.llm.store import id_of, keyed_text, shared_folder, written
@@ -61,12 +63,14 @@ class IdWriter:
     def _fresh(self) -> None:
         self.waiting, self.n_waiting, self.blocks, self.docs, self.total = [], 0, [], [], 0
 
-    def add(self, k: int, ids: np.ndarray) -> Iterator[tuple[str, int, int, int]]:
-        """Takes one document's ids; gives the file that was full before, if any."""
+    def add(self, k: int, ids: np.ndarray, second: int = 0) -> Iterator[tuple[str, int, int, int, int]]:
+        """Takes one document's ids, and what orders it among those of its key; gives the file that was full before, if any."""
         if self.total >= FILE_IDS:
             yield from self.finish()
         if self.out.room():
             self.out.write(MAGIC)
+        if not self.docs:
+            self.second = second
         self.docs.append((k, len(ids)))
         self.waiting.append(ids)
         self.n_waiting += len(ids)
@@ -85,8 +89,8 @@ class IdWriter:
         self.waiting = [ids[whole:]]
         self.n_waiting = len(ids) - whole
 
-    def finish(self) -> Iterator[tuple[str, int, int, int]]:
-        """Ends the file: (name, bytes, smallest key, ids)."""
+    def finish(self) -> Iterator[tuple[str, int, int, int, int]]:
+        """Ends the file: (name, bytes, smallest key, ids, what orders its first document among those of its key)."""
         if not self.docs:
             return
         self._blocks(True)
@@ -96,7 +100,7 @@ class IdWriter:
         self.out.write(foot + struct.pack("<q", len(foot)) + MAGIC)
         name, size = self.out.name, self.out.at
         self.out.close()
-        yield name, size, self.docs[0][0], self.total
+        yield name, size, self.docs[0][0], self.total, self.second
         self._fresh()
 
 
@@ -143,16 +147,37 @@ _WORDS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _TOKENIZERS: dict[str, object] = {}
 
 
+#: A word of its own that stands between words that are encoded together.
+MARK = "\x02"
+TOGETHER = 4096
+
+
 def _encode_new(path: str, words: list[str]) -> Iterator[tuple[str, bytes]]:
-    """Each word with its ids."""
+    """Each word with its ids. Many words are one text for the library, with marks between them: a text costs much more than a word."""
+    # Spark's tasks share the cores; threads of the library's own would wait for one another.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Tokenizer.from_file(path)
-    for a in range(0, len(words), 4096):
-        part = words[a : a + 4096]
-        for w, e in zip(part, _TOKENIZERS[path].encode_batch_fast(part, add_special_tokens=False)):
+    tokenizer = _TOKENIZERS[path]
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    alone = [w for w in words if MARK in w] if len(mark) == 1 else words
+    if alone:
+        for w, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             yield w, np.array(e.ids, dtype=np.uint32).tobytes()
+        words = [w for w in words if MARK not in w] if len(mark) == 1 else []
+    parts = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
+    for part in parts:
+        (e,) = tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)
+        ids = np.array(e.ids, dtype=np.uint32)
+        ends = np.append(np.flatnonzero(ids == mark[0]), len(ids)).tolist()
+        if len(ends) != len(part):
+            raise AssertionError("marks don't tell words apart with this tokenizer")
+        raw, begin = ids.tobytes(), 0
+        for w, end in zip(part, ends):
+            yield w, raw[4 * begin : 4 * end]
+            begin = end + 1
 
 
 def encode_words(path: str, texts: list[str]) -> list[np.ndarray]:
@@ -181,13 +206,13 @@ def _write(folder: str, path: str, end_id: int, bits: bool):
         out, done = IdWriter(folder, bits), []
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            k, text = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            k, text, second = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist(), batch.column(2).to_pylist()
             for a in range(0, len(k), 64):
-                for key, ids in zip(k[a : a + 64], encode_words(path, text[a : a + 64])):
-                    done += out.add(key, np.concatenate([ids, end]))
+                for key, ids, h in zip(k[a : a + 64], encode_words(path, text[a : a + 64]), second[a : a + 64]):
+                    done += out.add(key, np.concatenate([ids, end]), h)
         done += out.finish()
-        columns = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(done)), pa.int64())], names=["file", "bytes", "first", "ids", "nth"])
+        columns = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 4))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(done)), pa.int64())], names=["file", "bytes", "first", "ids", "second", "nth"])
 
     return run
 
@@ -197,18 +222,20 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, bits: bool
 
     Gives the folder and a table of its files in order: file, bytes, first (smallest key), ids, place (number of the
     file), start (ids in all files before). Texts are sorted in ranges of ids, one range a task; no range depends on
-    another. A null text has the end id alone; a null id comes first. Repeated rows are written each. An empty table makes
+    another. A null text has the end id alone; a null id comes first. Rows of one id, or of none, are in the order of a hash of
+    their text, so many of them are several ranges; repeated rows are written each. An empty table makes
     no file. Other columns aren't read.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     folder = shared_folder(spark, "ids")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = keyed_text(docs, id_column, text_column).repartitionByRange(parts, "k").sortWithinPartitions("k", "text")
-    files = written(ranges.mapInArrow(_write(folder, tokenizer_path, end_id, bits), "file string, bytes long, first long, ids long, nth long"), "id-files")
-    # One row a file. Files of one range follow one another, and a key never spans two ranges.
+    order = ("k", "second", "text")
+    ranges = keyed_text(docs, id_column, text_column).withColumn("second", F.xxhash64("text")).repartitionByRange(parts, "k", "second").sortWithinPartitions(*order)
+    files = written(ranges.mapInArrow(_write(folder, tokenizer_path, end_id, bits), "file string, bytes long, first long, ids long, second long, nth long"), "id-files")
+    # One row a file. Files of one range follow one another, and a key and hash never span two ranges.
     total, rows = 0, []
-    for i, r in enumerate(files.orderBy("first", "nth").toLocalIterator()):
+    for i, r in enumerate(files.orderBy("first", "second", "nth").toLocalIterator()):
         rows.append((r.file, r.bytes, r.first, r.ids, i, total))
         total += r.ids
     return folder, spark.createDataFrame(rows, "file string, bytes long, first long, ids long, place long, start long")
