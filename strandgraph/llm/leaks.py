@@ -113,7 +113,7 @@ def _expanded(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Found:
     """The search of all suffixes of a block in a shard.
 
-    longest: by place of the shard the words of the longest match that begins there, of those as long as a window at least.
+    longest: by place of the shard the words of the longest match that begins there with a window.
     place, words, item: where windows occur, their words and items (numbers), each combination once.
     reach, low, high: how far each suffix (by its place in the block) came, and its range of array.order then.
     """
@@ -141,7 +141,8 @@ class Found:
             depth += 1
             self.reach[p], self.low[p], self.high[p] = depth, low[node], high[node]
             if depth >= least and len(p):
-                self.longest[array.order[_expanded(low, high - low)]] = depth
+                long = np.unique(node[block.need[p] <= depth])
+                self.longest[array.order[_expanded(low[long], (high - low)[long])]] = depth
                 hit = np.flatnonzero(block.need[p] == depth)
                 if len(hit):
                     pairs = np.unique(np.stack([node[hit], block.item[p[hit]].astype(np.int64)]), axis=1)
@@ -257,8 +258,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
     Returns k (the id as a key, see store.key_of), n_words, spans array<struct<start, stop>> (disjoint, in order),
-    items (sorted as strings), longest (words of the longest verbatim match with an item, of those as long as a window at
-    least; 0 without any) and longest_start (its first word, of equally long ones the first; null without any), one row for
+    items (sorted as strings), longest (words of the longest verbatim match with an item that begins with a window;
+    0 without any) and longest_start (its first word, of equally long ones the first; null without any), one row for
     each row of docs. Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null texts have no words; items
     without an id or a text are no items; equal items count each. A null document id counts as the smallest. Rows that
     repeat an id each have their row, with the hits of its own text. Empty tables give no rows, or no hits. Other columns aren't read.
