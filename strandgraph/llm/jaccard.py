@@ -1,21 +1,24 @@
 """Exact n-gram Jaccard join with a token-group matrix, and its connected components.
 
-Similar documents are put into groups, the union of each group's tokens is kept as rows (token, group),
-a query's overlap with a group is bounded by counting those rows, and only groups whose bound qualifies
-are opened and compared set by set.
+Similar documents are put into groups, the union of each group's tokens is kept as rows (token, group), a query's overlap
+with a group is bounded by counting those rows, and only groups whose bound qualifies are opened: sets and queries are
+shipped to them and compared exactly.
 
-Let t be the threshold. Shingles are ordered by hash. A set's *wide prefix* has its first
-n - ceil(t n) + l shingles, l = max(1, floor(n / 4)). Two linked sets share at least the smaller l of
-shingles inside both wide prefixes, so counts over wide prefixes bound exactly and nothing is lost:
+Let t be the threshold. Shingles are ordered by hash. A set's *wide prefix* has its first n - ceil(t n) + l shingles,
+l = max(1, floor(n / 4)). Two linked sets share at least the smaller l of shingles inside both wide prefixes, so counts
+over wide prefixes bound exactly and nothing is lost:
 
 1. one scan makes each set's signature and wide prefix; per bucket of tokens, tokens of a single set go;
 2. sets with fewer shared tokens than any partner needs have no link and go;
-3. each remaining set joins the group of the set that most of its tokens name first; a large group is
-   split by hash, so that none exceeds GROUP_SETS sets and GROUP_SHINGLES shingles;
-4. (token, set) rows meet (token, family of groups) rows, each with its rarest tokens only: if two sets share l of
-   their tokens, they share one of all but the l - 1 commonest; so frequent passages make no pairs;
-5. each group comes once with its sets, its token union, and the sets that met it: whose overlap with the union
-   cannot reach the threshold is turned away, for the others the group is opened and compared exactly;
+3. each remaining set joins the family of the set that most of its tokens name first; a large family is
+   split by hash into groups, so that none exceeds GROUP_SETS sets and GROUP_SHINGLES shingles;
+4. a group's sets are compared with one another. One set of each local component speaks for it among the other groups of
+   the family: these sets are grouped and compared in turn, until a family is one group or its sets are no copies of one
+   another. So a family of near copies is one component after work in proportion to its sets;
+5. what is left are links between components. Sets meet other families by their rarest tokens: if two sets share l of
+   their tokens, they share one of all but the l - 1 commonest; so frequent passages make no pairs. A set asks only those
+   groups that hold a larger component than its own, and of these only those whose token union shares as many tokens
+   with it as a link needs;
 6. links become components; equal sets are one node from the start.
 """
 
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.components import components
-from strandgraph.llm.store import IDENTITY, discard, id_of, identified_text, written
+from strandgraph.llm.store import IDENTITY, discard, id_of, identified_text, task_count, text_bytes, written
 from strandgraph.llm.text import U64, WHITE, Words, arrow_limits, gram_starts, grams, keys, mix, text_chunks
 
 #: Sets in a group at most; a larger family of similar sets is several groups.
@@ -43,8 +46,10 @@ GROUP_QUERIES = 2048
 FLUSH_BYTES = 16 << 20
 #: Shared shingles, in percent of a set, that wide prefixes are made for: more of them make bounds sharper and prefixes longer.
 SHARED_PERCENT = 25
-#: Tokens travel as so many bits; a collision only loosens a bound.
-TOKEN_BITS = 40
+#: Token buckets for each task.
+BUCKETS_PER_TASK = 4
+#: Classes of equal sets with more than this share of all rows are broadcast: at most 1 / share of them.
+HOT_SHARE = 1 / 4096
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -85,15 +90,6 @@ _DOC = np.dtype([("k", "i8"), ("n", "i8"), ("sig", "i8"), ("sig2", "i8")])
 _SET = np.dtype([("sig", "i8"), ("n", "i4"), ("entries", "i4"), ("sent", "i4")])
 
 
-def _tokens(x: np.ndarray) -> np.ndarray:
-    """Tokens as rows of five bytes each, or back."""
-    if x.dtype == U64:
-        return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8])
-    out = np.zeros((len(x) // (TOKEN_BITS // 8), 8), np.uint8)
-    out[:, : TOKEN_BITS // 8] = x.reshape(-1, TOKEN_BITS // 8)
-    return out.view("<u8").ravel().astype(U64)
-
-
 def _signatures(size: int, num: int, den: int, buckets: int):
     """Documents to one blob for each bucket of tokens and flush."""
 
@@ -133,7 +129,7 @@ def _signatures(size: int, num: int, den: int, buckets: int):
             for who, count, name in parts:
                 sets[name][np.searchsorted(both, who)] = count
             out_bucket.append(b)
-            out_blob.append(_pack(mine, sets, _tokens(token[a:cut]).ravel(), _tokens(token[cut:z]).ravel()))
+            out_blob.append(_pack(mine, sets, token[a:cut], token[cut:z]))
         yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +145,7 @@ def _signatures(size: int, num: int, den: int, buckets: int):
                     if len(u) and (a, b) not in seen:
                         seen[a, b] = True
                         owners.append((a, len(u)))
-                        wide.append(u[: _wide(len(u), num, den)] & U64((1 << TOKEN_BITS) - 1))
+                        wide.append(u[: _wide(len(u), num, den)])
                         gathered += 8 * len(wide[-1])
                 if gathered > FLUSH_BYTES // 2 or len(docs) > 200_000:
                     yield from flush(docs, owners, wide)
@@ -174,9 +170,9 @@ def _meet(table: pa.Table) -> pa.Table:
         at += head[0] * _DOC.itemsize
         sets = np.frombuffer(raw, _SET, head[1], at)
         at += head[1] * _SET.itemsize
-        entries, sent = np.frombuffer(raw, np.uint8, head[2], at), np.frombuffer(raw, np.uint8, head[3], at + head[2])
+        entries, sent = np.frombuffer(raw, U64, head[2], at), np.frombuffer(raw, U64, head[3], at + 8 * head[2])
         for part, count, (t, s, m) in ((entries, sets["entries"], (tok, sig, n)), (sent, sets["sent"], (sent_tok, sent_sig, sent_n))):
-            t.append(_tokens(part))
+            t.append(part)
             s.append(np.repeat(sets["sig"], count))
             m.append(np.repeat(sets["n"], count))
     docs, tok, sig, n = np.concatenate(docs), np.concatenate(tok), np.concatenate(sig), np.concatenate(n)
@@ -216,52 +212,70 @@ def _full_sets(size: int):
     return run
 
 
-def _opened(num: int, den: int):
-    """One group and the sets that may link into it: exact comparison, then one edge for each local component."""
+class Union:
+    """The sets of a group, and its token union with the sets that have each token."""
+
+    def __init__(self, table: pa.Table, num: int, den: int):
+        ids = table.column("q").to_numpy()
+        self.order = np.argsort(ids)
+        self.ids, self.num, self.den = ids[self.order], num, den
+        raw = table.column("set").to_pylist()
+        self.sets = [np.frombuffer(raw[i], "<u8") for i in self.order]
+        self.sizes = np.array([len(x) for x in self.sets], dtype=np.int64)
+        token, member = np.concatenate(self.sets), np.repeat(np.arange(len(ids)), self.sizes)
+        by = np.argsort(token)
+        token, self.member = token[by], member[by]
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        self.token, self.begin = token[begin], np.append(begin, len(member))
+
+    def shared(self, u: np.ndarray) -> np.ndarray:
+        """Where the union has the tokens of u."""
+        at = np.searchsorted(self.token, u)
+        return at[self.token[np.minimum(at, len(self.token) - 1)] == u]
+
+    def linked(self, u: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which sets link with u, whose tokens are in the union at those places."""
+        count = self.begin[at + 1] - self.begin[at]
+        place = np.repeat(self.begin[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        both = np.bincount(self.member[place], minlength=len(self.sizes))
+        return self.den * both >= self.num * (len(u) + self.sizes - both)
+
+
+def _compared(num: int, den: int):
+    """One group: each set with the least one of its local component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group = Union(table, num, den)
+        near = np.array([group.linked(u, group.shared(u)) for u in group.sets])
+        local = np.arange(len(group.sets))
+        while True:
+            low = np.where(near, local[None, :], len(local)).min(1)
+            low = np.minimum(low, local)[np.minimum(low, local)]
+            if (low == local).all():
+                break
+            local = low
+        return pa.table([pa.array(group.ids), pa.array(group.ids[local])] + [table.column(c).take(pa.array(group.order)) for c in ("pivot", "part")], names=["q", "root", "pivot", "part"])
 
-    def linked(u: np.ndarray, n: int, tokens: np.ndarray, begin: np.ndarray, member: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(tokens, u)
-        at = at[(at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == u)]
-        count = begin[at + 1] - begin[at]
-        place = np.repeat(begin[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        both = np.bincount(member[place], minlength=len(sizes))
-        return den * both >= num * (n + sizes - both)
+    return run
+
+
+def _opened(num: int, den: int):
+    """One group and the sets that ask it: the pairs of components that a link joins, each once."""
 
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        order = np.argsort(ids := members.column("q").to_numpy())
-        ids = ids[order]
-        raw = members.column("set").to_pylist()
-        sets = [np.frombuffer(raw[i], "<u8") for i in order]
-        sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        token, member = (np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)) if sets else (np.zeros(0, U64), np.zeros(0, np.int64))
-        by = np.argsort(token)
-        token, member = token[by], member[by]
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        token, begin = token[begin], np.append(begin, len(member))
-        a, b = [], []
-        if len(sets):
-            near = np.array([linked(u, len(u), token, begin, member, sizes) for u in sets])
-            local = np.arange(len(sets))
-            while True:
-                low = np.where(near, local[None, :], len(sets)).min(1)
-                low = np.minimum(low, local)[np.minimum(low, local)]
-                if (low == local).all():
-                    break
-                local = low
-            for i in np.flatnonzero(local != np.arange(len(sets))):
-                a.append(ids[i])
-                b.append(ids[local[i]])
-            least = int(sizes.min())
-            for q, raw in zip(queries.column("q").to_pylist(), queries.column("set").to_pylist()):
+        found: set[tuple[int, int]] = set()
+        if members.num_rows and queries.num_rows:
+            group = Union(members, num, den)
+            of = members.column("c").to_numpy()[group.order]
+            least = int(group.sizes.min())
+            for raw, c in zip(queries.column("set").to_pylist(), queries.column("c").to_pylist()):
                 u = np.frombuffer(raw, "<u8")
+                at = group.shared(u)
                 # With o tokens in the union, no set of the group is closer than o / (|q| + least - o).
-                o = int(np.count_nonzero(token[np.minimum(np.searchsorted(token, u), len(token) - 1)] == u))
-                if den * o < num * (len(u) + least - o):
-                    continue
-                for r in np.unique(local[linked(u, len(u), token, begin, member, sizes)]):
-                    a.append(q)
-                    b.append(ids[r])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if den * len(at) >= num * (len(u) + least - len(at)):
+                    found.update((c, r) for r in np.unique(of[group.linked(u, at)]).tolist() if r != c)
+        pairs = sorted(found)
+        return pa.table([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -297,50 +311,116 @@ def _components(text: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """similar_components of k and text, where no two texts have one k: k, n_shingles, class_id, component_id."""
     spark = text.sparkSession
     arrow_limits(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = written(
-        text.mapInArrow(_signatures(size, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet, "tok long, sig long, n long, k long, sig2 long"),
-        "met",
-    )
+    tasks = task_count(spark, text_bytes(text))
+    blobs = text.mapInArrow(_signatures(size, num, den, BUCKETS_PER_TASK * tasks), "bucket int, blob binary").repartition(tasks, "bucket")
+    met = written(blobs.groupBy("bucket").applyInArrow(_meet, "tok long, sig long, n long, k long, sig2 long"), "met")
     rows = written(met.filter("tok is null").select("k", "n", "sig", "sig2"), "rows")
-    classes = rows.filter("n > 0").groupBy("sig", "sig2", "n").agg(F.min("k").alias("rep"))
+    classes = written(rows.filter("n > 0").groupBy("sig", "sig2", "n").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "classes")
     shared = met.filter("tok is not null").select("tok", "sig", "n")
     enough = shared.groupBy("sig", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need_column("n", num, den)).select("sig", "n")
     sets = written(classes.join(enough, ["sig", "n"]).select("sig", "n", F.col("rep").alias("q")), "sets")
     lists = written(shared.join(sets, ["sig", "n"]).groupBy("q", "n").agg(F.collect_set("tok").alias("toks")), "lists")
     discard(met, sets)
-    # Groups: each set joins the one that most of its tokens name first.
+    grouped = _grouped(lists, num, den)
+    discard(lists)
+    full = written(text.join(grouped.select(F.col("q").alias("k")), "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_full_sets(size), "q long, set binary"), "full")
+    near = written(components(_within_families(grouped, full, num, den)), "near")
+    labels = _across(grouped, full, near, num, den)
+    named = classes.join(labels.withColumnRenamed("q", "rep"), "rep", "left").filter("copies > 1 or component is not null").select("sig", "sig2", "n", "rep", F.coalesce("component", "rep").alias("component"), "copies")
+    named = written(named, "named")
+    discard(grouped, full, near)
+    return _told(rows, named)
+
+
+def _grouped(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """q, n, toks (its tokens that other sets have too), head (the rarest of them, of which linked sets share one), pivot (its family) and
+    part (its group in the family) of the sets that can have a link."""
     flat = lists.select("q", "n", F.explode("toks").alias("tok"))
     named = flat.groupBy("tok").agg(F.count("*").alias("df"), F.min("q").alias("pivot")).filter("df > 1")
     ranked = flat.join(named, "tok").groupBy("q", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("toks"), F.mode("pivot", True).alias("pivot"))
     need = need_column("n", num, den)
-    ranked = written(ranked.filter(F.size("toks") >= need).select("q", "n", "pivot", F.slice("toks.tok", F.lit(1), (F.size("toks") - need + 1).cast("int")).alias("head")), "ranked")
-    discard(lists)
-    parts = ranked.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
-    grouped = written(ranked.join(parts, "pivot").select("q", "n", "pivot", F.expr("pmod(xxhash64(q), parts)").alias("part"), "head"), "groups")
+    ranked = written(ranked.filter(F.size("toks") >= need).select("q", "n", "pivot", "toks.tok", F.slice("toks.tok", F.lit(1), (F.size("toks") - need + 1).cast("int")).alias("head")), "ranked")
+    grouped = written(_parted(ranked.withColumnRenamed("tok", "toks"), 0), "groups")
     discard(ranked)
-    # The token-group matrix by family, all groups of one pivot: the families that each set meets in it, then their groups.
-    own = grouped.select("q", "n", "pivot", "part")
-    heads = grouped.select("q", "n", "pivot", "part", F.explode("head").alias("tok"))
+    return grouped
+
+
+def _parted(sets: DataFrame, level: int) -> DataFrame:
+    """sets(q, n, pivot, ...) with part: groups of each family that keep to GROUP_SETS and GROUP_SHINGLES, about."""
+    parts = sets.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
+    return sets.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("q", F.lit(level)), F.col("parts"))).drop("parts")
+
+
+def _within_families(grouped: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links a, b that groups of one family show: see the module's fourth point."""
+    level, edges, before = 0, None, None
+    todo = grouped.select("q", "n", "pivot", "part")
+    while True:
+        found = written(todo.join(full, "q").select("q", "set", "pivot", "part").groupBy("pivot", "part").applyInArrow(_compared(num, den), "q long, root long, pivot long, part long"), "compared")
+        links = found.filter("q <> root").select(F.col("q").alias("a"), F.col("root").alias("b"))
+        edges = links if edges is None else edges.unionByName(links)
+        several = found.groupBy("pivot").agg(F.count_distinct("part").alias("parts")).filter("parts > 1").select("pivot")
+        speakers = written(found.filter("q = root").join(several, "pivot").join(grouped.select("q", "n"), "q").select("q", "n", "pivot"), "speakers")
+        now, level = speakers.count(), level + 1
+        # Where sets don't speak for others, another level would find little: the rest is left to the search across.
+        if not now or before is not None and 2 * now > before:
+            return edges
+        todo, before = _parted(speakers, level), now
+
+
+def _across(grouped: DataFrame, full: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """q, component of each set that is linked, from near(node, component), the links that are known: see the fifth point."""
+    own = grouped.join(near.select(F.col("node").alias("q"), "component"), "q", "left").withColumn("c", F.coalesce("component", "q")).drop("component")
+    own = written(own, "own")
+    # A component's rank: links are sought from the smaller one of two.
+    ranks = own.groupBy("c").agg(F.count("*").alias("size"))
+    state = written(own.join(ranks, "c").select(*own.columns, F.struct("size", "c").alias("rank")), "state")
+    discard(own)
     fits = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num)
     sizes = (F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = heads.groupBy("tok", F.col("pivot").alias("g")).agg(*sizes)
-    families = heads.join(matrix, "tok").filter((F.col("g") != F.col("pivot")) & fits).select(*own.columns, "g").distinct()
-    groups = grouped.groupBy(F.col("pivot").alias("g"), F.col("part").alias("p")).agg(*sizes)
-    asked = families.unionByName(own.withColumn("g", F.col("pivot"))).join(groups, "g").filter(((F.col("g") != F.col("pivot")) | (F.col("p") != F.col("part"))) & fits)
-    bound = written(asked.select("q", F.col("g").alias("pivot"), F.col("p").alias("part")), "bound")
-    # Opening.
-    full = written(text.join(grouped.select(F.col("q").alias("k")), "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_full_sets(size), "q long, set binary"), "full")
-    salts = bound.groupBy("pivot", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
-    members = grouped.select("q", "pivot", "part").join(salts, ["pivot", "part"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
-    asking = bound.join(salts, ["pivot", "part"]).withColumn("salt", F.expr("cast(pmod(xxhash64(q), salts) as int)"))
-    by = ["pivot", "part", "salt"]
-    side = lambda df: df.select("q", *by).join(full, "q").toDF("q", *by, "set").groupBy(*by)
-    edges = side(members).cogroup(side(asking)).applyInArrow(_opened(num, den), "a long, b long")
-    labels = components(edges)
-    discard(grouped, bound, full)
-    ids = rows.join(classes, ["sig", "sig2", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return ids.select("k", F.col("n").alias("n_shingles"), F.coalesce("rep", "k").alias("class_id"), F.coalesce("component", "rep", "k").alias("component_id"))
+    # The token-group matrix by family, with rarest tokens: the other families that a set meets.
+    heads = state.select("q", "n", "pivot", "rank", F.explode("head").alias("tok"))
+    matrix = heads.groupBy("tok", F.col("pivot").alias("g")).agg(*sizes, F.max("rank").alias("top"))
+    met = heads.join(matrix, "tok").filter((F.col("g") != F.col("pivot")) & (F.col("rank") < F.col("top")) & fits).select("q", "n", "rank", "g").distinct()
+    asking = met.unionByName(state.select("q", "n", "rank", F.col("pivot").alias("g")))
+    # Groups that hold the same largest component are one row.
+    groups = state.groupBy(F.col("pivot").alias("g"), F.col("part").alias("p")).agg(*sizes, F.max("rank").alias("top"))
+    tops = groups.groupBy("g", "top").agg(F.collect_list(F.struct("p", "least", "most")).alias("groups"))
+    asked = asking.join(tops, "g").filter(F.col("rank") < F.col("top")).select("q", "n", "g", F.inline("groups"))
+    asked = written(asked.filter(fits).select("q", "n", F.col("g").alias("pivot"), F.col("p").alias("part")), "asked")
+    # The matrix by group, with all tokens: the overlap of each set that asks with each group's union, counted.
+    tokens = state.select("q", F.explode("toks").alias("tok")).join(asked.select("q").distinct(), "q", "left_semi")
+    union = state.join(asked.select("pivot", "part").distinct(), ["pivot", "part"], "left_semi").select("pivot", "part", F.explode("toks").alias("tok")).distinct()
+    counted = asked.join(tokens, "q").join(union, ["pivot", "part", "tok"]).groupBy("q", "n", "pivot", "part").agg(F.count("*").alias("o"))
+    bound = written(counted.filter(F.col("o") >= need_column("n", num, den)).select("q", "pivot", "part"), "bound")
+    discard(asked)
+    joined = near.select(F.col("node").alias("q"), "component")
+    if not bound.isEmpty():
+        # Opening.
+        salts = bound.groupBy("pivot", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
+        members = state.select("q", "c", "pivot", "part").join(salts, ["pivot", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        queries = bound.join(salts, ["pivot", "part"]).join(state.select("q", "c"), "q").withColumn("salt", F.expr("cast(pmod(xxhash64(q), salts) as int)"))
+        by = ["pivot", "part", "salt"]
+        side = lambda df: df.select("q", "c", *by).join(full, "q").toDF("q", "c", *by, "set").groupBy(*by)
+        links = components(side(members).cogroup(side(queries)).applyInArrow(_opened(num, den), "a long, b long"))
+        merged = state.join(links.select(F.col("node").alias("c"), "component"), "c", "left").select("q", F.coalesce("component", "c").alias("component"), (F.col("component").isNotNull() | (F.col("rank.size") > 1)).alias("linked"))
+        joined = merged.filter("linked").drop("linked")
+    out = written(joined, "labels")
+    discard(state, bound)
+    return out
+
+
+def _told(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """k, n_shingles, class_id, component_id of rows(k, n, sig, sig2), from the classes that have copies or links. Classes with very many
+    rows are broadcast, the rest are shuffled; sets without a word are looked up nowhere."""
+    on = ["sig", "sig2", "n"]
+    hot = F.col("copies") > HOT_SHARE * rows.count()
+    facts = lambda which: named.filter(which).select(*on, "rep", "component")
+    first = rows.join(F.broadcast(facts(hot)), on, "left")
+    done = F.col("rep").isNotNull() | (F.col("n") == 0)
+    other = first.filter(~done).drop("rep", "component").join(facts(~hot), on, "left")
+    ids = first.filter(done).unionByName(other)
+    return ids.select("k", F.col("n").alias("n_shingles"), F.coalesce("rep", "k").alias("class_id"), F.coalesce("component", "k").alias("component_id"))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
