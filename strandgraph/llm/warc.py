@@ -28,44 +28,55 @@ FILE_BYTES = 256 << 20
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
 
+#: Digests that more than one record has are broadcast up to so many; beyond, payloads are shuffled by digest.
+BROADCAST_DIGESTS = 1_000_000
+#: Beyond that, digests with more than this share of all records are broadcast still: at most 1 / share of them.
+HOT_SHARE = 1 / 4096
+
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, payload_bytes long, record_type string"
+#: The head of the HTTP response that a page came in, as far as a table of pages knows it.
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
 def _head(fields: list[tuple[str, object]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers: tuple[int | None, str | None] | None) -> bytes:
-    """One record as a gzip member. refers: (page, url) of the response with the same payload, or None."""
-    clean = lambda u: "".join(c for c in u or "" if c not in "\r\n")
-    fields: list[tuple[str, object]] = [
-        ("WARC-Type", "response" if refers is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"),
-        ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", clean(url)),
-        ("X-Page-Id", "" if page is None else page),
-        ("WARC-Payload-Digest", f"sha256:{digest}"),
-        ("X-Payload-Length", size),
-        ("Content-Type", "text/html; charset=utf-8"),
-    ]
-    if refers is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", "" if refers[0] is None else refers[0]), ("WARC-Refers-To-Target-URI", clean(refers[1]))]
-        payload = b""
+def record_id(*of: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, of)))}>"
+
+
+def record(own_id: str, page: int | None, url: str | None, payload: bytes, digest: str, refers: tuple[int | None, str | None, str | None] | None) -> bytes:
+    """One record as a gzip member. refers: (page, url, record id) of the response with the same payload, or None. What is
+    null has no field."""
+    clean = lambda u: "".join(c for c in u if c not in "\r\n")
+    fields: list[tuple[str, object]] = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", own_id), ("WARC-Date", "1970-01-01T00:00:00Z")]
+    if url is not None:
+        fields.append(("WARC-Target-URI", clean(url)))
+    if page is not None:
+        fields.append(("X-Page-Id", page))
+    fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http; msgtype=response")]
+    block = HTTP.format(len(payload)).encode()
+    if refers is None:
+        block += payload
+    else:
+        fields.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+        fields += [(k, v) for k, v in (("X-Refers-To-Page-Id", refers[0]), ("WARC-Refers-To-Target-URI", refers[1] and clean(refers[1])), ("WARC-Refers-To", refers[2])) if v is not None]
     press = zlib.compressobj(4, zlib.DEFLATED, 31)
-    return press.compress(_head([*fields, ("Content-Length", len(payload))]) + payload + b"\r\n\r\n") + press.flush()
+    return press.compress(_head([*fields, ("Content-Length", len(block))]) + block + b"\r\n\r\n") + press.flush()
 
 
 def parsed(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """The first record of data: its fields, its content, and the bytes of its gzip member."""
+    """The first record of data: its fields, its payload (after the HTTP head), and the bytes of its gzip member."""
     press = zlib.decompressobj(31)
     raw = press.decompress(data)
     end = raw.index(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in raw[:end].decode().split("\r\n")[1:])
-    size = int(fields["Content-Length"])
-    return fields, raw[end + 4 : end + 4 + size], len(data) - len(press.unused_data)
+    block = raw[end + 4 : end + 4 + int(fields["Content-Length"])]
+    return fields, block[block.index(b"\r\n\r\n") + 4 :], len(data) - len(press.unused_data)
 
 
-def _id(x: str) -> int | None:
+def _id(x: str | None) -> int | None:
     return int(x) if x else None
 
 
@@ -76,10 +87,13 @@ def _writer(folder: str):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                refers = (null(r["first"]), r["first_url"]) if r["first"] is not None else None
+                refers = None
+                if r["first"] is not None:
+                    # A page that is there more than once has no one record to refer to.
+                    refers = null(r["first"]), r["first_url"], record_id(r["first"], r["digest"]) if r["first_rows"] == 1 else None
                 out.room()
-                payload = (r["html"] or "").encode()
-                place = out.write(record(null(r["k"]), r["url"], payload, r["digest"], r["size"], refers))
+                own = record_id(r["k"], r["digest"]) if not r["again"] else record_id(r["k"], r["digest"], out.name, out.at)
+                place = out.write(record(own, null(r["k"]), r["url"], r["html"].encode(), r["digest"], refers))
                 rows.append((*place, null(r["k"]), r["url"], r["digest"], r["size"], "response" if refers is None else "revisit"))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INDEX_TYPES)] if rows else [pa.array([], t) for t in _INDEX_TYPES], names=_INDEX_NAMES)
         out.close()
@@ -96,7 +110,7 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url_column: str
 
     Of records with equal payloads of REVISIT_BYTES or more that of the smallest id is a response, which the others
     revisit; rows that repeat that id are responses as well. Smaller payloads are responses. A null html is empty, a null id counts
-    as the smallest. An empty table makes no archive. Other columns aren't read.
+    as the smallest, a null url as none. Rows that repeat a page have a record each. An empty table makes no archive. Other columns aren't read.
     """
     spark = pages.sparkSession
     arrow_limits(spark)
@@ -105,12 +119,29 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url_column: str
     pages = pages.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
     # The payloads stay out of the grouping: ids and digests alone are shuffled there.
     sums = written(pages.drop("html"), "digests")
-    firsts = sums.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n"), F.min_by("url", "k").alias("first_url")).filter("n > 1").drop("n")
-    roles = sums.join(firsts, "digest").filter("k <> first").select("k", "digest", "first", "first_url").distinct()
-    copies = pages.join(roles, ["k", "digest"], "left")
+    by_page = sums.groupBy("digest", "k").agg(F.count("*").alias("rows"), F.min("url").alias("url"), F.max("size").alias("size"))
+    classes = by_page.groupBy("digest").agg(F.min_by(F.struct("k", "url", "rows"), "k").alias("f"), F.sum("rows").alias("n"), F.max("rows").alias("most"), F.max("size").alias("size")).filter("n > 1")
+    classes = written(classes.select("digest", F.col("f.k").alias("first"), F.col("f.url").alias("first_url"), F.col("f.rows").alias("first_rows"), "n", (F.col("most") > 1).alias("repeats"), (F.col("size") >= REVISIT_BYTES).alias("large")), "classes")
+    facts = classes.drop("n")
+    n = classes.limit(BROADCAST_DIGESTS + 1).count()
+    if n <= BROADCAST_DIGESTS:
+        found = pages.join(F.broadcast(facts), "digest", "left")
+    else:
+        hot = F.col("n") > HOT_SHARE * sums.count()
+        named = [c for c in facts.columns if c != "digest"]
+        often = pages.join(F.broadcast(classes.filter(hot).drop("n")), "digest", "left")
+        others = often.filter("first is null").drop(*named).join(classes.filter(~hot).drop("n"), "digest", "left")
+        found = often.filter("first is not null").unionByName(others)
+    # Whether a page is there more than once is looked up by itself, where there are any such pages.
+    again = F.lit(False)
+    if not classes.filter("repeats").isEmpty():
+        found = found.join(F.broadcast(by_page.filter("rows > 1").select("digest", "k", F.lit(True).alias("again"))) if n <= BROADCAST_DIGESTS else by_page.filter("rows > 1").select("digest", "k", F.lit(True).alias("again")), ["digest", "k"], "left")
+        again = F.coalesce("again", F.lit(False))
+    revisit = F.col("large") & (F.col("k") != F.col("first"))
+    copies = found.select("k", "url", "html", "digest", "size", *(F.when(revisit, F.col(c)).alias(c) for c in ("first", "first_url", "first_rows")), again.alias("again"))
     folder = shared_folder(spark, "warc")
     index = written(copies.mapInArrow(_writer(folder), INDEX), "warc-index")
-    discard(sums)
+    discard(sums, classes)
     return folder, index
 
 
@@ -139,9 +170,9 @@ def _reader(folder: str):
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
                 kind = fields["WARC-Type"]
                 if kind == "response" and hashlib.sha256(content).hexdigest() != digest:
-                    raise ValueError(f"the payload of page {fields['X-Page-Id']} doesn't match its digest")
+                    raise ValueError(f"the payload of page {fields.get('X-Page-Id')} doesn't match its digest")
                 size = len(content) if kind == "response" else int(fields["X-Payload-Length"])
-                out.append((_id(fields["X-Page-Id"]), size, digest, kind, _id(fields.get("X-Refers-To-Page-Id", "")), fields["WARC-Target-URI"], content.decode() if kind == "response" else None))
+                out.append((_id(fields.get("X-Page-Id")), size, digest, kind, _id(fields.get("X-Refers-To-Page-Id")), fields.get("WARC-Target-URI"), content.decode() if kind == "response" else None))
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=[x.split()[0] for x in RECORD.split(", ")])
         source.close()
