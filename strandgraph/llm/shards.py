@@ -11,9 +11,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from strandgraph.llm.store import id_of, key_of, written
+from strandgraph.llm.store import discard, id_of, key_of, written
+from strandgraph.operators.graph import dense_index
 
 #: Bundles of light groups for each shard.
 BUNDLES = 256
@@ -45,9 +45,9 @@ def sharded(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_c
     """Each document with k (the id as a key, see store.key_of), size (UTF-8 bytes plus one), tokens (words), text_crc32,
     shard and slot (gapless from 0 in each shard, in order of k).
 
-    Documents of equal text share a shard unless their group is over half a shard's capacity; then its parts are
-    placed one by one. A null text counts as empty, a null id as the smallest. Repeated rows get slots of their own. An
-    empty table gives no rows. Other columns aren't read. Sums decide, so the same rows give the same shards.
+    Documents of equal text share a shard unless their group is over half a shard's capacity; then its rows are dealt to
+    parts at random (of a fixed seed), which are placed one by one. A null text counts as empty, a null id as the smallest.
+    Repeated rows get slots of their own. An empty table gives no rows. Other columns aren't read.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     docs = docs.select(key_of(id_column).alias("k"), text.alias("text"))
@@ -57,6 +57,8 @@ def sharded(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_c
         F.greatest(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1, F.lit(1)).cast("long").alias("tokens"),
         F.crc32("text").alias("text_crc32"),
         F.xxhash64("text").alias("g"),
+        # Tells rows apart that are equal in all else, ids included.
+        F.rand(7).alias("tie"),
     )
     rows = written(rows, "sizes")
     total = rows.agg(*(F.sum(c).alias(c) if c != "rows" else F.count("*").alias(c) for c in DIMENSIONS)).first()
@@ -69,37 +71,16 @@ def sharded(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_c
     heavy = written(heavy, "heavy")
     # An item is a heavy group's part or a bundle of light groups.
     item = rows.join(F.broadcast(heavy), "g", "left").select(
-        "k", "size", "tokens", "text_crc32", F.when(F.col("parts").isNotNull(), F.struct(F.lit(True).alias("heavy"), F.col("g").alias("of"), F.pmod(F.xxhash64("k"), F.col("parts")).cast("long").alias("part"))).otherwise(F.struct(F.lit(False).alias("heavy"), F.pmod("g", F.lit(BUNDLES * shards)).cast("long").alias("of"), F.lit(0).cast("long").alias("part"))).alias("item")
+        "k", "size", "tokens", "text_crc32", "tie", F.when(F.col("parts").isNotNull(), F.struct(F.lit(True).alias("heavy"), F.col("g").alias("of"), F.floor(F.col("tie") * F.col("parts")).cast("long").alias("part"))).otherwise(F.struct(F.lit(False).alias("heavy"), F.pmod("g", F.lit(BUNDLES * shards)).cast("long").alias("of"), F.lit(0).cast("long").alias("part"))).alias("item")
     )
     bins = item.groupBy("item").agg(*sums).orderBy("item").collect()
     placed = pack(np.array([[b[c] for c in DIMENSIONS] for b in bins], dtype=float).reshape(-1, 3), shards)
     where = docs.sparkSession.createDataFrame([(b["item"]["heavy"], b["item"]["of"], b["item"]["part"], int(s)) for b, s in zip(bins, placed)], "heavy boolean, of long, part long, shard int")
     where = where.select(F.struct("heavy", "of", "part").alias("item"), "shard")
     # As many rows as bins: bounded by the constants above.
-    return _slots(item.join(F.broadcast(where), "item").drop("item"))
-
-
-#: Slices of a shard whose slots are numbered side by side.
-SLICES = 256
-
-
-def _slots(rows: DataFrame) -> DataFrame:
-    """Numbers the rows of each shard in order of k without gathering a shard in one task.
-
-    Slices are ranges of k of about equal count, from quantiles; a slice begins where those before it end.
-    """
-    rows = written(rows, "sharded")
-    cuts = rows.approxQuantile("k", [i / SLICES for i in range(1, SLICES)], 0.0005)
-    cuts = sorted({int(c) for c in cuts}) if cuts else []
-    # Doubles carry ids up to 2**53 exactly; beyond, cuts are only a little off their quantile.
-    bounds = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<long>")
-    rows = rows.withColumn("slice", F.size(F.filter(bounds, lambda c: c <= F.col("k"))))
-    counts = rows.groupBy("shard", "slice").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    # At most SLICES rows for each shard.
-    starts = counts.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("k", "size", "text_crc32"))
-    return rows.withColumn("i", within).join(F.broadcast(starts), ["shard", "slice"]).select("k", "size", "tokens", "text_crc32", "shard", (F.col("start") + F.col("i") - 1).cast("long").alias("slot"))
+    found = dense_index(item.join(F.broadcast(where), "item").drop("item"), "shard", "k", "size", "text_crc32", "tie", out="slot")
+    discard(rows, heavy)
+    return found.select("k", "size", "tokens", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
