@@ -1,7 +1,8 @@
 """URL filter: host and path rules first, then gradient-boosted trees on lexical features.
 
 The trees are trained on URLs that a rule labels. Features, training table and scores are DataFrame
-expressions and Spark's own tree learner; no Python runs on executors.
+expressions and Spark's own tree learner; no Python runs on executors. Statistics of host suffixes and of first path
+segments cover all pages; a training URL gets rates of the other folds only, so that no URL's own label is among its features.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.store import written
+from strandgraph.llm.store import discard, written
 
 
 @dataclass(frozen=True)
@@ -38,12 +39,18 @@ RULES = (
 )
 #: Labelled URLs that the trees are trained on at most; distinct ones of smallest hash, so any run takes the same.
 TRAINING_ROWS = 20_000
-#: Statistics of host suffixes (last two labels) are broadcast up to so many of them and shuffled beyond.
-BROADCAST_SUFFIXES = 100_000
+#: Statistics are broadcast up to so many keys and shuffled beyond.
+BROADCAST_KEYS = 100_000
+#: URLs are dealt to so many folds by hash.
+FOLDS = 5
+#: Labelled pages that a rate is drawn to the rate of all by.
+DRAWN = 5
+#: What statistics are kept of: the host's last two labels, and the path up to its second slash.
+KEYS = ("suffix", "segment")
 TREES, DEPTH = 20, 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "path_digits", "hyphens", "entropy", "parameters", "query_length", "fragment", "secure", "suffix_rate", "suffix_count")
+FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "path_digits", "hyphens", "entropy", "parameters", "query_length", "fragment", "secure", "segments", "segment_length", "suffix_rate", "suffix_count", "segment_rate", "segment_count")
 
 
 def located(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -73,18 +80,17 @@ def _entropy(s: Column) -> Column:
     return F.when(n > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a + F.when(p > 0, -p * F.log2(p)).otherwise(0.0))).otherwise(0.0)
 
 
-def _suffix() -> Column:
-    return F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)
+def _keys() -> dict[str, Column]:
+    return {"suffix": F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0), "segment": F.regexp_extract("path", "(?s)^/?[^/]*/?", 0)}
 
 
 def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
-    """located(pages) with suffix, the host's last two labels, and the features that need no statistics."""
+    """located(pages) with KEYS, fold, and the features that need no statistics."""
     out = located(pages, url)
     text = F.coalesce(F.col(url).cast("string"), F.lit(""))
     gone = lambda c, p: F.length(c) - F.length(F.regexp_replace(c, p, ""))
     query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
     columns = {
-        "suffix": _suffix(),
         "url_length": F.length(text),
         "host_length": F.length("host"),
         "path_length": F.length("path"),
@@ -98,40 +104,61 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
         "query_length": F.length(query),
         "fragment": F.when(text.contains("#"), 1).otherwise(0),
         "secure": F.when(text.startswith("https:"), 1).otherwise(0),
+        "segments": F.size(F.filter(F.split("path", "/"), lambda x: x != "")),
+        "segment_length": F.length(_keys()["segment"]),
     }
-    return out.withColumns({k: v if k == "suffix" else v.cast("double") for k, v in columns.items()})
+    return out.withColumns({**_keys(), "fold": _fold(text), **{k: v.cast("double") for k, v in columns.items()}})
 
 
-def statistics(pages: DataFrame, rules: tuple[Rule, ...], url: str) -> tuple[DataFrame, float]:
-    """suffix, suffix_count (all pages) and suffix_rate (the share of blocked ones of the labelled pages, drawn to that of
-    all labelled pages), and the latter."""
-    seen = located(pages.select(url), url).select(_suffix().alias("suffix"), rule_column(rules, lambda r: r.verdict).alias("verdict"))
-    counts = seen.groupBy("suffix").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    counts = written(counts, "suffixes")
-    labelled, blocked = counts.agg(F.sum("labelled"), F.sum("blocked")).first()
-    prior = blocked / labelled if labelled else 0.0
-    return counts.select("suffix", F.col("n").cast("double").alias("suffix_count"), ((F.col("blocked") + 5 * F.lit(prior)) / (F.col("labelled") + 5)).alias("suffix_rate")), prior
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
 
 
-def train(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", rows: int = TRAINING_ROWS) -> tuple[GBTClassificationModel | None, DataFrame, float]:
-    """Trees on distinct URLs that a rule labels, the statistics (suffix, suffix_rate, suffix_count) of all pages, and the
-    share of blocked ones of those that a rule labels. Without labels of both kinds there are no trees: None."""
-    suffixes, prior = statistics(pages, rules, url)
+def statistics(pages: DataFrame, rules: tuple[Rule, ...], url: str) -> tuple[dict[str, DataFrame], float]:
+    """For each of KEYS a table (key, fold, its count and rate), and the share of blocked ones of all labelled pages. Counts are
+    over all pages. Rates are the share of blocked ones of the labelled pages, drawn to that of all: with fold null of all
+    folds, else of the folds but that one."""
+    text = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    seen = located(pages.select(url), url).select(*(v.alias(k) for k, v in _keys().items()), _fold(text).alias("fold"), rule_column(rules, lambda r: r.verdict).alias("verdict"))
+    sums = [F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked")]
+    each = {k: written(seen.groupBy(k, "fold").agg(*sums), "statistics") for k in KEYS}
+    labelled, blocked = each[KEYS[0]].agg(F.sum("labelled"), F.sum("blocked")).first()
+    prior = blocked / labelled if labelled else 0.0
+    tables = {}
+    for k, counts in each.items():
+        whole = counts.groupBy(k).agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        others = counts.join(whole.toDF(k, "all_n", "all_labelled", "all_blocked"), k).select(k, "fold", F.col("all_n").alias("n"), (F.col("all_labelled") - F.col("labelled")).alias("labelled"), (F.col("all_blocked") - F.col("blocked")).alias("blocked"))
+        rate = (F.col("blocked") + DRAWN * F.lit(prior)) / (F.col("labelled") + DRAWN)
+        rows = whole.withColumn("fold", F.lit(None).cast("int")).unionByName(others)
+        tables[k] = written(rows.select(k, "fold", F.col("n").cast("double").alias(f"{k}_count"), rate.alias(f"{k}_rate")), f"{k}-rates")
+    discard(*each.values())
+    return tables, prior
+
+
+def train(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", rows: int = TRAINING_ROWS) -> tuple[GBTClassificationModel | None, dict[str, DataFrame], float]:
+    """Trees on distinct URLs that a rule labels, the statistics of all pages, and the share of blocked ones of those that a
+    rule labels. Without labels of both kinds there are no trees: None."""
+    tables, prior = statistics(pages, rules, url)
     if not 0 < prior < 1:
-        return None, suffixes, prior
+        return None, tables, prior
     labelled = located(pages.select(url), url).withColumn("verdict", rule_column(rules, lambda r: r.verdict)).filter("verdict is not null").select(url, "verdict").distinct()
     sample = labelled.withColumn("h", F.xxhash64(url)).orderBy("h", url, "verdict").limit(rows)
     sample = written(lexical(sample, url).withColumn("label", (F.col("verdict") == "block").cast("double")), "urls")
     learner = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, maxMemoryInMB=64)
-    table = _vectors(sample, suffixes, prior).select("features", "label").coalesce(1)
-    return learner.fit(table), suffixes, prior
+    table = _vectors(sample, tables, prior, own_fold=True).select("features", "label").coalesce(1)
+    return learner.fit(table), tables, prior
 
 
-def _vectors(pages: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    if suffixes.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES:
-        suffixes = F.broadcast(suffixes)
-    joined = pages.join(suffixes, "suffix", "left").fillna({"suffix_rate": prior, "suffix_count": 0.0})
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
+def _vectors(pages: DataFrame, tables: dict[str, DataFrame], prior: float, own_fold: bool = False) -> DataFrame:
+    """pages with features: rates of all folds, or of those but a page's own."""
+    for k, table in tables.items():
+        rates = table.filter(F.col("fold").isNotNull() if own_fold else F.col("fold").isNull())
+        on = [k, "fold"] if own_fold else [k]
+        rates = rates.select(*on, f"{k}_count", f"{k}_rate")
+        if rates.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+            rates = F.broadcast(rates)
+        pages = pages.join(rates, on, "left").fillna({f"{k}_rate": prior, f"{k}_count": 0.0})
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(pages)
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "page_id", url: str = "url") -> DataFrame:
@@ -143,12 +170,12 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "
     columns aren't read.
     """
     pages = pages.select(F.col(id_column).alias("page_id"), F.col(url).cast("string").alias("url"))
-    model, suffixes, prior = train(pages, rules)
+    model, tables, prior = train(pages, rules)
     seen = lexical(pages).withColumn("rule", rule_column(rules, lambda r: r.text)).withColumn("ruled", rule_column(rules, lambda r: r.verdict))
     if model is None:
         scored = seen.withColumn("score", F.lit(float(prior)))
     else:
-        scored = model.transform(_vectors(seen, suffixes, prior)).withColumn("score", vector_to_array("probability")[1])
+        scored = model.transform(_vectors(seen, tables, prior)).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
