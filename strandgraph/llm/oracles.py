@@ -17,7 +17,7 @@ def _lower(text: str) -> str:
 
 
 WARC = """
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
 f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
 SELECT page_id, n AS payload_bytes, p.digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, url
 FROM p LEFT JOIN f ON f.digest = p.digest
