@@ -91,3 +91,21 @@ def leaks(rows, items, window):
                     found |= got
         out[k] = (len(w), sum(hit), sorted(map(str, found)))
     return out
+
+
+def longest_leaks(rows, items, window):
+    """{id: (words, start) of the longest match that begins with a window; (0, None) without any}"""
+    sought = [w for _, t in items if (w := alnum_words(t))]
+    out = {}
+    for k, t in rows:
+        d, best = alnum_words(t), (0, None)
+        for x in range(len(d)):
+            for w in sought:
+                for p in range(len(w)):
+                    n = 0
+                    while x + n < len(d) and p + n < len(w) and d[x + n] == w[p + n]:
+                        n += 1
+                    if n > best[0] and (n >= window or n == len(w)):
+                        best = n, x
+        out[k] = best
+    return out

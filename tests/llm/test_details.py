@@ -1,6 +1,9 @@
 """Parts of operators that their queries don't show."""
 
+import math
+import pathlib
 import random
+import re
 
 import brute
 import numpy as np
@@ -127,7 +130,7 @@ def test_id_files(tmp_path, monkeypatch, bits):
     files += out.finish()
     assert len(files) > 3
     got, source = [], Reader(f"file://{tmp_path}")
-    for name, size, first, total in files:
+    for name, size, first, total, _ in files:
         f, at = idfiles.IdReader(source, name, size), 0
         assert f.docs[0, 0] == first and f.docs[:, 1].sum() == total
         for k, n in f.docs.tolist():
@@ -141,7 +144,7 @@ def test_special_tokens_in_texts():
     from tokenizers import Tokenizer
 
     path = str(public.path("word_bpe_49k.json"))
-    texts = ["a <|startoftext|> b<|endoftext|>c\n<|endoftext|>", "<|startoftext|><|endoftext|>", "<|startoftext |> plain", " <|ENDOFTEXT|>\t<|endoftext|> x", "a.\u00a0<|endoftext|>\u2003b"]
+    texts = ["a <|startoftext|> b<|endoftext|>c\n<|endoftext|>", "<|startoftext|><|endoftext|>", "<|startoftext |> plain", " <|ENDOFTEXT|>\t<|endoftext|> x", "a.\u00a0<|endoftext|>\u2003b", "\x02 a\x02b \x02\x02 \u0301c", "x \x02"]
     got = [x.tolist() for x in idfiles.encode_words(path, texts)]
     assert got == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
     assert {49406, 49407} <= set(got[0]) and got[1] == [49406, 49407]
@@ -208,38 +211,92 @@ def test_url_trees(spark):
         lang, tld = rng.choice(["en", "de", "es", "fr"]), rng.choice(["com", "net", "org"])
         rows.append((i, f"https://{rng.choice(['www', 'm', 'blog'])}.h{rng.randrange(40)}.example.{tld}/{lang}/{rng.randrange(10000)}"))
     df = spark.createDataFrame(rows, "page_id long, url string")
-    model, suffixes, prior = urls.train(df.filter("page_id % 4 <> 0"))
+    model, tables, prior = urls.train(df.filter("page_id % 4 <> 0"))
     held = urls.lexical(df.filter("page_id % 4 = 0")).withColumn("truth", urls.rule_column(urls.RULES, lambda r: r.verdict)).filter("truth is not null")
-    scored = model.transform(urls._vectors(held, suffixes, prior)).withColumn("guess", F.when(F.col("prediction") == 1, "block").otherwise("allow"))
+    scored = model.transform(urls._vectors(held, tables, prior)).withColumn("guess", F.when(F.col("prediction") == 1, "block").otherwise("allow"))
     right, n = scored.agg(F.count_if(F.col("guess") == F.col("truth")), F.count("*")).first()
     assert right / n > 0.85
 
 
+def _tree(lines, depth=0):
+    """A function of features from a tree's printed form."""
+    line = lines.pop(0).strip()
+    if line.startswith("Predict:"):
+        value = float(line.split(":")[1])
+        return lambda x: value
+    feature, limit = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+    low = _tree(lines)
+    assert lines.pop(0).strip().startswith(f"Else (feature {feature} >")
+    high = _tree(lines)
+    return lambda x: low(x) if x[int(feature)] <= float(limit) else high(x)
+
+
+def test_url_verdicts(spark):
+    """Every page's score and verdict against the trees walked in Python over features made in Python."""
+    rng = random.Random(2)
+    made = [f"http{rng.choice(['', 's'])}://{rng.choice(['www.', ''])}h{rng.randrange(9)}.{rng.choice(['example', 'else'])}.{rng.choice(['com', 'net', 'org', 'info'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randrange(99)}{rng.choice(['', '?a=1&b=2', '#x'])}" for _ in range(300)]
+    made += [None, "none", "http://", "HTTP://Only.Host", made[0], made[1]]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    model, tables, prior = urls.train(df)
+    rates = {k: {r[k]: (r[f"{k}_count"], r[f"{k}_rate"]) for r in t.filter("fold is null").collect()} for k, t in tables.items()}
+    trees = [_tree(t.toDebugString.split("\n")[1:]) for t in model.trees]
+    share = lambda a, b: a / max(b, 1)
+    digits = lambda s: sum(c in "0123456789" for c in s)
+
+    def features(u):
+        u = u or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path, host = re.match(r"[^?#]*", rest[len(host) :])[0], host.lower()
+        query = (re.search(r"\?([^#]*)", u) or ["", ""])[1]
+        entropy = -sum(host.count(c) / len(host) * math.log2(host.count(c) / len(host)) for c in set(host))
+        suffix, segment = ".".join(host.split(".")[-2:]), re.match("/?[^/]*/?", path)[0]
+        n, rate = rates["suffix"].get(suffix, (0, prior))
+        m, other = rates["segment"].get(segment, (0, prior))
+        return [len(u), len(host), len(path), path.count("/"), host.count("."), share(digits(u), len(u)), digits(path), host.count("-"), entropy, len(query.split("&")) if query else 0, len(query), "#" in u, u.startswith("https:"), len([x for x in path.split("/") if x]), len(segment), rate, n, other, m]
+
+    blocked = 0
+    for r in urls.judged(df).collect():
+        x = features(made[r.page_id])
+        margin = sum(w * t(x) for w, t in zip(model.treeWeights, trees))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-2 * margin)), abs=1e-9)
+        rule = next((q for q in sorted(urls.RULES, key=lambda q: -len(q.text)) if (r.host == q.host or r.host.endswith("." + q.host)) and r.path.startswith(q.path)), None)
+        assert r.verdict == (rule.verdict if rule else "block" if r.score >= 0.5 else "allow")
+        blocked += rule is None and r.verdict == "block"
+    assert blocked
+
+
 def test_url_statistics(spark, monkeypatch):
     """Counts over all pages, rates over all labelled ones, and a training sample that one hot URL can't fill."""
     hot = "http://hot.example.com/en/1"
     urls_ = [hot] * 60 + [f"http://a{i}.s{i}.net/{lang}/{i}" for i in range(30) for lang in ("de", "fr", "fr")] + [f"http://x{i}.org/es/{i}" for i in range(10)]
     df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
-    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", 7)
-    model, suffixes, prior = urls.train(df, rows=20)
-    got = {r.suffix: (r.suffix_count, r.suffix_rate) for r in suffixes.collect()}
+    monkeypatch.setattr(urls, "BROADCAST_KEYS", 7)
+    model, tables, prior = urls.train(df, rows=20)
+    got = {r.suffix: (r.suffix_count, r.suffix_rate) for r in tables["suffix"].filter("fold is null").collect()}
     assert model is not None and prior == 0.7 and len(got) == 41
     assert got["example.com"] == (60, pytest.approx(63.5 / 65)) and got["s3.net"] == (3, pytest.approx(3.5 / 6)) and got["x2.org"] == (1, pytest.approx(4.5 / 6))
+    # All labelled pages of a suffix in one fold: without that fold the rate is that of all.
+    assert {r.suffix_rate for r in tables["suffix"].filter("fold is not null and suffix = 'example.com'").collect()} == {prior}
+    assert {r.segment: r.segment_count for r in tables["segment"].filter("fold is null").collect()} == {"/en/": 60, "/de/": 30, "/fr/": 60, "/es/": 10}
     judged = urls.judged(df).collect()
     assert len(judged) == len(urls_) and {r.verdict for r in judged if r.path.startswith("/de/")} == {"allow"}
 
 
 def test_licences(spark):
-    mit = licences.KNOWN[1][1]
-    rows = [(1, f"  # Copyright (c) 2020 Somebody\n{mit.upper()}"), (2, "released under the mit LICENCE"), (3, f"{mit} And more."), (4, "© Me\n© You\nReleased under the MIT License!"), (None, mit)]
-    got = {r.doc_id: r.license for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_licences(spark)).collect()}
-    assert got == {1: "MIT", 2: "MIT", 3: None, 4: "MIT", None: "MIT"}
-    assert licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_licences(spark), small=0).filter("license is not null").count() == 4
+    known = dict(reversed(licences.KNOWN))
+    mit, bsd = known["MIT"] if len(known["MIT"]) > 99 else [t for n, t in licences.KNOWN if n == "MIT"][-1], known["BSD-3-Clause"]
+    rows = [(1, f"  # Copyright (c) 2020 Somebody\n{mit.upper()}"), (2, "released under the mit LICENCE"), (3, f"{mit} And more."), (4, "© Me\n© You\nReleased under the MIT License!"), (None, mit), (5, f"some words\n* Licensed under CC BY-NC 4.0!\nReleased under the MIT licence.\nmore"), (6, None), (7, bsd.replace("1. ", "a) ").replace("2. ", " (b) ").replace("3. ", "(c) "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (100_000, 0):
+        got = {r.doc_id: (r.license, r.notices) for r in licences.scanned(docs, licences.known_licences(spark), licences.known_notices(spark), small=small).collect()}
+        assert got == {1: ("MIT", []), 2: ("MIT", ["MIT"]), 3: (None, []), 4: ("MIT", ["MIT"]), None: ("MIT", []), 5: (None, ["CC-BY-NC-4.0", "MIT"]), 6: (None, []), 7: ("BSD-3-Clause", [])}
+    assert licences.scanned(docs, licences.known_licences(spark)).filter("size(notices) > 0").isEmpty()
 
 
 def test_licence_files(spark):
-    """Titles, and lines of the body that start like a copyright line."""
-    isc, mit = licences.KNOWN[4][1], licences.KNOWN[5][1]
+    """Titles, and lines of the body that start like a copyright line or a clause."""
+    isc, mit = ([t for n, t in licences.KNOWN if n == name][-1] for name in ("ISC", "MIT"))
     wrap = lambda t, *at: [t := t.replace(f" {x}", f"\n{x}", 1) for x in at][-1]
     rows = [
         (1, f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{mit}"),
@@ -247,9 +304,25 @@ def test_licence_files(spark):
         (3, f"# ISC License:\r\n# Copyright Somebody Inc.\r\n{wrap(isc, 'copyright notice')}"),
         (4, f"MIT License\n{mit.replace('copyright notice and this', '')}"),
         (5, mit.replace("The above copyright notice", "The above\ncopyright holder")),
+        (6, f"(c) retain all notices\n{mit}"),
+        (7, f"Copyright  notice\n{mit}"),
     ]
     got = {r.doc_id: r.license for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_licences(spark)).collect()}
-    assert got == {1: "MIT", 2: "MIT", 3: "ISC", 4: None, 5: None}
+    assert got == {1: "MIT", 2: "MIT", 3: "ISC", 4: None, 5: None, 6: None, 7: None}
+
+
+COMMON = pathlib.Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="no licence texts on this machine")
+def test_licence_digests(spark):
+    """The digests are those of the published texts, also in capitals and on long lines."""
+    files = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts = {n: (COMMON / f).read_text() for n, f in files.items() if (COMMON / f).exists()}
+    rows = [(n, t) for n, t in texts.items()] + [(n, t.upper()) for n, t in texts.items()] + [(n, t.replace("\n", "\r\n   ")) for n, t in texts.items()]
+    got = licences.scanned(spark.createDataFrame(rows, "name string, text string"), licences.known_licences(spark), id_column="name").collect()
+    assert len(got) == len(rows) and all(r.doc_id == r.license for r in got)
+    assert {n for n, _ in licences.DIGESTS} == set(files)
 
 
 def test_ablations(spark):

@@ -5,8 +5,10 @@ import zlib
 
 import brute
 import pytest
+from small_tables import tables
 
-from strandgraph.llm.queries import QUERIES
+from strandgraph.llm import licences
+from strandgraph.llm.queries import ORACLE, QUERIES
 
 NULL = -(1 << 63)
 
@@ -34,6 +36,7 @@ def test_op1(spark, small):
         r = got.pop(i)
         assert (r.payload_bytes, r.payload_digest) == (len(body), brute.sha(body))
         assert (r.record_type, r.refers_to) == (("revisit", refers[0]) if refers else ("response", None))
+        assert r.url == dict((p[0], p[1]) for p in pages)[i]
     assert not got
 
 
@@ -67,6 +70,9 @@ def test_op3(spark, small):
         slots.setdefault(r.shard, []).append(r.slot)
         load[r.shard] += r.size
     assert set(slots) <= set(range(16)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    # One text is larger than a shard's share: it stands alone, and the others fill the other shards.
+    largest = max(r.size for r in got)
+    assert max(load) == largest or max(load) - min(load) <= largest
 
 
 def test_op4(spark, small):
@@ -105,7 +111,36 @@ def test_op6(spark, small):
 def test_op7(spark, small):
     folder, rows, _, _ = small
     got = by_id(QUERIES["op7_license_scans"](spark, folder))
-    assert len(got) == len(rows) and all(r.license is None for r in got.values())
+    assert len(got) == len(rows) and all(r.license is None and r.notices == "" for r in got.values())
+
+
+@pytest.fixture(scope="module")
+def licensed(spark, tmp_path_factory):
+    """Documents that are known texts, rewrapped, recased, respelled, with titles and copyright lines; and near misses."""
+    rows, i = [], 0
+    for name, text in licences.KNOWN:
+        w = text.split()
+        for t in (text, text.upper(), "\n".join(" ".join(w[a : a + 11]) for a in range(0, len(w), 11)), f"Copyright (c) 2001, 2020 Some Body\r\nAll rights reserved.\r\n\r\n{text}", f"/* {text.replace(chr(10), chr(10) + ' * ')} */", re.sub(r"\blicense\b", "licence", text).replace(",", "")):
+            rows.append((i, name, t))
+            i += 1
+        rows.append((i, None, f"{text} Indeed."))
+        i += 1
+    made = tables(spark, tmp_path_factory.mktemp("licensed"), [(a, t) for a, _, t in rows])
+    return made, {a: name for a, name, _ in rows}
+
+
+def test_op7_hits(spark, licensed):
+    folder, want = licensed
+    got = by_id(QUERIES["op7_license_scans"](spark, folder))
+    assert {i: r.license for i, r in got.items()} == want
+    assert {i for i, r in got.items() if r.notices} == {i for i, name in want.items() if i < 7 * len(licences.NOTICES) and name}
+
+
+def test_op7_sql(licensed, spark):
+    import compare
+
+    folder, _ = licensed
+    assert compare.same(QUERIES["op7_license_scans"](spark, folder), compare.database(folder, ["documents"]), ORACLE["op7_license_scans"]) is None
 
 
 def test_op8(spark, small):
@@ -127,6 +162,8 @@ def test_op9(spark, small):
     got = by_id(QUERIES["op9_benchmark_decontamination"](spark, folder))
     assert {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == {i: (n, h, len(x), brute.sha(",".join(x)), h > 0) for i, (n, h, x) in want.items()}
     assert any(r.contaminated for r in got.values())
+    longest = brute.longest_leaks(rows, [x for x in items if x[0] is not None and x[1] is not None], 10)
+    assert {i: (r.longest_match, r.longest_match_start) for i, r in got.items()} == longest
 
 
 def test_op10(spark, small):
@@ -135,7 +172,6 @@ def test_op10(spark, small):
 
     folder, rows, _, _ = small
     tok = Tokenizer.from_file(str(public.path("word_bpe_49k.json")))
-    tok.encode_special_tokens = True
     got = by_id(QUERIES["op10_token_ids"](spark, folder))
     start = 0
     for i, t in sorted(rows, key=lambda r: NULL if r[0] is None else r[0]):

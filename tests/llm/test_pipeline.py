@@ -3,7 +3,7 @@
 import brute
 import corpus_pipeline
 import public_tokenizers as public
-from conftest import tables
+from small_tables import tables
 
 from strandgraph.llm import quality
 from strandgraph.llm.bpe import encoding
