@@ -1,7 +1,12 @@
-"""Column functions on sequences: normal form, complements, windows, samples and k-mers."""
+"""Functions on sequences: normal form, complements, windows, samples and k-mers."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +15,9 @@ BASES, COMPLEMENTS = "ACGTNacgtn", "TGCANtgcan"
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWYBXZO"
 
 #: Starts of k-mers in one chunk of a sequence: substring() walks from its string's start.
-CHUNK = 200
+CHUNK = 64
+#: Windows that are cut from one stretch of a sequence, for the same reason.
+STRETCH = 64
 
 
 def normalize(s: Column) -> Column:
@@ -37,22 +44,44 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
 
-def window_starts(n: Column, width: int, stride: int) -> Column:
-    """0-based starts of windows over n items: every stride while a whole window fits; then, if the items don't
-    end with a window's stride, the last whole window (once more, if it is one already)."""
-    regular = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)), F.lit(stride))
-    after = stride * (F.floor((n - width) / stride) + 1)
-    tail = F.when(after < n, F.array((n - width).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(n <= width, F.array(F.lit(0))).otherwise(F.concat(regular, tail))
+def truncated(tokens: Column, window: int) -> Column:
+    """At most `window` tokens and the two marks around them."""
+    return F.slice(tokens, 1, window + 2)
+
+
+class Windows:
+    """Windows of `width` over n items, by number: every `stride` while a whole window fits; then, if the items don't end with a
+    window's stride, the last whole window (once more, if it is one already). With more than `most` of them, `most`
+    evenly spread ones. All are closed forms, so no list of starts is made to pick from."""
+
+    def __init__(self, n: Column, width: int, stride: int, most: int | None = None):
+        self.n, self.width, self.stride, self.most = n, width, stride, most
+        regular = F.floor((n - width) / stride) + 1
+        self.all = F.when(n <= width, F.lit(1)).otherwise(regular + F.when(stride * regular < n, 1).otherwise(0)).cast("int")
 
+    def count(self) -> Column:
+        return self.all if self.most is None else F.least(self.all, F.lit(self.most))
 
-def evenly(items: Column, most: int | None) -> Column:
-    """At most `most` items, evenly spread, each once."""
-    if most is None:
-        return items
-    n = F.size(items)
-    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.least(n - 1, F.floor(i * (n / most)).cast("int"))))
-    return F.when(n <= most, items).otherwise(F.transform(at, lambda i: F.element_at(items, i + 1)))
+    def start(self, i: Column) -> Column:
+        """The 0-based start of window i."""
+        if self.most is not None:
+            i = F.when(self.all <= self.most, i).otherwise(F.least(self.all - 1, F.floor(i * (self.all / self.most))))
+        # Beyond the regular ones, and with a single window, the start is held back to the last whole window.
+        return F.greatest(F.least(i * self.stride, self.n - self.width), F.lit(0)).cast("int")
+
+
+def windows(sequences: DataFrame, k: int, width: int, stride: int, most: int | None = None, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """keys, win_idx, start, text: windows of `width` k-mers of s. A sequence of fewer letters than k is one window."""
+    measured = sequences.select(*keys, "s", F.greatest(F.length("s") - k + 1, F.lit(1)).alias("n"))
+    w = Windows(F.col("n"), width, stride, most)
+    # Explodes stand between the steps, so that lengths and stretches are made once.
+    first = measured.select(*keys, "s", "n", F.explode(F.sequence(F.lit(0), w.count() - 1, F.lit(STRETCH))).alias("first"))
+    last = F.least(F.col("first") + STRETCH, w.count()) - 1
+    begin = first.select(*keys, "s", "n", "first", last.alias("last"), w.start(F.col("first")).alias("begin"))
+    stretch = F.substr("s", F.col("begin") + 1, w.start(F.col("last")) - F.col("begin") + width + k - 1)
+    each = begin.select(*keys, "n", "begin", stretch.alias("stretch"), F.explode(F.sequence("first", "last")).alias("win_idx"))
+    placed = each.select(*keys, "win_idx", "begin", "stretch", w.start(F.col("win_idx")).alias("start"))
+    return placed.select(*keys, "win_idx", "start", F.substr("stretch", F.col("start") - F.col("begin") + 1, F.lit(width + k - 1)).alias("text"))
 
 
 def kmers(df: DataFrame, seq: str, k: int, out: str = "kmer") -> DataFrame:
@@ -66,3 +95,47 @@ def kmers(df: DataFrame, seq: str, k: int, out: str = "kmer") -> DataFrame:
     m = F.length("_chunk")
     each = F.when(m < k, F.array("_chunk")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(m - k + 1, F.lit(1))), lambda i: F.substr(F.col("_chunk"), i, F.lit(k))))
     return chunks.withColumn(out, F.explode(each)).drop("_chunk")
+
+
+def _counted(k: int):
+    """Sequences of a batch to their k-mers' counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).cast(pa.large_binary())
+            bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            body = texts.buffers()[2]
+            data = np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]] if body is not None else np.zeros(0, np.uint8)
+            bounds, size = bounds - bounds[0], np.diff(bounds)
+            wide = np.add.reduceat(np.append(data >= 128, False), np.minimum(bounds[:-1], len(data))) * (size > 0) > 0 if len(size) else size > 0
+            few: Counter = Counter()
+            # Letters of several bytes, and sequences that are one k-mer by being short.
+            for i in np.flatnonzero(wide | (size < k)):
+                s = data[bounds[i] : bounds[i + 1]].tobytes().decode()
+                few.update([s] if len(s) < k else (s[j : j + k] for j in range(len(s) - k + 1)))
+            n = len(data) - k + 1
+            if n > 0:
+                starts = np.zeros(n + 1, np.int64)
+                plain = np.flatnonzero(~wide & (size >= k))
+                np.add.at(starts, bounds[plain], 1)
+                np.add.at(starts, bounds[plain + 1] - k + 1, -1)
+                view = np.lib.stride_tricks.sliding_window_view(data, k)[np.cumsum(starts[:-1]) > 0]
+                if k <= 8:
+                    code = np.zeros(len(view), np.uint64)
+                    for j in range(k):
+                        code = code << np.uint64(8) | view[:, j]
+                    value, count = np.unique(code, return_counts=True)
+                    names = [int(v).to_bytes(k, "big").decode() for v in value]
+                else:
+                    value, count = np.unique(np.ascontiguousarray(view).view(f"V{k}").ravel(), return_counts=True)
+                    names = [v.tobytes().decode() for v in value]
+                few.update(dict(zip(names, count.tolist())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(few), pa.string()), pa.array(list(few.values()), pa.int64())], names=["kmer", "n"])
+
+    return run
+
+
+def kmer_counts(df: DataFrame, seq: str, k: int) -> DataFrame:
+    """kmer, n: how often each k-mer of kmers() occurs. Batches are counted where they are, so counts alone are shuffled."""
+    part = df.select(F.col(seq).cast("string")).filter(F.col(seq).isNotNull()).mapInArrow(_counted(k), "kmer string, n long")
+    return part.groupBy("kmer").agg(F.sum("n").alias("n"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.functions.sequence import evenly, reverse_complement, window_starts
+from strandgraph.functions.sequence import reverse_complement
+from strandgraph.functions.sequence import windows as cut_windows
 from strandgraph.functions.vectors import l2_normalize, mean_vector
 
 Hook = Callable[[], Callable[[list[str]], np.ndarray]]
@@ -25,10 +26,7 @@ def windows(sequences: DataFrame, k: int, width: int, stride: int, most: int | N
     """
     strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), *([F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("s"))] if both_strands else []))
     each = sequences.filter(F.col("seq").isNotNull()).select("seq_id", F.explode(strands).alias("x")).select("seq_id", "x.strand", "x.s")
-    n = F.greatest(F.length("s") - k + 1, F.lit(1))
-    starts = each.withColumn("starts", evenly(window_starts(n, width, stride), most))
-    placed = starts.select("seq_id", "strand", "s", F.posexplode("starts").alias("win_idx", "start"))
-    return placed.select("seq_id", "strand", "win_idx", F.substr(F.col("s"), F.col("start") + 1, F.lit(width + k - 1)).alias("text"))
+    return cut_windows(each, k, width, stride, most, ("seq_id", "strand")).drop("start")
 
 
 def kmer_text(text: Column, k: int) -> Column:
@@ -41,16 +39,20 @@ def base_frequencies(k: int = 2, letters: str = "ACGT") -> Hook:
     """The default hook: the share of each k-mer over the letters."""
 
     def make():
-        where = {"": 0}
-        for _ in range(k):
-            where = {a + b: i * len(letters) + j for a, i in where.items() for j, b in enumerate(letters)}
+        code = np.full(256, -1, np.int64)
+        code[list(letters.encode())] = np.arange(len(letters))
 
         def embed(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), len(letters) ** k))
-            for row, t in zip(out, texts):
-                for i in range(len(t) - k + 1):
-                    if (at := where.get(t[i : i + k])) is not None:
-                        row[at] += 1
+            # A byte that is no letter, here for text ends as well, spoils the k-mers that it is in.
+            data = code[np.frombuffer("\0".join(texts).encode("latin-1", "replace"), np.uint8)]
+            row = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(data)]
+            n = max(0, len(data) - k + 1)
+            at, good = np.zeros(n, np.int64), np.ones(n, bool)
+            for j in range(k):
+                part = data[j : j + n]
+                at, good = at * len(letters) + part, good & (part >= 0)
+            size = len(letters) ** k
+            out = np.bincount(row[:n][good] * size + at[good], minlength=len(texts) * size).reshape(len(texts), size).astype(float)
             return out / np.maximum(out.sum(1, keepdims=True), 1)
 
         return embed
@@ -58,6 +60,11 @@ def base_frequencies(k: int = 2, letters: str = "ACGT") -> Hook:
     return make
 
 
+def layer_number(layers: int, wanted: int | None) -> int:
+    """The layer of a protein model that vectors are taken from: without a wish, or beyond the last, the last but one."""
+    return layers - 1 if wanted is None or wanted >= layers else wanted
+
+
 def embed_batches(rows: DataFrame, hook: Hook, keys: list[str], batch: int = 8, text: str = "text") -> DataFrame:
     """keys, embedding, status, error: each text's vector. A batch that fails is tried text by text, and a text that fails is
     a row with status error: nothing is lost silently. The hook's model is made once a task."""
@@ -70,12 +77,12 @@ def embed_batches(rows: DataFrame, hook: Hook, keys: list[str], batch: int = 8,
             for a in range(0, len(frame), batch):
                 part = frame[text].iloc[a : a + batch].tolist()
                 try:
-                    got, said = [v.tolist() for v in embed(part)], [None] * len(part)
+                    got, said = list(np.asarray(embed(part), dtype=float)), [None] * len(part)
                 except Exception:
                     got, said = [], []
                     for t in part:
                         try:
-                            got.append(embed([t])[0].tolist())
+                            got.append(np.asarray(embed([t])[0], dtype=float))
                             said.append(None)
                         except Exception as e:
                             got.append(None)

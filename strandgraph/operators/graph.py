@@ -17,6 +17,12 @@ def sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("ntype").agg(F.count("*").alias("count"), F.max(F.size("x")).alias("width"), F.min(F.size("x")).alias("narrow"))
 
 
+def checked_sizes(nodes: DataFrame) -> DataFrame:
+    """ntype, count, width; a type with features of several widths stops the job."""
+    differ = F.concat(F.lit("features of several widths: "), F.col("ntype"))
+    return sizes(nodes).select("ntype", "count", F.when(F.col("width") == F.col("narrow"), F.col("width")).otherwise(F.raise_error(differ).cast("int")).alias("width"))
+
+
 def dense_index(rows: DataFrame, group: str, *order: str | Column, out: str = "idx") -> DataFrame:
     """rows with `out`, 0, 1, 2, ... within each group in order. No group is gathered in one task: rows are sorted within
     slices of the order, and a group begins in a slice where the slices before end. The sorted slices are written once, so
@@ -73,6 +79,12 @@ def unique_ids(proposed: DataFrame, existing: DataFrame, order: str = "position"
         state = judged.select("id", "position", (F.col("try") + F.when(F.col("holds"), 0).otherwise(1)).alias("try"))
 
 
+def renamed(records: DataFrame, assigned: DataFrame, order: str = "position", out: str = "id") -> DataFrame:
+    """records with the ids that unique_ids gave them, the ones they had beside as original_id. Rows are told apart by id and order."""
+    names = assigned.select(F.col("id").alias(out), F.col("position").alias(order), "assigned_id")
+    return records.join(names, [out, order]).withColumn("original_id", F.col(out)).withColumn(out, F.col("assigned_id")).drop("assigned_id")
+
+
 def _first_tries(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """rows with try: the number of the n-th free name, for the n-th row of an id."""
     suffix = F.regexp_extract("id", "_([1-9][0-9]{0,17})$", 1)

@@ -4,42 +4,54 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions.vectors import cosine, dot, sigmoid
 
-#: Candidates whose vectors one task multiplies at a time.
-BLOCK = 4096
-#: Queries, about, that meet a block at a time.
-SLICE = 1024
+#: Candidates that one task multiplies at a time.
+BLOCK = 16384
+#: Queries that meet a block at a time.
+SLICE = 4096
 
 
-def top_candidates(queries: DataFrame, candidates: DataFrame, logit_scale: float = 1.0, k: int = 1) -> DataFrame:
-    """query_id, idx, score: the k candidates of highest sigmoid(dot * exp(logit_scale)); of equal scores (to 12 decimals of
-    the dot product) the smaller idx first.
+def _matrix(table: pa.Table) -> np.ndarray:
+    column = table.column("x").combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
-    Candidates come in blocks, queries in slices; a slice meets a block in one matrix product that keeps its own k best.
-    Each query thus has k rows a block, of which the best k are picked.
-    """
-    blocks = candidates.select("idx", "x").withColumn("block", F.floor(F.col("idx") / BLOCK).cast("long"))
-    packed = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("rows"))
-    n_slices = -(-queries.count() // SLICE) or 1
-    slices = queries.select("query_id", "x").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(n_slices)))
-    gathered = slices.groupBy("slice").agg(F.collect_list(F.struct("query_id", "x")).alias("asking"))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, idx long, d double"
 
-    def best(frames):
-        for frame in frames:
-            for asking, rows in zip(frame["asking"], frame["rows"]):
-                q, c = np.array([list(a["x"]) for a in asking], dtype=float), np.array([list(r["x"]) for r in rows], dtype=float)
-                idx = np.array([r["idx"] for r in rows])
-                d = np.round(q @ c.T, 12)
-                order = np.argsort(-d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat([a["query_id"] for a in asking], order.shape[1]), "idx": idx[order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()})
+def top_candidates(queries: DataFrame, candidates: DataFrame, logit_scale: float = 1.0, k: int = 1, but_itself: bool = False) -> DataFrame:
+    """query_id, idx, score, rank: the k candidates of highest sigmoid(dot * exp(logit_scale)); of equal scores (to 12 decimals
+    of the dot product) the smaller idx first. but_itself: a candidate whose idx is the query's id is no candidate of it.
+
+    Candidates are dealt to blocks and queries to slices; a slice meets a block in one matrix product that keeps its own
+    k best. Both are keyed by (slice, block), so neither side is broadcast or gathered, and each query has k rows a block,
+    of which the best k are picked.
+    """
+    n_slices, n_blocks = max(1, -(-queries.count() // SLICE)), max(1, -(-candidates.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vector = F.col("x").cast("array<double>").alias("x")
+    asking = queries.select("query_id", vector, F.pmod(F.xxhash64("query_id"), F.lit(n_slices)).cast("int").alias("slice"), every(n_blocks).alias("block"))
+    offered = candidates.select("idx", vector, F.pmod(F.xxhash64("idx"), F.lit(n_blocks)).cast("int").alias("block"), every(n_slices).alias("slice"))
+
+    def best(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        ids, idx = asking.column("query_id"), rows.column("idx").to_numpy()
+        if not len(ids) or not len(idx):
+            return pa.table([ids.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "idx", "d"])
+        by = np.argsort(idx)
+        d = np.round(_matrix(asking) @ _matrix(rows)[by].T, 12)
+        if but_itself:
+            d[ids.to_numpy()[:, None] == idx[by][None, :]] = -np.inf
+        order = np.argsort(-d, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(d, order, 1).ravel()
+        there = np.flatnonzero(found > -np.inf)
+        out = ids.take(pa.array(np.repeat(np.arange(len(ids)), order.shape[1])[there]))
+        return pa.table([out, pa.array(idx[by][order].ravel()[there].astype(np.int64)), pa.array(found[there])], names=["query_id", "idx", "d"])
 
     # A stated set of queries against all candidates, block by block.
-    met = gathered.join(packed, F.lit(True)).select("asking", "rows").mapInPandas(best, schema)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, idx long, d double"
+    met = asking.groupBy("slice", "block").cogroup(offered.groupBy("slice", "block")).applyInArrow(best, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("d"), "idx"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "idx", sigmoid(F.col("d") * F.exp(F.lit(float(logit_scale)))).alias("score"), "rank")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,39 +11,89 @@ from pyspark.sql import functions as F
 from strandgraph.functions.sequence import canonical, kmers
 
 
-def portable_hash(s: Column) -> Column:
-    """60 bits of MD5 as a long: other engines can make it too."""
-    return F.conv(F.substring(F.md5(s.cast("binary")), 1, 15), 16, 10).cast("long")
+@dataclass(frozen=True)
+class Hash:
+    """60 bits of a string as a long, and whether they are below a limit, which may be told sooner."""
 
+    of: Callable[[Column], Column]
+    below: Callable[[Column, int], Column]
 
-def fast_hash(s: Column) -> Column:
-    """60 bits of xxHash."""
-    return F.xxhash64(s).bitwiseAND(F.lit((1 << 60) - 1).cast("long"))
 
+def _md5_digits(s: Column) -> Column:
+    return F.substring(F.md5(s.cast("binary")), 1, 15)
 
-def sketch(sequences: DataFrame, k: int, scaled: int, hash_of: Callable[[Column], Column] = fast_hash, id_column: str = "id", seq: str = "seq") -> DataFrame:
+
+#: From MD5: other engines can make it too. Digits of one length are in the order of their numbers.
+PORTABLE = Hash(lambda s: F.conv(_md5_digits(s), 16, 10).cast("long"), lambda s, limit: _md5_digits(s) < f"{limit:015x}")
+_xx = lambda s: F.xxhash64(s).bitwiseAND(F.lit((1 << 60) - 1).cast("long"))
+FAST = Hash(_xx, lambda s, limit: _xx(s) < limit)
+
+
+def sketch(sequences: DataFrame, k: int, scaled: int, hashed: Hash = FAST, id_column: str = "id", seq: str = "seq") -> DataFrame:
     """id, hash, abund: the canonical k-mers whose hash is below 2**60 / scaled, with their number of occurrences.
 
     Most k-mers go before anything is shuffled. Sequences shorter than k have none.
     """
     long_enough = sequences.filter(F.length(seq) >= k).select(F.col(id_column).alias("id"), F.col(seq).alias("seq"))
-    hashed = kmers(long_enough, "seq", k).select("id", hash_of(canonical(F.col("kmer"))).alias("hash"))
-    return hashed.filter(F.col("hash") < (1 << 60) // scaled).groupBy("id", "hash").agg(F.count("*").alias("abund"))
+    each = kmers(long_enough, "seq", k).select("id", canonical(F.col("kmer")).alias("kmer"))
+    kept = each.filter(hashed.below(F.col("kmer"), (1 << 60) // scaled))
+    return kept.select("id", hashed.of(F.col("kmer")).alias("hash")).groupBy("id", "hash").agg(F.count("*").alias("abund"))
 
 
 def jaccard_pairs(queries: DataFrame, references: DataFrame, threshold: float = 0.0) -> DataFrame:
     """query_id, ref_id, score of sketches that share a hash, from a threshold on.
 
-    Sizes go along with the hashes, so that pairs whose sizes alone rule out the threshold aren't made.
+    With a threshold t, two sets that reach it share ceil(t n) hashes or more, so they share one of each one's
+    n - ceil(t n) + 1 rarest: pairs are made from these alone, without those whose sizes rule the threshold out, and then
+    the whole sets are compared.
     """
     q = queries.select(F.col("id").alias("query_id"), "hash").distinct()
     r = references.select(F.col("id").alias("ref_id"), "hash").distinct()
-    q = q.join(q.groupBy("query_id").agg(F.count("*").alias("nq")), "query_id")
-    r = r.join(r.groupBy("ref_id").agg(F.count("*").alias("nr")), "ref_id")
-    close = (F.least("nq", "nr") >= threshold * F.greatest("nq", "nr")) if threshold > 0 else F.lit(True)
-    both = q.join(r, "hash").filter(close).groupBy("query_id", "ref_id", "nq", "nr").agg(F.count("*").alias("common"))
-    score = F.col("common") / (F.col("nq") + F.col("nr") - F.col("common"))
-    return both.select("query_id", "ref_id", score.alias("score")).filter(F.col("score") >= threshold)
+    if threshold <= 0:
+        q = q.join(q.groupBy("query_id").agg(F.count("*").alias("nq")), "query_id")
+        r = r.join(r.groupBy("ref_id").agg(F.count("*").alias("nr")), "ref_id")
+        both = q.join(r, "hash").groupBy("query_id", "ref_id", "nq", "nr").agg(F.count("*").alias("common"))
+        return both.select("query_id", "ref_id", (F.col("common") / (F.col("nq") + F.col("nr") - F.col("common"))).alias("score"))
+    seen = r.groupBy("hash").agg(F.count("*").alias("df"))
+    a, b = _ranked(q, seen, "query_id", threshold), _ranked(r, seen, "ref_id", threshold)
+    pairs = _met(a, b, threshold)
+    return _verified(pairs, a, b, threshold)
+
+
+def similar_pairs(sketches: DataFrame, threshold: float) -> DataFrame:
+    """query_id < ref_id, score: the pairs of one table's sketches from a threshold above 0 on, each once. See jaccard_pairs."""
+    rows = sketches.select(F.col("id").alias("query_id"), "hash").distinct()
+    a = _ranked(rows, rows.groupBy("hash").agg(F.count("*").alias("df")), "query_id", threshold)
+    b = a.withColumnsRenamed({"query_id": "ref_id"})
+    return _verified(_met(a, b, threshold).filter("query_id < ref_id"), a, b, threshold)
+
+
+def _ranked(rows: DataFrame, seen: DataFrame, key: str, threshold: float) -> DataFrame:
+    """key, hashes, n, head: each set as an array, and its hashes that pairs are made from. Hashes that no reference has have
+    no partner, but count as a set's."""
+    ranks = rows.join(seen, "hash", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("h"))
+    n = F.size("h")
+    # A trifle less than the product, so that rounding makes a head longer, never shorter.
+    head = F.slice("h", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    return ranks.select(key, F.col("h.hash").alias("hashes"), n.alias("n"), F.transform(F.filter(head, lambda x: x["df"].isNotNull()), lambda x: x["hash"]).alias("head"))
+
+
+def _met(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    q = a.select("query_id", F.col("n").alias("nq"), F.explode("head").alias("hash"))
+    r = b.select("ref_id", F.col("n").alias("nr"), F.explode("head").alias("hash"))
+    close = F.least("nq", "nr") >= F.lit(threshold) * F.greatest("nq", "nr") - 1e-9
+    return q.join(r, "hash").filter(close).select("query_id", "ref_id").distinct()
+
+
+def _verified(pairs: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    full = pairs.join(a.select("query_id", F.col("hashes").alias("x")), "query_id").join(b.select("ref_id", F.col("hashes").alias("y")), "ref_id")
+    common = F.size(F.array_intersect("x", "y"))
+    counted = full.select("query_id", "ref_id", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
+    return counted.select("query_id", "ref_id", (F.col("common") / (F.col("sum") - F.col("common"))).alias("score")).filter(F.col("score") >= threshold)
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("ref_id").alias("query_id"), F.col("query_id").alias("ref_id"), "score"))
 
 
 def similarity_edges(pairs: DataFrame, threshold: float, edge_type: str, both_ways: bool = False) -> DataFrame:

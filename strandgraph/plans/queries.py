@@ -49,12 +49,12 @@ def _kmer_sql(k: int, wanted: str) -> str:
 
 @query(_kmer_sql(4, "kmer"))
 def kmers(spark, d):
-    return seqf.kmers(st.sequences(spark, d), "seq", 4).groupBy("kmer").agg(F.count("*").alias("n"))
+    return seqf.kmer_counts(st.sequences(spark, d), "seq", 4)
 
 
 @query(_kmer_sql(5, "least(kmer, reverse(translate(kmer, 'ACGTNacgtn', 'TGCANtgcan')))"))
 def canonical_kmers(spark, d):
-    return seqf.kmers(st.sequences(spark, d), "seq", 5).groupBy(seqf.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+    return seqf.kmer_counts(st.sequences(spark, d), "seq", 5).groupBy(seqf.canonical(F.col("kmer")).alias("kmer")).agg(F.sum("n").alias("n"))
 
 
 @query(f"SELECT doc_id AS seq_id, md5(reverse(translate({st.DNA_SQL}, 'ACGTNacgtn', 'TGCANtgcan'))) AS digest FROM documents")
@@ -63,34 +63,62 @@ def reverse_complement(spark, d):
 
 
 K, WINDOW, STRIDE, MOST = 4, 50, 30, 8
-_STARTS = f"""WITH s AS (SELECT doc_id AS seq_id, {st.DNA_SQL} AS s FROM documents), n AS (SELECT *, greatest(length(s) - {K - 1}, 1) AS n FROM s),
-a AS (SELECT *, CASE WHEN n <= {WINDOW} THEN [0::BIGINT] ELSE list_concat(range(0, n - {WINDOW} + 1, {STRIDE}), CASE WHEN {STRIDE} * ((n - {WINDOW}) // {STRIDE} + 1) < n THEN [n - {WINDOW}] ELSE []::BIGINT[] END) END AS starts FROM n)"""
-_SAMPLED = f"{_STARTS}, b AS (SELECT *, CASE WHEN len(starts) <= {MOST} THEN starts ELSE list_transform(range({MOST}), lambda i: starts[i * len(starts) // {MOST} + 1]) END AS picked FROM a)"
 
 
-@query(f"{_STARTS} SELECT seq_id, i - 1 AS win_idx, starts[i] AS start FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS i FROM a)")
-def windows(spark, d):
+def _starts_sql(width: int, stride: int, most: int) -> str:
+    """CTEs that end in b(seq_id, s, picked): starts of the windows of each sequence, `most` at most."""
+    return f"""WITH s AS (SELECT doc_id AS seq_id, {st.DNA_SQL} AS s FROM documents), n AS (SELECT *, greatest(length(s) - {K - 1}, 1) AS n FROM s),
+    a AS (SELECT *, CASE WHEN n <= {width} THEN [0::BIGINT] ELSE list_concat(range(0, n - {width} + 1, {stride}), CASE WHEN {stride} * ((n - {width}) // {stride} + 1) < n THEN [n - {width}] ELSE []::BIGINT[] END) END AS starts FROM n),
+    b AS (SELECT *, CASE WHEN len(starts) <= {most} THEN starts ELSE list_transform(range({most}), lambda i: starts[i * len(starts) // {most} + 1]) END AS picked FROM a)"""
+
+
+def _windows(spark, d, most=None):
     n = F.greatest(F.length("seq") - K + 1, F.lit(1))
-    rows = st.sequences(spark, d).select("seq_id", F.posexplode(seqf.window_starts(n, WINDOW, STRIDE)).alias("win_idx", "start"))
-    return rows.select("seq_id", F.col("win_idx").cast("long").alias("win_idx"), F.col("start").cast("long").alias("start"))
+    w = seqf.Windows(F.col("n"), WINDOW, STRIDE, most)
+    rows = st.sequences(spark, d).select("seq_id", n.alias("n")).select("seq_id", "n", F.explode(F.sequence(F.lit(0), w.count() - 1)).alias("win_idx"))
+    return rows.select("seq_id", F.col("win_idx").cast("long").alias("win_idx"), w.start(F.col("win_idx")).cast("long").alias("start"))
+
+
+@query(f"{_starts_sql(WINDOW, STRIDE, MOST)} SELECT seq_id, i - 1 AS win_idx, starts[i] AS start FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS i FROM a)")
+def windows(spark, d):
+    return _windows(spark, d)
 
 
-@query(f"{_SAMPLED} SELECT seq_id, i - 1 AS win_idx, picked[i] AS start FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS i FROM b)")
+@query(f"{_starts_sql(WINDOW, STRIDE, MOST)} SELECT seq_id, i - 1 AS win_idx, picked[i] AS start FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS i FROM b)")
 def windows_sampled(spark, d):
-    n = F.greatest(F.length("seq") - K + 1, F.lit(1))
-    rows = st.sequences(spark, d).select("seq_id", F.posexplode(seqf.evenly(seqf.window_starts(n, WINDOW, STRIDE), MOST)).alias("win_idx", "start"))
-    return rows.select("seq_id", F.col("win_idx").cast("long").alias("win_idx"), F.col("start").cast("long").alias("start"))
+    """The cap is what this one is about."""
+    return _windows(spark, d, MOST)
 
 
-@query(
-    f"""{_SAMPLED}, w AS (SELECT seq_id, i - 1 AS win_idx, substring(s, picked[i] + 1, {WINDOW + K - 1}) AS t FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS i FROM b))
-    SELECT seq_id, win_idx, md5(array_to_string(list_transform(range(1, greatest(length(t) - {K - 1}, 1) + 1), lambda i: substring(t, i, {K})), ' ')) AS digest FROM w"""
-)
+#: How sequences are embedded: windows side by side over the whole sequence, and how many of a very long one.
+TOKENS, STEP, CAP = 510, 510, 800
+_CUT = f"{_starts_sql(TOKENS, STEP, CAP)}, w AS (SELECT seq_id, i - 1 AS win_idx, substring(s, picked[i] + 1, {TOKENS + K - 1}) AS t FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS i FROM b))"
+
+
+@query(f"{_CUT} SELECT seq_id, win_idx, md5(array_to_string(list_transform(range(1, greatest(length(t) - {K - 1}, 1) + 1), lambda i: substring(t, i, {K})), ' ')) AS digest FROM w")
 def window_text(spark, d):
-    rows = embed.windows(st.sequences(spark, d), K, WINDOW, STRIDE, MOST)
+    rows = embed.windows(st.sequences(spark, d), K, TOKENS, STEP, CAP)
     return rows.select("seq_id", F.col("win_idx").cast("long").alias("win_idx"), F.md5(embed.kmer_text(F.col("text"), K)).alias("digest"))
 
 
+@query(
+    f"""{_CUT} SELECT seq_id, '+' AS strand, win_idx, md5(t) AS digest FROM w UNION ALL
+    SELECT seq_id, '-', i - 1, md5(substring(reverse(translate(s, 'ACGTNacgtn', 'TGCANtgcan')), picked[i] + 1, {TOKENS + K - 1})) FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS i FROM b)"""
+)
+def strand_windows(spark, d):
+    """Windows of both strands."""
+    rows = embed.windows(st.sequences(spark, d), K, TOKENS, STEP, CAP, both_strands=True)
+    return rows.select("seq_id", "strand", F.col("win_idx").cast("long").alias("win_idx"), F.md5("text").alias("digest"))
+
+
+@query(f"{_CUT} SELECT seq_id, win_idx, md5(array_to_string(list_transform(range(1, least(greatest(length(t) - {K - 1}, 1), 130) + 1), lambda i: substring(t, i, {K})), ' ')) AS digest FROM w")
+def truncated_tokens(spark, d):
+    """A window's tokens as a model of 128 and two marks takes them."""
+    rows = embed.windows(st.sequences(spark, d), K, TOKENS, STEP, CAP)
+    tokens = F.array_join(seqf.truncated(F.split(embed.kmer_text(F.col("text"), K), " "), 128), " ")
+    return rows.select("seq_id", F.col("win_idx").cast("long").alias("win_idx"), F.md5(tokens).alias("digest"))
+
+
 @query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[*#+]+$', ''), '[^{seqf.AMINO_ACIDS}]', 'X', 'g')) AS digest FROM documents WHERE text <> ''")
 def protein_clean(spark, d):
     return table(spark, d, "documents").filter("text <> ''").select("doc_id", F.md5(seqf.clean_protein(F.col("text"))).alias("digest"))
@@ -99,7 +127,7 @@ def protein_clean(spark, d):
 # Sketches
 
 
-SKETCH_K, SCALED = 11, 20
+SKETCH_K, SCALED = 21, 20
 _SKETCH = f"""WITH s AS (SELECT doc_id AS id, {st.DNA_SQL} AS s FROM documents),
 k AS (SELECT id, substring(s, i::BIGINT, {SKETCH_K}) AS k FROM (SELECT id, s, unnest(range(1, length(s) - {SKETCH_K - 1} + 1)) AS i FROM s WHERE length(s) >= {SKETCH_K})),
 sk AS (SELECT id, hash, count(*) AS abund FROM (SELECT id, ('0x' || substr(md5(least(k, reverse(translate(k, 'ACGTNacgtn', 'TGCANtgcan')))), 1, 15))::BIGINT AS hash FROM k) WHERE hash < {(1 << 60) // SCALED} GROUP BY ALL),
@@ -108,12 +136,11 @@ pairs AS (SELECT a.id AS query_id, b.id AS ref_id, count(*) / (any_value(x.n) +
 
 
 def _sketches(spark, d):
-    return sk.sketch(st.sequences(spark, d), SKETCH_K, SCALED, sk.portable_hash, "seq_id")
+    return sk.sketch(st.sequences(spark, d), SKETCH_K, SCALED, sk.PORTABLE, "seq_id")
 
 
 def _pairs(spark, d, threshold=0.8):
-    sketches = cut(_sketches(spark, d), "sketch")
-    return sk.jaccard_pairs(sketches, sketches, threshold).filter("query_id <> ref_id")
+    return sk.both_ways(cut(sk.similar_pairs(cut(_sketches(spark, d), "sketch"), threshold), "pairs"))
 
 
 @query(f"{_SKETCH} SELECT id, hash, abund FROM sk")
@@ -131,6 +158,19 @@ def similarity_edges(spark, d):
     return sk.similarity_edges(_pairs(spark, d), 0.8, "sequence-sequence").withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    f"""{_SKETCH}, q AS (SELECT item_id AS query_id, {st.DNA_SQL} AS s FROM benchmark), qk AS (SELECT query_id, substring(s, i::BIGINT, {SKETCH_K}) AS k FROM (SELECT query_id, s, unnest(range(1, length(s) - {SKETCH_K - 1} + 1)) AS i FROM q WHERE length(s) >= {SKETCH_K})),
+    qs AS (SELECT DISTINCT query_id, hash FROM (SELECT query_id, ('0x' || substr(md5(least(k, reverse(translate(k, 'ACGTNacgtn', 'TGCANtgcan')))), 1, 15))::BIGINT AS hash FROM qk) WHERE hash < {(1 << 60) // SCALED}),
+    qn AS (SELECT query_id, count(*) AS n FROM qs GROUP BY 1), p AS (SELECT query_id, id AS ref_id, count(*) AS c FROM qs JOIN sk USING (hash) GROUP BY 1, 2)
+    SELECT query_id, ref_id, round(c / (qn.n + sz.n - c), 6) AS score FROM p JOIN qn USING (query_id) JOIN sz ON sz.id = ref_id WHERE c / (qn.n + sz.n - c) >= 0.05"""
+)
+def query_pairs(spark, d):
+    """Benchmark items as queries against all documents' sketches."""
+    q = table(spark, d, "benchmark").select("item_id", st.dna(F.col("text")).alias("seq"))
+    asked = sk.sketch(q, SKETCH_K, SCALED, sk.PORTABLE, "item_id")
+    return sk.jaccard_pairs(asked, _sketches(spark, d), 0.05).select("query_id", "ref_id", F.round("score", 6).alias("score"))
+
+
 @query(
     f"""{_SKETCH}, best AS (SELECT query_id, ref_id, score FROM pairs WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) = 1)
     SELECT d.doc_id AS query_id, b.ref_id, coalesce(r.lang, 'unknown_' || d.doc_id) AS top_label, round(b.score, 6) AS score FROM documents d LEFT JOIN best b ON b.query_id = d.doc_id LEFT JOIN documents r ON r.doc_id = b.ref_id"""
@@ -202,12 +242,13 @@ def cosine_pairs(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS idx, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS d FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0)
+    """WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS idx, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS d FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
     SELECT query_id, idx, round(1 / (1 + exp(-d * exp(0.5))), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, idx) AS rank FROM p QUALIFY rank <= 3"""
 )
 def score_topk(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    top = scoring.top_candidates(rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows.filter("vec_id % 20 <> 0").withColumnRenamed("vec_id", "idx"), 0.5, 3)
+    # The stated set of queries, against all rows but the query's own.
+    top = scoring.top_candidates(rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "idx"), 0.5, 3, but_itself=True)
     return top.select("query_id", "idx", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -231,20 +272,23 @@ def ancestor_rank(spark, d):
     return hierarchy.ancestors(tree, starts, "region")
 
 
-@query("SELECT s_suppkey AS idx, s_nationkey AS taxid, coalesce(n_name, 'unknown_' || s_nationkey) AS species FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON n_nationkey = s_nationkey")
+@query("SELECT doc_id AS idx, coalesce(quality, -1) AS taxid, coalesce(n_name, 'unknown_' || coalesce(quality::VARCHAR, '-1')) AS species FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN nation ON n_nationkey = quality")
 def species_label(spark, d):
-    species = table(spark, d, "nation").filter("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("taxid"), F.col("n_name").alias("species"))
-    return hierarchy.with_species(table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_nationkey").alias("taxid")), species).select("idx", "taxid", "species")
+    """Labels cover some of the documents only; the others have no name."""
+    species = table(spark, d, "nation").select(F.col("n_nationkey").alias("taxid"), F.col("n_name").alias("species"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("idx")).join(table(spark, d, "labels").select(F.col("doc_id").alias("idx"), F.col("quality").alias("taxid")), "idx", "left")
+    return hierarchy.with_species(rows.fillna({"taxid": -1}), species).select("idx", "taxid", "species")
 
 
 @query(
-    """SELECT s_suppkey AS idx, s_suppkey AS host, coalesce(taxid, -1) AS taxid FROM supplier LEFT JOIN
-    (SELECT l_suppkey AS host, nullif(l_partkey % 7, 0) AS taxid FROM lineitem WHERE l_suppkey % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) = 1) ON host = s_suppkey"""
+    """SELECT c_custkey AS idx, c_custkey AS host, coalesce(taxid, -1) AS taxid FROM customer LEFT JOIN
+    (SELECT o_custkey AS host, nullif(o_orderkey % 7, 0) AS taxid FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) ON host = c_custkey"""
 )
 def host_taxid(spark, d):
-    catalog = table(spark, d, "lineitem").filter("l_suppkey % 5 <> 0").select(F.col("l_suppkey").alias("host"), F.nullif(F.col("l_partkey") % 7, F.lit(0)).alias("taxid"), "l_orderkey", "l_linenumber")
-    hosts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_suppkey").alias("host"))
-    return hierarchy.host_taxids(hosts, catalog, F.struct("l_orderkey", "l_linenumber"))
+    """Customers without orders are hosts that the catalog lacks; some first rows have no taxid."""
+    catalog = table(spark, d, "orders").select(F.col("o_custkey").alias("host"), F.nullif(F.col("o_orderkey") % 7, F.lit(0)).alias("taxid"), "o_orderdate", "o_orderkey")
+    hosts = table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_custkey").alias("host"))
+    return hierarchy.host_taxids(hosts, catalog, F.struct("o_orderdate", "o_orderkey"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
@@ -357,30 +401,32 @@ def graph_store(spark, d):
 
 
 @query(
-    """WITH q AS (SELECT c_custkey, row_number() OVER (ORDER BY lpad(c_custkey::VARCHAR, 12, '0')) + (SELECT count(*) FROM supplier) - 1 AS idx FROM customer WHERE c_custkey % 10 = 0),
-    p AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY lpad(o_orderkey::VARCHAR, 12, '0')) - 1 AS idx FROM orders WHERE o_custkey % 10 = 0),
-    s AS (SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY lpad(s_suppkey::VARCHAR, 12, '0')) - 1 AS idx FROM supplier)
-    SELECT 'interacts' AS rel, s.idx AS src, q.idx AS dst FROM q JOIN customer c ON c.c_custkey = q.c_custkey JOIN s ON s_nationkey = c_nationkey
+    """WITH q AS (SELECT c_custkey, row_number() OVER (ORDER BY lpad(c_custkey::VARCHAR, 12, '0')) + (SELECT count(*) FROM supplier) - 1 AS idx FROM customer),
+    p AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY lpad(o_orderkey::VARCHAR, 12, '0')) - 1 AS idx FROM orders),
+    s AS (SELECT s_suppkey, row_number() OVER (ORDER BY lpad(s_suppkey::VARCHAR, 12, '0')) - 1 AS idx FROM supplier)
+    SELECT 'interacts' AS rel, s.idx AS src, q.idx AS dst FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) JOIN q ON c_custkey = o_custkey JOIN s ON s_suppkey = l_suppkey
     UNION ALL SELECT 'encodes', q.idx, p.idx FROM p JOIN q ON c_custkey = o_custkey UNION ALL SELECT 'encoded_by', p.idx, q.idx FROM p JOIN q ON c_custkey = o_custkey"""
 )
 def attach_batch(spark, d):
-    """All of a batch's queries attached in one plan: customers as queries, orders as their proteins, suppliers as the graph."""
+    """All of a batch's queries attached in one plan: customers as queries, orders as their proteins, suppliers as the graph, and
+    whom a customer bought from as similar."""
     pad = lambda c, p="": F.concat(F.lit(p), F.lpad(F.col(c).cast("string"), 12, "0"))
     empty = F.array().cast("array<double>")
     old = cut(graph.dense_index(table(spark, d, "supplier").select(F.lit("phage").alias("ntype"), pad("s_suppkey", "s").alias("id"), empty.alias("x")), "ntype", "id").select("ntype", "idx", "id", "x"), "nodes")
-    customers = table(spark, d, "customer").filter("c_custkey % 10 = 0")
-    queries = customers.select(pad("c_custkey", "t").alias("query_id"), empty.alias("x"))
-    proteins = table(spark, d, "orders").filter("o_custkey % 10 = 0").select(pad("o_custkey", "t").alias("query_id"), pad("o_orderkey").alias("protein_id"), empty.alias("x"))
-    near = customers.join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("c_nationkey")).select(pad("c_custkey", "t").alias("query_id"), pad("s_suppkey", "s").alias("src_id"), pad("c_custkey", "t").alias("dst_id"))
+    orders = table(spark, d, "orders")
+    queries = table(spark, d, "customer").select(pad("c_custkey", "t").alias("query_id"), empty.alias("x"))
+    proteins = orders.select(pad("o_custkey", "t").alias("query_id"), pad("o_orderkey").alias("protein_id"), empty.alias("x"))
+    bought = orders.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    near = bought.select(pad("o_custkey", "t").alias("query_id"), pad("l_suppkey", "s").alias("src_id"), pad("o_custkey", "t").alias("dst_id"))
     none = near.limit(0).select(F.lit("").alias("src_type"), F.lit("").alias("rel"), F.lit("").alias("dst_type"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"))
     _, edges, _ = graph.attach_queries(old, none, queries, proteins, near)
     return edges.select("rel", "src", "dst")
 
 
-@query("SELECT 'customer' AS ntype, count(*) AS n, 8 AS width FROM customer UNION ALL SELECT 'part', count(*), 8 FROM part")
+@query("SELECT name AS ntype, n, (SELECT max(len(embedding)) FROM embeddings) AS width FROM (SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'part', count(*) FROM part)")
 def feature_widths(spark, d):
     of = lambda name, key: st.features(spark, d, table(spark, d, name).select(F.col(key).alias("idx"))).withColumn("ntype", F.lit(name))
-    return graph.sizes(of("customer", "c_custkey").unionByName(of("part", "p_partkey"))).select("ntype", F.col("count").alias("n"), "width")
+    return graph.checked_sizes(of("customer", "c_custkey").unionByName(of("part", "p_partkey"))).select("ntype", F.col("count").alias("n"), "width")
 
 
 # Attention
@@ -394,13 +440,21 @@ def segment_softmax(spark, d):
     return w.join(total, "l_orderkey").select("l_orderkey", "l_linenumber", F.round(F.col("weight") / F.col("total"), 6).alias("weight"))
 
 
-def attention(shift: int) -> att.Attention:
-    n = st.HEADS * st.DIM
-    return att.Attention(st.weights(n, st.WIDTH, shift), st.weights(n, st.WIDTH, shift + 1), st.weights(st.HEADS, st.DIM, shift + 2), st.weights(1, st.DIM, shift + 3)[0])
+def attention(shift: int, width: int, dim: int = st.DIM) -> att.Attention:
+    n = st.HEADS * dim
+    return att.Attention(st.weights(n, width, shift), st.weights(n, width, shift + 1), st.weights(st.HEADS, dim, shift + 2), st.weights(1, dim, shift + 3)[0])
+
+
+#: Where the gate's weights come from: shifts of its first map, that one's bias, and its second.
+GATE = (8, 4, 9)
+
+
+def gate(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return st.weights(3, dim, GATE[0]), st.weights(1, 3, GATE[1])[0], st.weights(1, 3, GATE[2])[0]
 
 
-def _side(spark, d, name, key, width=st.WIDTH):
-    return st.features(spark, d, table(spark, d, name).select(F.col(key).alias("idx")), width)
+def _side(spark, d, name, key):
+    return st.features(spark, d, table(spark, d, name).select(F.col(key).alias("idx")))
 
 
 def _out_rows(df):
@@ -408,18 +462,18 @@ def _out_rows(df):
 
 
 def _two_relations(spark, d):
-    parts = cut(_side(spark, d, "part", "p_partkey"), "parts")
-    buys = att.attended(st.purchases(spark, d), _side(spark, d, "customer", "c_custkey"), parts, attention(0))
-    supplied = att.attended(st.supplies(spark, d).filter("dst % 4 <> 0"), _side(spark, d, "supplier", "s_suppkey"), parts, attention(5))
+    parts, width = cut(_side(spark, d, "part", "p_partkey"), "parts"), st.feature_width(spark, d)
+    buys = att.attended(st.purchases(spark, d), _side(spark, d, "customer", "c_custkey"), parts, attention(0, width))
+    supplied = att.attended(st.supplies(spark, d), _side(spark, d, "supplier", "s_suppkey"), parts, attention(5, width))
     return parts, buys, supplied
 
 
-_TWO = f"WITH {st.FEATURES_SQL}, most AS (SELECT * FROM supplies WHERE dst % 4 <> 0), {st.attended_sql('a', 'buys', 'cust', 'prt', 0)}, {st.attended_sql('b', 'most', 'supp', 'prt', 5)}"
+_TWO = f"WITH {st.FEATURES_SQL}, {st.attended_sql('a', 'buys', 'cust', 'prt', 0)}, {st.attended_sql('b', 'supplies', 'supp', 'prt', 5)}"
 
 
 @query(f"WITH {st.FEATURES_SQL}, {st.attended_sql('a', 'buys', 'cust', 'prt', 0)} SELECT idx, pos, round(v, 6) AS value FROM a")
 def gat_layer(spark, d):
-    return _out_rows(att.attended(st.purchases(spark, d), _side(spark, d, "customer", "c_custkey"), _side(spark, d, "part", "p_partkey"), attention(0)))
+    return _out_rows(att.attended(st.purchases(spark, d), _side(spark, d, "customer", "c_custkey"), _side(spark, d, "part", "p_partkey"), attention(0, st.feature_width(spark, d))))
 
 
 @query(f"{_TWO} SELECT idx, pos, round(greatest(a.v + b.v, 0), 6) AS value FROM a JOIN b USING (idx, pos)")
@@ -428,16 +482,10 @@ def gat_sum(spark, d):
     return _out_rows(att.summed(buys.unionByName(supplied)))
 
 
-_GATE = f"""list_sum(list_transform(range(3), lambda i: {st.weight_sql("0", "i", 9)} * tanh(list_sum(list_transform(range({st.DIM}), lambda j: {st.weight_sql("i", "j", 8)} * vs[j + 1])) + {st.weight_sql("0", "i", 4)})))"""
-
-
-@query(
-    f"""{_TWO}, outs AS (SELECT 'a' AS r, idx, list(v ORDER BY pos) AS vs FROM a GROUP BY ALL UNION ALL SELECT 'b', idx, list(v ORDER BY pos) FROM b GROUP BY ALL),
-    g AS (SELECT *, exp({_GATE}) AS w FROM outs) SELECT idx, pos, round(sum(w * vs[pos + 1]) / sum(w), 6) AS value FROM g, range({st.DIM}) t(pos) GROUP BY idx, pos"""
-)
+@query(f"{_TWO}, {st.gated_sql('g', ['a', 'b'], st.DIM)} SELECT idx, pos, round(v, 6) AS value FROM g")
 def relation_gate(spark, d):
     _, buys, supplied = _two_relations(spark, d)
-    return _out_rows(att.gated(buys.unionByName(supplied), st.weights(3, st.DIM, 8), st.weights(1, 3, 4)[0], st.weights(1, 3, 9)[0]))
+    return _out_rows(att.gated(buys.unionByName(supplied), *gate(st.DIM)))
 
 
 @query(
@@ -453,77 +501,101 @@ def edge_attr_coerce(spark, d):
     return out.select("l_orderkey", "l_linenumber", F.round(F.col("attr")[0], 6).alias("first"), F.round(F.col("attr")[1], 6).alias("second"))
 
 
-def model(width: int = st.WIDTH) -> tuple[dict, list[att.Layer], tuple[np.ndarray, np.ndarray]]:
-    """A small model with closed-form weights over customers, parts and suppliers."""
-
-    def a(shift):
-        n = st.HEADS * width
-        return att.Attention(st.weights(n, width, shift), st.weights(n, width, shift + 1), st.weights(st.HEADS, width, shift + 2), st.weights(1, width, shift + 3)[0])
-
-    relations = {("customer", "buys", "part"): a(0), ("part", "bought_by", "customer"): a(1), ("supplier", "supplies", "part"): a(2), ("part", "supplied_by", "supplier"): a(3)}
-    one = att.Layer(relations, st.weights(3, width, 8), st.weights(1, 3, 4)[0], st.weights(1, 3, 9)[0])
-    inputs = {k: (st.weights(width, width, i), st.weights(1, width, i)[0]) for i, k in enumerate(("customer", "part", "supplier"))}
-    return inputs, [one, one], (st.weights(width, width, 6), st.weights(1, width, 7)[0])
+def model(width: int) -> tuple[dict, list[att.Layer], tuple[np.ndarray, np.ndarray]]:
+    """A small model with closed-form weights over customers, parts and suppliers: features of `width` numbers become states of
+    HIDDEN, which two layers update."""
+    n = st.HIDDEN
+    relations = {("customer", "buys", "part"): 0, ("part", "bought_by", "customer"): 1, ("supplier", "supplies", "part"): 2, ("part", "supplied_by", "supplier"): 3}
+    one = att.Layer({r: attention(shift, n, n) for r, shift in relations.items()}, *gate(n))
+    inputs = {k: (st.weights(n, width, i), st.weights(1, n, i)[0]) for i, k in enumerate(("customer", "part", "supplier"))}
+    return inputs, [one, one], (st.weights(n, n, 6), st.weights(1, n, 7)[0])
 
 
 def _embedded(spark, d):
     """The model over whole vectors, as wide as they are."""
     nodes = None
     for name, key in (("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey")):
-        side = _side(spark, d, name, key, None).select(F.lit(name).alias("ntype"), "idx", "x")
+        side = _side(spark, d, name, key).select(F.lit(name).alias("ntype"), "idx", "x")
         nodes = side if nodes is None else nodes.unionByName(side)
     kind = lambda e, s, r, t: e.select(F.lit(s).alias("src_type"), F.lit(r).alias("rel"), F.lit(t).alias("dst_type"), "src", "dst")
     edges = graph.both_directions(kind(st.purchases(spark, d), "customer", "buys", "part"), "bought_by").unionByName(graph.both_directions(kind(st.supplies(spark, d), "supplier", "supplies", "part"), "supplied_by"))
     inputs, layers, final = model(st.feature_width(spark, d))
-    return att.embedded(cut(nodes, "nodes"), cut(edges, "edges"), inputs, layers, final)
+    return {k: cut(v, "state") for k, v in att.embedded(cut(nodes, "nodes"), cut(edges, "edges"), inputs, layers, final).items()}
+
+
+_MODEL = st.model_sql()
 
 
-@query()
+@query(f"{_MODEL} " + " UNION ALL ".join(f"SELECT '{name}' AS ntype, idx, i - 1 AS pos, round(x[i], 6) AS value FROM (SELECT *, unnest(range(1, {st.HIDDEN + 1})) AS i FROM {kind}_z)" for kind, name in (("cust", "customer"), ("prt", "part"), ("supp", "supplier"))))
 def gat_embed(spark, d):
     parts = None
     for kind, df in _embedded(spark, d).items():
-        rows = df.select(F.lit(kind).alias("ntype"), "idx", F.posexplode("x").alias("pos", "value")).withColumn("value", F.round("value", 6))
+        rows = df.select(F.lit(kind).alias("ntype"), "idx", F.posexplode("x").alias("pos", "value")).select("ntype", "idx", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
         parts = rows if parts is None else parts.unionByName(rows)
     return parts
 
 
-@query()
-def score_hosts(spark, d):
+# Ties: dot products to 12 decimals, the smaller idx first.
+_BEST = """best AS (SELECT c.idx AS query_id, s.idx, round(list_dot_product(c.x, s.x), 12) AS d FROM cust_z c CROSS JOIN supp_z s QUALIFY row_number() OVER (PARTITION BY c.idx ORDER BY d DESC, s.idx) = 1)"""
+
+
+def _best(spark, d):
     state = _embedded(spark, d)
-    return scoring.top_candidates(state["customer"].withColumnRenamed("idx", "query_id"), state["supplier"], 1.0, 1).select("query_id", "idx", F.round("score", 6).alias("score"))
+    return scoring.top_candidates(state["customer"].withColumnRenamed("idx", "query_id"), state["supplier"], 1.0, 1)
+
 
+@query(f"{_MODEL}, {_BEST} SELECT query_id, idx, round(1 / (1 + exp(-d * exp(1))), 6) AS score FROM best")
+def score_hosts(spark, d):
+    return _best(spark, d).select("query_id", "idx", F.round("score", 6).alias("score"))
 
-@query()
+
+@query(f"{_MODEL} SELECT src, dst, round(list_dot_product(a.x, b.x) * exp(1), 6) AS logit FROM buys JOIN cust_z a ON a.idx = src JOIN prt_z b ON b.idx = dst")
 def link_decode(spark, d):
     state = _embedded(spark, d)
     out = scoring.decoded_pairs(st.purchases(spark, d), state["customer"], state["part"])
     return out.select("src", "dst", F.round("logit", 6).alias("logit"))
 
 
-@query()
+_BOTH_ENDS = "list_concat(a.x, b.x)"
+_MLP = f"list_sum(list_transform(range(6), lambda k: {st.weight_sql('0', 'k', 4)} * greatest(h[k + 1], 0))) + 0.25"
+
+
+@query(
+    f"""WITH {st.FEATURES_SQL}, h AS (SELECT src, dst, list_transform(range(6), lambda i: list_sum(list_transform(range(len(a.x) + len(b.x)), lambda j: {st.weight_sql('i', 'j', 2)} * {_BOTH_ENDS}[j + 1])) + {st.weight_sql('0', 'i', 3)}) AS h FROM buys JOIN cust a ON a.idx = src JOIN prt b ON b.idx = dst)
+    SELECT src, dst, round({_MLP}, 6) AS logit FROM h"""
+)
+def link_decode_network(spark, d):
+    """The decoder of two linear maps, over both ends' features."""
+    width = 2 * st.feature_width(spark, d)
+    out = scoring.decoded_by_network(st.purchases(spark, d), _side(spark, d, "customer", "c_custkey"), _side(spark, d, "part", "p_partkey"), st.weights(6, width, 2), st.weights(1, 6, 3)[0], st.weights(1, 6, 4)[0], 0.25)
+    return out.select("src", "dst", F.round("logit", 6).alias("logit"))
+
+
+@query(
+    f"""{_MODEL}, {_BEST} SELECT query_id, coalesce(n_name, 'unknown_' || (coalesce(s_nationkey + 100, -1))) AS top_species, coalesce(r_name, 'NA') AS top_genus, round(1 / (1 + exp(-d * exp(1))), 6) AS score
+    FROM best LEFT JOIN supplier ON s_suppkey = idx LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"""
+)
 def predict_labels(spark, d):
-    state = _embedded(spark, d)
-    best = scoring.top_candidates(state["customer"].withColumnRenamed("idx", "query_id"), state["supplier"], 1.0, 1)
     hosts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), (F.col("s_nationkey") + 100).cast("long").alias("taxid"))
     species = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("taxid"), F.col("n_name").alias("species"))
     genera = hierarchy.ancestors(cut(_tree(spark, d), "tree"), hosts, "region")
-    return hierarchy.labelled(best, hosts, species, genera)
+    return hierarchy.labelled(_best(spark, d), hosts, species, genera)
 
 
 # Embedding and increments
 
 
-_FREQUENCIES = f"""{_SAMPLED}, w AS (SELECT seq_id, i AS w, substring(s, picked[i] + 1, {WINDOW + K - 1}) AS t FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS i FROM b)),
+_FREQUENCIES = f"""{_CUT},
 l AS (SELECT a || c AS two, row_number() OVER (ORDER BY a, c) - 1 AS pos FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS c)),
-c AS (SELECT seq_id, w, substring(t, j::BIGINT, 2) AS two, length(t) - 1 AS n FROM (SELECT *, unnest(range(1, length(t))) AS j FROM w)),
-f AS (SELECT seq_id, w, two, count(*) / any_value(n) AS v FROM c GROUP BY 1, 2, 3),
+c AS (SELECT seq_id, win_idx, substring(t, j::BIGINT, 2) AS two, length(t) - 1 AS n FROM (SELECT *, unnest(range(1, length(t))) AS j FROM w)),
+f AS (SELECT seq_id, win_idx, two, count(*) / any_value(n) AS v FROM c GROUP BY 1, 2, 3),
 m AS (SELECT x.seq_id, l.pos, coalesce(y.v, 0) / x.k AS v FROM (SELECT seq_id, count(*) AS k FROM w GROUP BY 1) x CROSS JOIN l LEFT JOIN (SELECT seq_id, two, sum(v) AS v FROM f GROUP BY 1, 2) y ON y.seq_id = x.seq_id AND y.two = l.two)
 SELECT seq_id, pos, round(CASE WHEN sum(v * v) OVER p > 0 THEN v / sqrt(sum(v * v) OVER p) ELSE v END, 6) AS value FROM m WINDOW p AS (PARTITION BY seq_id)"""
 
 
 @query(_FREQUENCIES)
 def embed_batches(spark, d):
-    wins = embed.windows(st.sequences(spark, d), K, WINDOW, STRIDE, MOST)
+    wins = embed.windows(st.sequences(spark, d), K, TOKENS, STEP, CAP)
     vectors = embed.embed_batches(wins, embed.base_frequencies(2), ["seq_id", "strand", "win_idx"])
     return _spread(embed.sequence_vectors(vectors), "seq_id")
 
@@ -554,3 +626,174 @@ def incremental_ingest(spark, d):
         incremental.ingest(incremental.new_records(spark, folder), handle, out, marks)
     incremental.ingest(incremental.new_records(spark, folder), handle, out, marks)
     return spark.read.parquet(out).select("seq_id", "n")
+
+
+# Tables and files that are written and read again
+
+
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(embedding), 4) AS total FROM embeddings WHERE vec_id % 7 <> 0")
+def embedding_store(spark, d):
+    """Vectors added in two steps, some of them null, and read without those."""
+    path = shared_folder(spark, "embeddings")
+    rows = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"))
+    for part in (0, 1):
+        sinks.append_embeddings(rows.filter(F.col("vec_id") % 2 == part), path)
+    return fasta.read_embeddings(spark, path).select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(vec.total(F.col("embedding").cast("array<double>")), 4).alias("total"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def missing_owners(spark, d):
+    return fasta.missing_owners(table(spark, d, "documents"), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+
+
+@query("SELECT label AS owner_id, vec_id AS protein_id, round(list_sum(embedding), 4) AS total FROM embeddings")
+def protein_store(spark, d):
+    """Vectors in folders by owner, of the width that the table has."""
+    path = shared_folder(spark, "proteins")
+    sinks.write_protein_embeddings(table(spark, d, "embeddings").select(F.col("label").alias("owner_id"), F.col("vec_id").alias("protein_id"), "embedding"), path)
+    again = tables.checked_width(spark.read.parquet(path), st.feature_width(spark, d))
+    return again.select("owner_id", "protein_id", F.round(vec.total(F.col("embedding").cast("array<double>")), 4).alias("total"))
+
+
+@query(f"{_SKETCH} SELECT id, hash, abund FROM sk")
+def sketch_store(spark, d):
+    path = shared_folder(spark, "sketches")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    sinks.write_sketches(_sketches(spark, d), name, path)
+    return tables.read_sketches(spark, name)
+
+
+@query("SELECT 'label' || label AS name, i AS row, round(avg(embedding[i]), 6) AS value FROM embeddings, range(1, 4) t(i) GROUP BY label, i")
+def params_store(spark, d):
+    """Parameters by name, here one vector a label, written under model_state and read with exactly these names."""
+    path = shared_folder(spark, "params")
+    means = embed_means(table(spark, d, "embeddings"))
+    means.select(F.concat(F.lit("model_state.label"), F.col("label").cast("string")).alias("name"), F.array(F.size("v")).alias("shape"), F.col("v").alias("data")).write.parquet(path)
+    wanted = [f"label{r.label}" for r in table(spark, d, "embeddings").select("label").distinct().collect()]
+    params = tables.read_params(spark, path, wanted)
+    rows = [(k, i, float(v[i - 1])) for k, v in params.items() for i in (1, 2, 3)]
+    return spark.createDataFrame(rows, "name string, row long, value double").withColumn("value", F.round("value", 6))
+
+
+def embed_means(rows):
+    return rows.groupBy("label").agg(vec.mean_vector(F.col("embedding")).alias("v"))
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def missing_names(spark, d):
+    """Names that are required and not there: nations without a supplier in debt."""
+    nations = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    present = table(spark, d, "supplier").filter("s_acctbal < 0").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return tables.missing_names(nations, present)
+
+
+@query("SELECT n_nationkey AS taxid, n_name || ' (' || n_regionkey || ')' AS species FROM nation")
+def species_tsv(spark, d):
+    """A tab-separated dimension in which a later row of a taxid counts."""
+    path = shared_folder(spark, "species")
+    nations = table(spark, d, "nation")
+    first = nations.select("n_nationkey", F.lit(0).alias("turn"), F.col("n_name").alias("species"))
+    last = nations.select("n_nationkey", F.lit(1).alias("turn"), F.concat("n_name", F.lit(" ("), F.col("n_regionkey").cast("string"), F.lit(")")).alias("species"))
+    sinks.write_tsv(first.unionByName(last).coalesce(1).sortWithinPartitions("turn").select(F.col("n_nationkey").alias("taxid"), "species"), path)
+    return fasta.read_species(spark, path)
+
+
+@query("SELECT 'nation' AS ntype, n_name AS id, n_nationkey::BIGINT AS idx FROM nation UNION ALL SELECT 'region', r_name, r_regionkey FROM region")
+def node_maps(spark, d):
+    """A JSON file of maps id -> index by node type, of the two small dimensions."""
+    path = shared_folder(spark, "maps")
+    of = lambda name, key, value: table(spark, d, name).select(F.lit(f"{name}_map").alias("ntype"), F.col(value).alias("id"), F.col(key).cast("long").alias("idx"))
+    rows = of("nation", "n_nationkey", "n_name").unionByName(of("region", "r_regionkey", "r_name"))
+    maps = rows.groupBy("ntype").agg(F.map_from_entries(F.collect_list(F.struct("id", "idx"))).alias("ids"))
+    maps.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ntype", "ids")))).alias("value")).coalesce(1).write.text(path)
+    return fasta.read_node_maps(spark, path)
+
+
+@query("SELECT 'doc' || min(doc_id) AS seq_id FROM documents GROUP BY lang")
+def first_records(spark, d):
+    """The first record of each file, one file a language, of one name."""
+    path = shared_folder(spark, "by-language")
+    rows = table(spark, d, "documents").select("lang", "doc_id", F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit("\n"), st.dna(F.col("text"))).alias("value"))
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    return fasta.first_ids(fasta.read_fasta(spark, path, (".txt",))).select("seq_id")
+
+
+@query("WITH r AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang) - 1 AS file, row_number() OVER (ORDER BY lang, doc_id) - 1 AS n FROM documents) SELECT 'doc' || doc_id AS seq_id, n AS nth_record FROM r")
+def record_order(spark, d):
+    """Records of all files, numbered in the order of paths."""
+    path = shared_folder(spark, "ordered")
+    rows = table(spark, d, "documents").select("lang", "doc_id", F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit("\nAC")).alias("value"))
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    return fasta.positions(fasta.read_fasta(spark, path, (".txt",))).select("seq_id", "nth_record")
+
+
+@query(f"SELECT sum(strlen('>doc' || doc_id || chr(10) || {st.DNA_SQL} || chr(10)))::BIGINT AS bytes FROM documents")
+def file_listing(spark, d):
+    """The bytes of the files of one suffix below a folder."""
+    path = shared_folder(spark, "listing")
+    fasta.write_fasta(st.sequences(spark, d).select(F.concat(F.lit("doc"), F.col("seq_id").cast("string")).alias("seq_id"), "seq"), path)
+    return tables.files(spark, path, ".TXT").agg(F.sum("length").alias("bytes"))
+
+
+@query(
+    """SELECT o_custkey AS query_id, count(DISTINCT o_orderkey) AS n_proteins, count(*) AS n_edges, count(DISTINCT l_suppkey) AS n_sources, round(sum(l_quantity), 4) AS total
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"""
+)
+def summary_json(spark, d):
+    """One JSON object a query with its counts and similarity edges, read again."""
+    path = shared_folder(spark, "summary")
+    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = lines.select(F.col("o_custkey").alias("query_id"), F.col("l_suppkey").alias("src_id"), F.col("o_custkey").alias("dst_id"), F.col("l_quantity").alias("weight"))
+    sinks.write_summary(lines.groupBy(F.col("o_custkey").alias("query_id")).agg(F.count_distinct("o_orderkey").alias("n_proteins")), edges, path)
+    again = spark.read.schema("query_id long, n_proteins long, similarity_edges array<struct<src_id: long, dst_id: long, weight: double>>").json(path)
+    e = F.col("similarity_edges")
+    return again.select("query_id", "n_proteins", F.size(e).cast("long").alias("n_edges"), F.size(F.array_distinct(e.src_id)).cast("long").alias("n_sources"), F.round(vec.total(e.weight), 4).alias("total"))
+
+
+# More of vectors and records
+
+
+_EIGHTS = "e AS (SELECT vec_id // 8 AS seq_id, vec_id % 8 AS place, (vec_id % 3 <> 0)::INT AS mask, embedding FROM embeddings)"
+
+
+def _eights(spark, d):
+    """Vectors of a sequence's tokens: eight in a row."""
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("seq_id"), F.struct((F.col("vec_id") % 8).alias("at"), F.when(F.col("vec_id") % 3 != 0, 1.0).otherwise(0.0).alias("mask"), "embedding").alias("t"))
+    return rows.groupBy("seq_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+
+
+@query(f"WITH {_EIGHTS} SELECT seq_id, p - 1 AS pos, round(sum(mask * embedding[p]::DOUBLE) / greatest(sum(mask), 1e-9), 6) AS value FROM e, range(1, (SELECT max(len(embedding)) + 1 FROM embeddings)) t(p) GROUP BY seq_id, p")
+def masked_mean(spark, d):
+    return _spread(_eights(spark, d).select("seq_id", vec.masked_mean(F.col("t.embedding"), F.col("t.mask")).alias("embedding")), "seq_id")
+
+
+@query(f"WITH {_EIGHTS}, n AS (SELECT seq_id, count(*) - 2 AS n FROM e GROUP BY 1 HAVING n > 0) SELECT seq_id, p - 1 AS pos, round(avg(embedding[p]::DOUBLE), 6) AS value FROM e JOIN n USING (seq_id), range(1, (SELECT max(len(embedding)) + 1 FROM embeddings)) t(p) WHERE place >= 1 AND place <= n GROUP BY seq_id, p")
+def residue_mean(spark, d):
+    """The mean without the first and the last vector."""
+    rows = _eights(spark, d).select("seq_id", vec.residue_mean(F.col("t.embedding"), F.size("t") - 2).alias("embedding"))
+    return _spread(rows.filter("embedding is not null"), "seq_id")
+
+
+@query(f"SELECT vec_id, i AS pos, round(list_sum(list_transform(range(len(embedding)), lambda j: {st.weight_sql('i', 'j', 1)} * embedding[j + 1]::DOUBLE)) + {st.weight_sql('0', 'i', 2)}, 6) AS value FROM embeddings, range(3) t(i)")
+def linear_map(spark, d):
+    width = st.feature_width(spark, d)
+    out = vec.linear(F.col("embedding"), st.weights(3, width, 1).tolist(), st.weights(1, 3, 2)[0].tolist())
+    return _spread(table(spark, d, "embeddings").select("vec_id", out.alias("embedding")), "vec_id")
+
+
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS t FROM orders)
+    SELECT 's' || o_custkey AS original_id, 's' || o_custkey || CASE WHEN t = 0 THEN '' ELSE '_' || t END AS id, o_orderkey AS position, o_totalprice FROM r"""
+)
+def renamed_records(spark, d):
+    """Records under the ids that they were given, with their other columns and the ids that they had."""
+    records = table(spark, d, "orders").select(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("id"), F.col("o_orderkey").alias("position"), "o_totalprice")
+    assigned = graph.unique_ids(records, records.limit(0).select("id"))
+    return graph.renamed(records, assigned).select("original_id", "id", "position", "o_totalprice")
+
+
+@query(f"WITH v AS ({_VALUES}), m AS (SELECT label, pos, avg(v) AS v FROM v GROUP BY 1, 2) SELECT 'file' || label AS source_file, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM m")
+def file_vectors(spark, d):
+    """One vector a file: the mean over its records."""
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("file"), F.col("label").cast("string")).alias("source_file"), "embedding")
+    return _spread(embed.group_vectors(rows, "source_file"), "source_file")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 TO_DNA = ("ACGT" * 7)[:26]
 TO_RNA = ("acgu" * 7)[:26]
-WIDTH, HEADS, DIM = 8, 2, 4
+#: Heads and numbers of a head in single layers; numbers of a node's state in the whole model.
+HEADS, DIM, HIDDEN = 2, 4, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,19 +33,18 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), dna(F.col("text")).alias("seq"))
 
 
-def features(spark: SparkSession, sf_dir: str, keys: DataFrame, width: int | None = WIDTH) -> DataFrame:
-    """idx, x: the vector of number idx % (number of vectors); its first `width` numbers, or all of them (None)."""
+def features(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """idx, x: the vector of number idx % (number of vectors)."""
     vectors = table(spark, sf_dir, "embeddings")
     n = vectors.count()
-    whole = F.col("embedding") if width is None else F.slice("embedding", 1, width)
-    x = vectors.select("vec_id", whole.cast("array<double>").alias("x"))
+    x = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     return keys.withColumn("vec_id", F.pmod("idx", F.lit(n))).join(x, "vec_id").select("idx", "x")
 
 
 def feature_width(spark: SparkSession, sf_dir: str) -> int:
-    """Numbers in a vector of the table; WIDTH without any."""
+    """Numbers in a vector of the table; 1 without any."""
     first = table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("n")).first()
-    return first.n if first else WIDTH
+    return first.n if first else 1
 
 
 def weights(rows: int, columns: int, shift: int = 0) -> np.ndarray:
@@ -65,8 +65,8 @@ def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
-FEATURES_SQL = f"""
-vecs AS (SELECT vec_id, list_transform(embedding[1:{WIDTH}], lambda v: v::DOUBLE) AS x, (SELECT count(*) FROM embeddings) AS n FROM embeddings),
+FEATURES_SQL = """
+vecs AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x, (SELECT count(*) FROM embeddings) AS n FROM embeddings),
 cust AS (SELECT c_custkey AS idx, x FROM customer JOIN vecs ON vec_id = c_custkey % n),
 supp AS (SELECT s_suppkey AS idx, x FROM supplier JOIN vecs ON vec_id = s_suppkey % n),
 prt AS (SELECT p_partkey AS idx, x FROM part JOIN vecs ON vec_id = p_partkey % n),
@@ -78,20 +78,55 @@ def weight_sql(i: str, j: str, shift: int) -> str:
     return f"(((7 * ({i} + {shift}) + 3 * {j}) % 11 - 5) / 10.0)"
 
 
-def linear_sql(x: str, rows: int, columns: int, shift: int) -> str:
-    return f"list_transform(range({rows}), lambda i: list_sum(list_transform(range({columns}), lambda j: {weight_sql('i', 'j', shift)} * {x}[j + 1])))"
+def linear_sql(x: str, rows: int, shift: int, bias: int | None = None) -> str:
+    """weights(rows, width of x, shift) @ x, and the first row of weights(1, rows, bias)."""
+    more = f" + {weight_sql('0', 'i', bias)}" if bias is not None else ""
+    return f"list_transform(range({rows}), lambda i: list_sum(list_transform(range(len({x})), lambda j: {weight_sql('i', 'j', shift)} * {x}[j + 1])){more})"
 
 
-def attended_sql(name: str, edges: str, src: str, dst: str, shift: int) -> str:
-    """CTEs that end in name(idx, out): see operators.attention.attended with weights of this shift."""
-    n = HEADS * DIM
+def attended_sql(name: str, edges: str, src: str, dst: str, shift: int, dim: int = DIM) -> str:
+    """CTEs that end in name(idx, pos, v): see operators.attention.attended with weights of this shift."""
+    n, part = HEADS * dim, lambda c: f"{c}[head * {dim} + 1 : head * {dim} + {dim}]"
     return f"""
-{name}_e AS (
-    SELECT e.dst, s.h AS hl, d.h AS hr FROM {edges} e
-    JOIN (SELECT idx, {linear_sql("x", n, WIDTH, shift)} AS h FROM {src}) s ON s.idx = e.src
-    JOIN (SELECT idx, {linear_sql("x", n, WIDTH, shift + 1)} AS h FROM {dst}) d ON d.idx = e.dst),
-{name}_h AS (SELECT dst, head, hl[head * {DIM} + 1 : head * {DIM} + {DIM}] AS msg, hr[head * {DIM} + 1 : head * {DIM} + {DIM}] AS own FROM {name}_e, range({HEADS}) t(head)),
-{name}_l AS (SELECT dst, head, msg, list_sum(list_transform(range({DIM}), lambda i: {weight_sql("head", "i", shift + 2)} * (CASE WHEN msg[i + 1] + own[i + 1] > 0 THEN 1.0 ELSE 0.2 END) * (msg[i + 1] + own[i + 1]))) AS logit FROM {name}_h),
+{name}_s AS (SELECT idx, {linear_sql("x", n, shift)} AS h FROM {src}), {name}_d AS (SELECT idx, {linear_sql("x", n, shift + 1)} AS h FROM {dst}),
+{name}_e AS (SELECT e.dst, s.h AS hl, d.h AS hr FROM {edges} e JOIN {name}_s s ON s.idx = e.src JOIN {name}_d d ON d.idx = e.dst),
+{name}_h AS (SELECT dst, head, {part("hl")} AS msg, {part("hr")} AS own FROM {name}_e, range({HEADS}) t(head)),
+{name}_l AS (SELECT dst, head, msg, list_sum(list_transform(range({dim}), lambda i: {weight_sql("head", "i", shift + 2)} * (CASE WHEN msg[i + 1] + own[i + 1] > 0 THEN 1.0 ELSE 0.2 END) * (msg[i + 1] + own[i + 1]))) AS logit FROM {name}_h),
 {name}_w AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY dst, head)) AS w FROM {name}_l),
-{name}_p AS (SELECT dst, pos, sum(v) / {HEADS} AS v FROM (SELECT dst, head, pos, sum(w * msg[pos + 1]) / sum(w) AS v FROM {name}_w, range({DIM}) t(pos) GROUP BY ALL) GROUP BY ALL),
-{name} AS (SELECT d.idx, t.pos, coalesce(p.v, 0) + {weight_sql("0", "t.pos", shift + 3)} AS v FROM {dst} d CROSS JOIN range({DIM}) t(pos) LEFT JOIN {name}_p p ON p.dst = d.idx AND p.pos = t.pos)"""
+{name}_p AS (SELECT dst, pos, sum(v) / {HEADS} AS v FROM (SELECT dst, head, pos, sum(w * msg[pos + 1]) / sum(w) AS v FROM {name}_w, range({dim}) t(pos) GROUP BY ALL) GROUP BY ALL),
+{name} AS (SELECT d.idx, t.pos, coalesce(p.v, 0) + {weight_sql("0", "t.pos", shift + 3)} AS v FROM {dst} d CROSS JOIN range({dim}) t(pos) LEFT JOIN {name}_p p ON p.dst = d.idx AND p.pos = t.pos)"""
+
+
+def gated_sql(name: str, outs: list[str], dim: int) -> str:
+    """CTEs that end in name(idx, pos, v): see operators.attention.gated with the weights of queries.GATE, over outs of attended_sql."""
+    logit = f"""list_sum(list_transform(range(3), lambda i: {weight_sql("0", "i", 9)} * tanh(list_sum(list_transform(range({dim}), lambda j: {weight_sql("i", "j", 8)} * vs[j + 1])) + {weight_sql("0", "i", 4)})))"""
+    rows = " UNION ALL ".join(f"SELECT '{o}' AS r, idx, list(v ORDER BY pos) AS vs FROM {o} GROUP BY ALL" for o in outs)
+    return f"""
+{name}_o AS ({rows}), {name}_g AS (SELECT *, exp({logit}) AS w FROM {name}_o),
+{name} AS (SELECT idx, pos, sum(w * vs[pos + 1]) / sum(w) AS v FROM {name}_g, range({dim}) t(pos) GROUP BY idx, pos)"""
+
+
+#: Relations of the whole model: source, edges (reversed where marked), destination.
+RELATIONS = (("cust", "buys", "prt"), ("prt", "bought_by", "cust"), ("supp", "supplies", "prt"), ("prt", "supplied_by", "supp"))
+
+
+def model_sql(layers: int = 2) -> str:
+    """WITH clauses that end in cust_z, prt_z and supp_z(idx, x): see queries.model."""
+    ctes = [FEATURES_SQL, "bought_by AS (SELECT dst AS src, src AS dst FROM buys), supplied_by AS (SELECT dst AS src, src AS dst FROM supplies)"]
+    kinds = ("cust", "prt", "supp")
+    for i, kind in enumerate(kinds):
+        ctes.append(f"{kind}_0 AS (SELECT idx, list_transform({linear_sql('x', HIDDEN, i, i)}, lambda v: greatest(v, 0)) AS x FROM {kind})")
+    for n in range(layers):
+        into: dict[str, list[str]] = {k: [] for k in kinds}
+        for shift, (src, rel, dst) in enumerate(RELATIONS):
+            ctes.append(attended_sql(f"{rel}_{n}", rel, f"{src}_{n}", f"{dst}_{n}", shift, HIDDEN))
+            into[dst].append(f"{rel}_{n}")
+        for kind, outs in into.items():
+            ctes.append(gated_sql(f"{kind}_a{n}", outs, HIDDEN))
+            ctes.append(f"""
+{kind}_y{n} AS (SELECT s.idx, a.pos, s.x[a.pos + 1] + a.v AS v FROM {kind}_{n} s JOIN {kind}_a{n} a ON a.idx = s.idx),
+{kind}_{n + 1} AS (SELECT idx, list(greatest((v - m) / sqrt(q + 1e-5), 0) ORDER BY pos) AS x FROM (SELECT *, avg(v) OVER (PARTITION BY idx) AS m, var_pop(v) OVER (PARTITION BY idx) AS q FROM {kind}_y{n}) GROUP BY idx)""")
+    for kind in kinds:
+        ctes.append(f"{kind}_f AS (SELECT idx, {linear_sql('x', HIDDEN, 6, 7)} AS x FROM {kind}_{layers})")
+        ctes.append(f"{kind}_z AS (SELECT idx, list_transform(x, lambda v: v / (CASE WHEN list_dot_product(x, x) > 0 THEN sqrt(list_dot_product(x, x)) ELSE 1 END)) AS x FROM {kind}_f)")
+    return "WITH " + ", ".join(ctes)

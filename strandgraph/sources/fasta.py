@@ -2,43 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandgraph.functions.sequence import clean_protein, header_token
+from strandgraph.operators.graph import dense_index
 
 # File suffixes of nucleotide records.
 SUFFIXES = (".fasta", ".fa", ".fna")
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Splits of files, in order, to records. Reading cuts the ">" of all headers but a file's first; what comes first in a file
+    without one is no record."""
+    seen = None
+    for batch in batches:
+        path, block = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("path", "block"))
+        value = batch.column(batch.schema.names.index("value"))
+        ahead = [seen, *path[:-1]]
+        seen = path[-1] if path else seen
+        lead = pa.array([b == 0 and a != p for p, b, a in zip(path, block, ahead)], pa.bool_())
+        marked = pc.starts_with(value, ">")
+        text = pc.if_else(pc.and_(lead, marked), pc.utf8_slice_codeunits(value, 1), value)
+        out = batch.set_column(batch.schema.names.index("value"), "value", text.cast(pa.string()))
+        yield out.filter(pc.or_(pc.invert(lead), marked))
+
+
 def read_fasta(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """seq_id (first token of the header), seq (lines joined), source_file, position (in order of reading).
+    """seq_id (first token of the header), seq (lines joined), source_file (its name), path, position (in order of reading).
 
-    A record is a split of the text at newline and '>', so large files are read in parallel. Suffixes count in any
-    case. Text before a file's first header belongs to no record.
+    A record is a split of the text at newline and '>', so large files are read in parallel, in one scan. Suffixes count in
+    any case. Text before a file's first header belongs to no record.
     """
     lines = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", "true").text(folder)
-    block, path = F.col("_metadata.file_block_start"), F.col("_metadata.file_path")
-    raw = lines.select("value", F.col("_metadata.file_name").alias("source_file"), path.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("nth"))
+    of = lambda c: F.col(f"_metadata.{c}")
+    raw = lines.select("value", of("file_name").alias("source_file"), of("file_path").alias("path"), of("file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
     wanted = raw.filter(F.lower("source_file").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
-    # Reading cuts the ">" of all headers but a file's first; what comes first without one is no record.
-    heads = wanted.groupBy("path").agg(F.min(F.struct("block", "nth")).alias("lead")).select("path", F.col("lead.block").alias("block"), F.col("lead.nth").alias("nth"), F.lit(True).alias("lead"))
-    text = F.regexp_replace("value", "\r", "")
-    marked = wanted.join(heads, ["path", "block", "nth"], "left").fillna({"lead": False}).withColumn("text", text).filter(~F.col("lead") | F.col("text").startswith(">"))
-    body = F.when(F.col("lead"), F.expr("substr(text, 2)")).otherwise(F.col("text"))
-    split = marked.withColumn("body", body).withColumn("line", F.substring_index("body", "\n", 1))
-    return split.select(
-        header_token(F.col("line")).alias("seq_id"),
-        F.regexp_replace(F.expr("substr(body, length(line) + 1)"), r"\s", "").alias("seq"),
+    records = wanted.mapInArrow(_records, wanted.schema).withColumn("line", F.substring_index("value", "\n", 1))
+    return records.select(
+        header_token(F.regexp_replace("line", "\r", "")).alias("seq_id"),
+        F.regexp_replace(F.expr("substr(value, length(line) + 1)"), r"\s", "").alias("seq"),
         "source_file",
+        "path",
         F.struct("block", "nth").alias("position"),
     )
 
 
 def first_ids(records: DataFrame) -> DataFrame:
     """The first record's id of each file."""
-    return records.groupBy("source_file").agg(F.min_by("seq_id", "position").alias("seq_id"))
+    return records.groupBy("path", "source_file").agg(F.min_by("seq_id", "position").alias("seq_id"))
+
+
+def positions(records: DataFrame) -> DataFrame:
+    """records with nth_record, 0, 1, ... in the order of paths, and in each file of its records."""
+    return dense_index(records.withColumn("_all", F.lit(0)), "_all", "path", "position", out="nth_record").drop("_all")
 
 
 def read_proteins(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".faa",)) -> DataFrame:
@@ -83,7 +105,7 @@ def read_similarities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_node_maps(spark: SparkSession, path: str) -> DataFrame:
-    """ntype, id, idx of a JSON file of maps id -> index, one for each node type."""
+    """ntype, id, idx of a JSON file of maps id -> index, one for each node type. It is one value, so one task reads it."""
     maps = spark.read.option("multiLine", True).text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, bigint>>").alias("m"))
     return maps.select(F.explode("m").alias("ntype", "ids")).select(F.regexp_replace("ntype", "_map$", "").alias("ntype"), F.explode("ids").alias("id", "idx"))
 

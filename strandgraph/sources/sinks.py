@@ -30,6 +30,6 @@ def write_summary(counts: DataFrame, edges: DataFrame, path: str) -> None:
     counts.join(listed, "query_id", "left").write.json(path)
 
 
-def write_sketches(sketches: DataFrame, table: str, buckets: int = 64) -> None:
-    """A table bucketed by hash: joins on the hash needn't shuffle it."""
-    sketches.write.bucketBy(buckets, "hash").sortBy("hash").mode("overwrite").saveAsTable(table)
+def write_sketches(sketches: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """A table bucketed by hash, its files at path: joins on the hash needn't shuffle it."""
+    sketches.write.bucketBy(buckets, "hash").sortBy("hash").mode("overwrite").option("path", path).saveAsTable(table)

@@ -9,10 +9,10 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def database(folder):
+def database(folder, tables=TABLES):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in TABLES:
+    for t in tables:
         files = glob.glob(f"{folder}/{t}.parquet/*.parquet") or [f"{folder}/{t}.parquet"]
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet({files})")
     return con

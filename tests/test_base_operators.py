@@ -10,8 +10,9 @@ from strandgraph.functions import vectors as vec
 from strandgraph.operators import attention as att
 from strandgraph.operators import embed, graph, hierarchy, scoring
 from strandgraph.operators import sketch as sk
+from strandgraph.operators.skew import hot_keys, spread_join
 from strandgraph.plans.queries import attention, model
-from strandgraph.sources import fasta
+from strandgraph.sources import fasta, tables
 from strandgraph.streaming import incremental
 
 
@@ -126,13 +127,81 @@ def test_windows(spark):
     cases = [(n, w, s) for n in (1, 5, 6, 7, 20, 23) for w in (3, 5, 6) for s in (1, 2, 3, 6, 7)]
     for w, s in {c[1:] for c in cases}:
         ns = [n for n, a, b in cases if (a, b) == (w, s)]
-        got = spark.createDataFrame([(n,) for n in ns], "n int").select("n", seqf.window_starts(F.col("n"), w, s).alias("x"), seqf.evenly(seqf.window_starts(F.col("n"), w, s), 3).alias("y")).collect()
+        made = [seqf.Windows(F.col("n"), w, s, most) for most in (None, 3)]
+        starts = [F.transform(F.sequence(F.lit(0), x.count() - 1), x.start).alias(c) for x, c in zip(made, "xy")]
+        got = spark.createDataFrame([(n,) for n in ns], "n int").select("n", *starts).collect()
         for r in got:
             want = plain(r.n, w, s)
             assert r.x == want
             assert r.y == (want if len(want) <= 3 else sorted({want[min(len(want) - 1, int(i * len(want) / 3))] for i in range(3)}))
 
 
+def test_windows_of_long_sequences(spark):
+    """More windows than one stretch has, of both strands, against slices."""
+    seq = "".join("ACGT"[i * i % 7 % 4] for i in range(5000))
+    rows = embed.windows(spark.createDataFrame([("a", seq), ("b", "AC"), ("c", ""), ("d", None)], "seq_id string, seq string"), 4, 20, 7, None, both_strands=True).collect()
+    back = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    n = len(seq) - 3
+    starts = [*range(0, n - 20 + 1, 7)]
+    starts += [n - 20] if starts[-1] + 7 < n else []
+    want = {("a", strand, i): s[a : a + 23] for strand, s in (("+", seq), ("-", back)) for i, a in enumerate(starts)}
+    want |= {("b", "+", 0): "AC", ("b", "-", 0): "GT", ("c", "+", 0): "", ("c", "-", 0): ""}
+    assert {(r.seq_id, r.strand, r.win_idx): r.text for r in rows} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("k", [1, 3, 8, 11])
+def test_kmer_counts(spark, k):
+    rows = [("ACGTACGTTACGACGTACGTTACG",), ("AC",), ("",), (None,), ("ACéGTACGTTAéGACGTACG",), ("ACGTACGT",), ("N" * 40,)]
+    df = spark.createDataFrame(rows, "s string").repartition(2)
+    want = {r.kmer: r.n for r in seqf.kmers(df, "s", k).groupBy("kmer").agg(F.count("*").alias("n")).collect()}
+    assert {r.kmer: r.n for r in seqf.kmer_counts(df, "s", k).collect()} == want
+
+
+def test_similar_pairs(spark):
+    """Pairs from rarest hashes are all pairs: with copies, common hashes and sizes at the threshold's edge."""
+    rng = np.random.default_rng(3)
+    sets = [set(rng.integers(0, 40, rng.integers(1, 25)).tolist()) for _ in range(60)]
+    sets += [set(sets[3]), set(range(10)), set(range(8)), set(range(5, 15)), {1}, {1}]
+    df = spark.createDataFrame([(i, h) for i, s in enumerate(sets) for h in s for _ in range(1 + h % 2)], "id long, hash long")
+    score = lambda a, b: len(a & b) / len(a | b)
+    for t in (0.3, 0.8, 1.0):
+        want = {(i, j): score(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and score(a, b) >= t}
+        assert {(r.query_id, r.ref_id): r.score for r in sk.similar_pairs(df, t).collect()} == want
+        some = df.filter("id % 3 = 0")
+        both = {(r.query_id, r.ref_id): r.score for r in sk.jaccard_pairs(some, df.filter("id % 3 <> 0"), t).collect()}
+        assert both == {(i, j): score(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i % 3 == 0 and j % 3 and score(a, b) >= t}
+
+
+def test_spread_join(spark):
+    many = spark.createDataFrame([(None, 0)] + [(1 if i % 3 else i, i) for i in range(300)], "key int, v int")
+    one = spark.createDataFrame([(i, i * i) for i in range(0, 300, 2)] + [(1, 7)], "key int, w int")
+    for rows in (20, 10**6):
+        got = spread_join(many, one, ["key"], hot_keys(many, ["key"], rows))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(one, ["key"]).collect())) and got.columns == ["key", "v", "w"]
+
+
+def test_layer_number():
+    assert [embed.layer_number(33, x) for x in (None, 40, 33, 5, 0)] == [32, 32, 32, 5, 0]
+
+
+def test_widths_must_agree(spark):
+    nodes = spark.createDataFrame([("a", [1.0]), ("a", [2.0]), ("b", [1.0, 2.0])], "ntype string, x array<double>")
+    assert {(r.ntype, r["count"], r.width) for r in graph.checked_sizes(nodes).collect()} == {("a", 2, 1), ("b", 1, 2)}
+    with pytest.raises(Exception, match="several widths"):
+        graph.checked_sizes(nodes.union(spark.createDataFrame([("a", [1.0, 2.0])], nodes.schema))).collect()
+    with pytest.raises(Exception, match="should have 1 numbers"):
+        tables.checked_width(nodes.withColumnRenamed("x", "embedding"), 1).collect()
+
+
+def test_params_are_strict(spark, tmp_path):
+    params = {"a": np.arange(6.0).reshape(2, 3), "b": np.ones(1)}
+    tables.write_params(spark, {"model_state.a": params["a"], "b": params["b"]}, str(tmp_path / "p"))
+    got = tables.read_params(spark, str(tmp_path / "p"), ["b", "a"])
+    assert all((got[k] == v).all() for k, v in params.items())
+    with pytest.raises(ValueError, match="missing: \\['c'\\]; unexpected: \\['b'\\]"):
+        tables.read_params(spark, str(tmp_path / "p"), ["a", "c"])
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "a.FA").write_text("junk before\n>one first\nAC\r\nGT\n>two\n>three x\nA A\n")
     (tmp_path / "b.fasta").write_text(">four\nAC")
@@ -172,7 +241,7 @@ def test_attention_with_loops_and_attributes(spark):
 def test_model(spark):
     """Two relations into part, one of them empty; parts without edges; a type that no relation reaches."""
     rng = np.random.default_rng(2)
-    inputs, layers, final = model()
+    inputs, layers, final = model(8)
     x = {k: rng.normal(size=(n, 8)) for k, n in (("customer", 4), ("part", 5), ("supplier", 3))}
     e = {("customer", "buys", "part"): [(0, 1), (1, 1), (3, 2)], ("part", "bought_by", "customer"): [(1, 0), (1, 1), (2, 3)]}
     nodes = spark.createDataFrame([(k, i, v.tolist()) for k, m in x.items() for i, v in enumerate(m)], "ntype string, idx long, x array<double>")
@@ -195,7 +264,20 @@ def test_model(spark):
         z = v @ final[0].T + final[1]
         want = z / np.linalg.norm(z, axis=1, keepdims=True)
         assert np.allclose(np.array([r.x for r in got[k].orderBy("idx").collect()]), want, atol=1e-8)
-    assert attention(0).attend.shape == (2, 4)
+    assert attention(0, 8).attend.shape == (2, 4)
+
+
+def test_candidates_but_itself(spark, monkeypatch):
+    """Several slices and blocks, against one matrix product."""
+    monkeypatch.setattr(scoring, "BLOCK", 16)
+    monkeypatch.setattr(scoring, "SLICE", 5)
+    x = np.random.default_rng(0).normal(size=(70, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, x array<float>").repartition(3)
+    x = x.astype(np.float32).astype(float)
+    got = {(r.query_id, r["rank"]): r.idx for r in scoring.top_candidates(rows.filter("idx % 4 = 0").withColumnRenamed("idx", "query_id"), rows, 1.0, 3, but_itself=True).collect()}
+    d = np.round(x @ x.T, 12)
+    np.fill_diagonal(d, -np.inf)
+    assert got == {(q, n + 1): int(i) for q in range(0, 70, 4) for n, i in enumerate(np.argsort(-d[q], kind="stable")[:3])}
 
 
 def test_top_candidates_with_ties(spark):

@@ -5,6 +5,7 @@ import pytest
 from plain_layers import numpy_attended
 
 from strandgraph.plans import queries
+from strandgraph.plans.standins import HIDDEN
 
 WIDTH = 11
 
@@ -53,9 +54,9 @@ def test_whole_vectors(spark, made):
     folder, x = made
     want, ids, buys = plain(x)
     got = {(r.ntype, r.idx, r.pos): r.value for r in queries.gat_embed(spark, folder).collect()}
-    assert len(got) == 9 * WIDTH
+    assert len(got) == 9 * HIDDEN
     for k, v in want.items():
-        assert np.allclose([[got[k, i, p] for p in range(WIDTH)] for i in ids[k]], v, atol=2e-6)
+        assert np.allclose([[got[k, i, p] for p in range(HIDDEN)] for i in ids[k]], v, atol=2e-6)
     scores = want["customer"] @ want["supplier"].T
     best = {r.query_id: (r.idx, r.score) for r in queries.score_hosts(spark, folder).collect()}
     for q, row in zip(ids["customer"], scores):
