@@ -117,13 +117,13 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "do
     No special tokens. A null text is an empty one and has no ids; null ids and repeated rows stay rows of their own.
     An empty table gives no rows. Nothing is shuffled. Other columns aren't read.
     """
-    arrow_limits(docs.sparkSession, 256)
+    arrow_limits(docs.sparkSession)
     return keyed_text(docs, id_column, text_column).mapInArrow(_encode(ranks_path, pattern), "k long, n_tokens long, ids binary")
 
 
 def decoded(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """encoded()'s rows with `decoded`, the bytes that the ids stand for."""
-    arrow_limits(tokens.sparkSession, 256)
+    arrow_limits(tokens.sparkSession)
     return tokens.select("k", "n_tokens", "ids").mapInArrow(_decode(ranks_path, pattern), "k long, n_tokens long, ids binary, decoded binary")
 
 

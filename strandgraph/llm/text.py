@@ -50,9 +50,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def arrow_limits(spark, rows: int = 512) -> None:
-    """Keeps the Arrow batches that tasks hand to Python small, so that memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of the Arrow batches that tasks hand to Python; a longer single row is a batch by itself.
+BATCH_BYTES = 4 << 20
+
+
+def arrow_limits(spark) -> None:
+    """Keeps memory bounded, whatever rows are like. All operators ask for the same, as the setting counts when a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

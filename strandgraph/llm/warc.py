@@ -188,7 +188,7 @@ def read_records(folder: str, index: DataFrame) -> DataFrame:
 
     The rows are sorted by file and offset in ranges, so each task reads a stretch of few files from front to back.
     """
-    arrow_limits(index.sparkSession, 2048)
+    arrow_limits(index.sparkSession)
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = index.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(_reader(folder), RECORD)
