@@ -84,17 +84,30 @@ def windows(sequences: DataFrame, k: int, width: int, stride: int, most: int | N
     return placed.select(*keys, "win_idx", "start", F.substr("stretch", F.col("start") - F.col("begin") + 1, F.lit(width + k - 1)).alias("text"))
 
 
+def _chunks(df: DataFrame, seq: str, k: int) -> DataFrame:
+    """df without seq, with _chunk: stretches of it that have each k-mer once."""
+    n = F.length(seq)
+    starts = F.when(n < k, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)), F.lit(CHUNK)))
+    return df.filter(F.col(seq).isNotNull()).withColumn("_at", F.explode(starts)).withColumn("_chunk", F.substr(F.col(seq), F.col("_at"), F.lit(CHUNK + k - 1))).drop("_at", seq)
+
+
 def kmers(df: DataFrame, seq: str, k: int, out: str = "kmer") -> DataFrame:
     """One row for each k-mer of seq; a sequence shorter than k is its only one, also if empty. Null gives none.
 
     Sequences are cut into chunks first, so that the work is linear in their length.
     """
-    n = F.length(seq)
-    starts = F.when(n < k, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)), F.lit(CHUNK)))
-    chunks = df.filter(F.col(seq).isNotNull()).withColumn("_at", F.explode(starts)).withColumn("_chunk", F.substr(F.col(seq), F.col("_at"), F.lit(CHUNK + k - 1))).drop("_at", seq)
     m = F.length("_chunk")
     each = F.when(m < k, F.array("_chunk")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(m - k + 1, F.lit(1))), lambda i: F.substr(F.col("_chunk"), i, F.lit(k))))
-    return chunks.withColumn(out, F.explode(each)).drop("_chunk")
+    return _chunks(df, seq, k).withColumn(out, F.explode(each)).drop("_chunk")
+
+
+def canonical_kmers(df: DataFrame, seq: str, k: int, out: str = "kmer") -> DataFrame:
+    """canonical() of kmers(), from chunks that are complemented once each."""
+    # An explode keeps the complement from being put into the lambda, where it would run for each k-mer.
+    both = _chunks(df, seq, k).withColumn("_both", F.explode(F.array(F.struct(F.col("_chunk").alias("s"), reverse_complement(F.col("_chunk")).alias("r"), F.length("_chunk").alias("m"))))).drop("_chunk")
+    s, r, m = F.col("_both.s"), F.col("_both.r"), F.col("_both.m")
+    each = F.when(m < k, F.array(F.least(s, r))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(m - k + 1, F.lit(1))), lambda i: F.least(F.substr(s, i, F.lit(k)), F.substr(r, m - i - k + 2, F.lit(k)))))
+    return both.withColumn(out, F.explode(each)).drop("_both")
 
 
 def _counted(k: int):

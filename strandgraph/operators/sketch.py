@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.functions.sequence import canonical, kmers
+from strandgraph.functions.sequence import canonical_kmers
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def sketch(sequences: DataFrame, k: int, scaled: int, hashed: Hash = FAST, id_co
     Most k-mers go before anything is shuffled. Sequences shorter than k have none.
     """
     long_enough = sequences.filter(F.length(seq) >= k).select(F.col(id_column).alias("id"), F.col(seq).alias("seq"))
-    each = kmers(long_enough, "seq", k).select("id", canonical(F.col("kmer")).alias("kmer"))
+    each = canonical_kmers(long_enough, "seq", k)
     kept = each.filter(hashed.below(F.col("kmer"), (1 << 60) // scaled))
     return kept.select("id", hashed.of(F.col("kmer")).alias("hash")).groupBy("id", "hash").agg(F.count("*").alias("abund"))
 

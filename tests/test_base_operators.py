@@ -155,6 +155,8 @@ def test_kmer_counts(spark, k):
     df = spark.createDataFrame(rows, "s string").repartition(2)
     want = {r.kmer: r.n for r in seqf.kmers(df, "s", k).groupBy("kmer").agg(F.count("*").alias("n")).collect()}
     assert {r.kmer: r.n for r in seqf.kmer_counts(df, "s", k).collect()} == want
+    one, other = (x.groupBy("kmer").count().collect() for x in (seqf.kmers(df, "s", k).select(seqf.canonical(F.col("kmer")).alias("kmer")), seqf.canonical_kmers(df, "s", k)))
+    assert sorted(one) == sorted(other)
 
 
 def test_similar_pairs(spark):
