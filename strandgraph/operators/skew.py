@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 ROWS = 1_000_000
 
 
-def hot_keys(many: DataFrame, keys: list[str], rows: int = ROWS) -> DataFrame:
-    """keys, _tasks: the keys with more than `rows` rows, and the tasks that they need. There are no more of them than rows of
-    `many` over `rows`."""
+def hot_keys(many: DataFrame, *keys: list[str], rows: int = ROWS) -> list[DataFrame | None]:
+    """For each list of keys a table keys, _tasks: those with more than `rows` rows, and the tasks that they need. There are no
+    more of them than rows of `many` over `rows`; None where `many` has no more than `rows` rows at all."""
+    if many.limit(rows + 1).count() <= rows:
+        return [None] * len(keys)
+    return [_hot(many, k, rows) for k in keys]
+
+
+def _hot(many: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return many.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_tasks"))
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
     """many.join(one, keys), one having a row for each key at most. A key that is hot (see hot_keys; by all of the keys or some)
     is dealt to as many tasks as it needs, and its row of `one` goes to each of them."""
+    if hot is None:
+        return many.join(one, keys)
     by, tasks = [k for k in hot.columns if k != "_tasks"], F.coalesce("_tasks", F.lit(1))
     dealt = many.join(F.broadcast(hot), by, "left").withColumn("_task", F.floor(F.rand(1) * tasks).cast("int")).drop("_tasks")
     copied = one.join(F.broadcast(hot), by, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("_tasks")

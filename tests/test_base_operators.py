@@ -178,7 +178,7 @@ def test_spread_join(spark):
     many = spark.createDataFrame([(None, 0)] + [(1 if i % 3 else i, i) for i in range(300)], "key int, v int")
     one = spark.createDataFrame([(i, i * i) for i in range(0, 300, 2)] + [(1, 7)], "key int, w int")
     for rows in (20, 10**6):
-        got = spread_join(many, one, ["key"], hot_keys(many, ["key"], rows))
+        got = spread_join(many, one, ["key"], *hot_keys(many, ["key"], rows=rows))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(one, ["key"]).collect())) and got.columns == ["key", "v", "w"]
 
 
