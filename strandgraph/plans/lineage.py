@@ -29,7 +29,7 @@ _PATHS: dict[int, tuple[weakref.ref, str]] = {}
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df, written as Parquet into the shared folder and read again: lost executors cost no recomputing."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out, lambda _, key=id(out): _PATHS.pop(key, None)), path)
     return out
