@@ -73,10 +73,22 @@ def _sequence_hashes(h: np.ndarray, a: np.ndarray, z: np.ndarray, which: int) ->
     return mix((total[z] - total[a]) * down[a] + (z - a).astype(U64))
 
 
+#: Bytes that are picked at a time: their places take much more room than they do.
+PICKED_BYTES = 1 << 18
+
+
 def _slices(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     """The bytes of all [a, z), one after another."""
     n = z - a
-    return data[np.arange(int(n.sum()), dtype=np.int64) + np.repeat(a - (np.cumsum(n) - n), n)]
+    end = np.cumsum(n)
+    out = np.empty(int(end[-1]) if len(n) else 0, np.uint8)
+    i, done = 0, 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(end, done + PICKED_BYTES, side="right")))
+        size, stop = n[i:j], int(end[j - 1])
+        out[done:stop] = data[np.arange(stop - done) + np.repeat(a[i:j] - (np.cumsum(size) - size), size)]
+        i, done = j, stop
+    return out
 
 
 def _count_minimisers(window: int):
@@ -124,6 +136,7 @@ def _send(window: int, buckets: int, frequent: np.ndarray):
     def flush(parts: list[tuple], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         g, one, two, k, v1, v2, start, wins, size = (np.concatenate(x) for x in zip(*parts))
         data = np.concatenate(texts)
+        texts.clear()
         at = np.cumsum(size) - size
         order = np.lexsort((start, v2, v1, k, two, one))
         new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])

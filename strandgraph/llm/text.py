@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time inside a task; a longer single text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Words whose bytes are laid out at a time while they are hashed.
 HASHED_WORDS = 1 << 15
 #: Stands for a null id inside operators; ids are 64-bit.
@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of the Arrow batches that tasks hand to Python; a longer single row is a batch by itself.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def arrow_limits(spark) -> None:
