@@ -73,17 +73,19 @@ def _measured(docs: DataFrame, keep: str) -> DataFrame:
     for name, column in _repeat_words():
         out = out.withColumn(name, column)
     out = out.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
+    # What stands between letters is taken out run by run: fewer matches than letters.
+    out = out.withColumn("letters", F.regexp_replace("text", r"[^\p{L}]+", ""))
     out = out.select(
         keep,
         F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - _count(r"[\x20\x09-\x0D]")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _count(r"[#*$%&|<>]").cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.col("n_repeat_words").cast("long").alias("n_repeat_words"),
-        _count(r"\p{Lu}").cast("long").alias("n_upper"),
-        _count(r"\p{L}").cast("long").alias("n_letters"),
-        _count("!").cast("long").alias("n_exclaims"),
+        (F.length("letters") - F.length(F.regexp_replace("letters", r"\p{Lu}+", ""))).cast("long").alias("n_upper"),
+        F.length("letters").cast("long").alias("n_letters"),
+        (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
     )
     bits = F.lit(0).cast("long")
     for i, r in enumerate(RULES):
