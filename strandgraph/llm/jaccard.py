@@ -37,11 +37,11 @@ from strandgraph.llm.store import IDENTITY, discard, id_of, identified_text, tas
 from strandgraph.llm.text import U64, WHITE, Words, arrow_limits, gram_starts, grams, keys, mix, text_chunks
 
 #: Sets in a group at most; a larger family of similar sets is several groups.
-GROUP_SETS = 1024
+GROUP_SETS = 512
 #: Shingles of a group's sets together at most, but for a longer single set.
 GROUP_SHINGLES = 1 << 21
 #: Queries that one task compares with a group at most; further ones get a copy of the group.
-GROUP_QUERIES = 2048
+GROUP_QUERIES = 512
 #: Text bytes that a task gathers before it sends blobs out.
 FLUSH_BYTES = 16 << 20
 #: Shared shingles, in percent of a set, that wide prefixes are made for: more of them make bounds sharper and prefixes longer.
@@ -324,9 +324,9 @@ def _components(text: DataFrame, size: int, num: int, den: int) -> DataFrame:
     grouped = _grouped(lists, num, den)
     discard(lists)
     full = written(text.join(grouped.select(F.col("q").alias("k")), "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_full_sets(size), "q long, set binary"), "full")
-    near = written(components(_within_families(grouped, full, num, den)), "near")
+    near = written(_within_families(grouped, full, num, den), "near")
     labels = _across(grouped, full, near, num, den)
-    named = classes.join(labels.withColumnRenamed("q", "rep"), "rep", "left").filter("copies > 1 or component is not null").select("sig", "sig2", "n", "rep", F.coalesce("component", "rep").alias("component"), "copies")
+    named = classes.join(labels.withColumnRenamed("q", "rep"), "rep", "left").select("sig", "sig2", "n", "rep", F.coalesce("component", "rep").alias("component"), "copies").filter("copies > 1 or component <> rep")
     named = written(named, "named")
     discard(grouped, full, near)
     return _told(rows, named)
@@ -352,30 +352,30 @@ def _parted(sets: DataFrame, level: int) -> DataFrame:
 
 
 def _within_families(grouped: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
-    """Links a, b that groups of one family show: see the module's fourth point."""
-    level, edges, before = 0, None, None
+    """q, c: each set with the least set of its component, as far as groups of one family show it: see the module's fourth point."""
+    level, known, before = 0, None, None
     todo = grouped.select("q", "n", "pivot", "part")
     while True:
         found = written(todo.join(full, "q").select("q", "set", "pivot", "part").groupBy("pivot", "part").applyInArrow(_compared(num, den), "q long, root long, pivot long, part long"), "compared")
-        links = found.filter("q <> root").select(F.col("q").alias("a"), F.col("root").alias("b"))
-        edges = links if edges is None else edges.unionByName(links)
+        if known is None:
+            known = found.select("q", F.col("root").alias("c"))
+        else:
+            known = known.join(found.select(F.col("q").alias("c"), "root"), "c", "left").select("q", F.coalesce("root", "c").alias("c"))
         several = found.groupBy("pivot").agg(F.count_distinct("part").alias("parts")).filter("parts > 1").select("pivot")
         speakers = written(found.filter("q = root").join(several, "pivot").join(grouped.select("q", "n"), "q").select("q", "n", "pivot"), "speakers")
         now, level = speakers.count(), level + 1
         # Where sets don't speak for others, another level would find little: the rest is left to the search across.
         if not now or before is not None and 2 * now > before:
-            return edges
+            return known
         todo, before = _parted(speakers, level), now
 
 
 def _across(grouped: DataFrame, full: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
-    """q, component of each set that is linked, from near(node, component), the links that are known: see the fifth point."""
-    own = grouped.join(near.select(F.col("node").alias("q"), "component"), "q", "left").withColumn("c", F.coalesce("component", "q")).drop("component")
-    own = written(own, "own")
+    """q, component of the sets, from near(q, c), the components that are known: see the fifth point."""
+    own = grouped.join(near, "q")
     # A component's rank: links are sought from the smaller one of two.
-    ranks = own.groupBy("c").agg(F.count("*").alias("size"))
+    ranks = near.groupBy("c").agg(F.count("*").alias("size"))
     state = written(own.join(ranks, "c").select(*own.columns, F.struct("size", "c").alias("rank")), "state")
-    discard(own)
     fits = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num)
     sizes = (F.min("n").alias("least"), F.max("n").alias("most"))
     # The token-group matrix by family, with rarest tokens: the other families that a set meets.
@@ -388,25 +388,23 @@ def _across(grouped: DataFrame, full: DataFrame, near: DataFrame, num: int, den:
     tops = groups.groupBy("g", "top").agg(F.collect_list(F.struct("p", "least", "most")).alias("groups"))
     asked = asking.join(tops, "g").filter(F.col("rank") < F.col("top")).select("q", "n", "g", F.inline("groups"))
     asked = written(asked.filter(fits).select("q", "n", F.col("g").alias("pivot"), F.col("p").alias("part")), "asked")
+    if asked.isEmpty():
+        discard(state, asked)
+        return near.withColumnRenamed("c", "component")
     # The matrix by group, with all tokens: the overlap of each set that asks with each group's union, counted.
     tokens = state.select("q", F.explode("toks").alias("tok")).join(asked.select("q").distinct(), "q", "left_semi")
     union = state.join(asked.select("pivot", "part").distinct(), ["pivot", "part"], "left_semi").select("pivot", "part", F.explode("toks").alias("tok")).distinct()
     counted = asked.join(tokens, "q").join(union, ["pivot", "part", "tok"]).groupBy("q", "n", "pivot", "part").agg(F.count("*").alias("o"))
     bound = written(counted.filter(F.col("o") >= need_column("n", num, den)).select("q", "pivot", "part"), "bound")
-    discard(asked)
-    joined = near.select(F.col("node").alias("q"), "component")
-    if not bound.isEmpty():
-        # Opening.
-        salts = bound.groupBy("pivot", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
-        members = state.select("q", "c", "pivot", "part").join(salts, ["pivot", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        queries = bound.join(salts, ["pivot", "part"]).join(state.select("q", "c"), "q").withColumn("salt", F.expr("cast(pmod(xxhash64(q), salts) as int)"))
-        by = ["pivot", "part", "salt"]
-        side = lambda df: df.select("q", "c", *by).join(full, "q").toDF("q", "c", *by, "set").groupBy(*by)
-        links = components(side(members).cogroup(side(queries)).applyInArrow(_opened(num, den), "a long, b long"))
-        merged = state.join(links.select(F.col("node").alias("c"), "component"), "c", "left").select("q", F.coalesce("component", "c").alias("component"), (F.col("component").isNotNull() | (F.col("rank.size") > 1)).alias("linked"))
-        joined = merged.filter("linked").drop("linked")
-    out = written(joined, "labels")
-    discard(state, bound)
+    # Opening.
+    salts = bound.groupBy("pivot", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
+    members = state.select("q", "c", "pivot", "part").join(salts, ["pivot", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    queries = bound.join(salts, ["pivot", "part"]).join(near, "q").withColumn("salt", F.expr("cast(pmod(xxhash64(q), salts) as int)"))
+    by = ["pivot", "part", "salt"]
+    side = lambda df: df.select("q", "c", *by).join(full, "q").toDF("q", "c", *by, "set").groupBy(*by)
+    links = components(side(members).cogroup(side(queries)).applyInArrow(_opened(num, den), "a long, b long"))
+    out = written(near.join(links.select(F.col("node").alias("c"), "component"), "c", "left").select("q", F.coalesce("component", "c").alias("component")), "labels")
+    discard(state, asked, bound)
     return out
 
 
