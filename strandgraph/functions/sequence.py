@@ -110,6 +110,23 @@ def canonical_kmers(df: DataFrame, seq: str, k: int, out: str = "kmer") -> DataF
     return both.withColumn(out, F.explode(each)).drop("_both")
 
 
+#: Letters whose k-mers are counted at a time.
+PIECE = 1 << 20
+
+
+def _count_plain(data: np.ndarray, inside: np.ndarray, k: int) -> dict[str, int]:
+    """The k-mers of single-byte letters that begin where `inside` is true."""
+    view = np.lib.stride_tricks.sliding_window_view(data, k)[inside]
+    if k > 8:
+        value, count = np.unique(np.ascontiguousarray(view).view(f"V{k}").ravel(), return_counts=True)
+        return {v.tobytes().decode(): c for v, c in zip(value, count.tolist())}
+    code = np.zeros(len(view), np.uint64)
+    for j in range(k):
+        code = code << np.uint64(8) | view[:, j]
+    value, count = np.unique(code, return_counts=True)
+    return {int(v).to_bytes(k, "big").decode(): c for v, c in zip(value, count.tolist())}
+
+
 def _counted(k: int):
     """Sequences of a batch to their k-mers' counts."""
 
@@ -120,30 +137,21 @@ def _counted(k: int):
             body = texts.buffers()[2]
             data = np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]] if body is not None else np.zeros(0, np.uint8)
             bounds, size = bounds - bounds[0], np.diff(bounds)
-            wide = np.add.reduceat(np.append(data >= 128, False), np.minimum(bounds[:-1], len(data))) * (size > 0) > 0 if len(size) else size > 0
-            few: Counter = Counter()
+            odd = size < k
+            odd |= np.array([bool((data[a:z] >= 128).any()) for a, z in zip(bounds[:-1], bounds[1:])], bool)
+            found: Counter = Counter()
             # Letters of several bytes, and sequences that are one k-mer by being short.
-            for i in np.flatnonzero(wide | (size < k)):
+            for i in np.flatnonzero(odd):
                 s = data[bounds[i] : bounds[i + 1]].tobytes().decode()
-                few.update([s] if len(s) < k else (s[j : j + k] for j in range(len(s) - k + 1)))
-            n = len(data) - k + 1
-            if n > 0:
-                starts = np.zeros(n + 1, np.int64)
-                plain = np.flatnonzero(~wide & (size >= k))
-                np.add.at(starts, bounds[plain], 1)
-                np.add.at(starts, bounds[plain + 1] - k + 1, -1)
-                view = np.lib.stride_tricks.sliding_window_view(data, k)[np.cumsum(starts[:-1]) > 0]
-                if k <= 8:
-                    code = np.zeros(len(view), np.uint64)
-                    for j in range(k):
-                        code = code << np.uint64(8) | view[:, j]
-                    value, count = np.unique(code, return_counts=True)
-                    names = [int(v).to_bytes(k, "big").decode() for v in value]
-                else:
-                    value, count = np.unique(np.ascontiguousarray(view).view(f"V{k}").ravel(), return_counts=True)
-                    names = [v.tobytes().decode() for v in value]
-                few.update(dict(zip(names, count.tolist())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(few), pa.string()), pa.array(list(few.values()), pa.int64())], names=["kmer", "n"])
+                found.update([s] if len(s) < k else (s[j : j + k] for j in range(len(s) - k + 1)))
+            # A k-mer begins anywhere but in the last k - 1 letters of a sequence.
+            inside = np.zeros(len(data), bool)
+            for i in np.flatnonzero(~odd):
+                inside[bounds[i] : bounds[i + 1] - k + 1] = True
+            for a in range(0, len(data) - k + 1, PIECE):
+                z = min(a + PIECE, len(data) - k + 1)
+                found.update(_count_plain(data[a : z + k - 1], inside[a:z], k))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["kmer", "n"])
 
     return run
 
