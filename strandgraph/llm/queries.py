@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandgraph.llm.bpe import op8_byte_bpe
+from strandgraph.llm.conversations import op13_conversation_repair
 from strandgraph.llm.idfiles import op10_token_ids
 from strandgraph.llm.jaccard import op4_ngram_jaccard_join
 from strandgraph.llm.leaks import op9_benchmark_decontamination
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_ids": op10_token_ids,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 __all__ = ["ORACLE", "QUERIES"]

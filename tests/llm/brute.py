@@ -109,3 +109,43 @@ def longest_leaks(rows, items, window):
                         best = n, x
         out[k] = best
     return out
+
+
+def repaired(rows):
+    """rows: (role, text) of a conversation in order. {column: value}, from all edit sequences kept by state, as plain strings."""
+    white, cost = " \t\n\x0b\x0c\r", {"K": 0, "R": 1, "D": 2, "I": 5}
+    faults, seen = [], []
+    for r in rows:
+        end = r[1].rstrip(white)
+        faults.append("blank" if not end else "duplicate" if r in seen else None if end[-1] in ".!?" else "truncated")
+        seen.append(r)
+    # (what came last, audit, repaired) by row; any best audit is the best of its own beginnings.
+    speaks = {"": "user", "s": "user", "u": "assistant", "a": "user"}
+    now = {"": (0, "", ())}
+
+    def better(new, state, x):
+        if state not in new or x[:2] < new[state][:2]:
+            new[state] = x
+
+    def inserted(now):
+        for _ in range(3):
+            new = dict(now)
+            for s, (c, audit, out) in now.items():
+                better(new, speaks[s][0], (c + 5, audit + "I", (*out, (speaks[s], ""))))
+            now = new
+        return now
+
+    for (role, text), fault in zip(rows, faults):
+        new = {}
+        for s, (c, audit, out) in inserted(now).items():
+            better(new, s, (c + 2, audit + "D", out))
+            if fault not in ("blank", "duplicate"):
+                c += 5 * (fault == "truncated")
+                better(new, speaks[s][0], (c + 1, audit + "R", (*out, (speaks[s], text))))
+                if role[:1] == speaks[s][0] or (s, role[:1]) == ("", "s"):
+                    better(new, role[:1], (c, audit + "K", (*out, (role, text))))
+        now = new
+    c, audit, out = min(x for s, x in inserted(now).items() if s in ("", "a"))
+    first = [r[:1] for r, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(first, first[1:]))
+    return {**{f: faults.count(f) for f in ("blank", "duplicate", "truncated")}, "illegal": illegal, "cost": c, "audit": audit, "repaired_sha256": sha("\n".join(f"{r}:{t}" for r, t in out))}, out

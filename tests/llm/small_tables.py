@@ -12,6 +12,7 @@ def tables(spark, folder, rows, items=(), pages=()):
     spark.createDataFrame(full, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(*p, "k") for p in pages], "page_id long, url string, html string, digest string").repartition(2).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 
