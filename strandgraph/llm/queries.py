@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandgraph.llm.align import op12_tokenizer_alignment
 from strandgraph.llm.bpe import op8_byte_bpe
 from strandgraph.llm.conversations import op13_conversation_repair
 from strandgraph.llm.idfiles import op10_token_ids
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_ids": op10_token_ids,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
