@@ -9,6 +9,7 @@ from strandgraph.llm.idfiles import op10_token_ids
 from strandgraph.llm.jaccard import op4_ngram_jaccard_join
 from strandgraph.llm.leaks import op9_benchmark_decontamination
 from strandgraph.llm.licences import op7_license_scans
+from strandgraph.llm.lm import op11_lm_scoring
 from strandgraph.llm.oracles import ORACLE
 from strandgraph.llm.quality import op2_quality_rules
 from strandgraph.llm.shards import op3_sharding
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_ids": op10_token_ids,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
