@@ -110,9 +110,89 @@ def canonical_kmers(df: DataFrame, seq: str, k: int, out: str = "kmer") -> DataF
     return both.withColumn(out, F.explode(each)).drop("_both")
 
 
-#: Letters whose k-mers are counted at a time.
+#: Letters whose k-mers are made at a time.
 PIECE = 1 << 20
 
+#: Two bits a letter, in the order of letters; 4 for what is no base.
+_CODES = np.full(256, 4, np.uint8)
+_CODES[list(b"ACGT")] = range(4)
+#: Odd multipliers of kmer_hash.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D)
+
+
+def packed_kmers(codes: np.ndarray, k: int) -> np.ndarray:
+    """The canonical k-mers of a run of codes (0 to 3), packed two bits a letter, first letter highest: the smaller of each and
+    its reverse complement, which is the first of both in order of letters. Made from halves, so in log k steps."""
+    n = len(codes) - k + 1
+    forward, backward, width, done = codes.astype(np.uint64), (3 - codes).astype(np.uint64), 1, 0
+    way = back = None
+    while width <= k:
+        if k & width:
+            # Letters done so far, then the next `width`.
+            f, b = forward[done : done + n], backward[done : done + n]
+            way = f if way is None else way << np.uint64(2 * width) | f
+            back = b if back is None else b << np.uint64(2 * done) | back
+            done += width
+        if 2 * width <= k:
+            forward, backward = forward[:-width] << np.uint64(2 * width) | forward[width:], backward[width:] << np.uint64(2 * width) | backward[:-width]
+        width *= 2
+    return np.minimum(way, back)
+
+
+def kmer_hash(packed: np.ndarray) -> np.ndarray:
+    """60 bits of a packed k-mer, by multiplications modulo 2**64 and shifts."""
+    x = packed * np.uint64(MULTIPLIERS[0])
+    x = (x ^ x >> np.uint64(32)) * np.uint64(MULTIPLIERS[1])
+    return (x ^ x >> np.uint64(29)) >> np.uint64(4)
+
+
+def kmer_hash_sql(kmer: str, k: int) -> str:
+    """DuckDB SQL for kmer_hash of a canonical k-mer's text."""
+    a, b = MULTIPLIERS
+    code = f"list_sum(list_transform(range({k}), lambda i: (instr('ACGT', {kmer}[i + 1]) - 1)::HUGEINT * (4::HUGEINT ** ({k - 1} - i))::HUGEINT))"
+    one = f"(({code})::HUGEINT * {a}::HUGEINT % {1 << 64}::HUGEINT)::UBIGINT"
+    return f"list_transform([{one}], lambda x: list_transform([(xor(x, x >> 32)::HUGEINT * {b}::HUGEINT % {1 << 64}::HUGEINT)::UBIGINT], lambda y: (xor(y, y >> 29) >> 4)::BIGINT)[1])[1]"
+
+
+def _kept_hashes(k: int, limit: int):
+    """Rows (id, seq) to id, hash, abund: hashes of a row's k-mers below the limit, and how often each is there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
+            bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            body = texts.buffers()[2]
+            codes = _CODES[np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]]] if body is not None else np.zeros(0, np.uint8)
+            bounds = bounds - bounds[0]
+            # A k-mer begins where its letters are bases, and not in the last k - 1 of a row.
+            good = np.concatenate([[0], np.cumsum(codes > 3)])
+            rows, hashes = [], []
+            for a in range(0, len(codes) - k + 1, PIECE):
+                z = min(a + PIECE, len(codes) - k + 1)
+                h = kmer_hash(packed_kmers(codes[a : z + k - 1] & 3, k))
+                at = np.flatnonzero((h < np.uint64(limit)) & (good[a:z] == good[a + k : z + k]))
+                row = np.searchsorted(bounds, a + at, side="right") - 1
+                inside = a + at + k <= bounds[row + 1]
+                rows.append(row[inside])
+                hashes.append(h[at[inside]].astype(np.int64))
+            row, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, hashes))
+            by = np.lexsort((h, row))
+            row, h = row[by], h[by]
+            first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(h, prepend=-1) != 0))
+            n = np.diff(np.append(first, len(row)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(h[first]), pa.array(n.astype(np.int64))], names=["id", "hash", "abund"])
+
+    return run
+
+
+def kept_hashes(sequences: DataFrame, k: int, limit: int, id_column: str = "id", seq: str = "seq") -> DataFrame:
+    """id, hash, abund of each row: the hashes (kmer_hash) below the limit of its canonical k-mers, k up to 31. k-mers with
+    other letters than A, C, G and T are left out. Made where the sequences are; a task holds one batch of them."""
+    if not 1 <= k <= 31:
+        raise ValueError("k is 1 to 31")
+    rows = sequences.filter(F.col(seq).isNotNull()).select(F.col(id_column).alias("id"), F.col(seq).cast("string").alias("seq"))
+    return rows.mapInArrow(_kept_hashes(k, limit), f"id {rows.schema['id'].dataType.simpleString()}, hash long, abund long")
+
 
 def _count_plain(data: np.ndarray, inside: np.ndarray, k: int) -> dict[str, int]:
     """The k-mers of single-byte letters that begin where `inside` is true."""

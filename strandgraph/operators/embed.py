@@ -30,9 +30,23 @@ def windows(sequences: DataFrame, k: int, width: int, stride: int, most: int | N
 
 
 def kmer_text(text: Column, k: int) -> Column:
-    """A window's k-mers joined by blanks."""
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(k)))
-    return F.array_join(each, " ")
+    """A window's k-mers joined by blanks; a window shorter than k is its only one."""
+
+    @F.pandas_udf("string")
+    def joined(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t is None or len(t) <= k:
+                out.append(t)
+            elif t.isascii():
+                rows = np.full((len(t) - k + 1, k + 1), 32, np.uint8)
+                rows[:, :k] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(t.encode(), np.uint8), k)
+                out.append(rows.tobytes()[:-1].decode())
+            else:
+                out.append(" ".join(t[i : i + k] for i in range(len(t) - k + 1)))
+        return pd.Series(out, dtype=object)
+
+    return joined(text)
 
 
 def base_frequencies(k: int = 2, letters: str = "ACGT") -> Hook:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +22,27 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def top_candidates(queries: DataFrame, candidates: DataFrame, logit_scale: float = 1.0, k: int = 1, but_itself: bool = False) -> DataFrame:
+def top_candidates(queries: DataFrame, candidates: DataFrame, logit_scale: float = 1.0, k: int = 1, but_itself: bool = False, but: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """query_id, idx, score, rank: the k candidates of highest sigmoid(dot * exp(logit_scale)); of equal scores (to 12 decimals
-    of the dot product) the smaller idx first. but_itself: a candidate whose idx is the query's id is no candidate of it.
+    of the dot product) the smaller idx first. but_itself: a candidate whose idx is the query's id is no candidate of it. but(query_id,
+    idx): pairs that don't count. more(query_id, idx, x): candidates of one query alone.
 
     Candidates are dealt to blocks and queries to slices; a slice meets a block in one matrix product that keeps its own
     k best. Both are keyed by (slice, block), so neither side is broadcast or gathered, and each query has k rows a block,
-    of which the best k are picked.
+    of which the best k are picked. Pairs that don't count go to the block of their candidate.
     """
     n_slices, n_blocks = max(1, -(-queries.count() // SLICE)), max(1, -(-candidates.count() // BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     vector = F.col("x").cast("array<double>").alias("x")
-    asking = queries.select("query_id", vector, F.pmod(F.xxhash64("query_id"), F.lit(n_slices)).cast("int").alias("slice"), every(n_blocks).alias("block"))
-    offered = candidates.select("idx", vector, F.pmod(F.xxhash64("idx"), F.lit(n_blocks)).cast("int").alias("block"), every(n_slices).alias("slice"))
+    slice_of, block_of = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("query_id", n_slices), ("idx", n_blocks)))
+    asking = queries.select("query_id", vector, F.lit(None).cast("long").alias("but"), slice_of.alias("slice"), every(n_blocks).alias("block"))
+    if but is not None:
+        asking = asking.unionByName(but.select("query_id", F.lit(None).cast("array<double>").alias("x"), F.col("idx").cast("long").alias("but"), slice_of.alias("slice"), block_of.alias("block")))
+    offered = candidates.select("idx", vector, block_of.alias("block"), every(n_slices).alias("slice"))
 
     def best(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        told = asking.column("but").is_valid()
+        never, asking = asking.filter(told), asking.filter(pc.invert(told))
         ids, idx = asking.column("query_id"), rows.column("idx").to_numpy()
         if not len(ids) or not len(idx):
             return pa.table([ids.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "idx", "d"])
@@ -43,6 +50,13 @@ def top_candidates(queries: DataFrame, candidates: DataFrame, logit_scale: float
         d = np.round(_matrix(asking) @ _matrix(rows)[by].T, 12)
         if but_itself:
             d[ids.to_numpy()[:, None] == idx[by][None, :]] = -np.inf
+        if len(never):
+            place = {q: i for i, q in enumerate(ids.to_pylist())}
+            at = np.array([place.get(q, -1) for q in never.column("query_id").to_pylist()])
+            column = np.searchsorted(idx[by], never.column("but").to_numpy())
+            there = (at >= 0) & (column < len(idx))
+            there[there] = idx[by][column[there]] == never.column("but").to_numpy()[there]
+            d[at[there], column[there]] = -np.inf
         order = np.argsort(-d, axis=1, kind="stable")[:, :k]
         found = np.take_along_axis(d, order, 1).ravel()
         there = np.flatnonzero(found > -np.inf)
@@ -52,6 +66,9 @@ def top_candidates(queries: DataFrame, candidates: DataFrame, logit_scale: float
     # A stated set of queries against all candidates, block by block.
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, idx long, d double"
     met = asking.groupBy("slice", "block").cogroup(offered.groupBy("slice", "block")).applyInArrow(best, schema)
+    if more is not None:
+        own = queries.select("query_id", F.col("x").cast("array<double>").alias("a")).join(more.select("query_id", "idx", vector), "query_id")
+        met = met.unionByName(own.select("query_id", F.col("idx").cast("long").alias("idx"), F.round(dot(F.col("a"), F.col("x")), 12).alias("d")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("d"), "idx"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "idx", sigmoid(F.col("d") * F.exp(F.lit(float(logit_scale)))).alias("score"), "rank")
 

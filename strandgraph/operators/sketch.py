@@ -2,42 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.functions.sequence import canonical_kmers
+from strandgraph.functions.sequence import kept_hashes
+from strandgraph.operators.skew import hot_keys, spread_join
+from strandgraph.plans.lineage import cut
 
 
-@dataclass(frozen=True)
-class Hash:
-    """60 bits of a string as a long, and whether they are below a limit, which may be told sooner."""
+#: Hashes are below this.
+TOP = 1 << 60
 
-    of: Callable[[Column], Column]
-    below: Callable[[Column, int], Column]
 
+def sketch(sequences: DataFrame, k: int, scaled: int, id_column: str = "id", seq: str = "seq") -> DataFrame:
+    """id, hash, abund: the hashes of canonical k-mers below TOP / scaled, with their number of occurrences.
 
-def _md5_digits(s: Column) -> Column:
-    return F.substring(F.md5(s.cast("binary")), 1, 15)
-
-
-#: From MD5: other engines can make it too. Digits of one length are in the order of their numbers.
-PORTABLE = Hash(lambda s: F.conv(_md5_digits(s), 16, 10).cast("long"), lambda s, limit: _md5_digits(s) < f"{limit:015x}")
-_xx = lambda s: F.xxhash64(s).bitwiseAND(F.lit((1 << 60) - 1).cast("long"))
-FAST = Hash(_xx, lambda s, limit: _xx(s) < limit)
-
-
-def sketch(sequences: DataFrame, k: int, scaled: int, hashed: Hash = FAST, id_column: str = "id", seq: str = "seq") -> DataFrame:
-    """id, hash, abund: the canonical k-mers whose hash is below 2**60 / scaled, with their number of occurrences.
-
-    Most k-mers go before anything is shuffled. Sequences shorter than k have none.
+    Sketches are made where the sequences are, and only they are shuffled, since an id may have several rows. Sequences shorter
+    than k have none; k-mers with other letters than A, C, G and T don't count.
     """
-    long_enough = sequences.filter(F.length(seq) >= k).select(F.col(id_column).alias("id"), F.col(seq).alias("seq"))
-    each = canonical_kmers(long_enough, "seq", k)
-    kept = each.filter(hashed.below(F.col("kmer"), (1 << 60) // scaled))
-    return kept.select("id", hashed.of(F.col("kmer")).alias("hash")).groupBy("id", "hash").agg(F.count("*").alias("abund"))
+    return kept_hashes(sequences, k, TOP // scaled, id_column, seq).groupBy("id", "hash").agg(F.sum("abund").alias("abund"))
 
 
 def jaccard_pairs(queries: DataFrame, references: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -60,8 +45,57 @@ def jaccard_pairs(queries: DataFrame, references: DataFrame, threshold: float =
     return _verified(pairs, a, b, threshold)
 
 
+@dataclass
+class Classes:
+    """Equal sketches as one class. sets: class_id (its smallest id), hashes; members: id, class_id."""
+
+    sets: DataFrame
+    members: DataFrame
+
+
+def classes(sketches: DataFrame) -> Classes:
+    """The classes of equal sketches; a copy costs a row of members. Sets are told apart by MD5. A class with very many members
+    isn't gathered: its smallest id is an aggregate that tasks make in part, and reaches the members in several tasks."""
+    sets = sketches.select("id", "hash").distinct().groupBy("id").agg(F.array_sort(F.collect_list("hash")).alias("hashes"))
+    keyed = cut(sets.withColumn("digest", F.md5(F.array_join("hashes", ",").cast("binary"))), "sets")
+    first = keyed.groupBy("digest").agg(F.min("id").alias("class_id"))
+    (hot,) = hot_keys(keyed, ["digest"])
+    members = cut(spread_join(keyed.select("id", "digest"), first, ["digest"], hot).select("id", "class_id"), "members")
+    return Classes(keyed.join(first.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "hashes"), members)
+
+
+def similar_classes(found: Classes, threshold: float) -> DataFrame:
+    """class_a < class_b, score: the pairs of classes from a threshold above 0 on, each once. Members of one class are alike
+    (score 1) and make no pair, so S equal sketches give S rows of members and not S * S pairs."""
+    pairs = similar_pairs(found.sets.select(F.col("class_id").alias("id"), F.explode("hashes").alias("hash")), threshold)
+    return pairs.select(F.col("query_id").alias("class_a"), F.col("ref_id").alias("class_b"), "score")
+
+
+def expanded(found: Classes, pairs: DataFrame) -> DataFrame:
+    """query_id, ref_id, score of all pairs of different members, both ways: as many rows as there are such pairs."""
+    both = pairs.unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), "score"))
+    query, ref = (found.members.select(F.col("id").alias(name), F.col("class_id").alias(c)) for name, c in (("query_id", "class_a"), ("ref_id", "class_b")))
+    several = found.members.groupBy(F.col("class_id").alias("class_a")).agg(F.count("*").alias("n")).filter("n > 1")
+    own = several.select("class_a", F.col("class_a").alias("class_b"), F.lit(1.0).alias("score"))
+    return both.unionByName(own).join(query, "class_a").join(ref, "class_b").filter("query_id <> ref_id").select("query_id", "ref_id", "score")
+
+
+def best_of_classes(found: Classes, pairs: DataFrame) -> DataFrame:
+    """query_id, ref_id, score: each member's best other one, of equally good ones that of the smallest id. No pair of members is
+    made: the best is the smallest other member of its own class, else the best class's smallest."""
+    both = pairs.unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), "score"))
+    other = best_match(both.select(F.col("class_a").alias("query_id"), F.col("class_b").alias("ref_id"), "score")).select(F.col("query_id").alias("class_id"), "ref_id", "score")
+    second = found.members.filter("id <> class_id").groupBy("class_id").agg(F.min("id").alias("second"))
+    of_class = found.sets.select("class_id").join(second, "class_id", "left").join(other, "class_id", "left")
+    (hot,) = hot_keys(found.members, ["class_id"])
+    rows = spread_join(found.members, of_class, ["class_id"], hot)
+    own = F.when(F.col("second").isNotNull(), F.when(F.col("id") == F.col("class_id"), F.col("second")).otherwise(F.col("class_id")))
+    return rows.select(F.col("id").alias("query_id"), F.coalesce(own, "ref_id").alias("ref_id"), F.when(own.isNotNull(), 1.0).otherwise(F.col("score")).alias("score")).filter("ref_id is not null")
+
+
 def similar_pairs(sketches: DataFrame, threshold: float) -> DataFrame:
-    """query_id < ref_id, score: the pairs of one table's sketches from a threshold above 0 on, each once. See jaccard_pairs."""
+    """query_id < ref_id, score: the pairs of one table's sketches from a threshold above 0 on, each once. See jaccard_pairs;
+    where many sketches are equal, similar_classes."""
     rows = sketches.select(F.col("id").alias("query_id"), "hash").distinct()
     a = _ranked(rows, rows.groupBy("hash").agg(F.count("*").alias("df")), "query_id", threshold)
     b = a.withColumnsRenamed({"query_id": "ref_id"})
@@ -92,10 +126,6 @@ def _verified(pairs: DataFrame, a: DataFrame, b: DataFrame, threshold: float) ->
     return counted.select("query_id", "ref_id", (F.col("common") / (F.col("sum") - F.col("common"))).alias("score")).filter(F.col("score") >= threshold)
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("ref_id").alias("query_id"), F.col("query_id").alias("ref_id"), "score"))
-
-
 def similarity_edges(pairs: DataFrame, threshold: float, edge_type: str, both_ways: bool = False) -> DataFrame:
     """src_id, dst_id, edge_type, weight from query_id, ref_id, score: positive scores from the threshold on, the smaller
     id as source, or both directions."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import sequence as seqf
 from strandgraph.functions import vectors as vec
 from strandgraph.operators import attention as att
-from strandgraph.operators import embed, graph, hierarchy, scoring
+from strandgraph.operators import embed, graph, hierarchy, overlay, scoring, sketch_index
 from strandgraph.operators import sketch as sk
 from strandgraph.plans import standins as st
 from strandgraph.plans.lineage import cut, shared_folder
@@ -65,11 +65,12 @@ def reverse_complement(spark, d):
 K, WINDOW, STRIDE, MOST = 4, 50, 30, 8
 
 
-def _starts_sql(width: int, stride: int, most: int) -> str:
+def _starts_sql(width: int, stride: int, most: int | None) -> str:
     """CTEs that end in b(seq_id, s, picked): starts of the windows of each sequence, `most` at most."""
+    picked = "starts" if most is None else f"CASE WHEN len(starts) <= {most} THEN starts ELSE list_transform(range({most}), lambda i: starts[i * len(starts) // {most} + 1]) END"
     return f"""WITH s AS (SELECT doc_id AS seq_id, {st.DNA_SQL} AS s FROM documents), n AS (SELECT *, greatest(length(s) - {K - 1}, 1) AS n FROM s),
     a AS (SELECT *, CASE WHEN n <= {width} THEN [0::BIGINT] ELSE list_concat(range(0, n - {width} + 1, {stride}), CASE WHEN {stride} * ((n - {width}) // {stride} + 1) < n THEN [n - {width}] ELSE []::BIGINT[] END) END AS starts FROM n),
-    b AS (SELECT *, CASE WHEN len(starts) <= {most} THEN starts ELSE list_transform(range({most}), lambda i: starts[i * len(starts) // {most} + 1]) END AS picked FROM a)"""
+    b AS (SELECT *, {picked} AS picked FROM a)"""
 
 
 def _windows(spark, d, most=None):
@@ -90,14 +91,14 @@ def windows_sampled(spark, d):
     return _windows(spark, d, MOST)
 
 
-#: How sequences are embedded: windows side by side over the whole sequence, and how many of a very long one.
-TOKENS, STEP, CAP = 510, 510, 800
-_CUT = f"{_starts_sql(TOKENS, STEP, CAP)}, w AS (SELECT seq_id, i - 1 AS win_idx, substring(s, picked[i] + 1, {TOKENS + K - 1}) AS t FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS i FROM b))"
+#: How sequences are embedded: windows side by side over the whole sequence.
+TOKENS, STEP = 510, 510
+_CUT = f"{_starts_sql(TOKENS, STEP, None)}, w AS (SELECT seq_id, i - 1 AS win_idx, substring(s, picked[i] + 1, {TOKENS + K - 1}) AS t FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS i FROM b))"
 
 
 @query(f"{_CUT} SELECT seq_id, win_idx, md5(array_to_string(list_transform(range(1, greatest(length(t) - {K - 1}, 1) + 1), lambda i: substring(t, i, {K})), ' ')) AS digest FROM w")
 def window_text(spark, d):
-    rows = embed.windows(st.sequences(spark, d), K, TOKENS, STEP, CAP)
+    rows = embed.windows(st.sequences(spark, d), K, TOKENS, STEP)
     return rows.select("seq_id", F.col("win_idx").cast("long").alias("win_idx"), F.md5(embed.kmer_text(F.col("text"), K)).alias("digest"))
 
 
@@ -107,14 +108,14 @@ def window_text(spark, d):
 )
 def strand_windows(spark, d):
     """Windows of both strands."""
-    rows = embed.windows(st.sequences(spark, d), K, TOKENS, STEP, CAP, both_strands=True)
+    rows = embed.windows(st.sequences(spark, d), K, TOKENS, STEP, both_strands=True)
     return rows.select("seq_id", "strand", F.col("win_idx").cast("long").alias("win_idx"), F.md5("text").alias("digest"))
 
 
 @query(f"{_CUT} SELECT seq_id, win_idx, md5(array_to_string(list_transform(range(1, least(greatest(length(t) - {K - 1}, 1), 130) + 1), lambda i: substring(t, i, {K})), ' ')) AS digest FROM w")
 def truncated_tokens(spark, d):
     """A window's tokens as a model of 128 and two marks takes them."""
-    rows = embed.windows(st.sequences(spark, d), K, TOKENS, STEP, CAP)
+    rows = embed.windows(st.sequences(spark, d), K, TOKENS, STEP)
     tokens = F.array_join(seqf.truncated(F.split(embed.kmer_text(F.col("text"), K), " "), 128), " ")
     return rows.select("seq_id", F.col("win_idx").cast("long").alias("win_idx"), F.md5(tokens).alias("digest"))
 
@@ -128,19 +129,27 @@ def protein_clean(spark, d):
 
 
 SKETCH_K, SCALED = 21, 20
+_HASH = seqf.kmer_hash_sql("c", SKETCH_K)
+_CANONICAL = "least(k, reverse(translate(k, 'ACGTNacgtn', 'TGCANtgcan'))) AS c"
 _SKETCH = f"""WITH s AS (SELECT doc_id AS id, {st.DNA_SQL} AS s FROM documents),
 k AS (SELECT id, substring(s, i::BIGINT, {SKETCH_K}) AS k FROM (SELECT id, s, unnest(range(1, length(s) - {SKETCH_K - 1} + 1)) AS i FROM s WHERE length(s) >= {SKETCH_K})),
-sk AS (SELECT id, hash, count(*) AS abund FROM (SELECT id, ('0x' || substr(md5(least(k, reverse(translate(k, 'ACGTNacgtn', 'TGCANtgcan')))), 1, 15))::BIGINT AS hash FROM k) WHERE hash < {(1 << 60) // SCALED} GROUP BY ALL),
+sk AS (SELECT id, hash, count(*) AS abund FROM (SELECT id, {_HASH} AS hash FROM (SELECT id, {_CANONICAL} FROM k)) WHERE hash < {(1 << 60) // SCALED} GROUP BY ALL),
 sz AS (SELECT id, count(*) AS n FROM sk GROUP BY 1),
 pairs AS (SELECT a.id AS query_id, b.id AS ref_id, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS score FROM sk a JOIN sk b USING (hash) JOIN sz x ON x.id = a.id JOIN sz y ON y.id = b.id WHERE a.id <> b.id GROUP BY 1, 2)"""
 
 
 def _sketches(spark, d):
-    return sk.sketch(st.sequences(spark, d), SKETCH_K, SCALED, sk.PORTABLE, "seq_id")
+    return sk.sketch(st.sequences(spark, d), SKETCH_K, SCALED, "seq_id")
+
+
+def _classes(spark, d, threshold=0.8):
+    """Classes of equal sketches, and the pairs of classes."""
+    found = sk.classes(cut(_sketches(spark, d), "sketch"))
+    return found, cut(sk.similar_classes(found, threshold), "pairs")
 
 
 def _pairs(spark, d, threshold=0.8):
-    return sk.both_ways(cut(sk.similar_pairs(cut(_sketches(spark, d), "sketch"), threshold), "pairs"))
+    return sk.expanded(*_classes(spark, d, threshold))
 
 
 @query(f"{_SKETCH} SELECT id, hash, abund FROM sk")
@@ -160,15 +169,32 @@ def similarity_edges(spark, d):
 
 @query(
     f"""{_SKETCH}, q AS (SELECT item_id AS query_id, {st.DNA_SQL} AS s FROM benchmark), qk AS (SELECT query_id, substring(s, i::BIGINT, {SKETCH_K}) AS k FROM (SELECT query_id, s, unnest(range(1, length(s) - {SKETCH_K - 1} + 1)) AS i FROM q WHERE length(s) >= {SKETCH_K})),
-    qs AS (SELECT DISTINCT query_id, hash FROM (SELECT query_id, ('0x' || substr(md5(least(k, reverse(translate(k, 'ACGTNacgtn', 'TGCANtgcan')))), 1, 15))::BIGINT AS hash FROM qk) WHERE hash < {(1 << 60) // SCALED}),
+    qs AS (SELECT DISTINCT query_id, hash FROM (SELECT query_id, {_HASH} AS hash FROM (SELECT query_id, {_CANONICAL} FROM qk)) WHERE hash < {(1 << 60) // SCALED}),
     qn AS (SELECT query_id, count(*) AS n FROM qs GROUP BY 1), p AS (SELECT query_id, id AS ref_id, count(*) AS c FROM qs JOIN sk USING (hash) GROUP BY 1, 2)
     SELECT query_id, ref_id, round(c / (qn.n + sz.n - c), 6) AS score FROM p JOIN qn USING (query_id) JOIN sz ON sz.id = ref_id WHERE c / (qn.n + sz.n - c) >= 0.05"""
 )
 def query_pairs(spark, d):
-    """Benchmark items as queries against all documents' sketches."""
+    """Benchmark items as queries against a library of all documents' sketches."""
     q = table(spark, d, "benchmark").select("item_id", st.dna(F.col("text")).alias("seq"))
-    asked = sk.sketch(q, SKETCH_K, SCALED, sk.PORTABLE, "item_id")
-    return sk.jaccard_pairs(asked, _sketches(spark, d), 0.05).select("query_id", "ref_id", F.round("score", 6).alias("score"))
+    path = shared_folder(spark, "sketch-index")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    sketch_index.add_sketches(_sketches(spark, d), name, path)
+    return sketch_index.probe(sk.sketch(q, SKETCH_K, SCALED, "item_id"), name, 0.05).select("query_id", "ref_id", F.round("score", 6).alias("score"))
+
+
+_CLASSES = f"""{_SKETCH}, sets AS (SELECT id, list(hash ORDER BY hash) AS h FROM sk GROUP BY 1), members AS (SELECT id, min(id) OVER (PARTITION BY h) AS class_id FROM sets)"""
+
+
+@query(f"{_CLASSES} SELECT id, class_id FROM members")
+def sketch_classes(spark, d):
+    """Each sequence's class of equal sketches, by the class's smallest id."""
+    return sk.classes(cut(_sketches(spark, d), "sketch")).members
+
+
+@query(f"{_CLASSES} SELECT query_id AS class_a, ref_id AS class_b, round(score, 6) AS score FROM pairs WHERE score >= 0.8 AND query_id < ref_id AND query_id IN (SELECT class_id FROM members) AND ref_id IN (SELECT class_id FROM members)")
+def class_pairs(spark, d):
+    """Pairs of classes; with sketch_classes these say what jaccard_pairs does, in rows that don't grow with the square of copies."""
+    return _classes(spark, d)[1].select("class_a", "class_b", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -178,7 +204,7 @@ def query_pairs(spark, d):
 def best_match(spark, d):
     """The flagship: each document's most similar other one, and that one's label, or a fallback."""
     docs = table(spark, d, "documents")
-    best = sk.best_match(_pairs(spark, d, 0.5))
+    best = sk.best_of_classes(*_classes(spark, d, 0.5))
     labels = docs.select(F.col("doc_id").alias("ref_id"), "lang")
     rows = docs.select(F.col("doc_id").alias("query_id")).join(best, "query_id", "left").join(labels, "ref_id", "left")
     return rows.select("query_id", "ref_id", F.coalesce("lang", F.concat(F.lit("unknown_"), F.col("query_id").cast("string"))).alias("top_label"), F.round("score", 6).alias("score"))
@@ -511,30 +537,68 @@ def model(width: int) -> tuple[dict, list[att.Layer], tuple[np.ndarray, np.ndarr
     return inputs, [one, one], (st.weights(n, n, 6), st.weights(1, n, 7)[0])
 
 
-def _embedded(spark, d):
-    """The model over whole vectors, as wide as they are."""
+def _graph(spark, d):
+    """nodes(ntype, idx, x) with whole vectors, as wide as they are, and edges in both directions, of customers, parts and suppliers."""
     nodes = None
     for name, key in (("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey")):
         side = _side(spark, d, name, key).select(F.lit(name).alias("ntype"), "idx", "x")
         nodes = side if nodes is None else nodes.unionByName(side)
     kind = lambda e, s, r, t: e.select(F.lit(s).alias("src_type"), F.lit(r).alias("rel"), F.lit(t).alias("dst_type"), "src", "dst")
     edges = graph.both_directions(kind(st.purchases(spark, d), "customer", "buys", "part"), "bought_by").unionByName(graph.both_directions(kind(st.supplies(spark, d), "supplier", "supplies", "part"), "supplied_by"))
-    inputs, layers, final = model(st.feature_width(spark, d))
-    return {k: cut(v, "state") for k, v in att.embedded(cut(nodes, "nodes"), cut(edges, "edges"), inputs, layers, final).items()}
+    return cut(nodes, "nodes"), cut(edges, "edges")
 
 
-_MODEL = st.model_sql()
+def _embedded(spark, d):
+    inputs, layers, final = model(st.feature_width(spark, d))
+    return {k: cut(v, "state") for k, v in att.embedded(*_graph(spark, d), inputs, layers, final).items()}
 
 
-@query(f"{_MODEL} " + " UNION ALL ".join(f"SELECT '{name}' AS ntype, idx, i - 1 AS pos, round(x[i], 6) AS value FROM (SELECT *, unnest(range(1, {st.HIDDEN + 1})) AS i FROM {kind}_z)" for kind, name in (("cust", "customer"), ("prt", "part"), ("supp", "supplier"))))
-def gat_embed(spark, d):
+def _spread_states(states):
+    """ntype, idx, pos, value of states by type."""
     parts = None
-    for kind, df in _embedded(spark, d).items():
+    for kind, df in states.items():
         rows = df.select(F.lit(kind).alias("ntype"), "idx", F.posexplode("x").alias("pos", "value")).select("ntype", "idx", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
         parts = rows if parts is None else parts.unionByName(rows)
     return parts
 
 
+_MODEL = st.model_sql()
+
+
+@query(f"{_MODEL} " + " UNION ALL ".join(f"SELECT '{name}' AS ntype, idx, i - 1 AS pos, round(x[i], 6) AS value FROM (SELECT *, unnest(range(1, {st.HIDDEN + 1})) AS i FROM {kind}_z)" for kind, name in (("cust", "customer"), ("prt", "part"), ("supp", "supplier"))))
+def gat_embed(spark, d):
+    return _spread_states(_embedded(spark, d))
+
+
+@query(f"{_MODEL} " + " UNION ALL ".join(f"SELECT '{name}' AS ntype, idx, i - 1 AS pos, round(x[i], 6) AS value FROM (SELECT *, unnest(range(1, {st.HIDDEN + 1})) AS i FROM {kind}_z)" for kind, name in (("cust", "customer"), ("prt", "part"), ("supp", "supplier"))))
+def incremental_embed(spark, d):
+    """Every second customer is attached to the graph of the others, whose states are kept; the frontier alone is made anew."""
+    nodes, edges = _graph(spark, d)
+    new = (F.col("ntype") == "customer") & (F.col("idx") % 2 == 1)
+    end = F.when(F.col("src_type") == "customer", F.col("src")).when(F.col("dst_type") == "customer", F.col("dst")).otherwise(0)
+    inputs, layers, final = model(st.feature_width(spark, d))
+    frozen = overlay.freeze(nodes.filter(~new), edges.filter(end % 2 == 0), inputs, layers)
+    one = F.lit("all").alias("query")
+    attached = overlay.attach(frozen, nodes.filter(new).select(one, "ntype", "idx", "x"), edges.filter(end % 2 == 1).select(one, *graph.RELATION, "src", "dst"))
+    return _spread_states({k: v.select("idx", att.project(*final, "length 1")("x").alias("x")) for k, v in overlay.shared_states(frozen, attached).items()})
+
+
+@query(f"{st.isolated_sql()} SELECT idx AS query_id, i - 1 AS pos, round(x[i], 6) AS value FROM (SELECT *, unnest(range(1, {st.HIDDEN + 1})) AS i FROM cust_z)")
+def isolated_embed(spark, d):
+    """Each customer by itself on the graph of parts and suppliers: none hears of another one."""
+    nodes, edges = _graph(spark, d)
+    customer = (F.col("src_type") == "customer") | (F.col("dst_type") == "customer")
+    name = F.when(F.col("src_type") == "customer", F.col("src")).otherwise(F.col("dst")).alias("query")
+    inputs, layers, final = model(st.feature_width(spark, d))
+    new = nodes.filter("ntype = 'customer'").select(F.col("idx").alias("query"), "ntype", "idx", "x")
+    runs = overlay.isolated(nodes.filter("ntype <> 'customer'"), edges.filter(~customer), new, edges.filter(customer).select(name, *graph.RELATION, "src", "dst"), inputs, layers, wanted={"customer": new.select("query", "idx")})
+    out = None
+    for _, _, attached in runs:
+        rows = attached["customer"].select(F.col("query").alias("query_id"), att.project(*final, "length 1")("x").alias("x"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("query_id", F.posexplode("x").alias("pos", "value")).select("query_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
 # Ties: dot products to 12 decimals, the smaller idx first.
 _BEST = """best AS (SELECT c.idx AS query_id, s.idx, round(list_dot_product(c.x, s.x), 12) AS d FROM cust_z c CROSS JOIN supp_z s QUALIFY row_number() OVER (PARTITION BY c.idx ORDER BY d DESC, s.idx) = 1)"""
 
@@ -595,7 +659,7 @@ SELECT seq_id, pos, round(CASE WHEN sum(v * v) OVER p > 0 THEN v / sqrt(sum(v *
 
 @query(_FREQUENCIES)
 def embed_batches(spark, d):
-    wins = embed.windows(st.sequences(spark, d), K, TOKENS, STEP, CAP)
+    wins = embed.windows(st.sequences(spark, d), K, TOKENS, STEP)
     vectors = embed.embed_batches(wins, embed.base_frequencies(2), ["seq_id", "strand", "win_idx"])
     return _spread(embed.sequence_vectors(vectors), "seq_id")
 

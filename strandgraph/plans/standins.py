@@ -130,3 +130,27 @@ def model_sql(layers: int = 2) -> str:
         ctes.append(f"{kind}_f AS (SELECT idx, {linear_sql('x', HIDDEN, 6, 7)} AS x FROM {kind}_{layers})")
         ctes.append(f"{kind}_z AS (SELECT idx, list_transform(x, lambda v: v / (CASE WHEN list_dot_product(x, x) > 0 THEN sqrt(list_dot_product(x, x)) ELSE 1 END)) AS x FROM {kind}_f)")
     return "WITH " + ", ".join(ctes)
+
+
+def updated_sql(name: str, before: str, aggregate: str) -> str:
+    """CTEs that end in name(idx, x): see operators.attention.updated, over before(idx, x) and aggregate(idx, pos, v)."""
+    return f"""
+{name}_y AS (SELECT s.idx, a.pos, s.x[a.pos + 1] + a.v AS v FROM {before} s JOIN {aggregate} a ON a.idx = s.idx),
+{name} AS (SELECT idx, list(greatest((v - m) / sqrt(q + 1e-5), 0) ORDER BY pos) AS x FROM (SELECT *, avg(v) OVER (PARTITION BY idx) AS m, var_pop(v) OVER (PARTITION BY idx) AS q FROM {name}_y) GROUP BY idx)"""
+
+
+def isolated_sql() -> str:
+    """WITH clauses that end in cust_z(idx, x): each customer by itself on the graph of parts and suppliers, see
+    queries.isolated_embed. ov has a row for each part as one customer sees it."""
+    ctes = [FEATURES_SQL, "bought_by AS (SELECT dst AS src, src AS dst FROM buys)"]
+    for i, kind in enumerate(("cust", "prt", "supp")):
+        ctes.append(f"{kind}_0 AS (SELECT idx, list_transform({linear_sql('x', HIDDEN, i, i)}, lambda v: greatest(v, 0)) AS x FROM {kind})")
+    # Without purchases a customer is in no relation, so not even its bias counts.
+    heard = lambda out, name: f"{name} AS (SELECT idx, pos, CASE WHEN idx IN (SELECT src FROM buys) THEN v ELSE 0 END AS v FROM {out})"
+    ctes += [attended_sql("bb0", "bought_by", "prt_0", "cust_0", 1, HIDDEN), heard("bb0", "hb0"), updated_sql("cust_1", "cust_0", "hb0"), attended_sql("sp0", "supplies", "supp_0", "prt_0", 2, HIDDEN)]
+    ctes.append("ov0 AS (SELECT src * 1000000007 + dst AS idx, src AS q, dst AS p, x FROM buys JOIN prt_0 ON prt_0.idx = dst), there AS (SELECT q AS src, idx AS dst FROM ov0), back AS (SELECT idx AS src, q AS dst FROM ov0)")
+    ctes += [attended_sql("b0", "there", "cust_0", "ov0", 0, HIDDEN), "s0 AS (SELECT ov0.idx, pos, v FROM ov0 JOIN sp0 ON sp0.idx = p)", gated_sql("g0", ["b0", "s0"], HIDDEN), updated_sql("ov1", "ov0", "g0")]
+    ctes += [attended_sql("bb1", "back", "ov1", "cust_1", 1, HIDDEN), heard("bb1", "hb1"), updated_sql("cust_2", "cust_1", "hb1")]
+    ctes.append(f"cust_f AS (SELECT idx, {linear_sql('x', HIDDEN, 6, 7)} AS x FROM cust_2)")
+    ctes.append("cust_z AS (SELECT idx, list_transform(x, lambda v: v / (CASE WHEN list_dot_product(x, x) > 0 THEN sqrt(list_dot_product(x, x)) ELSE 1 END)) AS x FROM cust_f)")
+    return "WITH " + ", ".join(ctes)
