@@ -114,7 +114,8 @@ class Found:
     """The search of all suffixes of a block in a shard.
 
     longest: by place of the shard the words of the longest match that begins there with a window.
-    place, words, item: where windows occur, their words and items (numbers), each combination once.
+    place, words, window: where windows occur, their words and numbers, each occurrence once; window_item, item: windows' numbers,
+    ascending, and each one's items. Occurrences and items stand apart, as many items may share a window that occurs often.
     reach, low, high: how far each suffix (by its place in the block) came, and its range of array.order then.
     """
 
@@ -125,7 +126,7 @@ class Found:
         least = int(block.need[block.need <= block.left].min(initial=len(block.words) + 1))
         p, node = block.order, np.zeros(len(block.order), np.int64)
         low, high = np.zeros(1, np.int64), np.full(1, len(h), np.int64)
-        hits, depth = [], 0
+        hits, items, windows, depth = [], [], 0, 0
         while len(p) and len(h):
             array.deepen(depth + 1)
             want = block.words[p + depth]
@@ -146,11 +147,23 @@ class Found:
                 hit = np.flatnonzero(block.need[p] == depth)
                 if len(hit):
                     pairs = np.unique(np.stack([node[hit], block.item[p[hit]].astype(np.int64)]), axis=1)
-                    n = (high - low)[pairs[0]]
-                    hits.append((array.order[_expanded(low[pairs[0]], n)], np.full(int(n.sum()), depth), np.repeat(pairs[1], n)))
+                    found, each = np.unique(pairs[0], return_inverse=True)
+                    n = (high - low)[found]
+                    hits.append((array.order[_expanded(low[found], n)], np.full(int(n.sum()), depth), np.repeat(windows + np.arange(len(found)), n)))
+                    items.append((windows + each, pairs[1]))
+                    windows += len(found)
             more = block.left[p] > depth
             p, node = p[more], node[more]
-        self.place, self.words, self.item = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
+        nothing = np.zeros(0, np.int64)
+        self.place, self.words, self.window = (np.concatenate(x) for x in zip(*hits)) if hits else (nothing,) * 3
+        self.window_item, self.item = (np.concatenate(x) for x in zip(*items)) if items else (nothing,) * 2
+
+    def items_of(self, owner: np.ndarray) -> np.ndarray:
+        """The different (owner, item) of occurrences' owners, as columns."""
+        pairs = np.unique(np.stack([owner, self.window]), axis=1)
+        first = np.searchsorted(self.window_item, pairs[1])
+        n = np.searchsorted(self.window_item, pairs[1], side="right") - first
+        return np.unique(np.stack([np.repeat(pairs[0], n), self.item[_expanded(first, n)]]), axis=1)
 
 
 _ROW = "k long, n_words long, spans array<struct<start: long, stop: long>>, items array<string>, longest long, longest_start long, digest string"
@@ -171,7 +184,7 @@ def _scan(block):
                     spans[d].append({"start": x - int(first[d]), "stop": y - int(first[d])})
                 items: list[list[str]] = [[] for _ in range(part.num_rows)]
                 doc = np.searchsorted(first, found.place, side="right") - 1
-                pairs = np.unique(np.stack([doc, found.item]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
+                pairs = found.items_of(doc) if len(doc) else np.zeros((2, 0), np.int64)
                 for d, i in zip(*pairs.tolist()):
                     items[d].append(sought.names[i])
                 at = np.flatnonzero(found.longest)
