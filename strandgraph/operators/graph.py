@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandgraph.operators.skew import hot_keys, spread_join
 from strandgraph.plans.lineage import cut
 
 RELATION = ("src_type", "rel", "dst_type")
@@ -100,11 +101,13 @@ def _first_tries(rows: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges by id (src_type, rel, dst_type, src_id, dst_id, ...) with indices; those with an unknown end go."""
+    """Edges by id (src_type, rel, dst_type, src_id, dst_id, ...) with indices; those with an unknown end go. Ends that very many
+    edges share are met in several tasks."""
     at = nodes.select("ntype", "id", "idx")
     src = at.toDF("src_type", "src_id", "src")
     dst = at.toDF("dst_type", "dst_id", "dst")
-    return edges.join(src, ["src_type", "src_id"]).join(dst, ["dst_type", "dst_id"])
+    hot_src, hot_dst = hot_keys(edges, ["src_type", "src_id"], ["dst_type", "dst_id"])
+    return spread_join(spread_join(edges, src, ["src_type", "src_id"], hot_src), dst, ["dst_type", "dst_id"], hot_dst)
 
 
 def both_directions(edges: DataFrame, back: str) -> DataFrame:
@@ -117,15 +120,6 @@ def attach_edges(edges: DataFrame, *more: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (m.select(*RELATION, "src", "dst") for m in more), edges.select(*RELATION, "src", "dst"))
 
 
-def self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Relations of one node type: loops that are there go, and each node gets one."""
-    same = F.col("src_type") == F.col("dst_type")
-    kept = edges.filter(~(same & (F.col("src") == F.col("dst"))))
-    kinds = edges.filter(same).select(*RELATION).distinct()
-    loops = kinds.join(nodes.select(F.col("ntype").alias("src_type"), "idx"), "src_type").select(*RELATION, F.col("idx").alias("src"), F.col("idx").alias("dst"))
-    return kept.select(*RELATION, "src", "dst").unionByName(loops)
-
-
 def attach_counts(queries: DataFrame, proteins: DataFrame, proposed: DataFrame, attached: DataFrame) -> DataFrame:
     """For each query: nodes, proteins, edges in both directions, similarity edges proposed and attached."""
     n = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))

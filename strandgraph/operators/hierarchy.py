@@ -42,15 +42,62 @@ def ancestors(nodes: DataFrame, starts: DataFrame, rank: str, unknown: str = "NA
     return starts.select("taxid").distinct().join(ways.select("taxid", "name"), "taxid", "left").select("taxid", F.coalesce("name", F.lit(unknown)).alias("name"))
 
 
-def ancestors_recursive(nodes_view: str, starts_view: str, rank: str) -> str:
-    """The same walk as one recursive query, for hierarchies below Spark's limits on recursion."""
-    return f"""
-    WITH RECURSIVE walk(taxid, at, parent, name, rank, seen) AS (
-        SELECT s.taxid, n.taxid, n.parent, n.name, n.rank, array(n.taxid) FROM (SELECT DISTINCT taxid FROM {starts_view}) s JOIN {nodes_view} n ON n.taxid = s.taxid
-        UNION ALL
-        SELECT w.taxid, n.taxid, n.parent, n.name, n.rank, array_append(w.seen, n.taxid) FROM walk w JOIN {nodes_view} n ON n.taxid = w.parent
-        WHERE w.rank <> '{rank}' AND NOT array_contains(w.seen, n.taxid))
-    SELECT s.taxid, coalesce(max(w.name), 'NA') AS name FROM (SELECT DISTINCT taxid FROM {starts_view}) s LEFT JOIN walk w ON w.taxid = s.taxid AND w.rank = '{rank}' GROUP BY s.taxid"""
+#: Letters of a node in a path.
+STEP = 16
+
+
+def _step(taxid: Column) -> Column:
+    """A node as text of one width, in the order of its number."""
+    return F.lpad(F.hex(taxid.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), STEP, "0")
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """taxid, path: each node's way from its root, STEP letters a node; null where the way up runs into a cycle.
+
+    A subtree is a range of paths (see subtree), and a path's beginnings are a node's ancestors. Ways double in length in each
+    round. A new leaf's path is its parent's and its own step, so appending one changes no other path (see with_leaves).
+    """
+    there = nodes.select(F.col("taxid").alias("parent")).distinct()
+    up = nodes.filter("parent <> taxid").select("taxid", "parent").join(there, "parent", "left_semi")
+    ways = cut(nodes.select("taxid").join(up, "taxid", "left").select("taxid", _step(F.col("taxid")).alias("path"), F.col("parent").alias("next")), "ways")
+    left = ways.filter("next is not null").count()
+    while left:
+        ahead = ways.select(F.col("taxid").alias("next"), F.col("path").alias("front"), F.col("next").alias("further"))
+        longer = ways.filter("next is not null").join(ahead, "next").select("taxid", F.concat("front", "path").alias("path"), F.col("further").alias("next"))
+        again = cut(ways.filter("next is null").unionByName(longer), "ways")
+        discard(ways)
+        ways, before, left = again, left, again.filter("next is not null").count()
+        if left == before:
+            break
+    return ways.select("taxid", F.when(F.col("next").isNull(), F.col("path")).alias("path"))
+
+
+def with_leaves(labels: DataFrame, leaves: DataFrame) -> DataFrame:
+    """labels (see paths) and those of leaves(taxid, parent) below them; a leaf without a known parent is a root."""
+    above = labels.select(F.col("taxid").alias("parent"), F.col("path").alias("front"), F.lit(True).alias("known"))
+    new = leaves.select("taxid", "parent").join(above, "parent", "left")
+    path = F.when(F.col("known").isNull(), _step(F.col("taxid"))).otherwise(F.concat("front", _step(F.col("taxid"))))
+    return labels.unionByName(new.select("taxid", path.alias("path")))
+
+
+def subtree(labels: DataFrame, path: str) -> DataFrame:
+    """labels of a node and all below it: one range of paths."""
+    return labels.filter((F.col("path") >= path) & (F.col("path") < path + "G"))
+
+
+def ancestors_by_path(labels: DataFrame, nodes: DataFrame, starts: DataFrame, rank: str, unknown: str = "NA") -> DataFrame:
+    """As ancestors, by lookups: the nodes of a start's path meet the nodes of the rank, and the nearest counts. Starts whose way
+    runs into a cycle are walked."""
+    asked = starts.select("taxid").distinct().join(labels.withColumn("labelled", F.lit(True)), "taxid", "left")
+    places = F.sequence(F.lit(1), F.length("path") - STEP + 1, F.lit(STEP))
+    each = asked.filter("path is not null").select("taxid", "path", F.explode(places).alias("at")).select("taxid", "at", F.substr("path", F.col("at"), F.lit(STEP)).alias("step"))
+    wanted = nodes.filter(F.col("rank") == rank).select(_step(F.col("taxid")).alias("step"), "name")
+    found = each.join(wanted, "step").groupBy("taxid").agg(F.max_by("name", "at").alias("name"))
+    lost = asked.filter("path is null and labelled").select("taxid")
+    odd = labels.filter("path is null").select("taxid")
+    walked = ancestors(nodes.join(odd, "taxid", "left_semi"), lost, rank, unknown)
+    straight = asked.filter("path is not null or labelled is null").select("taxid").join(found, "taxid", "left").select("taxid", F.coalesce("name", F.lit(unknown)).alias("name"))
+    return straight.unionByName(walked)
 
 
 def host_taxids(hosts: DataFrame, catalog: DataFrame, order: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions.vectors import cosine, dot, sigmoid
+from strandgraph.operators.skew import hot_keys, spread_join
 
 #: Candidates that one task multiplies at a time.
 BLOCK = 16384
@@ -73,9 +74,16 @@ def top_candidates(queries: DataFrame, candidates: DataFrame, logit_scale: float
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "idx", sigmoid(F.col("d") * F.exp(F.lit(float(logit_scale)))).alias("score"), "rank")
 
 
+def _both_ends(pairs: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
+    """pairs with the vectors of their ends, xs and xd; ends that very many pairs share are met in several tasks."""
+    hot_src, hot_dst = hot_keys(pairs, ["src"], ["dst"])
+    left = spread_join(pairs, src.select(F.col("idx").alias("src"), F.col("x").alias("xs")), ["src"], hot_src)
+    return spread_join(left, dst.select(F.col("idx").alias("dst"), F.col("x").alias("xd")), ["dst"], hot_dst)
+
+
 def decoded_pairs(pairs: DataFrame, src: DataFrame, dst: DataFrame, logit_scale: float = 1.0) -> DataFrame:
     """pairs(src, dst) with logit: cosine times exp(logit_scale). Pairs with an unknown end go."""
-    both = pairs.join(src.select(F.col("idx").alias("src"), F.col("x").alias("xs")), "src").join(dst.select(F.col("idx").alias("dst"), F.col("x").alias("xd")), "dst")
+    both = _both_ends(pairs, src, dst)
     return both.select("src", "dst", (cosine(F.col("xs"), F.col("xd")) * F.exp(F.lit(float(logit_scale)))).alias("logit"))
 
 
@@ -87,10 +95,5 @@ def decoded_by_network(pairs: DataFrame, src: DataFrame, dst: DataFrame, hidden:
     def apply(x: pd.Series) -> pd.Series:
         return pd.Series(np.maximum(np.stack(x.to_numpy()) @ w.T + b, 0.0) @ o + out_bias) if len(x) else pd.Series([], dtype=float)
 
-    both = pairs.join(src.select(F.col("idx").alias("src"), F.col("x").alias("xs")), "src").join(dst.select(F.col("idx").alias("dst"), F.col("x").alias("xd")), "dst")
+    both = _both_ends(pairs, src, dst)
     return both.select("src", "dst", F.concat("xs", "xd").alias("x")).select("src", "dst", apply("x").alias("logit"))
-
-
-def scored_pairs(pairs: DataFrame, logit_scale: float = 1.0) -> DataFrame:
-    """pairs with columns a and b: their score."""
-    return pairs.withColumn("score", sigmoid(dot(F.col("a"), F.col("b")) * F.exp(F.lit(float(logit_scale)))))

@@ -71,6 +71,19 @@ def similar_classes(found: Classes, threshold: float) -> DataFrame:
     return pairs.select(F.col("query_id").alias("class_a"), F.col("ref_id").alias("class_b"), "score")
 
 
+def lsh_classes(found: Classes, threshold: float, bands: int = 16, rows: int = 4) -> DataFrame:
+    """class_a < class_b, score: similar_classes by minima of hashes, `rows` of them a band. Two sets that are s alike share all
+    minima of a band with a chance of s ** rows, so a pair is found with one of 1 - (1 - s ** rows) ** bands (0.9998 at 0.8); what is
+    found is then compared whole. Work goes with the buckets' pairs, not with how common hashes are."""
+    each = found.sets.select(F.col("class_id").alias("id"), F.explode("hashes").alias("hash"))
+    minima = each.groupBy("id").agg(*(F.min(F.xxhash64("hash", F.lit(j))).alias(f"m{j}") for j in range(bands * rows)))
+    keys = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(*(f"m{b * rows + j}" for j in range(rows))).alias("key")) for b in range(bands)))
+    placed = minima.select("id", F.inline(keys))
+    met = placed.withColumnRenamed("id", "query_id").join(placed.withColumnRenamed("id", "ref_id"), ["band", "key"]).filter("query_id < ref_id").select("query_id", "ref_id").distinct()
+    of = lambda name: found.sets.select(F.col("class_id").alias(name), "hashes")
+    return _verified(met, of("query_id"), of("ref_id"), threshold).select(F.col("query_id").alias("class_a"), F.col("ref_id").alias("class_b"), "score")
+
+
 def expanded(found: Classes, pairs: DataFrame) -> DataFrame:
     """query_id, ref_id, score of all pairs of different members, both ways: as many rows as there are such pairs."""
     both = pairs.unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), "score"))

@@ -210,6 +210,12 @@ def best_match(spark, d):
     return rows.select("query_id", "ref_id", F.coalesce("lang", F.concat(F.lit("unknown_"), F.col("query_id").cast("string"))).alias("top_label"), F.round("score", 6).alias("score"))
 
 
+@query()
+def lsh_pairs(spark, d):
+    """Pairs of classes by bands of minima: approximate, so tests hold it against class_pairs."""
+    return sk.lsh_classes(sk.classes(cut(_sketches(spark, d), "sketch")), 0.8).select("class_a", "class_b", F.round("score", 6).alias("score"))
+
+
 # Files
 
 
@@ -298,6 +304,16 @@ def ancestor_rank(spark, d):
     return hierarchy.ancestors(tree, starts, "region")
 
 
+@query(ORACLE["ancestor_rank"])
+def ancestor_paths(spark, d):
+    """The same by paths: customers are appended as leaves to the paths of nations and regions."""
+    tree = cut(_tree(spark, d), "tree")
+    leaf = F.col("rank") == "customer"
+    labels = hierarchy.with_leaves(hierarchy.paths(tree.filter(~leaf)), tree.filter(leaf))
+    starts = tree.filter("rank <> 'region'").select("taxid").unionByName(tree.limit(1).select(F.lit(-1).cast("long").alias("taxid")))
+    return hierarchy.ancestors_by_path(cut(labels, "paths"), tree, starts, "region")
+
+
 @query("SELECT doc_id AS idx, coalesce(quality, -1) AS taxid, coalesce(n_name, 'unknown_' || coalesce(quality::VARCHAR, '-1')) AS species FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN nation ON n_nationkey = quality")
 def species_label(spark, d):
     """Labels cover some of the documents only; the others have no name."""
@@ -664,6 +680,26 @@ def embed_batches(spark, d):
     return _spread(embed.sequence_vectors(vectors), "seq_id")
 
 
+_LETTERS = "', '".join(seqf.AMINO_ACIDS)
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(upper(text), '[*#+]+$', ''), '[^{seqf.AMINO_ACIDS}]', 'X', 'g') AS s FROM documents WHERE text <> '')
+    SELECT doc_id, i - 1 AS pos, round((length(s) - length(replace(s, c[i], ''))) / greatest(length(s), 1), 6) AS value FROM s, (SELECT ['{_LETTERS}'] AS c), range(1, {len(seqf.AMINO_ACIDS) + 1}) t(i)"""
+)
+def protein_embed(spark, d):
+    """Proteins through the batch hook: here the share of each amino acid."""
+    rows = table(spark, d, "documents").filter("text <> ''").select("doc_id", seqf.clean_protein(F.upper("text")).alias("text"))
+    return _spread(embed.embed_batches(rows, embed.base_frequencies(1, seqf.AMINO_ACIDS), ["doc_id"], batch=4), "doc_id")
+
+
+@query("SELECT regexp_replace(source || '.v1.' || lang || '.fa', '[.][^.]*$', '') AS stem, count(*) AS n FROM documents GROUP BY 1")
+def file_stems(spark, d):
+    """Names without their last suffix."""
+    name = F.concat_ws(".", "source", F.lit("v1"), "lang", F.lit("fa"))
+    return table(spark, d, "documents").groupBy(fasta.stem(name).alias("stem")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT s AS status, count(doc_id) AS n FROM (SELECT unnest(['ok', 'skip', 'error', 'empty', 'no_output']) AS s) LEFT JOIN (SELECT doc_id, CASE WHEN length(text) < 100 THEN 'empty' WHEN lang = 'en' THEN 'ok' WHEN lang = 'de' THEN 'skip' ELSE 'error' END AS t FROM documents) ON t = s GROUP BY 1")
 def status_summary(spark, d):
     rows = table(spark, d, "documents").select(F.when(F.length("text") < 100, "empty").when(F.col("lang") == "en", "ok").when(F.col("lang") == "de", "skip").otherwise("odd").alias("status"))
@@ -727,16 +763,15 @@ def sketch_store(spark, d):
     return tables.read_sketches(spark, name)
 
 
-@query("SELECT 'label' || label AS name, i AS row, round(avg(embedding[i]), 6) AS value FROM embeddings, range(1, 4) t(i) GROUP BY label, i")
+@query("SELECT 'label' || label AS name, i AS row, round(avg(embedding[i]), 6) AS value FROM embeddings, range(1, (SELECT max(len(embedding)) + 1 FROM embeddings)) t(i) GROUP BY label, i")
 def params_store(spark, d):
     """Parameters by name, here one vector a label, written under model_state and read with exactly these names."""
     path = shared_folder(spark, "params")
     means = embed_means(table(spark, d, "embeddings"))
     means.select(F.concat(F.lit("model_state.label"), F.col("label").cast("string")).alias("name"), F.array(F.size("v")).alias("shape"), F.col("v").alias("data")).write.parquet(path)
-    wanted = [f"label{r.label}" for r in table(spark, d, "embeddings").select("label").distinct().collect()]
-    params = tables.read_params(spark, path, wanted)
-    rows = [(k, i, float(v[i - 1])) for k, v in params.items() for i in (1, 2, 3)]
-    return spark.createDataFrame(rows, "name string, row long, value double").withColumn("value", F.round("value", 6))
+    wanted = table(spark, d, "embeddings").select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("name")).distinct()
+    rows = tables.params_table(spark, path, wanted).select("name", F.posexplode("data").alias("pos", "value"))
+    return rows.select("name", (F.col("pos") + 1).cast("long").alias("row"), F.round("value", 6).alias("value"))
 
 
 def embed_means(rows):

@@ -88,16 +88,25 @@ TAXONOMY = T.StructType([T.StructField("taxid", T.LongType()), T.StructField("pa
 SPECIES = T.StructType([T.StructField("taxid", T.LongType()), T.StructField("species", T.StringType())])
 
 
-def taxonomy(nodes: DataFrame, order: str | None = None) -> DataFrame:
+def taxonomy(nodes: DataFrame, order: Column | str | None = None) -> DataFrame:
     """taxid, parent (itself where null), name, rank (trimmed, lower case); of repeated taxids the last in order."""
-    rows = nodes.select("taxid", F.coalesce("parent", "taxid").alias("parent"), "name", F.lower(F.trim("rank")).alias("rank"), *([F.col(order).alias("_order")] if order else [F.monotonically_increasing_id().alias("_order")]))
+    place = F.monotonically_increasing_id() if order is None else F.col(order) if isinstance(order, str) else order
+    rows = nodes.select("taxid", F.coalesce("parent", "taxid").alias("parent"), "name", F.lower(F.trim("rank")).alias("rank"), place.alias("_order"))
     return rows.groupBy("taxid").agg(F.max_by(F.struct("parent", "name", "rank"), "_order").alias("x")).select("taxid", "x.*")
 
 
+def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """taxonomy() of Parquet files: the last of a taxid is the last row of the file whose path comes last."""
+    rows = spark.read.schema(TAXONOMY).parquet(path)
+    return taxonomy(rows.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place")), "place")
+
+
 def read_species(spark: SparkSession, path: str) -> DataFrame:
-    """taxid, species of a tab-separated table with a header; of repeated taxids the last."""
+    """taxid, species of tab-separated tables with a header; of repeated taxids the last of the file whose path comes last. Spark
+    reads files in the order of their sizes, so rows are ordered by path, block and place in it."""
     rows = spark.read.option("sep", "\t").option("header", True).schema(SPECIES).csv(path)
-    return rows.withColumn("_order", F.monotonically_increasing_id()).groupBy("taxid").agg(F.max_by("species", "_order").alias("species"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("nth"))
+    return rows.select("taxid", "species", place.alias("_order")).groupBy("taxid").agg(F.max_by("species", "_order").alias("species"))
 
 
 def read_similarities(spark: SparkSession, path: str) -> DataFrame:

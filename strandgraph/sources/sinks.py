@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.plans.lineage import cut, discard
+
 
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").option("header", True).csv(path)
 
 
+def write_results(df: DataFrame, path: str) -> bool:
+    """write_tsv of a result that has rows; without any nothing is written, and it gives False."""
+    made = cut(df, "results")
+    there = not made.isEmpty()
+    if there:
+        write_tsv(made, path)
+    discard(made)
+    return there
+
+
 def write_similarities(pairs: DataFrame, path: str) -> None:
     """Scores with six decimals."""
     write_tsv(pairs.select("existing_id", F.format_string("%.6f", "score").alias("score")), path)

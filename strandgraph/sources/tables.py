@@ -40,6 +40,16 @@ def read_params(spark: SparkSession, path: str, wanted: Iterable[str] | None = N
     return out
 
 
+def params_table(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """name, shape, data of parameters as a table, names without model_state. wanted(name): exactly these must be there."""
+    rows = spark.read.schema(PARAMS).parquet(path).withColumn("name", F.regexp_replace("name", r"^model_state\.", ""))
+    if wanted is not None:
+        missing, unexpected = missing_names(wanted, rows), missing_names(rows, wanted)
+        if odd := missing.limit(5).collect() + unexpected.limit(5).collect():
+            raise ValueError(f"missing or unexpected: {sorted(r.name for r in odd)}")
+    return rows
+
+
 def missing_names(required: DataFrame, present: DataFrame) -> DataFrame:
     """Names that are required and not there."""
     return required.select("name").exceptAll(present.select("name").distinct())

@@ -12,7 +12,7 @@ from strandgraph.operators import embed, graph, hierarchy, scoring
 from strandgraph.operators import sketch as sk
 from strandgraph.operators.skew import hot_keys, spread_join
 from strandgraph.plans.queries import attention, model
-from strandgraph.sources import fasta, tables
+from strandgraph.sources import fasta, sinks, tables
 from strandgraph.streaming import incremental
 
 
@@ -22,9 +22,6 @@ def test_ancestors(spark):
     starts = spark.createDataFrame([(562,), (-1,), (999999,), (561,), (543,), (1,), (7,)], "taxid long")
     want = {562: "Escherichia", -1: "NA", 999999: "NA", 561: "Escherichia", 543: "NA", 1: "NA", 7: "NA"}
     assert {r.taxid: r.name for r in hierarchy.ancestors(tree, starts, "genus").collect()} == want
-    tree.createOrReplaceTempView("tree")
-    starts.createOrReplaceTempView("starts")
-    assert {r.taxid: r.name for r in spark.sql(hierarchy.ancestors_recursive("tree", "starts", "genus")).collect()} == want
 
 
 def test_long_ways_and_cycles(spark):
@@ -312,3 +309,98 @@ def test_rerun_of_ingest_finds_nothing(spark, tmp_path):
     (tmp_path / "in" / "b.fa").write_text(">z\nA")
     assert run() == 1
     assert sorted(r.seq_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y", "z"]
+
+
+def test_last_of_several_files(spark, tmp_path):
+    """The file whose path comes last counts, though Spark reads large files first."""
+    species = tmp_path / "species"
+    species.mkdir()
+    (species / "a.tsv").write_text("taxid\tspecies\n" + "".join(f"{i}\told {i}\n" for i in range(3000)))
+    (species / "b.tsv").write_text("taxid\tspecies\n7\tnew\n7\tnewer\n")
+    (species / "c.tsv").write_text("taxid\tspecies\n" + "".join(f"{i}\tlast {i}\n" for i in range(8, 2000)))
+    got = {r.taxid: r.species for r in fasta.read_species(spark, str(species)).collect()}
+    assert (got[6], got[7], got[8], got[2999]) == ("old 6", "newer", "last 8", "old 2999")
+    folder = tmp_path / "taxonomy"
+    folder.mkdir()
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, n, mark in (("a", 3000, "old"), ("b", 1, "new")):
+        pq.write_table(pa.table({"taxid": pa.array(range(n), pa.int64()), "parent": pa.array([None] * n, pa.int64()), "name": [mark] * n, "rank": [" Genus "] * n}), folder / f"{name}.parquet")
+    rows = {r.taxid: (r.parent, r.name, r.rank) for r in fasta.read_taxonomy(spark, str(folder)).collect()}
+    assert rows[0] == (0, "new", "genus") and rows[5] == (5, "old", "genus")
+
+
+def test_empty_result_writes_no_file(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0.5)], "query_id string, score double")
+    assert not sinks.write_results(rows.filter("score > 1"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    assert sinks.write_results(rows, str(tmp_path / "some"))
+    assert [tuple(r) for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "some")).collect()] == [("a", "0.5")]
+
+
+def test_label_modes(spark):
+    df = spark.createDataFrame
+    best = df([("q1", 0, 0.12345678), ("q2", 9, 0.5)], "query_id string, idx long, score double")
+    of = lambda mode: {tuple(r) for r in hierarchy.labelled(best, df([(0, 562)], "idx long, taxid long"), df([(562, "E. coli")], "taxid long, species string"), df([(562, "Escherichia")], "taxid long, name string"), mode).collect()}
+    assert of(None) == {("q1", "E. coli", "Escherichia", 0.123457), ("q2", "unknown_-1", "NA", 0.5)}
+    assert of("species") == {("q1", "E. coli", 0.123457), ("q2", "unknown_-1", 0.5)}
+    assert of("genus") == {("q1", "Escherichia", 0.123457), ("q2", "NA", 0.5)}
+
+
+def test_rows_are_dealt_alike(spark):
+    """The tasks that hot rows go to don't depend on the rows' order."""
+    rows = [(1, i, float(i)) for i in range(60)] + [(2, i, 0.5) for i in range(5)]
+    one = spark.createDataFrame([(1, "x"), (2, "y")], "key long, name string")
+    seen = []
+    for order in (rows, rows[::-1]):
+        many = spark.createDataFrame(order, "key long, n long, v double").repartition(4)
+        (hot,) = hot_keys(many, ["key"], rows=10)
+        joined = spread_join(many, one, ["key"], hot)
+        seen.append({(r.key, r.n): r.name for r in joined.collect()})
+    assert seen[0] == seen[1] and len(seen[0]) == 65
+    assert "rand(" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_softmax_in_parts(spark):
+    """A hot segment in several parts, with logits far apart, is as one."""
+    rng = np.random.default_rng(9)
+    rows = [(d, 0, rng.normal(size=3).tolist(), float(v)) for d in (1, 2) for v in rng.normal(0, 300, 40)]
+    messages = spark.createDataFrame(rows, "dst long, head int, msg array<double>, logit double")
+    hot = spark.createDataFrame([(1, 7)], "dst long, _tasks int")
+    for table in (None, hot):
+        got = {r.dst: r.out for r in att.softmax_means(messages, table).collect()}
+        for d in (1, 2):
+            logit = np.array([r[3] for r in rows if r[0] == d])
+            w = np.exp(logit - logit.max())
+            assert got[d] == pytest.approx(w / w.sum() @ np.array([r[2] for r in rows if r[0] == d]))
+
+
+def test_paths(spark):
+    """Paths against walks, on random forests with cycles and lost parents; a new leaf changes no other path."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([i, *range(max(1, i - 6), i + 1), 999]) if i > 1 else 1, f"n{i}", rng.choice(["genus", "x", "y"])) for i in range(1, 80)]
+    rows += [(200, 201, "a", "x"), (201, 202, "b", "genus"), (202, 200, "c", "x"), (203, 202, "tail", "y"), (204, 203, "g", "genus"), (205, 204, "below", "x")]
+    tree = spark.createDataFrame(rows, "taxid long, parent long, name string, rank string")
+    starts = spark.createDataFrame([(r[0],) for r in rows] + [(-1,), (5000,)], "taxid long")
+    labels = hierarchy.paths(tree)
+    want = {r.taxid: r.name for r in hierarchy.ancestors(tree, starts, "genus").collect()}
+    assert {r.taxid: r.name for r in hierarchy.ancestors_by_path(labels, tree, starts, "genus").collect()} == want
+    path = {r.taxid: r.path for r in labels.collect()}
+    parent = {r[0]: r[1] for r in rows}
+
+    def below(i, top):
+        seen = set()
+        while i in parent and i not in seen:
+            if i == top:
+                return True
+            seen.add(i)
+            i = parent[i]
+        return False
+
+    for top in (1, 3, 10, 40):
+        assert {r.taxid for r in hierarchy.subtree(labels, path[top]).collect()} == {i for i in range(1, 80) if below(i, top)}
+    leaves = spark.createDataFrame([(300, 10), (301, 77777)], "taxid long, parent long")
+    grown = {r.taxid: r.path for r in hierarchy.with_leaves(labels, leaves).collect()}
+    assert {i: p for i, p in grown.items() if i < 300} == path and grown[300].startswith(path[10]) and len(grown[301]) == hierarchy.STEP

@@ -138,3 +138,13 @@ def test_kmer_text(spark):
     rows = ["", "A", "ACGT", "ACGTA", "ACGTACGTAC", "éACGTA", None]
     got = [r.t for r in spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string").orderBy("i").select(kmer_text(F.col("s"), 4).alias("t")).collect()]
     assert got == [None if s is None else s if len(s) < 4 else " ".join(s[i : i + 4] for i in range(len(s) - 3)) for s in rows]
+
+
+def test_bands(spark):
+    """Minima of bands find nearly all pairs, and none that isn't one."""
+    from strandgraph.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    exact = {(r.class_a, r.class_b): r.score for r in QUERIES["class_pairs"](spark, folder).collect()}
+    found = {(r.class_a, r.class_b): r.score for r in QUERIES["lsh_pairs"](spark, folder).collect()}
+    assert found.items() <= exact.items() and len(found) >= 0.9 * len(exact) > 0
