@@ -684,12 +684,12 @@ _LETTERS = "', '".join(seqf.AMINO_ACIDS)
 
 
 @query(
-    f"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(upper(text), '[*#+]+$', ''), '[^{seqf.AMINO_ACIDS}]', 'X', 'g') AS s FROM documents WHERE text <> '')
+    f"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(translate(text, '{st.LETTERS}', '{st.LETTERS.upper()}'), '[*#+]+$', ''), '[^{seqf.AMINO_ACIDS}]', 'X', 'g') AS s FROM documents WHERE text <> '')
     SELECT doc_id, i - 1 AS pos, round((length(s) - length(replace(s, c[i], ''))) / greatest(length(s), 1), 6) AS value FROM s, (SELECT ['{_LETTERS}'] AS c), range(1, {len(seqf.AMINO_ACIDS) + 1}) t(i)"""
 )
 def protein_embed(spark, d):
     """Proteins through the batch hook: here the share of each amino acid."""
-    rows = table(spark, d, "documents").filter("text <> ''").select("doc_id", seqf.clean_protein(F.upper("text")).alias("text"))
+    rows = table(spark, d, "documents").filter("text <> ''").select("doc_id", seqf.clean_protein(F.translate("text", st.LETTERS, st.LETTERS.upper())).alias("text"))
     return _spread(embed.embed_batches(rows, embed.base_frequencies(1, seqf.AMINO_ACIDS), ["doc_id"], batch=4), "doc_id")
 
 
