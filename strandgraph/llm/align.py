@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.llm.store import discard, id_of, keyed_text, written
-from strandgraph.llm.text import arrow_limits
+from strandgraph.llm.text import arrow_limits, binaries, numbers
 
 #: Different words of a worker's cache.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 900_000
 #: Words that a library is given at a time.
 NEW_WORDS = 4096
 #: Id pairs of a block of counts, 17 bytes each.
@@ -53,29 +54,6 @@ def _is_odd(word: str) -> bool:
     return not word or word[-1].isspace()
 
 
-def byte_ends(ends: list[int], sizes: list[int]) -> list[int]:
-    """Where tokens end in bytes: a coarse cut where it agrees with the token's decoded bytes, else what these say."""
-    at, out = 0, []
-    for end, n in zip(ends, sizes):
-        at = end if end - at == n else at + n
-        out.append(at)
-    return out
-
-
-def grouped(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups of ids, and links, of tokens that cover the same bytes."""
-    groups, links = [], []
-    i = j = first_i = first_j = 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        x, y = a_ends[i], b_ends[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            groups.append((a[first_i:i], b[first_j:j]))
-            first_i, first_j = i, j
-    return groups, links
-
-
 class Pair:
     """The two tokenizers of a worker, and the alignment of words."""
 
@@ -91,6 +69,12 @@ class Pair:
         self.a_bytes = {i: bytes(BYTE_OF[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in BYTE_OF for c in t)}
         self.b_size = self.b.vocab_size()
         self.b_bytes = [self._piece(self.b.id_to_piece(i)) for i in range(self.b_size)]
+        size = max(self.a_bytes) + 1
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(size)], np.int64)
+        self.b_sizes = np.array(list(map(len, self.b_bytes)), np.int64)
+        self.a_bytes = [self.a_bytes.get(i, b"") for i in range(size)]
+        # Ids as text, each with a comma and with what ends its side of a group.
+        self.marked = [f"{i}{m}" for i in range(size) for m in ",|"] + [f"{i}{m}" for i in range(self.b_size) for m in ",;"]
         self.clear()
 
     @staticmethod
@@ -103,47 +87,86 @@ class Pair:
         self.index: dict[str, int] = {}
         self.odd: dict[str, int] = {}
         self.groups: list[str] = []
-        #: For each word: tokens of A and B, groups, links, and whether the bytes are the word's.
-        self.counts: list[tuple[int, int, int, int, bool]] = []
-        self.links: list[np.ndarray] = []
-
-    def aligned(self, word: str, encoding, proto) -> tuple[list, list, list[tuple[int, int]]] | None:
-        """Ids of A and B with the groups, and links, of space+word; None if either's bytes aren't the word's."""
-        whole = b" " + word.encode()
-        a, b = encoding.ids, [p.id for p in proto.pieces]
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return None
-        a_ends, b_ends = [z for _, z in encoding.offsets], [p.end for p in proto.pieces]
-        if len(whole) > len(word) + 1:
-            # Places of characters as places of bytes. The proto counts bytes or characters, by the library's version.
-            place = np.concatenate([[0, 1], 1 + np.cumsum([len(c.encode()) for c in word])]).tolist()
-            a_ends = [place[z] for z in a_ends]
-            b_ends = [1 + z for z in b_ends] if b_ends[-1] == len(whole) - 1 else [place[1 + z] for z in b_ends]
-        else:
-            b_ends = [1 + z for z in b_ends]
-        a_ends, b_ends = byte_ends(a_ends, list(map(len, a_parts))), byte_ends(b_ends, list(map(len, b_parts)))
-        groups, links = grouped(a, a_ends, b, b_ends)
-        return a, b, groups, links
+        #: For each word: tokens of A and B, groups, links, whether the bytes are the word's, and where its links begin.
+        self.counts = np.zeros((0, 6), np.int64)
+        self.links = np.zeros(0, np.uint64)
+
+    def align(self, words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """counts (without beginnings), groups and links of different words, one after another. All at once: a word's
+        places in bytes follow those of the words before."""
+        n = len(words)
+        a = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
+        b = [x.pieces for x in self.b.encode(words, return_type="proto", num_threads=1)]
+        ids = [e.ids for e in a], [[p.id for p in x] for x in b]
+        flat = [list(chain.from_iterable(x)) for x in ids]
+        spans = [np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in a)), np.int64).reshape(-1, 2)[:, 1], np.fromiter([p.end for x in b for p in x], np.int64) + 1]
+        text = [b" " + w.encode() for w in words]
+        whole, good = b"".join(text), np.ones(n, bool)
+        for each, one, table in zip(ids, flat, (self.a_bytes, self.b_bytes)):
+            if b"".join(map(table.__getitem__, one)) != whole:
+                good &= [b"".join(map(table.__getitem__, t)) == x for t, x in zip(each, text)]
+        size = np.fromiter(map(len, text), np.int64)
+        base = np.cumsum(size) - size
+        ascii_word = size == np.fromiter(map(len, words), np.int64) + 1
+        tokens, ends, of = [], [], []
+        for each, one, span, sizes in zip(ids, flat, spans, (self.a_sizes, self.b_sizes)):
+            word, one = np.repeat(np.arange(n), np.fromiter(map(len, each), np.int64)), np.array(one, np.int64)
+            if not good.all():
+                keep = good[word]
+                word, one, span = word[keep], one[keep], span[keep]
+            # Spans cut where a character is a byte; tokens that divide characters end where their decoded bytes do.
+            begin = np.cumsum(sizes[one]) - sizes[one]
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            decoded = begin + sizes[one] - np.repeat(begin[starts], np.diff(np.append(starts, len(one))))
+            tokens.append(one)
+            ends.append(base[word] + np.where(ascii_word[word], span, decoded))
+            of.append(word)
+        cut = np.union1d(*ends)
+        # Between two neighbouring cuts lies one token of each: these overlap, and overlap nowhere else.
+        x, y = np.searchsorted(ends[0], cut), np.searchsorted(ends[1], cut)
+        links = (tokens[0][x] * self.b_size + tokens[1][y]).astype(np.uint64)
+        both = np.intersect1d(*ends)
+        word_of = lambda at: np.searchsorted(base, at - 1, side="right") - 1
+        counts = np.stack([*(np.bincount(w, minlength=n) for w in of), np.bincount(word_of(both), minlength=n), np.bincount(word_of(cut), minlength=n), good], 1).astype(np.int64)
+        return counts, self._groups(tokens, ends, both, counts[:, 0] + counts[:, 1]), links
+
+    def _groups(self, tokens: list[np.ndarray], ends: list[np.ndarray], both: np.ndarray, per_word: np.ndarray) -> list[str]:
+        """The groups of each word as text: ids in the order of groups, A's before B's, each with the mark that follows it."""
+        side, mark = [], []
+        for one, at in zip(tokens, ends):
+            group = np.searchsorted(both, at)
+            side.append(group)
+            mark.append(both[group] == at)
+        order = np.argsort(np.concatenate([2 * side[0], 2 * side[1] + 1]), kind="stable")
+        written_as = np.concatenate([2 * tokens[0] + mark[0], 2 * (len(self.a_bytes) + tokens[1]) + mark[1]])[order]
+        parts = list(map(self.marked.__getitem__, written_as.tolist()))
+        stops = np.cumsum(per_word).tolist()
+        return ["".join(parts[i:j])[:-1] for i, j in zip([0, *stops], stops)]
 
     def learn(self, new: list[str]) -> None:
+        found = [self.counts], [self.links]
+        used = len(self.links)
         for at in range(0, len(new), NEW_WORDS):
             part = new[at : at + NEW_WORDS]
-            for word, e, p in zip(part, self.a.encode_batch([" " + w for w in part], add_special_tokens=False), self.b.encode(part, return_type="proto", num_threads=1)):
-                (self.odd if _is_odd(word) else self.index)[word] = len(self.groups)
-                found = self.aligned(word, e, p)
-                a, b, groups, links = found or ([], [], [], [])
-                self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-                self.counts.append((len(a), len(b), len(groups), len(links), found is not None))
-                self.links.append(np.array([x * self.b_size + y for x, y in links], np.uint64))
-
-    def numbers(self, text: str) -> list[int | str]:
-        """The words of a text as numbers of the cache, or themselves where they aren't in it."""
-        get, parts = self.index.get, text.split(" ") if text else []
-        found = [get(w, w) for w in parts]
-        if any(isinstance(w, str) and _is_odd(w) for w in found):
-            found = [self.odd.get(w, w) if _is_odd(w) else get(w, w) for w in words(text)]
-        return found
+            for i, word in enumerate(part):
+                (self.odd if _is_odd(word) else self.index)[word] = len(self.groups) + i
+            counts, groups, links = self.align(part)
+            begin = used + np.cumsum(counts[:, 3]) - counts[:, 3]
+            found[0].append(np.concatenate([counts, begin[:, None]], 1))
+            found[1].append(links)
+            self.groups += groups
+            used += len(links)
+        self.counts, self.links = map(np.concatenate, found)
+
+    def numbers(self, text: str) -> tuple[list[int | None], list[str]]:
+        """The words of a text as numbers of the cache, None where they aren't in it, and the words."""
+        parts = text.split(" ") if text else []
+        found = list(map(self.index.get, parts))
+        # Words that are cut in the usual way are in the index as they are; others end in white space or are empty.
+        if None in found and any(_is_odd(w) for w, i in zip(parts, found) if i is None):
+            parts = words(text)
+            found = [(self.odd if _is_odd(w) else self.index).get(w) for w in parts]
+        return found, parts
 
     def number(self, word: str) -> int:
         return (self.odd if _is_odd(word) else self.index)[word]
@@ -162,12 +185,6 @@ def _expanded(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _binaries(values: np.ndarray, per_row: np.ndarray) -> pa.Array:
-    """A binary for each row from its values."""
-    bounds = np.concatenate([[0], np.cumsum(per_row)]) * values.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(per_row), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
-
-
 _ALIGNED = "k long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs binary, counts binary"
 
 
@@ -177,29 +194,26 @@ def _align(a_path: str, b_path: str):
         for batch in batches:
             if len(both.index) + len(both.odd) > CACHED_WORDS:
                 both.clear()
-            found = [both.numbers(t or "") for t in batch.column(1).to_pylist()]
-            if new := list(dict.fromkeys(w for f in found for w in f if isinstance(w, str))):
-                both.learn(new)
-                found = [[both.number(w) if isinstance(w, str) else w for w in f] for f in found]
+            rows = [both.numbers(t or "") for t in batch.column(1).to_pylist()]
+            new = dict.fromkeys(w for f, parts in rows if None in f for i, w in zip(f, parts) if i is None)
+            if new:
+                both.learn(list(new))
+            found = [[both.number(w) if i is None else i for i, w in zip(f, parts)] if None in f else f for f, parts in rows]
             size = np.array([len(f) for f in found], np.int64)
             doc = np.repeat(np.arange(len(found)), size)
-            # Of each different word of a batch once.
-            used, w = np.unique(np.fromiter((i for f in found for i in f), np.int64, int(size.sum())), return_inverse=True)
-            counts = np.array([both.counts[i] for i in used], np.int64).reshape(-1, 5)
-            good = np.bincount(doc, 1 - counts[w, 4], len(found)) == 0
+            w = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+            good = np.bincount(doc, both.counts[w, 4] == 0, len(found)) == 0
             keep = good[doc]
-            doc, w = doc[keep], w[keep]
-            n = [np.bincount(doc, counts[w, c], len(found)).astype(np.int64) for c in range(4)]
-            links = np.concatenate([both.links[i] for i in used]) if len(used) else np.zeros(0, np.uint64)
-            begin = np.cumsum(counts[:, 3]) - counts[:, 3]
-            each = counts[w, 3]
-            most = np.uint64((max(both.a_bytes) + 1) * both.b_size)
-            key, times = np.unique(np.repeat(doc.astype(np.uint64), each) * most + links[_expanded(begin[w], each)], return_counts=True)
+            doc, counts = doc[keep], both.counts[w[keep]]
+            n = [np.bincount(doc, counts[:, c], len(found)).astype(np.int64) for c in range(4)]
+            each, begin = counts[:, 3], counts[:, 5]
+            most = np.uint64(len(both.a_bytes) * both.b_size)
+            key, times = np.unique(np.repeat(doc.astype(np.uint64), each) * most + both.links[_expanded(begin, each)], return_counts=True)
             of, pair = (key // most).astype(np.int64), key % most
             per_doc = np.bincount(of, minlength=len(found))
-            groups = [";".join([both.groups[i] for i in f]) if g else "" for f, g in zip(found, good.tolist())]
+            groups = [";".join(map(both.groups.__getitem__, f)) if g else "" for f, g in zip(found, good.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, n), pa.array(groups, pa.string()), _binaries(pair.astype("<u8"), per_doc), _binaries(times.astype("<u4"), per_doc)],
+                [batch.column(0), *map(pa.array, n), pa.array(groups, pa.string()), binaries(pair.astype("<u8"), per_doc), binaries(times.astype("<u4"), per_doc)],
                 names=["k", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "counts"],
             )
 
@@ -219,21 +233,12 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id"
     return keyed_text(docs, id_column, text_column).mapInArrow(_align(a_path, b_path), _ALIGNED)
 
 
-def _numbers(batch: pa.RecordBatch, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """A column of binaries as one array of numbers, and each row's number of them."""
-    column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    body = column.buffers()[2]
-    data = np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]] if body is not None else np.zeros(0, np.uint8)
-    return np.frombuffer(data.tobytes(), kind), np.diff(bounds) // np.dtype(kind).itemsize
-
-
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     packed = lambda: pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int64)), pa.array(held[1])], names=["pair", "n"])
     for batch in batches:
-        pair = np.concatenate([held[0], _numbers(batch, "pairs", "<u8")[0]])
-        n = np.concatenate([held[1], _numbers(batch, "counts", "<u4")[0].astype(np.int64)])
+        pair = np.concatenate([held[0], numbers(batch, "pairs", "<u8")[0]])
+        n = np.concatenate([held[1], numbers(batch, "counts", "<u4")[0].astype(np.int64)])
         value, at = np.unique(pair, return_inverse=True)
         total = np.zeros(len(value), np.int64)
         np.add.at(total, at, n)
@@ -257,8 +262,8 @@ def _add(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, best = block.value
         for batch in batches:
-            pair, per_row = _numbers(batch, "pairs", "<u8")
-            times = _numbers(batch, "counts", "<u4")[0].astype(np.int64)
+            pair, per_row = numbers(batch, "pairs", "<u8")
+            times = numbers(batch, "counts", "<u4")[0].astype(np.int64)
             at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
             known = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
             row = np.repeat(np.arange(batch.num_rows), per_row)[known]

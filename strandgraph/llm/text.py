@@ -150,3 +150,18 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(step, np.minimum(starts, n), 1)
     np.add.at(step, np.minimum(ends, n), -1)
     return np.cumsum(step[:-1]) > 0
+
+
+def binaries(values: np.ndarray, per_row: np.ndarray) -> pa.Array:
+    """A binary for each row from its values."""
+    bounds = np.concatenate([[0], np.cumsum(per_row)]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(per_row), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def numbers(batch: pa.RecordBatch, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of binaries as one array of numbers, and each row's number of them."""
+    column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    body = column.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]] if body is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), kind), np.diff(bounds) // np.dtype(kind).itemsize
