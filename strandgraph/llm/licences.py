@@ -134,7 +134,7 @@ KNOWN = (
 )
 # Digests of canonical() of longer licences' published texts.
 DIGESTS = (
-    ("Apache-2.0", "f213b407df637bc294997de205aecfc82e06a5e4ef6d75893ec348ca26dd13c2"),
+    ("Apache-2.0", "f86c45fc72b043272de5d765793567a95363a0016be29aaee3c6a6d8b0ca5532"),
     ("Artistic-1.0-Perl", "4834e699353522cfb463bd8b374752ecf02156bb3f5dfb53d0edb502a112a651"),
     ("CC0-1.0", "51c4bf27767d074bdefc84db7420b4c55e27827dac6d8de3ef0d37b2042fb6fa"),
     ("GFDL-1.2", "7bd3a9b625b0b9c72d575e34948a31aa1d9a92600e54323c0abd84a9844ce82d"),
