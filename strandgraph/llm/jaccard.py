@@ -11,14 +11,17 @@ over wide prefixes bound exactly and nothing is lost:
 1. one scan makes each set's signature and wide prefix; per bucket of tokens, tokens of a single set go;
 2. sets with fewer shared tokens than any partner needs have no link and go;
 3. each remaining set joins the family of the set that most of its tokens name first; a large family is
-   split by hash into groups, so that none exceeds GROUP_SETS sets and GROUP_SHINGLES shingles;
+   split into bands of similar size and these by hash into groups, so that none exceeds GROUP_SETS sets and GROUP_SHINGLES
+   shingles;
 4. a group's sets are compared with one another. One set of each local component speaks for it among the other groups of
    the family: these sets are grouped and compared in turn, until a family is one group or its sets are no copies of one
    another. So a family of near copies is one component after work in proportion to its sets;
-5. what is left are links between components. Sets meet other families by their rarest tokens: if two sets share l of
-   their tokens, they share one of all but the l - 1 commonest; so frequent passages make no pairs. A set asks only those
-   groups that hold a larger component than its own, and of these only those whose token union shares as many tokens
-   with it as a link needs;
+5. what is left are links between components. Sets meet other groups by their rarest tokens: if two sets share l of
+   their tokens, they share one of all but the l - 1 commonest; so frequent passages make no pairs. What is shared
+   outside both wide prefixes is at most what one of two sets has after its own; so sets of nearly one size need far
+   more than l, and documents of one template that aren't near copies mostly fall out here. A set asks only those
+   groups that hold a larger component than its own, and opens of these only those whose token union shares as many
+   tokens with it as a link needs;
 6. links become components; equal sets are one node from the start.
 """
 
@@ -81,6 +84,22 @@ def need_column(n: str, num: int, den: int) -> Column:
     return F.expr(f"greatest(1, {SHARED_PERCENT} * (({num} * cast({n} as bigint) + {den - 1}) div {den}) div 100)")
 
 
+def _need_of_group(num: int, den: int) -> Column:
+    """Shared wide tokens of a set (n) with one that it links with and whose size is from least to most, at least.
+
+    Two linked sets share num (n + m) / (num + den) or more, and after the wide prefix that ends first at most what that
+    set has there: below (t - SHARED_PERCENT / 100) of its size plus 2. The difference is concave in m, so least at an end.
+    """
+    t = num / den
+    n = F.col("n")
+
+    def at(m: Column) -> Column:
+        return (n + m) * F.lit(num / (num + den)) - F.greatest(n.cast("double"), m) * F.lit(t - SHARED_PERCENT / 100) - 2
+
+    low, high = F.greatest(F.col("least").cast("double"), n * F.lit(t)), F.least(F.col("most").cast("double"), n / F.lit(t))
+    return F.greatest(need_column("n", num, den), F.ceil(F.least(at(low), at(high)) - 1e-6))
+
+
 def _pack(docs: np.ndarray, sets: np.ndarray, entries: np.ndarray, sent: np.ndarray) -> bytes:
     head = np.array([len(docs), len(sets), len(entries), len(sent)], dtype=np.int64)
     return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in (head, docs, sets, entries, sent)))
@@ -347,8 +366,16 @@ def _grouped(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 def _parted(sets: DataFrame, level: int) -> DataFrame:
     """sets(q, n, pivot, ...) with part: groups of each family that keep to GROUP_SETS and GROUP_SHINGLES, about."""
-    parts = sets.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
-    return sets.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("q", F.lit(level)), F.col("parts"))).drop("parts")
+    # At first by size as well (a tenth more is another band), which makes bounds sharp; later levels mix what was apart.
+    sets = sets.withColumn("band", F.floor(F.log("n") * 10) if level == 0 else F.lit(0).cast("long"))
+    bands = sets.groupBy("pivot", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    families = bands.groupBy("pivot").agg(((F.sum("sets") <= GROUP_SETS) & (F.sum("shingles") <= GROUP_SHINGLES)).alias("small"))
+    parts = F.greatest(F.ceil(F.col("sets") / GROUP_SETS), F.ceil(F.col("shingles") / GROUP_SHINGLES))
+    dealt = bands.join(families, "pivot").select(
+        "pivot", "band", F.when(F.col("small"), 1).otherwise(parts).alias("parts"), F.when(F.col("small"), 0).otherwise(F.shiftleft("band", 40)).alias("base")
+    )
+    part = F.col("base") + F.pmod(F.xxhash64("q", F.lit(level)), F.col("parts"))
+    return sets.join(dealt, ["pivot", "band"]).withColumn("part", part).drop("band", "parts", "base")
 
 
 def _within_families(grouped: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
@@ -375,27 +402,29 @@ def _across(grouped: DataFrame, full: DataFrame, near: DataFrame, num: int, den:
     own = grouped.join(near, "q")
     # A component's rank: links are sought from the smaller one of two.
     ranks = near.groupBy("c").agg(F.count("*").alias("size"))
-    state = written(own.join(ranks, "c").select(*own.columns, F.struct("size", "c").alias("rank")), "state")
-    fits = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num)
+    state = written(own.join(ranks, "c").select(*own.columns, F.size("toks").alias("s"), F.struct("size", "c").alias("rank")), "state")
     sizes = (F.min("n").alias("least"), F.max("n").alias("most"))
-    # The token-group matrix by family, with rarest tokens: the other families that a set meets.
-    heads = state.select("q", "n", "pivot", "rank", F.explode("head").alias("tok"))
-    matrix = heads.groupBy("tok", F.col("pivot").alias("g")).agg(*sizes, F.max("rank").alias("top"))
-    met = heads.join(matrix, "tok").filter((F.col("g") != F.col("pivot")) & (F.col("rank") < F.col("top")) & fits).select("q", "n", "rank", "g").distinct()
-    asking = met.unionByName(state.select("q", "n", "rank", F.col("pivot").alias("g")))
-    # Groups that hold the same largest component are one row.
-    groups = state.groupBy(F.col("pivot").alias("g"), F.col("part").alias("p")).agg(*sizes, F.max("rank").alias("top"))
-    tops = groups.groupBy("g", "top").agg(F.collect_list(F.struct("p", "least", "most")).alias("groups"))
-    asked = asking.join(tops, "g").filter(F.col("rank") < F.col("top")).select("q", "n", "g", F.inline("groups"))
-    asked = written(asked.filter(fits).select("q", "n", F.col("g").alias("pivot"), F.col("p").alias("part")), "asked")
+    # The token-group matrix with rarest tokens: a set meets a group at one of all but the need - 1 commonest of its own; first
+    # the families, so that a token of a whole family is no row a group for sets that it doesn't help.
+    heads = state.select("q", "n", "s", "pivot", "part", "rank", F.posexplode("head").alias("at", "tok"))
+    matrix = written(heads.groupBy("tok", F.col("pivot").alias("g"), F.col("part").alias("p")).agg(*sizes, F.max("rank").alias("top")), "matrix")
+    families = matrix.groupBy("tok", "g").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("top").alias("top"))
+    fits = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num) & (F.col("rank") < F.col("top"))
+    need = _need_of_group(num, den)
+    hopeful = fits & (F.col("at") <= F.col("s") - need)
+    met = heads.join(families, "tok").filter(hopeful).drop("least", "most", "top")
+    other = (F.col("g") != F.col("pivot")) | (F.col("p") != F.col("part"))
+    asked = met.join(matrix, ["tok", "g"]).filter(hopeful & other).select("q", "g", "p", need.alias("need"))
+    asked = written(asked.groupBy("q", F.col("g").alias("pivot"), F.col("p").alias("part")).agg(F.min("need").alias("need")), "asked")
+    discard(matrix)
     if asked.isEmpty():
         discard(state, asked)
         return near.withColumnRenamed("c", "component")
     # The matrix by group, with all tokens: the overlap of each set that asks with each group's union, counted.
     tokens = state.select("q", F.explode("toks").alias("tok")).join(asked.select("q").distinct(), "q", "left_semi")
     union = state.join(asked.select("pivot", "part").distinct(), ["pivot", "part"], "left_semi").select("pivot", "part", F.explode("toks").alias("tok")).distinct()
-    counted = asked.join(tokens, "q").join(union, ["pivot", "part", "tok"]).groupBy("q", "n", "pivot", "part").agg(F.count("*").alias("o"))
-    bound = written(counted.filter(F.col("o") >= need_column("n", num, den)).select("q", "pivot", "part"), "bound")
+    counted = asked.join(tokens, "q").join(union, ["pivot", "part", "tok"]).groupBy("q", "need", "pivot", "part").agg(F.count("*").alias("o"))
+    bound = written(counted.filter("o >= need").select("q", "pivot", "part"), "bound")
     # Opening.
     salts = bound.groupBy("pivot", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
     members = state.select("q", "c", "pivot", "part").join(salts, ["pivot", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))

@@ -78,6 +78,49 @@ def test_families_of_near_copies(spark, size, num, monkeypatch):
     assert {r.k: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("size,num", [(4, 85), (2, 25), (5, 100)])
+def test_sizes_at_the_threshold(spark, size, num, monkeypatch):
+    """Texts that hold one another: links are where sizes alone just allow them, across bands of size."""
+    from strandgraph.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 8)
+    rng = random.Random(num)
+    rows = []
+    for family in range(3):
+        words = [f"f{family}w{rng.randrange(10**6)}" for _ in range(120)]
+        for n in rng.sample(range(20, 121), 30):
+            at = rng.choice([0, 0, 120 - n])
+            rows.append((rng.randrange(1 << 40), " ".join(words[at : at + n])))
+    want = brute.jaccard_components(rows, size, num, 100)
+    got = similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size, num, 100).collect()
+    assert {r.k: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_templates_ask_few_groups(spark, monkeypatch):
+    """Documents that share 100 of 160 words are no near copies: hardly any asks a group, however many there are."""
+    from strandgraph.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 16)
+    made = {}
+    plain = jaccard.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name in ("asked", "bound"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    rng = random.Random(4)
+    template = " ".join(f"t{i}" for i in range(100))
+    rows = [(i, f"{template} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(600)]
+    rows += [(600 + i, text.replace(" t50 ", " ")) for i, text in rows[:20]]
+    got = similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert {r.k: r.component_id for r in got} == {i: i - 600 if i >= 600 else i for i, _ in rows}
+    # Only those 40 ask, and few groups but each other's.
+    assert made["asked"] < 200 and made["bound"] <= 40, made
+
+
 def test_repeats_with_frequent_minimisers(spark, monkeypatch):
     """A passage that all documents share, within different words, repeated rows and another window."""
     rng = random.Random(9)
