@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -278,6 +279,15 @@ def _compared(num: int, den: int):
     return run
 
 
+def _bounded(members: pa.Table, queries: pa.Table) -> pa.Table:
+    """One group's token union and the sets that ask: those that share as many wide tokens with it as a link needs."""
+    union = np.unique(pc.list_flatten(members.column("toks")).to_numpy())
+    token, owner = (x.to_numpy() for x in (pc.list_flatten(queries.column("toks")), pc.list_parent_indices(queries.column("toks").combine_chunks())))
+    at = np.minimum(np.searchsorted(union, token), max(len(union) - 1, 0))
+    shared = np.bincount(owner[union[at] == token] if len(union) else owner[:0], minlength=queries.num_rows)
+    return queries.select(["q", "pivot", "part"]).filter(pa.array(shared >= queries.column("need").to_numpy()))
+
+
 def _opened(num: int, den: int):
     """One group and the sets that ask it: the pairs of components that a link joins, each once."""
 
@@ -420,15 +430,14 @@ def _across(grouped: DataFrame, full: DataFrame, near: DataFrame, num: int, den:
     if asked.isEmpty():
         discard(state, asked)
         return near.withColumnRenamed("c", "component")
-    # The matrix by group, with all tokens: the overlap of each set that asks with each group's union, counted.
-    tokens = state.select("q", F.explode("toks").alias("tok")).join(asked.select("q").distinct(), "q", "left_semi")
-    union = state.join(asked.select("pivot", "part").distinct(), ["pivot", "part"], "left_semi").select("pivot", "part", F.explode("toks").alias("tok")).distinct()
-    counted = asked.join(tokens, "q").join(union, ["pivot", "part", "tok"]).groupBy("q", "need", "pivot", "part").agg(F.count("*").alias("o"))
-    bound = written(counted.filter("o >= need").select("q", "pivot", "part"), "bound")
+    # The overlap of each set that asks with each group's token union.
+    members, queries = _salted(state, asked)
+    tokens = state.select("q", "toks")
+    side = lambda df: df.join(tokens, "q").groupBy("pivot", "part", "salt")
+    bound = written(side(members).cogroup(side(queries)).applyInArrow(_bounded, "q long, pivot long, part long"), "bound")
     # Opening.
-    salts = bound.groupBy("pivot", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
-    members = state.select("q", "c", "pivot", "part").join(salts, ["pivot", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    queries = bound.join(salts, ["pivot", "part"]).join(near, "q").withColumn("salt", F.expr("cast(pmod(xxhash64(q), salts) as int)"))
+    members, queries = _salted(state, bound)
+    members, queries = members.join(near, "q"), queries.join(near, "q")
     by = ["pivot", "part", "salt"]
     side = lambda df: df.select("q", "c", *by).join(full, "q").toDF("q", "c", *by, "set").groupBy(*by)
     links = components(side(members).cogroup(side(queries)).applyInArrow(_opened(num, den), "a long, b long"))
@@ -437,6 +446,14 @@ def _across(grouped: DataFrame, full: DataFrame, near: DataFrame, num: int, den:
     return out
 
 
+def _salted(state: DataFrame, asking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of groups that asking(q, pivot, part) names, and asking, with salt: at most GROUP_QUERIES or so ask one copy of a group."""
+    salts = asking.groupBy("pivot", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
+    members = state.select("q", "pivot", "part").join(salts, ["pivot", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    queries = asking.join(salts, ["pivot", "part"]).withColumn("salt", F.expr("cast(pmod(xxhash64(q), salts) as int)"))
+    return members.drop("salts"), queries.drop("salts")
+
+
 def _told(rows: DataFrame, named: DataFrame) -> DataFrame:
     """k, n_shingles, class_id, component_id of rows(k, n, sig, sig2), from the classes that have copies or links. Classes with very many
     rows are broadcast, the rest are shuffled; sets without a word are looked up nowhere."""
