@@ -72,3 +72,20 @@ def test_frequent_values_outlast_the_others():
         values, times, fell = _fewer(np.concatenate([values, new]), np.concatenate([times, np.ones(len(new), np.int64)]), 40)
         lost += fell
     assert times[values == -7].sum() + lost >= 1500
+
+
+def test_gate_and_update_read_vectors_once(spark):
+    """Gate, residual and normalisation are one step on batches each, not lambdas within lambdas; a node without aggregate has its own state."""
+    rng = np.random.default_rng(6)
+    x, outs, gate = rng.normal(size=(4, 8)), rng.normal(size=(2, 3, 8)) * 30, (rng.normal(size=(3, 8)), rng.normal(size=3), rng.normal(size=3))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, x array<double>")
+    rows = spark.createDataFrame([(i, outs[r, i].tolist()) for r in (0, 1) for i in range(3) if (r, i) != (1, 2)], "idx long, out array<double>")
+    got = att.updated(nodes, att.gated(rows, *gate))
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    logit = np.tanh(outs @ gate[0].T + gate[1]) @ gate[2]
+    logit[1, 2] = -np.inf
+    w = np.exp(logit - logit.max(0))
+    y = x.copy()
+    y[:3] += ((w / w.sum(0))[:, :, None] * outs).sum(0)
+    want = np.maximum((y - y.mean(1, keepdims=True)) / np.sqrt(y.var(1, keepdims=True) + 1e-5), 0)
+    assert np.allclose([r.x for r in got.orderBy("idx").collect()], want)
