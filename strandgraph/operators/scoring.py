@@ -16,6 +16,8 @@ from strandgraph.operators.skew import hot_keys, spread_join
 BLOCK = 16384
 #: Queries that meet a block at a time.
 SLICE = 4096
+#: Products of a slice and a block that are held at a time.
+PRODUCTS = 1 << 20
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -48,21 +50,29 @@ def top_candidates(queries: DataFrame, candidates: DataFrame, logit_scale: float
         if not len(ids) or not len(idx):
             return pa.table([ids.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "idx", "d"])
         by = np.argsort(idx)
-        d = np.round(_matrix(asking) @ _matrix(rows)[by].T, 12)
-        if but_itself:
-            d[ids.to_numpy()[:, None] == idx[by][None, :]] = -np.inf
+        idx, ask, offer = idx[by], _matrix(asking), _matrix(rows)[by].T
+        at = column = np.zeros(0, np.int64)
         if len(never):
             place = {q: i for i, q in enumerate(ids.to_pylist())}
             at = np.array([place.get(q, -1) for q in never.column("query_id").to_pylist()])
-            column = np.searchsorted(idx[by], never.column("but").to_numpy())
+            column = np.searchsorted(idx, never.column("but").to_numpy())
             there = (at >= 0) & (column < len(idx))
-            there[there] = idx[by][column[there]] == never.column("but").to_numpy()[there]
-            d[at[there], column[there]] = -np.inf
-        order = np.argsort(-d, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(d, order, 1).ravel()
-        there = np.flatnonzero(found > -np.inf)
-        out = ids.take(pa.array(np.repeat(np.arange(len(ids)), order.shape[1])[there]))
-        return pa.table([out, pa.array(idx[by][order].ravel()[there].astype(np.int64)), pa.array(found[there])], names=["query_id", "idx", "d"])
+            there[there] = idx[column[there]] == never.column("but").to_numpy()[there]
+            at, column = at[there], column[there]
+        out = []
+        some = max(1, PRODUCTS // len(idx))
+        for first in range(0, len(ids), some):
+            d = np.round(ask[first : first + some] @ offer, 12)
+            if but_itself:
+                d[ids.slice(first, some).to_numpy()[:, None] == idx[None, :]] = -np.inf
+            mine = (at >= first) & (at < first + some)
+            d[at[mine] - first, column[mine]] = -np.inf
+            order = np.argsort(-d, axis=1, kind="stable")[:, :k]
+            found = np.take_along_axis(d, order, 1).ravel()
+            there = np.flatnonzero(found > -np.inf)
+            query = ids.take(pa.array(first + np.repeat(np.arange(len(d)), order.shape[1])[there]))
+            out.append(pa.table([query, pa.array(idx[order].ravel()[there].astype(np.int64)), pa.array(found[there])], names=["query_id", "idx", "d"]))
+        return pa.concat_tables(out)
 
     # A stated set of queries against all candidates, block by block.
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, idx long, d double"
