@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions.vectors import cosine, dot, sigmoid
 from strandgraph.operators.skew import hot_keys, spread_join
+from strandgraph.plans.lineage import cut
 
 #: Candidates that one task multiplies at a time.
 BLOCK = 16384
@@ -86,6 +87,7 @@ def top_candidates(queries: DataFrame, candidates: DataFrame, logit_scale: float
 
 def _both_ends(pairs: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """pairs with the vectors of their ends, xs and xd; ends that very many pairs share are met in several tasks."""
+    pairs = cut(pairs, "pairs")
     hot_src, hot_dst = hot_keys(pairs, ["src"], ["dst"])
     left = spread_join(pairs, src.select(F.col("idx").alias("src"), F.col("x").alias("xs")), ["src"], hot_src)
     return spread_join(left, dst.select(F.col("idx").alias("dst"), F.col("x").alias("xd")), ["dst"], hot_dst)

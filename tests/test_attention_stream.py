@@ -89,3 +89,15 @@ def test_gate_and_update_read_vectors_once(spark):
     y[:3] += ((w / w.sum(0))[:, :, None] * outs).sum(0)
     want = np.maximum((y - y.mean(1, keepdims=True)) / np.sqrt(y.var(1, keepdims=True) + 1e-5), 0)
     assert np.allclose([r.x for r in got.orderBy("idx").collect()], want)
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """However small their files are: nodes that edges are resolved by, and ids that new ones are held against."""
+    from strandgraph.operators import graph
+    from strandgraph.plans.lineage import cut
+
+    nodes = cut(spark.range(20000).select(F.lit("a").alias("ntype"), F.col("id").alias("idx"), F.lpad(F.col("id").cast("string"), 12, "0").alias("id"), F.array().cast("array<double>").alias("x")))
+    ends = nodes.select(F.lit("a").alias("src_type"), F.lit("r").alias("rel"), F.lit("a").alias("dst_type"), F.col("id").alias("src_id"), F.col("id").alias("dst_id"))
+    for df in (graph.resolved(ends, nodes), graph.conflicts(nodes, nodes.select("ntype", "id"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 20000
