@@ -100,12 +100,27 @@ def decoded_pairs(pairs: DataFrame, src: DataFrame, dst: DataFrame, logit_scale:
 
 
 def decoded_by_network(pairs: DataFrame, src: DataFrame, dst: DataFrame, hidden: np.ndarray, bias: np.ndarray, out: np.ndarray, out_bias: float = 0.0) -> DataFrame:
-    """pairs(src, dst) with logit: two linear maps with ReLU between, over both ends' vectors one after the other."""
+    """pairs(src, dst) with logit: two linear maps with ReLU between, over both ends' vectors one after the other. The first map is a sum of
+    one of each end, made once a node, where it is narrower than the node's vector; what is narrower travels with a pair."""
     w, b, o = (np.asarray(v, dtype=float) for v in (hidden, bias, out))
+    first = src.select(F.size("x").alias("n")).first()
+    width = first.n if first else 0
+
+    def mapped(part: np.ndarray):
+        @F.pandas_udf("array<double>")
+        def apply(x: pd.Series) -> pd.Series:
+            return pd.Series(list(np.stack(x.to_numpy()) @ part.T)) if len(x) else pd.Series([], dtype=object)
+
+        return apply
+
+    narrow = [len(w) < part.shape[1] for part in (w[:, :width], w[:, width:])]
+    ends = [df.select("idx", mapped(part)("x").alias("x")) if thin else df for df, part, thin in zip((src, dst), (w[:, :width], w[:, width:]), narrow)]
+    maps = [np.eye(len(w)) if thin else part for part, thin in zip((w[:, :width], w[:, width:]), narrow)]
 
     @F.pandas_udf("double")
-    def apply(x: pd.Series) -> pd.Series:
-        return pd.Series(np.maximum(np.stack(x.to_numpy()) @ w.T + b, 0.0) @ o + out_bias) if len(x) else pd.Series([], dtype=float)
+    def apply(xs: pd.Series, xd: pd.Series) -> pd.Series:
+        if not len(xs):
+            return pd.Series([], dtype=float)
+        return pd.Series(np.maximum(np.stack(xs.to_numpy()) @ maps[0].T + np.stack(xd.to_numpy()) @ maps[1].T + b, 0.0) @ o + out_bias)
 
-    both = _both_ends(pairs, src, dst)
-    return both.select("src", "dst", F.concat("xs", "xd").alias("x")).select("src", "dst", apply("x").alias("logit"))
+    return _both_ends(pairs, *ends).select("src", "dst", apply("xs", "xd").alias("logit"))
