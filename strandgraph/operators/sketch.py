@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.functions.sequence import kept_hashes
+from strandgraph.functions.sequence import kept_hashes, kept_sets
 from strandgraph.operators.skew import hot_keys, spread_join
 from strandgraph.plans.lineage import cut
 
@@ -25,6 +25,12 @@ def sketch(sequences: DataFrame, k: int, scaled: int, id_column: str = "id", seq
     return kept_hashes(sequences, k, TOP // scaled, id_column, seq).groupBy("id", "hash").agg(F.sum("abund").alias("abund"))
 
 
+def sketch_sets(sequences: DataFrame, k: int, scaled: int, id_column: str = "id", seq: str = "seq") -> DataFrame:
+    """id, hashes: the sketches as sorted arrays, without numbers of occurrences. A sketch travels as one row, not as a row a hash."""
+    parts = kept_sets(sequences, k, TOP // scaled, id_column, seq).groupBy("id").agg(F.collect_list("hashes").alias("p"))
+    return parts.select("id", F.when(F.size("p") == 1, F.col("p")[0]).otherwise(F.sort_array(F.array_distinct(F.flatten("p")))).alias("hashes"))
+
+
 def jaccard_pairs(queries: DataFrame, references: DataFrame, threshold: float = 0.0) -> DataFrame:
     """query_id, ref_id, score of sketches that share a hash, from a threshold on.
 
@@ -40,9 +46,9 @@ def jaccard_pairs(queries: DataFrame, references: DataFrame, threshold: float =
         both = q.join(r, "hash").groupBy("query_id", "ref_id", "nq", "nr").agg(F.count("*").alias("common"))
         return both.select("query_id", "ref_id", (F.col("common") / (F.col("nq") + F.col("nr") - F.col("common"))).alias("score"))
     seen = r.groupBy("hash").agg(F.count("*").alias("df"))
-    a, b = _ranked(q, seen, "query_id", threshold), _ranked(r, seen, "ref_id", threshold)
-    pairs = _met(a, b, threshold)
-    return _verified(pairs, a, b, threshold)
+    sets = lambda rows, key: cut(rows.groupBy(key).agg(F.collect_list("hash").alias("hashes")), "sets")
+    a, b = _ranked(sets(q, "query_id"), seen, "query_id", threshold), _ranked(sets(r, "ref_id"), seen, "ref_id", threshold)
+    return _verified(_met(a, b, threshold), a, b, threshold)
 
 
 @dataclass
@@ -54,20 +60,26 @@ class Classes:
 
 
 def classes(sketches: DataFrame) -> Classes:
-    """The classes of equal sketches; a copy costs a row of members. Sets are told apart by MD5. A class with very many members
-    isn't gathered: its smallest id is an aggregate that tasks make in part, and reaches the members in several tasks."""
-    sets = sketches.select("id", "hash").distinct().groupBy("id").agg(F.array_sort(F.collect_list("hash")).alias("hashes"))
+    """The classes of equal sketches (id, hash); see classes_of_sets."""
+    return classes_of_sets(sketches.groupBy("id").agg(F.sort_array(F.collect_set("hash")).alias("hashes")))
+
+
+def classes_of_sets(sets: DataFrame) -> Classes:
+    """The classes of equal sketches (id, hashes: sorted); a copy costs a row of members. Sets are told apart by MD5. A class with very many
+    members isn't gathered: its smallest id is an aggregate that tasks make in part, and reaches the members in several tasks."""
     keyed = cut(sets.withColumn("digest", F.md5(F.array_join("hashes", ",").cast("binary"))), "sets")
     first = keyed.groupBy("digest").agg(F.min("id").alias("class_id"))
     (hot,) = hot_keys(keyed, ["digest"])
     members = cut(spread_join(keyed.select("id", "digest"), first, ["digest"], hot).select("id", "class_id"), "members")
-    return Classes(keyed.join(first.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "hashes"), members)
+    # Read several times, so written once.
+    own = cut(keyed.join(first.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "hashes"), "class-sets")
+    return Classes(own, members)
 
 
 def similar_classes(found: Classes, threshold: float) -> DataFrame:
     """class_a < class_b, score: the pairs of classes from a threshold above 0 on, each once. Members of one class are alike
     (score 1) and make no pair, so S equal sketches give S rows of members and not S * S pairs."""
-    pairs = similar_pairs(found.sets.select(F.col("class_id").alias("id"), F.explode("hashes").alias("hash")), threshold)
+    pairs = _pairs_of(found.sets.withColumnRenamed("class_id", "query_id"), threshold)
     return pairs.select(F.col("query_id").alias("class_a"), F.col("ref_id").alias("class_b"), "score")
 
 
@@ -109,20 +121,28 @@ def best_of_classes(found: Classes, pairs: DataFrame) -> DataFrame:
 def similar_pairs(sketches: DataFrame, threshold: float) -> DataFrame:
     """query_id < ref_id, score: the pairs of one table's sketches from a threshold above 0 on, each once. See jaccard_pairs;
     where many sketches are equal, similar_classes."""
-    rows = sketches.select(F.col("id").alias("query_id"), "hash").distinct()
-    a = _ranked(rows, rows.groupBy("hash").agg(F.count("*").alias("df")), "query_id", threshold)
+    return _pairs_of(cut(sketches.groupBy(F.col("id").alias("query_id")).agg(F.collect_set("hash").alias("hashes")), "sets"), threshold)
+
+
+def _pairs_of(sets: DataFrame, threshold: float) -> DataFrame:
+    """similar_pairs of a table query_id, hashes: different ones."""
+    # A hash that one set alone has makes no pair.
+    seen = sets.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
+    a = _ranked(sets, seen, "query_id", threshold)
     b = a.withColumnsRenamed({"query_id": "ref_id"})
     return _verified(_met(a, b, threshold).filter("query_id < ref_id"), a, b, threshold)
 
 
-def _ranked(rows: DataFrame, seen: DataFrame, key: str, threshold: float) -> DataFrame:
-    """key, hashes, n, head: each set as an array, and its hashes that pairs are made from. Hashes that no reference has have
-    no partner, but count as a set's."""
-    ranks = rows.join(seen, "hash", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("h"))
-    n = F.size("h")
+def _ranked(sets: DataFrame, seen: DataFrame, key: str, threshold: float) -> DataFrame:
+    """key, hashes, n, head of sets (key, hashes: different ones) that can be in a pair: each as an array, its size, and its hashes that pairs
+    are made from. seen: hash, df of those that may have a partner; the others are the rarest, and count as a set's, but only these
+    travel. Pairs are made from the ranks and verified by them, so they are written once."""
+    rows = sets.select(key, F.explode("hashes").alias("hash")).join(seen, "hash")
+    ranks = sets.join(rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("h")), key)
+    n = F.size("hashes")
     # A trifle less than the product, so that rounding makes a head longer, never shorter.
-    head = F.slice("h", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    return ranks.select(key, F.col("h.hash").alias("hashes"), n.alias("n"), F.transform(F.filter(head, lambda x: x["df"].isNotNull()), lambda x: x["hash"]).alias("head"))
+    head = F.slice("h.hash", F.lit(1), F.greatest(F.size("h") - F.ceil(n * F.lit(threshold) - 1e-9) + 1, F.lit(0)).cast("int"))
+    return cut(ranks.select(key, "hashes", n.alias("n"), head.alias("head")).filter(F.size("head") > 0), "ranks")
 
 
 def _met(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:

@@ -6,10 +6,12 @@ import uuid
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandgraph.functions import sequence as seqf
 from strandgraph.operators import sketch as sk
 from strandgraph.operators import sketch_index
+from strandgraph.plans import standins as st
 
 
 def canonical(kmer):
@@ -148,3 +150,35 @@ def test_bands(spark):
     exact = {(r.class_a, r.class_b): r.score for r in QUERIES["class_pairs"](spark, folder).collect()}
     found = {(r.class_a, r.class_b): r.score for r in QUERIES["lsh_pairs"](spark, folder).collect()}
     assert found.items() <= exact.items() and len(found) >= 0.9 * len(exact) > 0
+
+
+def test_hashes_of_one_set_make_no_head(spark):
+    """Only sets that share a hash are ranked, and heads hold shared hashes alone, the rarest first."""
+    sets = {i: range(100 * i, 100 * i + 10) for i in range(50)} | {100: [*range(10, 18), 5000], 101: [*range(10, 18), 5001]}
+    rows = frame(spark, sets).groupBy(F.col("id").alias("query_id")).agg(F.collect_set("hash").alias("hashes"))
+    seen = rows.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
+    ranks = {r.query_id: r for r in sk._ranked(rows, seen, "query_id", 0.5).collect()}
+    assert set(ranks) == {100, 101} and all(r.n == 9 and sorted(r.hashes) == sorted(sets[i]) for i, r in ranks.items())
+    # Of nine hashes five are a head, of which one is alone.
+    assert [list(ranks[i].head) for i in (100, 101)] == [[10, 11, 12, 13]] * 2
+    assert [(r.query_id, r.ref_id, r.score) for r in sk.similar_pairs(frame(spark, sets), 0.5).collect()] == [(100, 101, 0.8)]
+
+
+def test_sketch_sets(spark):
+    """One row a sketch, whether an id has one row or several."""
+    rng = random.Random(12)
+    rows = [(i % 20, "".join(rng.choice("ACGTN" if i % 3 else "ACGT") for _ in range(rng.choice([0, 5, 300])))) for i in range(30)] + [(50, None), (51, "")]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    want = {}
+    for r in sk.sketch(df, 11, 3).collect():
+        want.setdefault(r.id, set()).add(r.hash)
+    got = sk.sketch_sets(df, 11, 3).collect()
+    assert len(got) == len(want) and {r.id: r.hashes for r in got} == {i: sorted(h) for i, h in want.items()}
+
+
+def test_sequences_letter_by_letter(spark, tmp_path):
+    """The stand-in is that of the column function, for every kind of text."""
+    texts = [None, "", "Hello, World! 123", "İKßé ÄÖ z\x00y", "ACGT acgt", "語 a", "\n\t", "x" * 700_000 + "é" + "Q" * 10, None, "ſtop"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r.doc_id: r.s for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", st.dna(F.col("text")).alias("s")).collect()}
+    assert {r.seq_id: r.seq for r in st.sequences(spark, str(tmp_path)).collect()} == want
